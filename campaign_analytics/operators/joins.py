@@ -8,11 +8,11 @@ it the join is a shuffled sort-merge join.
 
 Skew.  One customer or merchant may hold a large share of all orders (and, in the
 exploratory join, so may the NULL customer).  A shuffled join would send all of that
-key's rows to one task.  :func:`skew_join` finds such hot keys with a cheap partially
-aggregated count of the key column, splits each hot key's fact rows over several salt
-buckets (a deterministic hash of the row, so a retried task rebuilds the same buckets),
-and replicates only the hot keys' dimension rows once per bucket.  The result is
-exactly the plain join; only the work is spread.
+key's rows to one task.  :func:`skew_join` finds such hot keys from a bounded
+frequent-items summary of the key column, splits each hot key's fact rows over several
+salt buckets (a deterministic hash of the row, so a retried task rebuilds the same
+buckets), and replicates only the hot keys' dimension rows once per bucket.  The result
+is exactly the plain join; only the work is spread.
 
 The two customer-keyed dimensions are combined first (a dimension-to-dimension join),
 so the fact is joined on ``customer_id`` once.  Dimension keys are not assumed unique:
@@ -22,13 +22,18 @@ a duplicated key fans out rows exactly as the plain SQL join does
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A key with more fact rows than this is hot and is split into ceil(rows / this)
-# buckets.  About one task's worth of rows; with it there are at most
-# (fact rows / HOT_KEY_ROWS) hot keys, which bounds the broadcast list of hot keys.
+# buckets: about one task's worth of rows per bucket.
 HOT_KEY_ROWS = 2_000_000
+# Keys above this share of the rows are always found by the frequent-items summary;
+# at most 1 / HOT_KEY_SUPPORT keys can be hot, which bounds the broadcast hot list.
+HOT_KEY_SUPPORT = 1e-3
 
 # Renames applied to dimension columns in the order-grain tables.
 CONSUMER_RENAMES = {"created_at": "customer_created_at", "active": "active"}
@@ -64,17 +69,40 @@ def restaurant_dim(restaurant: DataFrame) -> DataFrame:
     return _dimension(restaurant, "id", "merchant_id", RESTAURANT_RENAMES)
 
 
-def hot_keys(fact: DataFrame, key: str, hot_key_rows: int = HOT_KEY_ROWS) -> DataFrame:
-    """Keys (NULL included) with more than ``hot_key_rows`` rows, and their bucket count.
-
-    Reads only the key column; the count is partially aggregated in every task, so
-    even a key holding a third of the data adds one row per task to the shuffle.
-    At most ``rows / hot_key_rows`` keys qualify.
+def hot_keys(
+    fact: DataFrame,
+    key: str,
+    hot_key_rows: int = HOT_KEY_ROWS,
+    support: float = HOT_KEY_SUPPORT,
+    total: int | None = None,
+) -> list[tuple[object, int]]:
+    """Keys (NULL included) with more than ``hot_key_rows`` rows, and their bucket counts.
+
+    Three small jobs over the key column only, none of which shuffles the key space:
+
+    1. the row count, unless given (at most ``hot_key_rows``: no key can be hot, stop);
+    2. ``freqItems`` - Spark's one-pass frequent-items summary, whose per-task state and
+       result hold at most ``1 / support`` keys - gives every key with more than
+       ``support`` of the rows (and maybe a few others);
+    3. an exact count of those candidates and of NULL.
+
+    A key is hot when its exact count exceeds ``max(hot_key_rows, support * rows)``;
+    every such key is always among the candidates, so the hot list does not depend on
+    how the summary merged.  The list has at most ``1 / support`` entries, so it is
+    returned to the driver and later broadcast with a proven size bound.  Keys below
+    the threshold are left to the plain join (and to AQE's skew split).
     """
-    counts = fact.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    return counts.filter(F.col("_rows") > hot_key_rows).select(
-        F.col(key), F.ceil(F.col("_rows") / F.lit(hot_key_rows)).cast("int").alias(_BUCKETS)
-    )
+    total = fact.count() if total is None else total
+    if total <= hot_key_rows:
+        return []
+    threshold = max(hot_key_rows, math.ceil(support * total))
+    items = fact.select(key).stat.freqItems([key], support).first()[0] or []
+    candidates = [k for k in items if k is not None]
+    in_candidates = F.col(key).isNull()
+    if candidates:
+        in_candidates = in_candidates | F.col(key).isin(candidates)
+    counts = fact.select(key).filter(in_candidates).groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).collect()
+    return [(r[key], math.ceil(r["_rows"] / hot_key_rows)) for r in counts if r["_rows"] > threshold]
 
 
 def skew_join(
@@ -82,24 +110,31 @@ def skew_join(
     dim: DataFrame,
     key: str,
     how: str = "inner",
-    hot: DataFrame | None = None,
+    hot: list[tuple[object, int]] | None = None,
     hot_key_rows: int = HOT_KEY_ROWS,
     salt_cols: list[str] | None = None,
 ) -> DataFrame:
     """``fact.join(dim, key, how)`` for ``how`` in inner/left, with hot keys salted.
 
     ``hot`` may be given (from :func:`hot_keys` on an upstream fact) so a chain of
-    joins does not recompute its input to count keys; any hot set gives the same rows.
-    ``salt_cols`` (default: the fact's flat columns) feed the bucket hash.
+    joins does not recompute its input to count keys; any hot list gives the same rows.
+    With no hot key this is the plain join.  ``salt_cols`` (default: the fact's flat
+    columns) feed the bucket hash.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"skew_join supports inner and left joins, not {how!r}")
     if hot is None:
         hot = hot_keys(fact, key, hot_key_rows)
-    # Bounded by rows / hot_key_rows (see hot_keys), so broadcasting it is safe.
-    hot_b = F.broadcast(hot.withColumnRenamed(key, "_hot_key"))
+    if not hot:
+        return fact.join(dim, key, how)
+    spark = fact.sparkSession
+    schema = T.StructType(
+        [T.StructField("_hot_key", fact.schema[key].dataType, True), T.StructField(_BUCKETS, T.IntegerType(), False)]
+    )
+    # At most 1 / support rows (see hot_keys): a broadcast with a proven size bound.
+    hot_b = F.broadcast(spark.createDataFrame(hot, schema))
     if salt_cols is None:
-        salt_cols = [n for n, t in fact.dtypes if not t.startswith(("array", "struct", "map"))]
+        salt_cols = _flat(fact)
     salted_fact = (
         fact.join(hot_b, fact[key].eqNullSafe(hot_b["_hot_key"]), "left")
         .withColumn(
@@ -133,10 +168,12 @@ def explore_join(
     # Every (consumer row, group row) combination of a customer, or one side alone:
     # joining the fact to this once equals the two left joins in sequence.
     customers = consumer_dim(consumer).join(ab_dim(ab_test_ref), "customer_id", "full")
-    joined = skew_join(orders, customers, "customer_id", "left", hot_key_rows=hot_key_rows)
+    total = orders.count()
+    hot_c = hot_keys(orders, "customer_id", hot_key_rows, total=total)
+    joined = skew_join(orders, customers, "customer_id", "left", hot=hot_c)
     if "merchant_id" in orders.columns:
         rest = restaurant_dim(restaurant).select("merchant_id")
-        hot_m = hot_keys(orders, "merchant_id", hot_key_rows)
+        hot_m = hot_keys(orders, "merchant_id", hot_key_rows, total=total)
         joined = skew_join(joined, rest, "merchant_id", "left", hot=hot_m, salt_cols=_flat(orders))
     return joined.select(*orders.columns, *[c for c in customers.columns if c != "customer_id"])
 
@@ -155,11 +192,13 @@ def build_abt(
     """
     customers = ab_dim(ab_test_ref).join(consumer_dim(consumer), "customer_id", "left")
     fact = orders.filter(F.col("customer_id").isNotNull())
-    joined = skew_join(fact, customers, "customer_id", "inner", hot_key_rows=hot_key_rows)
+    total = fact.count()
+    hot_c = hot_keys(fact, "customer_id", hot_key_rows, total=total)
+    joined = skew_join(fact, customers, "customer_id", "inner", hot=hot_c)
     rest_cols: list[str] = []
     if "merchant_id" in orders.columns:
         rest = restaurant_dim(restaurant)
-        hot_m = hot_keys(fact, "merchant_id", hot_key_rows)
+        hot_m = hot_keys(fact, "merchant_id", hot_key_rows, total=total)
         joined = skew_join(joined, rest, "merchant_id", "left", hot=hot_m, salt_cols=_flat(orders))
         rest_cols = [c for c in rest.columns if c != "merchant_id"]
     cust_cols = [c for c in customers.columns if c != "customer_id"]

@@ -9,7 +9,7 @@ the cluster-to-profile table is a k-row broadcast.
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,18 +77,20 @@ def scaled_features(inputs: DataFrame, stats: dict[str, tuple[float, float]] | N
     return inputs.select(*cols)
 
 
-def fit_clusters(
+def fit_kmeans(
     inputs: DataFrame,
     k: int = DEFAULT_K,
     seed: int = DEFAULT_SEED,
     max_iter: int = 100,
     partitions: int | None = None,
-) -> DataFrame:
-    """Q23: k-means (k-means|| init, fixed seed) on the z-scores; adds ``cluster``.
+) -> tuple[KMeansModel, DataFrame]:
+    """Fit k-means (k-means|| init, fixed seed) on the z-scores of ``inputs``.
 
     The input layout decides repeatability, so it is fixed: hash partitions on the
     customer id, sorted within, and checkpointed to the reliable checkpoint folder
-    before fitting, which also cuts the lineage the iterations would otherwise replay.
+    before fitting, which also cuts the lineage the iterations would otherwise replay
+    (a lost executor re-reads the checkpoint, not the whole upstream plan).
+    Returns the model and the checkpointed ``(customer_id, features)`` frame.
     """
     spark = inputs.sparkSession
     ensure_checkpoint_dir(spark)
@@ -98,6 +100,18 @@ def fit_clusters(
     assembled = VectorAssembler(inputCols=zcols, outputCol="features").transform(z).select("customer_id", "features")
     laid_out = assembled.repartition(n, "customer_id").sortWithinPartitions("customer_id").checkpoint(eager=True)
     model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="cluster").fit(laid_out)
+    return model, laid_out
+
+
+def fit_clusters(
+    inputs: DataFrame,
+    k: int = DEFAULT_K,
+    seed: int = DEFAULT_SEED,
+    max_iter: int = 100,
+    partitions: int | None = None,
+) -> DataFrame:
+    """Q23: ``inputs`` with the k-means ``cluster`` of each customer."""
+    model, laid_out = fit_kmeans(inputs, k, seed, max_iter, partitions)
     labels = model.transform(laid_out).select("customer_id", F.col("cluster").cast("int").alias("cluster"))
     return inputs.join(labels, "customer_id", "inner")
 
