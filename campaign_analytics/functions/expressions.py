@@ -41,6 +41,18 @@ def col_(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def min_group(c: str | Column = "ab_group") -> Column:
+    """Aggregate: the lowest A/B group label (``control`` before ``target``) of a key.
+
+    Aggregated as a small integer code and decoded afterwards: a ``min`` over strings
+    cannot live in hash-aggregation buffers and would force a sort-based aggregation of
+    every input row.  Labels other than the two groups count as missing.
+    """
+    g = col_(c)
+    code = F.min(F.when(g == CONTROL, 0).when(g == TARGET, 1))
+    return F.when(code == 0, CONTROL).when(code == 1, TARGET)
+
+
 def money(c: str | Column) -> Column:
     """A money amount as an exact decimal with two places."""
     return col_(c).cast(MONEY_DECIMAL)

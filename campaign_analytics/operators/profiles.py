@@ -14,7 +14,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import MONEY_DECIMAL, exact_avg, exact_sum, round2
+from ..functions.expressions import MONEY_DECIMAL, exact_avg, exact_sum, min_group, round2
 from ..session import default_parallelism, ensure_checkpoint_dir
 
 FEATURES = ["order_count", "revenue", "avg_ticket", "avg_days_between_orders"]
@@ -180,7 +180,7 @@ def profile_shares(labelled: DataFrame) -> DataFrame:
 
 def customer_group(abt: DataFrame) -> DataFrame:
     """One A/B group per customer (the lowest label when a customer has two)."""
-    return abt.groupBy("customer_id").agg(F.min(GROUP).alias(GROUP))
+    return abt.groupBy("customer_id").agg(min_group(GROUP).alias(GROUP))
 
 
 def clustered_group_counts(inputs: DataFrame, abt: DataFrame) -> DataFrame:
