@@ -27,7 +27,11 @@ DEFAULT_K, DEFAULT_SEED = 4, 42
 
 
 def customer_features(abt: DataFrame) -> DataFrame:
-    """Q20: per customer - orders, revenue, ticket, first/last order, active days, frequency."""
+    """Q20: per customer - orders, revenue, ticket, first/last order, active days, frequency.
+
+    The customer's A/B group (lowest label if two) rides along in the same aggregation,
+    so the profile summaries by group need no second pass over the ABT.
+    """
     feats = (
         abt.groupBy("customer_id")
         .agg(
@@ -36,6 +40,7 @@ def customer_features(abt: DataFrame) -> DataFrame:
             exact_avg("order_total_amount").alias("avg_ticket"),
             F.max("order_created_at").alias("last_order_at"),
             F.min("order_created_at").alias("first_order_at"),
+            min_group(GROUP).alias(GROUP),
         )
         .withColumn("active_days", F.datediff("last_order_at", "first_order_at"))
     )
@@ -46,8 +51,9 @@ def customer_features(abt: DataFrame) -> DataFrame:
 
 
 def cluster_input(features: DataFrame) -> DataFrame:
-    """Q21: id and the four features; customers with any NULL (one-order customers) dropped."""
-    return features.select("customer_id", *FEATURES).dropna()
+    """Q21: id, the four features and the group; customers with a NULL id or feature
+    (one-order customers have no frequency) dropped."""
+    return features.select("customer_id", *FEATURES, GROUP).dropna(subset=["customer_id", *FEATURES])
 
 
 def feature_stats(inputs: DataFrame) -> dict[str, tuple[float, float]]:
@@ -59,14 +65,16 @@ def feature_stats(inputs: DataFrame) -> dict[str, tuple[float, float]]:
     return {f: (row[f"{f}__mean"], row[f"{f}__std"]) for f in FEATURES}
 
 
-def scaled_features(inputs: DataFrame, stats: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+def scaled_features(
+    inputs: DataFrame, stats: dict[str, tuple[float, float]] | None = None, keep: bool = False
+) -> DataFrame:
     """Q22: z-score of each feature with the population deviation (0 where it is 0).
 
     The statistics are eight numbers from one aggregate; the scaling itself is a
-    narrow projection.
+    narrow projection.  ``keep`` keeps the input columns next to the z-scores.
     """
     stats = stats or feature_stats(inputs)
-    cols = [F.col("customer_id")]
+    cols = [F.col(c) for c in inputs.columns] if keep else [F.col("customer_id")]
     for f in FEATURES:
         mean, std = stats[f]
         if mean is None or not std:
@@ -86,21 +94,22 @@ def fit_kmeans(
 ) -> tuple[KMeansModel, DataFrame]:
     """Fit k-means (k-means|| init, fixed seed) on the z-scores of ``inputs``.
 
-    The input layout decides repeatability, so it is fixed: hash partitions on the
-    customer id, sorted within, and checkpointed to the reliable checkpoint folder
-    before fitting, which also cuts the lineage the iterations would otherwise replay
-    (a lost executor re-reads the checkpoint, not the whole upstream plan).
-    Returns the model and the checkpointed ``(customer_id, features)`` frame.
+    ``inputs`` is computed once: hash-partitioned on the customer id, sorted within
+    and checkpointed to the reliable checkpoint folder.  The fixed layout makes the fit
+    repeatable; the checkpoint cuts the lineage, so the statistics, the k-means
+    iterations and the labelling all read it instead of re-aggregating the ABT, and a
+    lost executor re-reads it rather than replaying the upstream plan.
+    Returns the model and the checkpointed inputs with a ``features`` vector.
     """
     spark = inputs.sparkSession
     ensure_checkpoint_dir(spark)
     n = partitions or default_parallelism(spark)
-    z = scaled_features(inputs)
+    laid_out = inputs.repartition(n, "customer_id").sortWithinPartitions("customer_id").checkpoint(eager=True)
+    z = scaled_features(laid_out, keep=True)
     zcols = [f"z_{f}" for f in FEATURES]
-    assembled = VectorAssembler(inputCols=zcols, outputCol="features").transform(z).select("customer_id", "features")
-    laid_out = assembled.repartition(n, "customer_id").sortWithinPartitions("customer_id").checkpoint(eager=True)
-    model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="cluster").fit(laid_out)
-    return model, laid_out
+    assembled = VectorAssembler(inputCols=zcols, outputCol="features").transform(z).drop(*zcols)
+    model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="cluster").fit(assembled)
+    return model, assembled
 
 
 def fit_clusters(
@@ -111,9 +120,9 @@ def fit_clusters(
     partitions: int | None = None,
 ) -> DataFrame:
     """Q23: ``inputs`` with the k-means ``cluster`` of each customer."""
-    model, laid_out = fit_kmeans(inputs, k, seed, max_iter, partitions)
-    labels = model.transform(laid_out).select("customer_id", F.col("cluster").cast("int").alias("cluster"))
-    return inputs.join(labels, "customer_id", "inner")
+    model, assembled = fit_kmeans(inputs, k, seed, max_iter, partitions)
+    labelled = model.transform(assembled).withColumn("cluster", F.col("cluster").cast("int"))
+    return labelled.select(*inputs.columns, "cluster")
 
 
 def fixed_clusters(inputs: DataFrame, k: int = DEFAULT_K) -> DataFrame:
@@ -183,17 +192,16 @@ def customer_group(abt: DataFrame) -> DataFrame:
     return abt.groupBy("customer_id").agg(min_group(GROUP).alias(GROUP))
 
 
-def clustered_group_counts(inputs: DataFrame, abt: DataFrame) -> DataFrame:
+def clustered_group_counts(inputs: DataFrame) -> DataFrame:
     """Q29: clustered customers per A/B group (customers without a group not counted)."""
-    joined = inputs.select("customer_id").join(customer_group(abt), "customer_id", "inner")
-    return joined.filter(F.col(GROUP).isNotNull()).groupBy(GROUP).agg(F.count(F.lit(1)).alias("customer_count"))
+    return inputs.filter(F.col(GROUP).isNotNull()).groupBy(GROUP).agg(F.count(F.lit(1)).alias("customer_count"))
 
 
-def profile_group_summary(labelled: DataFrame, abt: DataFrame) -> DataFrame:
+def profile_group_summary(labelled: DataFrame) -> DataFrame:
     """Q30: per (profile, group) - customers, revenue sum and mean, mean ticket, mean orders."""
-    joined = with_profiles(labelled).join(customer_group(abt), "customer_id", "left")
     return (
-        joined.filter(F.col(GROUP).isNotNull() & F.col("profile").isNotNull())
+        with_profiles(labelled)
+        .filter(F.col(GROUP).isNotNull() & F.col("profile").isNotNull())
         .groupBy("profile", GROUP)
         .agg(
             F.countDistinct("customer_id").alias("customer_count"),

@@ -131,16 +131,17 @@ FROM seg GROUP BY {segment}, ab_group"""
 
 
 _FEATURES = f"""
-SELECT customer_id, order_count, revenue, avg_ticket, last_order_at, first_order_at, active_days,
+SELECT customer_id, order_count, revenue, avg_ticket, last_order_at, first_order_at, ab_group, active_days,
        CASE WHEN order_count > 1 THEN active_days / (order_count - 1) END AS avg_days_between_orders
 FROM (
   SELECT customer_id, count(DISTINCT order_id) AS order_count,
          {XSUM('order_total_amount')} AS revenue, {XAVG('order_total_amount')} AS avg_ticket,
          max(order_created_at) AS last_order_at, min(order_created_at) AS first_order_at,
+         min(ab_group) AS ab_group,
          CAST(datediff('day', min(order_created_at), max(order_created_at)) AS INTEGER) AS active_days
   FROM m_abt_a GROUP BY customer_id)"""
 _CLUSTER_INPUT = """
-SELECT customer_id, order_count, revenue, avg_ticket, avg_days_between_orders FROM features
+SELECT customer_id, order_count, revenue, avg_ticket, avg_days_between_orders, ab_group FROM features
 WHERE customer_id IS NOT NULL AND order_count IS NOT NULL AND revenue IS NOT NULL
   AND avg_ticket IS NOT NULL AND avg_days_between_orders IS NOT NULL"""
 _LABELLED = "SELECT *, CAST(customer_id % 4 AS INTEGER) AS cluster FROM cluster_input"
@@ -473,7 +474,7 @@ QUERIES: dict[str, tuple[list[str], list[tuple[str, str]], str]] = {
             ("cg", "SELECT customer_id, min(ab_group) AS ab_group FROM m_abt_a GROUP BY customer_id"),
         ],
         """SELECT cg.ab_group, count(*) AS customer_count
-           FROM cluster_input JOIN cg USING (customer_id) WHERE cg.ab_group IS NOT NULL GROUP BY cg.ab_group""",
+           FROM cluster_input c JOIN cg USING (customer_id) WHERE cg.ab_group IS NOT NULL GROUP BY cg.ab_group""",
     ),
     "profile_group_summary": (
         ["m_abt_a"],
@@ -484,7 +485,7 @@ QUERIES: dict[str, tuple[list[str], list[tuple[str, str]], str]] = {
         f"""SELECT profile, cg.ab_group, count(DISTINCT customer_id) AS customer_count,
                    {R2(XSUM('revenue'))} AS revenue, {R2(XAVG('revenue'))} AS mean_revenue,
                    {R2('avg(avg_ticket)')} AS mean_avg_ticket, {R2('avg(order_count)')} AS mean_order_count
-            FROM named LEFT JOIN cg USING (customer_id)
+            FROM (SELECT * EXCLUDE (ab_group) FROM named) n LEFT JOIN cg USING (customer_id)
             WHERE cg.ab_group IS NOT NULL AND profile IS NOT NULL
             GROUP BY profile, cg.ab_group""",
     ),

@@ -110,9 +110,9 @@ QUERIES: dict[str, Query] = {
     "cluster_profiles": lambda s, d: profiles.cluster_profiles(_fixed_labels_a(s, d)),
     "profile_means": lambda s, d: profiles.profile_means(_fixed_labels_a(s, d)),
     "profile_shares": lambda s, d: profiles.profile_shares(_fixed_labels_a(s, d)),
-    "customer_group": lambda s, d: profiles.clustered_group_counts(_cluster_input_a(s, d), abt_a(s, d)),
-    "profile_group_summary": lambda s, d: profiles.profile_group_summary(_fixed_labels_a(s, d), abt_a(s, d)),
+    "customer_group": lambda s, d: profiles.clustered_group_counts(_cluster_input_a(s, d)),
+    "profile_group_summary": lambda s, d: profiles.profile_group_summary(_fixed_labels_a(s, d)),
     # the same summaries on fitted k-means clusters (no SQL equivalent for k-means)
     "fitted_profile_shares": lambda s, d: profiles.profile_shares(_fitted_a(s, d)),
-    "fitted_profile_group_summary": lambda s, d: profiles.profile_group_summary(_fitted_a(s, d), abt_a(s, d)),
+    "fitted_profile_group_summary": lambda s, d: profiles.profile_group_summary(_fitted_a(s, d)),
 }

@@ -72,5 +72,5 @@ def test_summaries_are_consistent(spark, inputs):
     assert sum(r.customer_count for r in sizes) == n
     shares = profiles.profile_shares(labelled).collect()
     assert abs(sum(r.customer_pct for r in shares) - 100.0) <= 0.01 * len(shares)
-    summary = profiles.profile_group_summary(labelled, registry.abt_a(spark, SF_CHECK)).collect()
+    summary = profiles.profile_group_summary(labelled).collect()
     assert sum(r.customer_count for r in summary) == n
