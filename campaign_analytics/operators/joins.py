@@ -9,7 +9,7 @@ it the join is a shuffled sort-merge join.
 Skew.  One customer or merchant may hold a large share of all orders (and, in the
 exploratory join, so may the NULL customer).  A shuffled join would send all of that
 key's rows to one task.  :func:`skew_join` finds such hot keys from a bounded
-frequent-items summary of the key column, splits each hot key's fact rows over several
+frequent-items sketch of the key columns, splits each hot key's fact rows over several
 salt buckets (a deterministic hash of the row, so a retried task rebuilds the same
 buckets), and replicates only the hot keys' dimension rows once per bucket.  The result
 is exactly the plain join; only the work is spread.
@@ -31,9 +31,10 @@ from pyspark.sql import types as T
 # A key with more fact rows than this is hot and is split into ceil(rows / this)
 # buckets: about one task's worth of rows per bucket.
 HOT_KEY_ROWS = 2_000_000
-# Keys above this share of the rows are always found by the frequent-items summary;
-# at most 1 / HOT_KEY_SUPPORT keys can be hot, which bounds the broadcast hot list.
-HOT_KEY_SUPPORT = 1e-3
+# At most this many hot values per key are salted (the hottest ones): the bound on the
+# broadcast hot list.  The sketch tracks HOT_KEY_TRACKED values per task.
+HOT_KEY_CANDIDATES = 1000
+HOT_KEY_TRACKED = 20000
 
 # Renames applied to dimension columns in the order-grain tables.
 CONSUMER_RENAMES = {"created_at": "customer_created_at", "active": "active"}
@@ -69,40 +70,42 @@ def restaurant_dim(restaurant: DataFrame) -> DataFrame:
     return _dimension(restaurant, "id", "merchant_id", RESTAURANT_RENAMES)
 
 
-def hot_keys(
+def find_hot_keys(
     fact: DataFrame,
-    key: str,
+    keys: list[str],
     hot_key_rows: int = HOT_KEY_ROWS,
-    support: float = HOT_KEY_SUPPORT,
-    total: int | None = None,
-) -> list[tuple[object, int]]:
-    """Keys (NULL included) with more than ``hot_key_rows`` rows, and their bucket counts.
-
-    Three small jobs over the key column only, none of which shuffles the key space:
-
-    1. the row count, unless given (at most ``hot_key_rows``: no key can be hot, stop);
-    2. ``freqItems`` - Spark's one-pass frequent-items summary, whose per-task state and
-       result hold at most ``1 / support`` keys - gives every key with more than
-       ``support`` of the rows (and maybe a few others);
-    3. an exact count of those candidates and of NULL.
-
-    A key is hot when its exact count exceeds ``max(hot_key_rows, support * rows)``;
-    every such key is always among the candidates, so the hot list does not depend on
-    how the summary merged.  The list has at most ``1 / support`` entries, so it is
-    returned to the driver and later broadcast with a proven size bound.  Keys below
-    the threshold are left to the plain join (and to AQE's skew split).
+    top_k: int = HOT_KEY_CANDIDATES,
+) -> dict[str, list[tuple[object, int]]]:
+    """Per key column: values (NULL included) with more than ``hot_key_rows`` rows, and
+    the number of salt buckets each needs.
+
+    One job over the key columns only: the row count and, per key, Spark's
+    ``approx_top_k`` frequent-items sketch.  The sketch keeps a bounded map per task and
+    merges the maps (no shuffle of the key space); it returns at most ``top_k`` values
+    with estimated counts, so each hot list is bounded and is taken to the driver, from
+    where both sides of the join get the same list.  The estimates only size the
+    buckets; which values are salted never changes the join result.  Values below the
+    threshold, or beyond the ``top_k`` hottest, are left to the plain join and AQE.
     """
-    total = fact.count() if total is None else total
-    if total <= hot_key_rows:
-        return []
-    threshold = max(hot_key_rows, math.ceil(support * total))
-    items = fact.select(key).stat.freqItems([key], support).first()[0] or []
-    candidates = [k for k in items if k is not None]
-    in_candidates = F.col(key).isNull()
-    if candidates:
-        in_candidates = in_candidates | F.col(key).isin(candidates)
-    counts = fact.select(key).filter(in_candidates).groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).collect()
-    return [(r[key], math.ceil(r["_rows"] / hot_key_rows)) for r in counts if r["_rows"] > threshold]
+    aggs = [F.count(F.lit(1)).alias("_rows")]
+    for i, key in enumerate(keys):
+        aggs.append(F.expr(f"approx_top_k(`{key}`, {top_k}, {HOT_KEY_TRACKED})").alias(f"_top{i}"))
+    row = fact.agg(*aggs).first()
+    if row["_rows"] <= hot_key_rows:
+        return {key: [] for key in keys}
+    return {
+        key: [
+            (e["item"], math.ceil(e["count"] / hot_key_rows))
+            for e in (row[f"_top{i}"] or [])
+            if e["count"] > hot_key_rows
+        ]
+        for i, key in enumerate(keys)
+    }
+
+
+def hot_keys(fact: DataFrame, key: str, hot_key_rows: int = HOT_KEY_ROWS) -> list[tuple[object, int]]:
+    """:func:`find_hot_keys` for one key column."""
+    return find_hot_keys(fact, [key], hot_key_rows)[key]
 
 
 def skew_join(
@@ -116,7 +119,7 @@ def skew_join(
 ) -> DataFrame:
     """``fact.join(dim, key, how)`` for ``how`` in inner/left, with hot keys salted.
 
-    ``hot`` may be given (from :func:`hot_keys` on an upstream fact) so a chain of
+    ``hot`` may be given (from :func:`find_hot_keys` on an upstream fact) so a chain of
     joins does not recompute its input to count keys; any hot list gives the same rows.
     With no hot key this is the plain join.  ``salt_cols`` (default: the fact's flat
     columns) feed the bucket hash.
@@ -131,7 +134,7 @@ def skew_join(
     schema = T.StructType(
         [T.StructField("_hot_key", fact.schema[key].dataType, True), T.StructField(_BUCKETS, T.IntegerType(), False)]
     )
-    # At most 1 / support rows (see hot_keys): a broadcast with a proven size bound.
+    # At most HOT_KEY_CANDIDATES rows (see find_hot_keys): a broadcast with a proven bound.
     hot_b = F.broadcast(spark.createDataFrame(hot, schema))
     if salt_cols is None:
         salt_cols = _flat(fact)
@@ -168,13 +171,12 @@ def explore_join(
     # Every (consumer row, group row) combination of a customer, or one side alone:
     # joining the fact to this once equals the two left joins in sequence.
     customers = consumer_dim(consumer).join(ab_dim(ab_test_ref), "customer_id", "full")
-    total = orders.count()
-    hot_c = hot_keys(orders, "customer_id", hot_key_rows, total=total)
-    joined = skew_join(orders, customers, "customer_id", "left", hot=hot_c)
-    if "merchant_id" in orders.columns:
+    has_merchant = "merchant_id" in orders.columns
+    hot = find_hot_keys(orders, ["customer_id", "merchant_id"] if has_merchant else ["customer_id"], hot_key_rows)
+    joined = skew_join(orders, customers, "customer_id", "left", hot=hot["customer_id"])
+    if has_merchant:
         rest = restaurant_dim(restaurant).select("merchant_id")
-        hot_m = hot_keys(orders, "merchant_id", hot_key_rows, total=total)
-        joined = skew_join(joined, rest, "merchant_id", "left", hot=hot_m, salt_cols=_flat(orders))
+        joined = skew_join(joined, rest, "merchant_id", "left", hot=hot["merchant_id"], salt_cols=_flat(orders))
     return joined.select(*orders.columns, *[c for c in customers.columns if c != "customer_id"])
 
 
@@ -192,14 +194,13 @@ def build_abt(
     """
     customers = ab_dim(ab_test_ref).join(consumer_dim(consumer), "customer_id", "left")
     fact = orders.filter(F.col("customer_id").isNotNull())
-    total = fact.count()
-    hot_c = hot_keys(fact, "customer_id", hot_key_rows, total=total)
-    joined = skew_join(fact, customers, "customer_id", "inner", hot=hot_c)
+    has_merchant = "merchant_id" in orders.columns
+    hot = find_hot_keys(fact, ["customer_id", "merchant_id"] if has_merchant else ["customer_id"], hot_key_rows)
+    joined = skew_join(fact, customers, "customer_id", "inner", hot=hot["customer_id"])
     rest_cols: list[str] = []
-    if "merchant_id" in orders.columns:
+    if has_merchant:
         rest = restaurant_dim(restaurant)
-        hot_m = hot_keys(fact, "merchant_id", hot_key_rows, total=total)
-        joined = skew_join(joined, rest, "merchant_id", "left", hot=hot_m, salt_cols=_flat(orders))
+        joined = skew_join(joined, rest, "merchant_id", "left", hot=hot["merchant_id"], salt_cols=_flat(orders))
         rest_cols = [c for c in rest.columns if c != "merchant_id"]
     cust_cols = [c for c in customers.columns if c != "customer_id"]
     return joined.select(*orders.columns, *cust_cols, *rest_cols)

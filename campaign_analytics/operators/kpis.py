@@ -132,7 +132,7 @@ def order_discounts(abt: DataFrame, strict_nulls: bool = False) -> DataFrame:
     """Per order row: number of parsed items and the exact discount fold (P1 + H1)."""
     return abt.select(
         "order_id",
-        F.size("items").alias("item_count"),
+        F.when(F.col("items").isNotNull(), F.size("items")).alias("item_count"),
         order_discount("items", strict_nulls).cast("double").alias("order_discount"),
     )
 

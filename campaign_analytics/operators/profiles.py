@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import MONEY_DECIMAL, exact_avg, exact_sum, min_group, round2
-from ..session import default_parallelism, ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir
 
 FEATURES = ["order_count", "revenue", "avg_ticket", "avg_days_between_orders"]
 GROUP = "ab_group"
@@ -101,10 +101,10 @@ def fit_kmeans(
     lost executor re-reads it rather than replaying the upstream plan.
     Returns the model and the checkpointed inputs with a ``features`` vector.
     """
-    spark = inputs.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = partitions or default_parallelism(spark)
-    laid_out = inputs.repartition(n, "customer_id").sortWithinPartitions("customer_id").checkpoint(eager=True)
+    ensure_checkpoint_dir(inputs.sparkSession)
+    # Without an explicit count, AQE sizes the hash partitions from the data.
+    spread = inputs.repartition(partitions, "customer_id") if partitions else inputs.repartition("customer_id")
+    laid_out = spread.sortWithinPartitions("customer_id").checkpoint(eager=True)
     z = scaled_features(laid_out, keep=True)
     zcols = [f"z_{f}" for f in FEATURES]
     assembled = VectorAssembler(inputCols=zcols, outputCol="features").transform(z).drop(*zcols)

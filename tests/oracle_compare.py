@@ -52,6 +52,22 @@ def rows_of(columns, records):
     return sorted(out, key=lambda t: tuple("" if x is None else x for x in t)), [columns[i] for i in order]
 
 
+_TYPE_MAP = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "boolean": "BOOLEAN",
+    "timestamp_ntz": "TIMESTAMP",
+    "timestamp": "TIMESTAMP WITH TIME ZONE",
+    "date": "DATE",
+}
+
+
+def _duck_types(con, sql: str) -> dict[str, str]:
+    return {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+
+
 def compare(spark, con, name: str, sf_dir: str) -> tuple[bool, str]:
     from __spark_entry__ import oracle_sql, queries
 
@@ -69,6 +85,10 @@ def compare(spark, con, name: str, sf_dir: str) -> tuple[bool, str]:
     o_sorted, o_cols = rows_of(ocols, orows)
     if s_cols != o_cols:
         return False, f"{name}: columns differ spark={s_cols} oracle={o_cols}"
+    duck = _duck_types(con, sql)
+    bad_types = {c: (t, duck[c]) for c, t in sdf.dtypes if _TYPE_MAP.get(t, t) != duck[c]}
+    if bad_types:
+        return False, f"{name}: column types differ {bad_types}"
     if len(s_sorted) != len(o_sorted):
         return False, f"{name}: row count spark={len(s_sorted)} oracle={len(o_sorted)}"
     bad = [(a, b) for a, b in zip(s_sorted, o_sorted) if a != b]
