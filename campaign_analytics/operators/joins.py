@@ -1,10 +1,10 @@
 """Order-grain star joins: the exploratory join and the analytical base table (ABT).
 
-Both are single-key equi-joins of the order fact with three dimensions.  No broadcast
-is forced on a dimension: consumer and the A/B table are customer-grain and grow with
-the customer base, so Spark broadcasts them only when its size estimate (or, under AQE,
-the measured shuffle output) is below ``spark.sql.autoBroadcastJoinThreshold``; above
-it the join is a shuffled sort-merge join.
+Both are single-key equi-joins of the order fact with three dimensions.  The dimensions
+are measured first (one small job for all three: rows and string bytes,
+:func:`measured_sizes`).  One proven to be at most ``BROADCAST_MAX_BYTES`` is broadcast
+and the fact is not shuffled for that join; a larger one (a customer table grows with
+the customer base) is joined by a shuffled join with hot keys salted.
 
 Skew.  One customer or merchant may hold a large share of all orders (and, in the
 exploratory join, so may the NULL customer).  A shuffled join would send all of that
@@ -14,8 +14,9 @@ salt buckets (a deterministic hash of the row, so a retried task rebuilds the sa
 buckets), and replicates only the hot keys' dimension rows once per bucket.  The result
 is exactly the plain join; only the work is spread.
 
-The two customer-keyed dimensions are combined first (a dimension-to-dimension join),
-so the fact is joined on ``customer_id`` once.  Dimension keys are not assumed unique:
+When the customer tables are too large to broadcast, the two customer-keyed dimensions
+are combined first (a dimension-to-dimension join), so the fact is shuffled on
+``customer_id`` once.  Dimension keys are not assumed unique:
 a duplicated key fans out rows exactly as the plain SQL join does
 (``quality.duplicate_keys`` reports such keys).
 """
@@ -23,6 +24,7 @@ a duplicated key fans out rows exactly as the plain SQL join does
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +37,10 @@ HOT_KEY_ROWS = 2_000_000
 # broadcast hot list.  The sketch tracks HOT_KEY_TRACKED values per task.
 HOT_KEY_CANDIDATES = 1000
 HOT_KEY_TRACKED = 20000
+# A dimension whose measured size is at most this is broadcast, so the fact is not
+# shuffled for that join at all (a merchant table of a few million rows fits; a
+# customer table of hundreds of millions does not and goes through skew_join).
+BROADCAST_MAX_BYTES = 200 * 1024 * 1024
 
 # Renames applied to dimension columns in the order-grain tables.
 CONSUMER_RENAMES = {"created_at": "customer_created_at", "active": "active"}
@@ -70,6 +76,60 @@ def restaurant_dim(restaurant: DataFrame) -> DataFrame:
     return _dimension(restaurant, "id", "merchant_id", RESTAURANT_RENAMES)
 
 
+_FIXED_WIDTH = {
+    T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.DateType: 4, T.FloatType: 4,
+    T.LongType: 8, T.DoubleType: 8, T.TimestampType: 8, T.TimestampNTZType: 8, T.DecimalType: 16,
+}
+
+
+def _width(dt: T.DataType) -> int:
+    return _FIXED_WIDTH.get(type(dt), 64)
+
+
+def _size_row(name: str, df: DataFrame) -> DataFrame:
+    strings = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    fixed = sum(_width(f.dataType) for f in df.schema if f.name not in strings) + 8 * len(df.columns)
+    string_bytes = F.lit(0).cast("bigint")
+    for c in strings:
+        string_bytes = string_bytes + F.coalesce(F.sum(F.octet_length(F.col(c))), F.lit(0)).cast("bigint")
+    return df.agg((F.count(F.lit(1)) * F.lit(fixed) + string_bytes).alias("bytes")).select(
+        F.lit(name).alias("name"), "bytes"
+    )
+
+
+def measured_sizes(frames: dict[str, DataFrame]) -> dict[str, int]:
+    """Size in bytes of each DataFrame, measured in one job: rows x fixed-width columns
+    plus the summed byte length of every string column.  Dimension tables are flat; a
+    nested column would be counted at 64 bytes a value."""
+    rows = reduce(DataFrame.unionByName, [_size_row(n, df) for n, df in frames.items()]).collect()
+    return {r["name"]: r["bytes"] for r in rows}
+
+
+def measured_bytes(df: DataFrame) -> int:
+    return measured_sizes({"df": df})["df"]
+
+
+def fits_broadcast(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> bool:
+    """True when ``df`` is proven (measured) to be at most ``max_bytes``."""
+    return measured_bytes(df) <= max_bytes
+
+
+def lookup_join(
+    fact: DataFrame,
+    dim: DataFrame,
+    key: str,
+    how: str,
+    broadcast_dim: bool,
+    hot: list[tuple[object, int]] | None = None,
+    salt_cols: list[str] | None = None,
+) -> DataFrame:
+    """Join a fact to a dimension: broadcast when the dimension's size is proven small
+    (the fact is then not shuffled, so its hot keys do not matter), else :func:`skew_join`."""
+    if broadcast_dim:
+        return fact.join(F.broadcast(dim), key, how)
+    return skew_join(fact, dim, key, how, hot=hot, salt_cols=salt_cols)
+
+
 def find_hot_keys(
     fact: DataFrame,
     keys: list[str],
@@ -162,22 +222,32 @@ def explore_join(
     ab_test_ref: DataFrame,
     restaurant: DataFrame,
     hot_key_rows: int = HOT_KEY_ROWS,
+    broadcast_max_bytes: int = BROADCAST_MAX_BYTES,
 ) -> DataFrame:
     """Orders LEFT consumer LEFT A/B group LEFT restaurant; null customers and groups kept.
 
     No restaurant column is selected, but the join stays: a duplicated restaurant id
     multiplies order rows, and the sums over this table count them.
     """
-    # Every (consumer row, group row) combination of a customer, or one side alone:
-    # joining the fact to this once equals the two left joins in sequence.
-    customers = consumer_dim(consumer).join(ab_dim(ab_test_ref), "customer_id", "full")
+    cons, ab = consumer_dim(consumer), ab_dim(ab_test_ref)
     has_merchant = "merchant_id" in orders.columns
-    hot = find_hot_keys(orders, ["customer_id", "merchant_id"] if has_merchant else ["customer_id"], hot_key_rows)
-    joined = skew_join(orders, customers, "customer_id", "left", hot=hot["customer_id"])
+    rest = restaurant_dim(restaurant).select("merchant_id")
+    small = _small_dimensions(cons, ab, rest if has_merchant else None, broadcast_max_bytes)
+    shuffled = _shuffled_keys(small, has_merchant)
+    hot = find_hot_keys(orders, shuffled, hot_key_rows) if shuffled else {}
+    if small["customers"]:
+        joined = orders.join(F.broadcast(cons), "customer_id", "left").join(F.broadcast(ab), "customer_id", "left")
+    else:
+        # Every (consumer row, group row) combination of a customer, or one side alone:
+        # joining the fact to this once equals the two left joins in sequence.
+        customers = cons.join(ab, "customer_id", "full")
+        joined = skew_join(orders, customers, "customer_id", "left", hot=hot.get("customer_id"))
     if has_merchant:
-        rest = restaurant_dim(restaurant).select("merchant_id")
-        joined = skew_join(joined, rest, "merchant_id", "left", hot=hot["merchant_id"], salt_cols=_flat(orders))
-    return joined.select(*orders.columns, *[c for c in customers.columns if c != "customer_id"])
+        joined = lookup_join(
+            joined, rest, "merchant_id", "left", small["restaurant"], hot.get("merchant_id"), salt_cols=_flat(orders)
+        )
+    customer_cols = [c for c in cons.columns + ab.columns if c != "customer_id"]
+    return joined.select(*orders.columns, *customer_cols)
 
 
 def build_abt(
@@ -186,25 +256,59 @@ def build_abt(
     ab_test_ref: DataFrame,
     restaurant: DataFrame,
     hot_key_rows: int = HOT_KEY_ROWS,
+    broadcast_max_bytes: int = BROADCAST_MAX_BYTES,
 ) -> DataFrame:
     """The gold order table: customer not null, INNER group, LEFT consumer and restaurant.
 
     The inner group join goes first so every later step sees fewer rows; the null filter
     reaches the Parquet scan as a pushed filter.
     """
-    customers = ab_dim(ab_test_ref).join(consumer_dim(consumer), "customer_id", "left")
+    cons, ab = consumer_dim(consumer), ab_dim(ab_test_ref)
     fact = orders.filter(F.col("customer_id").isNotNull())
     has_merchant = "merchant_id" in orders.columns
-    hot = find_hot_keys(fact, ["customer_id", "merchant_id"] if has_merchant else ["customer_id"], hot_key_rows)
-    joined = skew_join(fact, customers, "customer_id", "inner", hot=hot["customer_id"])
+    rest = restaurant_dim(restaurant)
+    small = _small_dimensions(cons, ab, rest if has_merchant else None, broadcast_max_bytes)
+    shuffled = _shuffled_keys(small, has_merchant)
+    hot = find_hot_keys(fact, shuffled, hot_key_rows) if shuffled else {}
+    if small["customers"]:
+        joined = fact.join(F.broadcast(ab), "customer_id", "inner").join(F.broadcast(cons), "customer_id", "left")
+    else:
+        customers = ab.join(cons, "customer_id", "left")
+        joined = skew_join(fact, customers, "customer_id", "inner", hot=hot.get("customer_id"))
     rest_cols: list[str] = []
     if has_merchant:
-        rest = restaurant_dim(restaurant)
-        joined = skew_join(joined, rest, "merchant_id", "left", hot=hot["merchant_id"], salt_cols=_flat(orders))
+        joined = lookup_join(
+            joined, rest, "merchant_id", "left", small["restaurant"], hot.get("merchant_id"), salt_cols=_flat(orders)
+        )
         rest_cols = [c for c in rest.columns if c != "merchant_id"]
-    cust_cols = [c for c in customers.columns if c != "customer_id"]
+    cust_cols = [c for c in ab.columns + cons.columns if c != "customer_id"]
     return joined.select(*orders.columns, *cust_cols, *rest_cols)
 
 
+def _small_dimensions(
+    cons: DataFrame, ab: DataFrame, rest: DataFrame | None, max_bytes: int
+) -> dict[str, bool]:
+    """Which dimensions are proven small enough to broadcast (one measuring job).
+
+    The two customer tables are broadcast only together; otherwise they are combined
+    and joined once by the shuffled, salted join.
+    """
+    frames = {"consumer": cons, "ab": ab}
+    if rest is not None:
+        frames["restaurant"] = rest
+    sizes = measured_sizes(frames)
+    return {
+        "customers": sizes["consumer"] <= max_bytes and sizes["ab"] <= max_bytes,
+        "restaurant": rest is not None and sizes["restaurant"] <= max_bytes,
+    }
+
+
+def _shuffled_keys(small: dict[str, bool], has_merchant: bool) -> list[str]:
+    keys = [] if small["customers"] else ["customer_id"]
+    if has_merchant and not small["restaurant"]:
+        keys.append("merchant_id")
+    return keys
+
+
 def _flat(df: DataFrame) -> list[str]:
     return [n for n, t in df.dtypes if not t.startswith(("array", "struct", "map"))]

@@ -8,10 +8,11 @@ analysis recomputes from the gold files, not from the raw JSON).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from ..operators.ingest import keep_latest_order, type_orders
 from ..operators.joins import HOT_KEY_ROWS, build_abt
-from ..sources.readers import read_layer, read_raw_orders
+from ..sources.readers import read_dimension_csv, read_layer, read_raw_orders
 from ..sources.writers import write_layer
 
 
@@ -29,6 +30,12 @@ def silver_orders(
     write_layer(typed, silver_location)
 
 
+def silver_dimension(spark: SparkSession, csv_path: str, schema: T.StructType, silver_location: str) -> None:
+    """S3 -> silver: a header CSV dimension typed by name and written as Parquet once, so
+    every later join reads typed columnar data instead of re-parsing text."""
+    write_layer(read_dimension_csv(spark, csv_path, schema), silver_location)
+
+
 def gold_abt(
     orders: DataFrame,
     consumer: DataFrame,

@@ -16,13 +16,17 @@ def read_raw_orders(
     """JSON-lines order records (gzip or plain) with the declared raw schema.
 
     A declared schema skips the inference pass over the input.  A gzip file cannot be
-    split, so each file is read by one task; with ``spread`` the records are
-    redistributed round-robin over ``partitions`` before the (heavier) item parsing.
-    Spark sorts rows locally before a round-robin repartition, so a retried task
-    rebuilds the same partitions.
+    split, so each file is read by one task.  With ``spread``, when the input gives
+    fewer read tasks than ``partitions`` (a few large gzip files), the records are
+    redistributed round-robin before the heavier item parsing; a many-file input is
+    already parallel and is not shuffled.  Spark sorts rows locally before a
+    round-robin repartition, so a retried task rebuilds the same partitions.
     """
     df = spark.read.schema(ORDER_RAW).option("mode", "PERMISSIVE").json(path)
-    return df.repartition(partitions or default_parallelism(spark)) if spread else df
+    target = partitions or default_parallelism(spark)
+    if spread and df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
 
 
 def _typed(col: str, dtype: T.DataType):

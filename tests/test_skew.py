@@ -99,7 +99,42 @@ def test_abt_with_hot_customer_equals_small_threshold(spark):
 
     orders = registry.silver_orders_a(spark, SF_SMALL)
     dims = (tv.consumer(spark, SF_SMALL), tv.ab_test_ref(spark, SF_SMALL), tv.restaurant(spark, SF_SMALL))
-    plain = joins.build_abt(orders, *dims).drop("items")
-    salted = joins.build_abt(orders, *dims, hot_key_rows=5).drop("items")
+    broadcast = joins.build_abt(orders, *dims).drop("items")
+    salted = joins.build_abt(orders, *dims, hot_key_rows=5, broadcast_max_bytes=0).drop("items")
     key = lambda r: tuple("" if v is None else str(v) for v in r)
-    assert sorted(plain.collect(), key=key) == sorted(salted.collect(), key=key)
+    assert sorted(broadcast.collect(), key=key) == sorted(salted.collect(), key=key)
+    x_broadcast = joins.explore_join(orders, *dims).drop("items")
+    x_salted = joins.explore_join(orders, *dims, hot_key_rows=5, broadcast_max_bytes=0).drop("items")
+    assert sorted(x_broadcast.collect(), key=key) == sorted(x_salted.collect(), key=key)
+
+
+def test_measured_bytes_and_broadcast_decision(spark):
+    df = spark.createDataFrame([("abc", 1.0), ("de", None), (None, 2.0)], "k string, v double")
+    # 3 rows x (8 for the double + 8 per column) + 5 string bytes
+    assert joins.measured_bytes(df) == 3 * (8 + 16) + 5
+    assert joins.fits_broadcast(df, 100) and not joins.fits_broadcast(df, 50)
+
+
+def test_small_dimensions_are_broadcast_in_the_abt_plan(spark):
+    from conftest import SF_SMALL
+
+    from campaign_analytics.plans import registry
+
+    plan = registry.abt_a(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_abt_without_merchants_on_shuffled_path(spark):
+    from conftest import SF_SMALL
+
+    from campaign_analytics.plans import registry
+    from campaign_analytics.sources import testviews as tv
+
+    orders = registry.silver_orders_b(spark, SF_SMALL)
+    dims = (tv.consumer(spark, SF_SMALL), tv.ab_test_ref(spark, SF_SMALL), tv.restaurant(spark, SF_SMALL))
+    key = lambda r: tuple("" if v is None else str(v) for v in r)
+    for build in (joins.build_abt, joins.explore_join):
+        broadcast = build(orders, *dims)
+        shuffled = build(orders, *dims, hot_key_rows=3, broadcast_max_bytes=0)
+        assert broadcast.columns == shuffled.columns
+        assert sorted(broadcast.collect(), key=key) == sorted(shuffled.collect(), key=key)
