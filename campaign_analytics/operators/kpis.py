@@ -140,3 +140,74 @@ def order_discounts(abt: DataFrame, strict_nulls: bool = False) -> DataFrame:
 def total_discount(abt: DataFrame, strict_nulls: bool = False) -> DataFrame:
     """Q8: one row, the sum of every order's discount fold (orders with NULL fold skipped)."""
     return abt.agg(F.sum(order_discount("items", strict_nulls)).cast("double").alias("total_discount"))
+
+
+def group_metrics(abt: DataFrame) -> DataFrame:
+    """Everything the ABT reports need per group, in one aggregation over the ABT.
+
+    Distinct orders and customers, the exact revenue sum and the non-null amount count;
+    two or three rows, so every report below is a projection of a tiny table.
+    """
+    return abt.groupBy(GROUP).agg(
+        F.countDistinct("order_id").alias("order_count"),
+        F.countDistinct("customer_id").alias("customer_count"),
+        F.sum(F.col("order_total_amount").cast(MONEY_DECIMAL)).alias("_revenue_dec"),
+        F.count("order_total_amount").alias("_amount_rows"),
+    )
+
+
+def ab_reports(abt: DataFrame, coupon_value: float | None = None) -> dict[str, DataFrame]:
+    """Q4-Q7 and Q9 from a single pass over the ABT.
+
+    Running the reports one by one scans and shuffles the ABT once per report; here the
+    per-group metrics are computed once and cached (two or three rows), and each report
+    is derived from them.  On an ABT (no NULL customers, as ``build_abt`` guarantees) the
+    tables equal those of the single-report functions.
+    """
+    from ..functions.expressions import DEFAULT_COUPON_VALUE
+    from . import viability
+
+    m = group_metrics(abt.filter(F.col("customer_id").isNotNull())).cache()
+    revenue = F.col("_revenue_dec").cast("double")
+    avg_ticket = round2(F.try_divide(revenue, F.col("_amount_rows").cast("double")))
+    with_revenue = m.select(
+        GROUP,
+        "order_count",
+        "customer_count",
+        round2(revenue).alias("revenue"),
+        avg_ticket.alias("avg_ticket"),
+        round2(F.try_divide(revenue, F.col("customer_count"))).alias("revenue_per_customer"),
+    )
+    shares = with_revenue.select(
+        GROUP,
+        "customer_count",
+        "order_count",
+        "revenue",
+        "avg_ticket",
+        F.round(F.col("order_count") / _total("order_count", True) * 100, 2).alias("order_pct"),
+        F.round(F.col("revenue") / _money_total("revenue", True) * 100, 2).alias("revenue_pct"),
+    )
+    base = m.select(
+        GROUP,
+        "order_count",
+        "customer_count",
+        revenue.alias("revenue"),
+        F.try_divide(revenue, F.col("order_count")).alias("avg_ticket"),
+        F.try_divide(revenue, F.col("customer_count")).alias("revenue_per_customer"),
+    )
+    return {
+        "group_kpis": with_revenue.select(
+            GROUP, "customer_count", "order_count", "revenue", "avg_ticket", "revenue_per_customer"
+        ).orderBy(GROUP),
+        "group_customers": m.select(GROUP, "customer_count"),
+        "group_summary_share": shares,
+        "orders_per_customer": m.select(
+            GROUP,
+            "order_count",
+            "customer_count",
+            round2(F.try_divide(F.col("order_count"), F.col("customer_count"))).alias("orders_per_customer"),
+        ),
+        "campaign_viability": viability.viability_from_base(
+            base, DEFAULT_COUPON_VALUE if coupon_value is None else coupon_value
+        ),
+    }

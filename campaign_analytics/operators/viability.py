@@ -38,7 +38,11 @@ def campaign_viability(abt: DataFrame, coupon_value: float = DEFAULT_COUPON_VALU
     * campaign_cost                 = coupon_value x orders_T (every target order uses one)
     * net_total / net_per_customer  = the total / estimated increment minus the cost
     """
-    base = group_base_metrics(abt)
+    return viability_from_base(group_base_metrics(abt), coupon_value)
+
+
+def viability_from_base(base: DataFrame, coupon_value: float = DEFAULT_COUPON_VALUE) -> DataFrame:
+    """The one-row comparison from per-group base metrics (see :func:`group_base_metrics`)."""
     metrics = ["order_count", "customer_count", "revenue", "avg_ticket", "revenue_per_customer"]
     pick = []
     for prefix, label in (("target", TARGET), ("control", CONTROL)):

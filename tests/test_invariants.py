@@ -57,3 +57,31 @@ def test_viability_identities_on_data(spark, abt_a):
     assert abs(v.net_total - (v.incremental_revenue - v.campaign_cost)) <= 0.011
     assert abs(v.net_per_customer - (v.incremental_revenue_estimated - v.campaign_cost)) <= 0.011
     assert v.campaign_cost == 10.0 * v.target_order_count
+
+
+def test_one_pass_reports_equal_single_reports(spark, abt_a):
+    combined = kpis.ab_reports(abt_a)
+    single = {
+        "group_kpis": kpis.group_kpis(abt_a),
+        "group_customers": kpis.group_customers(abt_a),
+        "group_summary_share": kpis.group_summary_share(abt_a),
+        "orders_per_customer": kpis.orders_per_customer(abt_a),
+        "campaign_viability": viability.campaign_viability(abt_a),
+    }
+    key = lambda r: tuple("" if v is None else str(v) for v in r)
+    for name, df in single.items():
+        got = combined[name]
+        assert sorted(got.columns) == sorted(df.columns), name
+        cols = sorted(df.columns)
+        assert sorted(got.select(*cols).collect(), key=key) == sorted(df.select(*cols).collect(), key=key), name
+
+
+@pytest.mark.parametrize("which", ["abt_a", "abt_b"])
+def test_one_pass_segment_reports_equal_single_reports(spark, abt_a, abt_b, which):
+    abt = abt_a if which == "abt_a" else abt_b
+    combined = segments.segment_reports(abt)
+    key = lambda r: tuple("" if v is None else str(v) for v in r)
+    for name, df in combined.items():
+        single = getattr(segments, name)(abt)
+        assert df.columns == single.columns, name
+        assert sorted(df.collect(), key=key) == sorted(single.collect(), key=key), name
