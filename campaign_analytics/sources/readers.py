@@ -15,18 +15,22 @@ def read_raw_orders(
 ) -> DataFrame:
     """JSON-lines order records (gzip or plain) with the declared raw schema.
 
-    A declared schema skips the inference pass over the input.  A gzip file cannot be
-    split, so each file is read by one task.  With ``spread``, when the input gives
-    fewer read tasks than ``partitions`` (a few large gzip files), the records are
-    redistributed round-robin before the heavier item parsing; a many-file input is
-    already parallel and is not shuffled.  Spark sorts rows locally before a
-    round-robin repartition, so a retried task rebuilds the same partitions.
+    A declared schema skips the inference pass over the input; malformed records give
+    NULL fields.  A gzip file cannot be split, so each file is read by one task.  With
+    ``spread``, when the input gives fewer read tasks than ``partitions`` (a few large
+    gzip files), those tasks only decompress and split lines; the lines are
+    redistributed round-robin and the record parsing (``from_json``) runs in parallel
+    after the shuffle.  A many-file input is already parallel: it is parsed by the JSON
+    reader directly and not shuffled.  Spark sorts rows locally before a round-robin
+    repartition, so a retried task rebuilds the same partitions.
     """
     df = spark.read.schema(ORDER_RAW).option("mode", "PERMISSIVE").json(path)
     target = partitions or default_parallelism(spark)
-    if spread and df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    if not spread or df.rdd.getNumPartitions() >= target:
+        return df
+    lines = spark.read.text(path).repartition(target)
+    record = F.from_json(F.col("value"), ORDER_RAW, {"mode": "PERMISSIVE"})
+    return lines.select(record.alias("r")).select(*[F.col(f"r.{f.name}").alias(f.name) for f in ORDER_RAW])
 
 
 def _typed(col: str, dtype: T.DataType):
