@@ -228,3 +228,47 @@ def test_viability_identities(spark):
     assert v.incremental_revenue_estimated == 40.0
     assert v.campaign_cost == 10.0
     assert v.net_total == 50.0 and v.net_per_customer == 30.0
+
+
+def _daypart_rule(hour):
+    if hour < 6:
+        return "late_night"
+    if hour < 12:
+        return "morning"
+    if hour < 14:
+        return "lunch"
+    if hour < 18:
+        return "afternoon"
+    return "evening"
+
+
+def _day_type_rule(weekday, hour):
+    # weekday: Monday = 0 ... Sunday = 6
+    return "weekend" if weekday in (5, 6) or (weekday == 4 and hour >= 18) else "weekday"
+
+
+def test_labels_for_every_hour_of_a_week(spark):
+    from datetime import timedelta
+
+    start = datetime(2024, 1, 1)  # a Monday
+    stamps = [start + timedelta(hours=h, minutes=30) for h in range(24 * 7)]
+    rows = [(f"o{i}", "c1", t, 1.0, False, "control") for i, t in enumerate(stamps)]
+    df = abt(spark, rows)
+    parts = {r.order_created_at: r.daypart for r in segments.order_daypart(df).collect()}
+    types = {r.order_created_at: r.day_type for r in segments.order_daytype(df).collect()}
+    for t in stamps:
+        assert parts[t] == _daypart_rule(t.hour), t
+        assert types[t] == _day_type_rule(t.weekday(), t.hour), t
+
+
+def test_argmax_label_matches_python(spark):
+    import itertools
+
+    combos = list(itertools.product(range(3), repeat=3))
+    df = spark.createDataFrame(combos, "a int, b int, c int")
+    got = df.select("a", "b", "c", X.argmax_label({"b_lbl": F.col("b"), "a_lbl": F.col("a"), "c_lbl": F.col("c")}).alias("w"))
+    for r in got.collect():
+        counts = {"a_lbl": r.a, "b_lbl": r.b, "c_lbl": r.c}
+        best = max(counts.values())
+        expected = None if best == 0 else min(k for k, v in counts.items() if v == best)
+        assert r.w == expected, r
