@@ -211,3 +211,37 @@ def ab_reports(abt: DataFrame, coupon_value: float | None = None) -> dict[str, D
             base, DEFAULT_COUPON_VALUE if coupon_value is None else coupon_value
         ),
     }
+
+
+def explore_reports(x: DataFrame) -> dict[str, DataFrame]:
+    """Q1-Q3 from a single pass over the exploratory join (NULL group kept).
+
+    One aggregation by group (distinct orders, exact revenue, amount count) is cached
+    (two or three rows) and the three reports are projections of it, instead of three
+    joins-and-aggregations over the order table.
+    """
+    m = (
+        x.groupBy(GROUP)
+        .agg(
+            F.countDistinct("order_id").alias("order_count"),
+            F.sum(F.col("order_total_amount").cast(MONEY_DECIMAL)).alias("_revenue_dec"),
+            F.count("order_total_amount").alias("_amount_rows"),
+        )
+        .cache()
+    )
+    revenue = F.col("_revenue_dec").cast("double")
+    rounded = m.select(GROUP, "order_count", round2(revenue).alias("revenue"), revenue.alias("_revenue"), "_amount_rows")
+    return {
+        "group_order_share": m.select(
+            GROUP, "order_count", share_pct("order_count", _total("order_count")).alias("order_pct")
+        ),
+        "group_revenue_share": rounded.select(
+            GROUP, "revenue", share_pct("revenue", _money_total("revenue")).alias("revenue_pct")
+        ),
+        "group_summary_raw": rounded.select(
+            GROUP,
+            "order_count",
+            "revenue",
+            round2(F.try_divide(F.col("_revenue"), F.col("_amount_rows").cast("double"))).alias("avg_ticket"),
+        ),
+    }

@@ -85,3 +85,13 @@ def test_one_pass_segment_reports_equal_single_reports(spark, abt_a, abt_b, whic
         single = getattr(segments, name)(abt)
         assert df.columns == single.columns, name
         assert sorted(df.collect(), key=key) == sorted(single.collect(), key=key), name
+
+
+def test_one_pass_explore_reports_equal_single_reports(spark):
+    x = registry.explore_a(spark, SF_CHECK).cache()
+    combined = kpis.explore_reports(x)
+    key = lambda r: tuple("" if v is None else str(v) for v in r)
+    for name, df in combined.items():
+        single = getattr(kpis, name)(x)
+        assert df.columns == single.columns, name
+        assert sorted(df.collect(), key=key) == sorted(single.collect(), key=key), name
