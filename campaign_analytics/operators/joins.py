@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # A key with more fact rows than this is hot and is split into ceil(rows / this)
-# buckets: about one task's worth of rows per bucket.
-HOT_KEY_ROWS = 2_000_000
+# buckets: about one task's worth of order rows (which carry their item arrays, up to
+# ~1 KB each) per bucket.
+HOT_KEY_ROWS = 500_000
 # At most this many hot values per key are salted (the hottest ones): the bound on the
 # broadcast hot list.  The sketch tracks HOT_KEY_TRACKED values per task.
 HOT_KEY_CANDIDATES = 1000
