@@ -5,6 +5,9 @@ partially aggregated in each task before the shuffle; distinct counts are planne
 Catalyst in two phases (first on ``(group, order_id)``, then on the group), so the
 shuffle is spread over the distinct keys, not over the two groups.  Percent-of-total
 windows run on the two or three aggregated rows only.
+
+``explore_reports`` and ``ab_reports`` derive several reports from one aggregation, for
+callers that want the whole family: one pass over the data instead of one per report.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import (
+    DEFAULT_COUPON_VALUE,
     MONEY_DECIMAL,
     exact_avg,
     exact_sum,
@@ -21,6 +25,8 @@ from ..functions.expressions import (
     share_pct,
 )
 
+from . import viability
+
 GROUP = "ab_group"
 
 
@@ -156,7 +162,7 @@ def group_metrics(abt: DataFrame) -> DataFrame:
     )
 
 
-def ab_reports(abt: DataFrame, coupon_value: float | None = None) -> dict[str, DataFrame]:
+def ab_reports(abt: DataFrame, coupon_value: float = DEFAULT_COUPON_VALUE) -> dict[str, DataFrame]:
     """Q4-Q7 and Q9 from a single pass over the ABT.
 
     Running the reports one by one scans and shuffles the ABT once per report; here the
@@ -164,9 +170,6 @@ def ab_reports(abt: DataFrame, coupon_value: float | None = None) -> dict[str, D
     is derived from them.  On an ABT (no NULL customers, as ``build_abt`` guarantees) the
     tables equal those of the single-report functions.
     """
-    from ..functions.expressions import DEFAULT_COUPON_VALUE
-    from . import viability
-
     m = group_metrics(abt.filter(F.col("customer_id").isNotNull())).cache()
     revenue = F.col("_revenue_dec").cast("double")
     avg_ticket = round2(F.try_divide(revenue, F.col("_amount_rows").cast("double")))
@@ -207,9 +210,7 @@ def ab_reports(abt: DataFrame, coupon_value: float | None = None) -> dict[str, D
             "customer_count",
             round2(F.try_divide(F.col("order_count"), F.col("customer_count"))).alias("orders_per_customer"),
         ),
-        "campaign_viability": viability.viability_from_base(
-            base, DEFAULT_COUPON_VALUE if coupon_value is None else coupon_value
-        ),
+        "campaign_viability": viability.viability_from_base(base, coupon_value),
     }
 
 
