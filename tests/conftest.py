@@ -22,7 +22,10 @@ def spark():
         "local[4]",
         shuffle_partitions=8,
         app_name="campaign-analytics-tests",
-        extra={"spark.checkpoint.dir": os.path.join(scratch, "checkpoints")},
+        extra={
+            "spark.checkpoint.dir": os.path.join(scratch, "checkpoints"),
+            "spark.sql.warehouse.dir": os.path.join(scratch, "warehouse"),
+        },
     )
     yield session
     session.stop()
