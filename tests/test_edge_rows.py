@@ -272,3 +272,17 @@ def test_argmax_label_matches_python(spark):
         best = max(counts.values())
         expected = None if best == 0 else min(k for k, v in counts.items() if v == best)
         assert r.w == expected, r
+
+
+def test_local_time_zone_segments(spark):
+    # Friday 20:30 UTC is Friday 17:30 in Sao Paulo (UTC-3 in January 2024).
+    rows = [("o1", "c1", datetime(2024, 1, 5, 20, 30), 1.0, False, "control")]
+    df = abt(spark, rows)
+    utc = segments.order_daytype(df).first()
+    local = segments.order_daytype(df, time_zone="America/Sao_Paulo").first()
+    assert (utc.order_hour, utc.day_type) == (20, "weekend")
+    assert (local.order_hour, local.day_type) == (17, "weekday")
+    assert segments.order_daypart(df, time_zone="America/Sao_Paulo").first().daypart == "afternoon"
+    assert segments.dominant_daypart(df, time_zone="America/Sao_Paulo").first().daypart == "afternoon"
+    rep = segments.segment_reports(df, time_zone="America/Sao_Paulo")["daytype_report"].first()
+    assert rep.day_type == "weekday"
