@@ -138,3 +138,25 @@ def test_abt_without_merchants_on_shuffled_path(spark):
         shuffled = build(orders, *dims, hot_key_rows=3, broadcast_max_bytes=0)
         assert broadcast.columns == shuffled.columns
         assert sorted(broadcast.collect(), key=key) == sorted(shuffled.collect(), key=key)
+
+
+def test_hot_customer_with_a_third_of_real_orders_is_spread(spark, shuffled_joins):
+    from conftest import SF_CHECK
+
+    from campaign_analytics.plans import registry
+    from campaign_analytics.sources import testviews as tv
+
+    orders = registry.silver_orders_a(spark, SF_CHECK).withColumn(
+        "customer_id", F.when(F.col("order_id") % 3 == 0, F.lit(1).cast("bigint")).otherwise(F.col("customer_id"))
+    )
+    customers = joins.ab_dim(tv.ab_test_ref(spark, SF_CHECK))
+    total = orders.filter(F.col("customer_id").isNotNull()).join(customers, "customer_id").count()
+
+    def largest_task(df):
+        return max(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+
+    plain = orders.join(customers, "customer_id", "inner")
+    salted = joins.skew_join(orders, customers, "customer_id", "inner", hot_key_rows=500)
+    assert salted.count() == plain.count() == total
+    assert largest_task(plain) >= total / 3
+    assert largest_task(salted) < total / 5
