@@ -170,7 +170,9 @@ def ab_reports(abt: DataFrame, coupon_value: float = DEFAULT_COUPON_VALUE) -> di
     is derived from them.  On an ABT (no NULL customers, as ``build_abt`` guarantees) the
     tables equal those of the single-report functions.
     """
-    m = group_metrics(abt.filter(F.col("customer_id").isNotNull())).cache()
+    # Two or three rows: one partition, cached (a cached plan keeps its partitioning,
+    # which would otherwise be spark.sql.shuffle.partitions mostly empty ones).
+    m = group_metrics(abt.filter(F.col("customer_id").isNotNull())).coalesce(1).cache()
     revenue = F.col("_revenue_dec").cast("double")
     avg_ticket = round2(F.try_divide(revenue, F.col("_amount_rows").cast("double")))
     with_revenue = m.select(
@@ -228,6 +230,7 @@ def explore_reports(x: DataFrame) -> dict[str, DataFrame]:
             F.sum(F.col("order_total_amount").cast(MONEY_DECIMAL)).alias("_revenue_dec"),
             F.count("order_total_amount").alias("_amount_rows"),
         )
+        .coalesce(1)
         .cache()
     )
     revenue = F.col("_revenue_dec").cast("double")
