@@ -6,11 +6,11 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Settings every job of this package is written for.  AQE re-plans joins at runtime:
-# it turns a sort-merge join into a broadcast join only when the measured shuffle
-# output of a side is below the threshold (a size check done by Spark, with the
-# shuffled join as the way beyond it), coalesces small partitions, and splits skewed
-# partitions of a join so that one hot customer or merchant does not land in one task.
+# Settings every job of this package is written for.  AQE re-plans at runtime: it
+# coalesces small shuffle partitions toward the advisory size, and splits a skewed
+# partition of a sort-merge join whose inputs are both shuffle stages.  Hot keys that
+# AQE cannot split (a join fed by another join) are salted explicitly by
+# operators.joins.skew_join; dimension broadcasts are decided there on measured sizes.
 BASE_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
