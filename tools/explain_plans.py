@@ -50,6 +50,13 @@ def main() -> None:
         ),
         "Q4 group_kpis (two-phase distinct counts)": kpis.group_kpis(abt_a),
         "Q13 daypart_report (one customer aggregation with conditional counts)": segments.daypart_report(abt_b),
+        "Q1-Q3 bundle: exploratory join + one aggregation (group_order_share shown)": kpis.explore_reports(
+            joins.explore_join(silver_a, *dims)
+        )["group_order_share"],
+        "Q13/Q16/Q19 bundle: daytype_report from the checkpointed customer table": segments.segment_reports(abt_a)[
+            "daytype_report"
+        ],
+        "Q19 price_tier_report (two customer aggregations, co-partitioned join)": segments.price_tier_report(abt_a),
         "Q20 customer_features": profiles.customer_features(abt_a),
         "D3 keep_latest_order (aggregation, not a window)": ingest.keep_latest_order(silver_b),
     }
