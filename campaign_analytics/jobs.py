@@ -53,13 +53,7 @@ def run_reports(spark: SparkSession, silver: str, gold: str, out: str, time_zone
     reports["total_discount"] = kpis.total_discount(abt)
     reports.update(segments.segment_reports(abt, time_zone))
     clustered = profiles.fit_clusters(profiles.cluster_input(profiles.customer_features(abt)))
-    reports["cluster_means"] = profiles.cluster_means(clustered)
-    reports["cluster_sizes"] = profiles.cluster_sizes(clustered)
-    reports["cluster_profiles"] = profiles.cluster_profiles(clustered)
-    reports["profile_means"] = profiles.profile_means(clustered)
-    reports["profile_shares"] = profiles.profile_shares(clustered)
-    reports["customer_group"] = profiles.clustered_group_counts(clustered)
-    reports["profile_group_summary"] = profiles.profile_group_summary(clustered)
+    reports.update(profiles.profile_reports(clustered))
     reports["quality_missing_consumer"] = quality.missing_consumer(orders, ab_test_ref, consumer)
     reports["quality_null_customer"] = quality.null_customer(orders)
     reports["quality_repeated_orders"] = quality.repeated_orders(orders)

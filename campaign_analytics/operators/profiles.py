@@ -182,7 +182,11 @@ def profile_means(labelled: DataFrame) -> DataFrame:
 
 def profile_shares(labelled: DataFrame) -> DataFrame:
     """Q28: customers per profile and their % of all clustered customers."""
-    counts = with_profiles(labelled).groupBy("profile").agg(F.count(F.lit(1)).alias("customer_count"))
+    return _shares(with_profiles(labelled))
+
+
+def _shares(named: DataFrame) -> DataFrame:
+    counts = named.groupBy("profile").agg(F.count(F.lit(1)).alias("customer_count"))
     total = F.sum("customer_count").over(Window.partitionBy())
     return counts.withColumn("customer_pct", F.round(F.col("customer_count") / total * 100, 2))
 
@@ -199,9 +203,12 @@ def clustered_group_counts(inputs: DataFrame) -> DataFrame:
 
 def profile_group_summary(labelled: DataFrame) -> DataFrame:
     """Q30: per (profile, group) - customers, revenue sum and mean, mean ticket, mean orders."""
+    return _group_summary(with_profiles(labelled))
+
+
+def _group_summary(named: DataFrame) -> DataFrame:
     return (
-        with_profiles(labelled)
-        .filter(F.col(GROUP).isNotNull() & F.col("profile").isNotNull())
+        named.filter(F.col(GROUP).isNotNull() & F.col("profile").isNotNull())
         .groupBy("profile", GROUP)
         .agg(
             F.countDistinct("customer_id").alias("customer_count"),
@@ -211,3 +218,22 @@ def profile_group_summary(labelled: DataFrame) -> DataFrame:
             round2(F.avg("order_count")).alias("mean_order_count"),
         )
     )
+
+
+def profile_reports(labelled: DataFrame) -> dict[str, DataFrame]:
+    """Q24-Q30 from one labelled table, naming the clusters once.
+
+    The cluster-to-profile table (k rows) is computed once, kept as one cached
+    partition and broadcast to the summaries, instead of being re-derived per report.
+    """
+    names = cluster_profiles(labelled).coalesce(1).cache()
+    named = labelled.join(F.broadcast(names), "cluster", "left")
+    return {
+        "cluster_means": cluster_means(labelled),
+        "cluster_sizes": cluster_sizes(labelled),
+        "cluster_profiles": names,
+        "profile_means": cluster_means(named, "profile"),
+        "profile_shares": _shares(named),
+        "customer_group": clustered_group_counts(labelled),
+        "profile_group_summary": _group_summary(named),
+    }

@@ -74,3 +74,23 @@ def test_summaries_are_consistent(spark, inputs):
     assert abs(sum(r.customer_pct for r in shares) - 100.0) <= 0.01 * len(shares)
     summary = profiles.profile_group_summary(labelled).collect()
     assert sum(r.customer_count for r in summary) == n
+
+
+def test_profile_reports_equal_single_reports(spark, inputs):
+    labelled = profiles.fixed_clusters(inputs)
+    combined = profiles.profile_reports(labelled)
+    single = {
+        "cluster_means": profiles.cluster_means(labelled),
+        "cluster_sizes": profiles.cluster_sizes(labelled),
+        "cluster_profiles": profiles.cluster_profiles(labelled),
+        "profile_means": profiles.profile_means(labelled),
+        "profile_shares": profiles.profile_shares(labelled),
+        "customer_group": profiles.clustered_group_counts(labelled),
+        "profile_group_summary": profiles.profile_group_summary(labelled),
+    }
+    key = lambda r: tuple("" if v is None else str(v) for v in r)
+    assert set(combined) == set(single)
+    for name, df in single.items():
+        got = combined[name]
+        assert got.columns == df.columns, name
+        assert sorted(got.collect(), key=key) == sorted(df.collect(), key=key), name
