@@ -18,8 +18,9 @@ def write_layer(
     ``sort_within`` sorts each task's rows before writing (no shuffle): rows of one
     customer end up together, which tightens the Parquet min/max statistics that let
     later filters skip row groups and compresses repeated values better (measured on the
-    gold table: ~13 % more write time, a much smaller output).  The write goes through Spark's commit protocol, so
-    a lost executor's partial files are discarded and its tasks rerun.
+    gold table: ~13 % more write time, a much smaller output).  The write goes through
+    Spark's commit protocol, so a lost executor's partial files are discarded and its
+    tasks rerun.
     """
     if sort_within:
         df = df.sortWithinPartitions(*sort_within)
