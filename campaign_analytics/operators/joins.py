@@ -87,23 +87,28 @@ def _width(dt: T.DataType) -> int:
     return _FIXED_WIDTH.get(type(dt), 64)
 
 
-def _size_row(name: str, df: DataFrame) -> DataFrame:
+def _row_bytes(name: str, df: DataFrame) -> DataFrame:
     strings = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
     fixed = sum(_width(f.dataType) for f in df.schema if f.name not in strings) + 8 * len(df.columns)
-    string_bytes = F.lit(0).cast("bigint")
+    size = F.lit(fixed).cast("bigint")
     for c in strings:
-        string_bytes = string_bytes + F.coalesce(F.sum(F.octet_length(F.col(c))), F.lit(0)).cast("bigint")
-    return df.agg((F.count(F.lit(1)) * F.lit(fixed) + string_bytes).alias("bytes")).select(
-        F.lit(name).alias("name"), "bytes"
-    )
+        size = size + F.coalesce(F.octet_length(F.col(c)), F.lit(0)).cast("bigint")
+    return df.select(F.lit(name).alias("name"), size.alias("bytes"))
 
 
 def measured_sizes(frames: dict[str, DataFrame]) -> dict[str, int]:
     """Size in bytes of each DataFrame, measured in one job: rows x fixed-width columns
-    plus the summed byte length of every string column.  Dimension tables are flat; a
-    nested column would be counted at 64 bytes a value."""
-    rows = reduce(DataFrame.unionByName, [_size_row(n, df) for n, df in frames.items()]).collect()
-    return {r["name"]: r["bytes"] for r in rows}
+    plus the byte length of every string value, summed per frame by one small
+    aggregation over the union.  Dimension tables are flat; a nested column would be
+    counted at 64 bytes a value."""
+    rows = (
+        reduce(DataFrame.unionByName, [_row_bytes(n, df) for n, df in frames.items()])
+        .groupBy("name")
+        .agg(F.sum("bytes").alias("bytes"))
+        .collect()
+    )
+    sizes = {r["name"]: r["bytes"] for r in rows}
+    return {n: sizes.get(n, 0) for n in frames}
 
 
 def measured_bytes(df: DataFrame) -> int:
