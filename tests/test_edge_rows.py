@@ -286,3 +286,27 @@ def test_local_time_zone_segments(spark):
     assert segments.dominant_daypart(df, time_zone="America/Sao_Paulo").first().daypart == "afternoon"
     rep = segments.segment_reports(df, time_zone="America/Sao_Paulo")["daytype_report"].first()
     assert rep.day_type == "weekday"
+
+
+def test_missing_consumer_counts(spark):
+    orders = raw(spark, [{"order_id": "o1", "customer_id": "a"}, {"order_id": "o2", "customer_id": "b"},
+                         {"order_id": "o3", "customer_id": None}, {"order_id": "o4", "customer_id": "a"}])
+    ab = spark.createDataFrame([("a", "target"), ("c", "control"), ("d", "control")], AB_TEST_REF)
+    consumer = spark.createDataFrame([("a", None, True), ("d", None, False), ("e", None, True)], CONSUMER)
+    r = quality.missing_consumer(orders, ab, consumer).first()
+    assert (r.order_customers, r.order_customers_missing_consumer) == (2, 1)  # a, b; b missing
+    assert (r.ab_customers, r.ab_customers_missing_consumer) == (3, 1)  # a, c, d; c missing
+    assert r.known_customers_missing_consumer == 2 and r.consumer_customers == 3  # b, c
+
+
+def test_null_customer_shares(spark):
+    orders = raw(spark, [
+        {"order_id": "o1", "customer_id": "a", "order_total_amount": 30.0},
+        {"order_id": "o2", "customer_id": None, "order_total_amount": 10.0},
+        {"order_id": "o2", "customer_id": None, "order_total_amount": 10.0},
+        {"order_id": "o3", "customer_id": "b", "order_total_amount": 50.0},
+    ])
+    r = quality.null_customer(orders).first()
+    assert (r.order_rows, r.null_customer_rows, r.order_count, r.null_customer_orders) == (4, 2, 3, 1)
+    assert (r.revenue, r.null_customer_revenue) == (100.0, 20.0)
+    assert (r.null_order_pct, r.null_revenue_pct) == (33.33, 20.0)
