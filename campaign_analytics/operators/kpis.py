@@ -26,6 +26,7 @@ from ..functions.expressions import (
 )
 
 from . import viability
+from .reporting import sorted_report
 
 GROUP = "ab_group"
 
@@ -77,7 +78,7 @@ def group_summary_raw(x: DataFrame) -> DataFrame:
 
 def group_kpis(abt: DataFrame) -> DataFrame:
     """Q4: customers, orders, revenue, row-average ticket, revenue per customer; by group."""
-    return (
+    kpis = (
         abt.filter(F.col("customer_id").isNotNull())
         .groupBy(GROUP)
         .agg(
@@ -89,8 +90,8 @@ def group_kpis(abt: DataFrame) -> DataFrame:
                 "revenue_per_customer"
             ),
         )
-        .orderBy(GROUP)
     )
+    return sorted_report(kpis, GROUP)
 
 
 def group_customers(abt: DataFrame) -> DataFrame:
@@ -201,9 +202,10 @@ def ab_reports(abt: DataFrame, coupon_value: float = DEFAULT_COUPON_VALUE) -> di
         F.try_divide(revenue, F.col("customer_count")).alias("revenue_per_customer"),
     )
     return {
-        "group_kpis": with_revenue.select(
-            GROUP, "customer_count", "order_count", "revenue", "avg_ticket", "revenue_per_customer"
-        ).orderBy(GROUP),
+        "group_kpis": sorted_report(
+            with_revenue.select(GROUP, "customer_count", "order_count", "revenue", "avg_ticket", "revenue_per_customer"),
+            GROUP,
+        ),
         "group_customers": m.select(GROUP, "customer_count"),
         "group_summary_share": shares,
         "orders_per_customer": m.select(

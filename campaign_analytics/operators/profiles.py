@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import MONEY_DECIMAL, exact_avg, exact_sum, min_group, round2
 from ..session import ensure_checkpoint_dir
+from .reporting import sorted_report
 
 FEATURES = ["order_count", "revenue", "avg_ticket", "avg_days_between_orders"]
 GROUP = "ab_group"
@@ -142,7 +143,7 @@ def cluster_means(labelled: DataFrame, key: str = "cluster") -> DataFrame:
 
 def cluster_sizes(labelled: DataFrame) -> DataFrame:
     """Q25: customers per cluster, ordered by cluster."""
-    return labelled.groupBy("cluster").agg(F.count(F.lit(1)).alias("customer_count")).orderBy("cluster")
+    return sorted_report(labelled.groupBy("cluster").agg(F.count(F.lit(1)).alias("customer_count")), "cluster")
 
 
 def cluster_profiles(labelled: DataFrame) -> DataFrame:
