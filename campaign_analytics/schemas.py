@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-# Field names of the order-item JSON documents and of the raw order
-# records.  They must equal the names in the source data.
+# Field names of the order-item JSON documents, of the raw order records
+# and (further below) of the dimension tables and the typed order columns.  They must
+# equal the names in the source data.
 MONEY_FIELDS = ["value", "currency"]
 ITEM_FIELDS = [
     "name", "addition", "discount", "quantity", "sequence", "unitPrice", "externalId",
