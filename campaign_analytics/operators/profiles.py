@@ -107,6 +107,7 @@ def fit_kmeans(
     seed: int = DEFAULT_SEED,
     max_iter: int = MAX_ITER,
     partitions: int | None = None,
+    seeds: list[int] | None = None,
 ) -> tuple[KMeansModel, DataFrame]:
     """Fit k-means (k-means|| init, fixed seed) on the z-scores of ``inputs``.
 
@@ -115,6 +116,8 @@ def fit_kmeans(
     repeatable; the checkpoint cuts the lineage, so the statistics, the k-means
     iterations and the labelling all read it instead of re-aggregating the ABT, and a
     lost executor re-reads it rather than replaying the upstream plan.
+    With ``seeds``, one fit per seed on the same laid-out data, keeping the lowest
+    training cost (several initialisations, as a multi-start k-means does).
     Returns the model and the checkpointed inputs with a ``features`` vector.
     """
     ensure_checkpoint_dir(inputs.sparkSession)
@@ -124,10 +127,14 @@ def fit_kmeans(
     z = scaled_features(laid_out, keep=True)
     zcols = [f"z_{f}" for f in FEATURES]
     assembled = VectorAssembler(inputCols=zcols, outputCol="features").transform(z).drop(*zcols)
-    kmeans = KMeans(
-        k=k, seed=seed, maxIter=max_iter, tol=centre_tolerance(k), featuresCol="features", predictionCol="cluster"
-    )
-    model = kmeans.fit(assembled)
+    model = None
+    for candidate in seeds or [seed]:
+        kmeans = KMeans(
+            k=k, seed=candidate, maxIter=max_iter, tol=centre_tolerance(k), featuresCol="features", predictionCol="cluster"
+        )
+        fitted = kmeans.fit(assembled)
+        if model is None or fitted.summary.trainingCost < model.summary.trainingCost:
+            model = fitted
     return model, assembled
 
 
@@ -137,9 +144,10 @@ def fit_clusters(
     seed: int = DEFAULT_SEED,
     max_iter: int = MAX_ITER,
     partitions: int | None = None,
+    seeds: list[int] | None = None,
 ) -> DataFrame:
     """Q23: ``inputs`` with the k-means ``cluster`` of each customer."""
-    model, assembled = fit_kmeans(inputs, k, seed, max_iter, partitions)
+    model, assembled = fit_kmeans(inputs, k, seed, max_iter, partitions, seeds)
     labelled = model.transform(assembled).withColumn("cluster", F.col("cluster").cast("int"))
     return labelled.select(*inputs.columns, "cluster")
 

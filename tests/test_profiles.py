@@ -94,3 +94,11 @@ def test_profile_reports_equal_single_reports(spark, inputs):
         got = combined[name]
         assert got.columns == df.columns, name
         assert sorted(got.collect(), key=key) == sorted(df.collect(), key=key), name
+
+
+def test_several_seeds_keep_the_lowest_cost(spark, inputs):
+    single, _ = profiles.fit_kmeans(inputs, seed=42)
+    best, _ = profiles.fit_kmeans(inputs, seeds=[42, 7, 2024])
+    assert best.summary.trainingCost <= single.summary.trainingCost
+    labelled = profiles.fit_clusters(inputs, seeds=[42, 7])
+    assert labelled.count() == inputs.count()
