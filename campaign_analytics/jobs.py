@@ -43,7 +43,14 @@ def run_gold(spark: SparkSession, silver: str, out: str) -> None:
     layers.gold_abt(spark.read.parquet(f"{silver}/orders"), *_dims(spark, silver), out)
 
 
-def run_reports(spark: SparkSession, silver: str, gold: str, out: str, time_zone: str | None = None) -> list[str]:
+def run_reports(
+    spark: SparkSession,
+    silver: str,
+    gold: str,
+    out: str,
+    time_zone: str | None = None,
+    seeds: list[int] | None = None,
+) -> list[str]:
     orders = spark.read.parquet(f"{silver}/orders")
     consumer, ab_test_ref, restaurant = _dims(spark, silver)
     abt = layers.read_gold(spark, gold)
@@ -52,7 +59,7 @@ def run_reports(spark: SparkSession, silver: str, gold: str, out: str, time_zone
     reports.update(kpis.ab_reports(abt))
     reports["total_discount"] = kpis.total_discount(abt)
     reports.update(segments.segment_reports(abt, time_zone))
-    clustered = profiles.fit_clusters(profiles.cluster_input(profiles.customer_features(abt)))
+    clustered = profiles.fit_clusters(profiles.cluster_input(profiles.customer_features(abt)), seeds=seeds)
     reports.update(profiles.profile_reports(clustered))
     reports["quality_missing_consumer"] = quality.missing_consumer(orders, ab_test_ref, consumer)
     reports["quality_null_customer"] = quality.null_customer(orders)
@@ -81,6 +88,7 @@ def main(argv: list[str] | None = None) -> None:
     r.add_argument("--gold", required=True)
     r.add_argument("--out", required=True)
     r.add_argument("--time-zone", default=None, help="segment hours in this zone (default: session zone)")
+    r.add_argument("--kmeans-seeds", default=None, help="comma-separated seeds; the lowest-cost fit is kept")
     args = parser.parse_args(argv)
 
     builder = SparkSession.builder.appName(f"campaign-analytics-{args.job}")
@@ -92,7 +100,8 @@ def main(argv: list[str] | None = None) -> None:
     elif args.job == "gold":
         run_gold(spark, args.silver, args.out)
     else:
-        run_reports(spark, args.silver, args.gold, args.out, args.time_zone)
+        seeds = [int(x) for x in args.kmeans_seeds.split(",")] if args.kmeans_seeds else None
+        run_reports(spark, args.silver, args.gold, args.out, args.time_zone, seeds)
 
 
 if __name__ == "__main__":
