@@ -100,7 +100,9 @@ QUERIES: dict[str, Query] = {
         }
     ),
     "latest_order": lambda s, d: ingest.keep_latest_order(silver_orders_b(s, d)),
-    # customer profiles
+    # customer profiles.  The cluster summaries run on deterministic labels
+    # (customer_id mod 4, every clustered customer kept) so that SQL can check them; the
+    # fitted_* entries and customer_clusters run the same operators on k-means labels.
     "customer_features": lambda s, d: profiles.customer_features(abt_a(s, d)),
     "cluster_input": _cluster_input_a,
     "scaled_features": _scaled_rounded,
