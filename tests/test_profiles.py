@@ -99,6 +99,8 @@ def test_profile_reports_equal_single_reports(spark, inputs):
 def test_several_seeds_keep_the_lowest_cost(spark, inputs):
     single, _ = profiles.fit_kmeans(inputs, seed=42)
     best, _ = profiles.fit_kmeans(inputs, seeds=[42, 7, 2024])
-    assert best.summary.trainingCost <= single.summary.trainingCost
+    # The cost is a floating sum merged in task-completion order: equal fits can differ
+    # in the last digit, so compare with a relative tolerance.
+    assert best.summary.trainingCost <= single.summary.trainingCost * (1 + 1e-9)
     labelled = profiles.fit_clusters(inputs, seeds=[42, 7])
     assert labelled.count() == inputs.count()
