@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, as_utf8, materialise
+from .common import WORD_PATTERN, materialise
 
 # Fixed values of the contract: weights of the sources in code point order, the share of all
 # sizes that the mix takes, and the most a source may be repeated.
@@ -21,6 +21,10 @@ WEIGHTS = (5, 2, 1)
 SHARE_PERCENT = 150
 MOST_EPOCHS = 2
 ROWS_PER_RANGE = 8192
+#: A source's plan is one row of a few hundred bytes; more sources than this are joined by shuffle.
+_BROADCAST_SOURCES = 50_000
+_AFTER_WORD = r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"
+_SOURCE, _ORDER, _TAKE = "__mix_source", "__mix_order", "__mix_take"
 
 
 def word_count(text: Column) -> Column:
@@ -60,31 +64,14 @@ def source_targets(
     )
 
 
-def mix(
-    docs: DataFrame,
-    weights: tuple[int, ...] = WEIGHTS,
-    share_percent: int = SHARE_PERCENT,
-    most_epochs: int = MOST_EPOCHS,
-    seed: int = 0,
-    rows_per_range: int = ROWS_PER_RANGE,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-) -> DataFrame:
-    """One row per input row: doc_id, source, size, source_size, target, taken.
+def _ordered(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> tuple[Column, Column, Column]:
+    """Source, hash-random key and text of a row; key, size and text hash order a source's rows."""
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(docs[id_col].cast("string"), F.lit(""))))
+    return docs[source_col].cast("string"), key, docs[text_col].cast("string")
 
-    ``taken`` counts the words that the mix takes of the row: whole epochs, and in the last
-    one a prefix of the source's key order whose last document is cut at the budget.  Null
-    and empty texts have size 0 and give nothing.  Null sources are one source, after all
-    others.  Keys hash the id and the seed, so reruns agree; rows of equal id are ordered by
-    size and are otherwise interchangeable.  Empty table: no rows.  Other columns are not read.
-    """
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"), as_utf8(text_col).alias("text"), F.col(source_col).cast("string").alias("source")
-    )
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sizes = materialise(rows.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("mix_key")))
-    targets = source_targets(sizes, weights, share_percent, most_epochs)
+
+def _prefix_sums(sizes: DataFrame, targets: DataFrame, rows_per_range: int) -> DataFrame:
+    """``sizes`` with its source's target, epochs and rest, and the words before each row in key order."""
     ranges = F.greatest(F.lit(1), F.ceil(F.col("n_rows") / rows_per_range)).cast("long")
     # the key's first 28 bits, as a share of their range, times the number of ranges
     leading = F.conv(F.substring("mix_key", 1, 7), 16, 10).cast("long")
@@ -99,7 +86,9 @@ def mix(
         F.coalesce(F.sum("range_size").over(along), F.lit(0)).alias("range_before"),
     )
     within = (
-        Window.partitionBy("source", "key_range").orderBy("mix_key", "size").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("source", "key_range")
+        .orderBy("mix_key", "size", "content")
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
     summed = placed.withColumn("row_before", F.coalesce(F.sum("size").over(within), F.lit(0)))
     joined = summed.join(
@@ -109,6 +98,114 @@ def mix(
     )
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    rest = budget - epochs * F.col("source_size") - F.col("range_before") - F.col("row_before")
-    taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return joined.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return (
+        joined.drop("of_source", "of_range")
+        .withColumn("epochs", epochs)
+        .withColumn("rest", budget - F.col("epochs") * F.col("source_size"))
+        .withColumn("before", F.col("range_before") + F.col("row_before"))
+    )
+
+
+def _measured(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    source, key, text = _ordered(docs, seed, id_col, text_col, source_col)
+    return materialise(
+        docs.select(
+            docs[id_col].alias("doc_id"),
+            source.alias("source"),
+            word_count(text).alias("size"),
+            key.alias("mix_key"),
+            F.xxhash64(text).alias("content"),
+        )
+    )
+
+
+def mix(
+    docs: DataFrame,
+    weights: tuple[int, ...] = WEIGHTS,
+    share_percent: int = SHARE_PERCENT,
+    most_epochs: int = MOST_EPOCHS,
+    seed: int = 0,
+    rows_per_range: int = ROWS_PER_RANGE,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """One row per input row: doc_id, source, size, source_size, target, taken.
+
+    ``taken`` counts the words that the mix takes of the row: whole epochs, and in the last
+    one a prefix of the source's key order whose last document is cut at the budget.  Null
+    and empty texts have size 0 and give nothing.  Null sources are one source, after all
+    others.  Keys hash the id and the seed, so reruns agree; rows of equal id are ordered by
+    size and text hash, and rows equal in these are interchangeable.  Empty table: no rows.
+    Other columns are not read.
+    """
+    sizes = _measured(docs, seed, id_col, text_col, source_col)
+    targets = source_targets(sizes, weights, share_percent, most_epochs)
+    rows = _prefix_sums(sizes, targets, rows_per_range)
+    last = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))
+    taken = (F.col("epochs") * F.col("size") + last).cast("long").alias("taken")
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken)
+
+
+def mixed_documents(
+    docs: DataFrame,
+    weights: tuple[int, ...] = WEIGHTS,
+    share_percent: int = SHARE_PERCENT,
+    most_epochs: int = MOST_EPOCHS,
+    seed: int = 0,
+    rows_per_range: int = ROWS_PER_RANGE,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """The mix itself: the rows of ``docs`` as often as taken, one per source cut at the budget.
+
+    All columns stay; ``n_chars``, if there, follows the text.  Texts do not move between
+    tasks: each source has one row that says how many epochs are whole and at which key the
+    last one ends, and that joins the documents.  Rows equal in id and text at the cut share
+    the rest evenly.  Rows without words are not part of a mix.
+    """
+    sizes = _measured(docs, seed, id_col, text_col, source_col)
+    targets = source_targets(sizes, weights, share_percent, most_epochs)
+    rows = _prefix_sums(sizes, targets, rows_per_range)
+    order = F.struct("mix_key", "size", "content")
+    beyond = rows.filter(F.col("before") + F.col("size") > F.col("rest"))
+    cuts = beyond.groupBy("source").agg(F.min(order).alias("cut"))
+    at = rows.join(cuts.withColumnRenamed("source", "of_source"), F.col("source").eqNullSafe(F.col("of_source")), "left")
+    is_cut = order == F.col("cut")
+    plan = at.groupBy("source").agg(
+        F.first("epochs").alias("mix_epochs"),
+        F.min("cut").alias("mix_cut"),
+        F.max(F.when(is_cut, F.col("rest"))).alias("rest"),
+        F.min(F.when(is_cut, F.col("before"))).alias("before"),
+        F.count(F.when(is_cut, 1)).alias("sharing"),
+    )
+    plan = materialise(
+        plan.select(
+            F.col("source").alias("mix_source"),
+            "mix_epochs",
+            "mix_cut",
+            F.floor((F.col("rest") - F.col("before")) / F.col("sharing")).cast("long").alias("mix_part"),
+        )
+    )
+    if plan.count() <= _BROADCAST_SOURCES:
+        plan = F.broadcast(plan)
+    source, key, text = _ordered(docs, seed, id_col, text_col, source_col)
+    size = word_count(text)
+    read = docs.withColumns({_SOURCE: source, _ORDER: F.struct(key.alias("mix_key"), size.alias("size"), F.xxhash64(text).alias("content"))})
+    joined = read.join(plan, F.col(_SOURCE).eqNullSafe(F.col("mix_source")))
+    whole = F.col("mix_epochs") + F.when(F.col("mix_cut").isNull() | (F.col(_ORDER) < F.col("mix_cut")), 1).otherwise(0)
+    part = F.when(F.col(_ORDER) == F.col("mix_cut"), F.col("mix_part")).otherwise(0)
+    takes = F.concat(
+        F.array_repeat(F.lit(-1).cast("long"), whole.cast("int")),
+        F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<long>")),
+    )
+    taken = joined.filter(F.col(_ORDER)["size"] > 0).withColumn(_TAKE, F.explode(takes))
+    # pieces of white space and a word: the first n joined are the text up to its nth word
+    pieces = F.split(F.col(text_col).cast("string"), _AFTER_WORD)
+    head = F.array_join(F.slice(pieces, 1, F.col(_TAKE).cast("int")), "")
+    taken = taken.withColumn(text_col, F.when(F.col(_TAKE) < 0, F.col(text_col)).otherwise(head))
+    if "n_chars" in docs.columns:
+        chars = F.length(F.col(text_col)).cast(docs.schema["n_chars"].dataType)
+        taken = taken.withColumn("n_chars", F.when(F.col(_TAKE) < 0, F.col("n_chars")).otherwise(chars))
+    return taken.select(*docs.columns)

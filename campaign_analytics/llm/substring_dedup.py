@@ -123,20 +123,17 @@ def _windows(window: int, buckets: int, groups: int) -> Callable:
     def run(texts: list[bytes], ids: list[int], marks: list[int]) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((np.array(marks, np.int64), np.array(ids, np.int64)))
         ids_a, marks_a = np.array(ids, np.int64)[order], np.array(marks, np.int64)[order]
-        data = np.frombuffer(b"\n".join([texts[i] for i in order]), np.uint8)
-        lengths = np.array([len(texts[i]) + 1 for i in order], np.int64)
-        starts, _, words = wordhash.hash_words(data)
+        whole_run = wordhash.Run([texts[i] for i in order])
+        words, doc = whole_run.words, whole_run.doc_of_word()
         if len(words) < window:
             return
-        doc = np.searchsorted(np.cumsum(lengths), starts, "right")
         n = len(words) - window + 1
         whole = np.flatnonzero(doc[:n] == doc[window - 1 :])
         hashes = wordhash.hash_windows(words, window, _first_powers)[whole]
         second = wordhash.hash_windows(words, window, _second_powers)[whole]
-        doc_first = np.searchsorted(doc, np.arange(len(ids_a)))
-        doc = doc[whole].astype(np.int64)
-        start = whole - doc_first[doc]
-        del words, starts, whole
+        doc = doc[whole]
+        start = whole - whole_run.first_word[doc]
+        del whole_run, words, whole
         # rows with one id and one mark are the same document, and equal
         same_doc = np.zeros(len(ids_a), bool)
         same_doc[1:] = (ids_a[1:] == ids_a[:-1]) & (marks_a[1:] == marks_a[:-1])

@@ -103,3 +103,43 @@ def hash_windows(words: np.ndarray, width: int, powers: Powers) -> np.ndarray:
     sums[0] = 0
     np.cumsum(words * power[: len(words)], dtype=np.uint64, out=sums[1:])
     return mix((sums[width:] - sums[:n]) * inverse[:n])
+
+
+class Run:
+    """Several UTF-8 texts as one byte array, with the spans and hashes of their words.
+
+    ``edges[i]`` to ``edges[i + 1]`` are the bytes of text i and a closing line feed;
+    ``first_word[i]`` to ``first_word[i + 1]`` are its words.
+    """
+
+    def __init__(self, texts: list[bytes]):
+        self.data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+        self.edges = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)))
+        self.starts, self.ends, self.words = hash_words(self.data)
+        self.first_word = np.searchsorted(self.starts, self.edges)
+        self.n_words = np.diff(self.first_word)
+
+    def doc_of_word(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.n_words)), self.n_words)
+
+    def count(self, mask: np.ndarray) -> np.ndarray:
+        """True bytes of ``mask`` per text."""
+        sums = np.concatenate(([0], np.cumsum(mask, dtype=np.int64)))
+        return sums[self.edges[1:]] - sums[self.edges[:-1]]
+
+    def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends (before the line feed) and text numbers of all lines."""
+        ends = np.flatnonzero(self.data == 10)
+        starts = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
+        return starts, ends, np.searchsorted(self.edges, starts, "right") - 1
+
+
+def equal_within(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For entries in order: whether an equal hash of the same owner stands earlier, and later."""
+    order = np.lexsort((hashes, owner)) if len(hashes) else np.empty(0, np.int64)
+    h, o = hashes[order], owner[order]
+    same = (h[1:] == h[:-1]) & (o[1:] == o[:-1])
+    earlier, later = np.zeros(len(h), bool), np.zeros(len(h), bool)
+    earlier[order[1:][same]] = True
+    later[order[:-1][same]] = True
+    return earlier, later
