@@ -24,7 +24,7 @@ from .common import id_and_text, text_slices
 
 CAPACITY = 2048
 DOCS_PER_GROUP = 2048
-SEARCH_NODES_PER_BIN = 8
+SEARCH_NODES_PER_BIN = 2
 BRANCHES = 4
 RUN_BYTES = 2 << 20
 
@@ -142,7 +142,7 @@ class BinCompletion:
         return tuple(out)
 
     def pack(self, sizes: list[int], nodes: int | None = None) -> list[list[int]]:
-        """Bins of sizes.  ``nodes`` bounds the fillings tried (default: 8 per bin and 1000)."""
+        """Bins of sizes.  ``nodes`` bounds the fillings tried (default: 2 per bin, 1000 at least)."""
         counts: dict[int, int] = {}
         for s in sizes:
             counts[s] = counts.get(s, 0) + 1
@@ -151,7 +151,7 @@ class BinCompletion:
         incumbent = self.best_fit(counts)
         if len(incumbent) <= bound:
             return incumbent
-        budget = nodes if nodes is not None else SEARCH_NODES_PER_BIN * len(incumbent) + 1000
+        budget = nodes if nodes is not None else max(SEARCH_NODES_PER_BIN * len(incumbent), 1000)
         present = mirrored = 0
         for s in counts:
             present |= 1 << s

@@ -56,42 +56,69 @@ class ChunkEncoder:
     """Token ids of whole texts under a byte-level BPE file, each distinct chunk encoded once.
 
     A chunk is a space and what follows it up to the next safe space; the text's first chunk
-    has no space before it.  The ids of a text are those of its chunks in order.  The memory of
-    encoded chunks is cleared when it holds ``max_chunks``; long chunks are not remembered.
+    has no space before it.  The ids of a text are those of its chunks in order.  Encoded
+    chunks are remembered in two generations of at most ``max_chunks``: when the young one
+    is full the old one is dropped, but for what was used since.  Long chunks are forgotten
+    after their run.
     """
 
     LONG = 64
+    TOGETHER = 500
 
     def __init__(self, content: str, max_chunks: int = 400_000):
         self.tokenizer = load(content)
         self.max_chunks = max_chunks
-        self.known: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        # a line feed between a character and a space is a token of its own
+        self.line_feed = self._ids(["\n"])[0]
 
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
+    def _encode(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of a space and each chunk; many chunks are encoded as the lines of one text."""
+        plain = [c for c in chunks if "\n" not in c and "<" not in c and c and not c[-1].isspace()]
+        out: dict[str, bytes] = {}
+        groups = [plain[i : i + self.TOGETHER] for i in range(0, len(plain), self.TOGETHER)]
+        joined = ["\n".join([" " + c for c in group]) for group in groups]
+        mark = int.from_bytes(self.line_feed, "little") if len(self.line_feed) == 4 else -1
+        for group, raw in zip(groups, self._ids(joined)):
+            cuts = (np.flatnonzero(np.frombuffer(raw, "<u4") == mark) * 4).tolist()
+            if len(cuts) != len(group) - 1:  # a vocabulary that joins line feeds: one by one
+                out.update(zip(group, self._ids([" " + c for c in group])))
+                continue
+            at = 0
+            for c, cut in zip(group, [*cuts, len(raw)]):
+                out[c] = raw[at:cut]
+                at = cut + 4
+        rest = [c for c in chunks if c not in out]
+        out.update(zip(rest, self._ids([" " + c for c in rest])))
+        return out
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [_SPLIT.split(t) if _UNSAFE.search(t) else t.split(" ") for t in texts]
-        firsts = self._encode([s[0] for s in split])
-        missing = set()
-        for s in split:
-            missing.update(s[1:])
-        if len(self.known) + len(missing) > self.max_chunks:
-            self.known.clear()
-        missing.difference_update(self.known)
-        new = list(missing)
-        coded = dict(zip(new, self._encode([" " + c for c in new])))
-        short = {c: ids for c, ids in coded.items() if len(c) <= self.LONG}
-        self.known.update(short)
-        look = self.known if len(short) == len(coded) else {**self.known, **coded} if len(coded) > 1000 else None
-        for first, s in zip(firsts, split):
-            if look is not None:
-                yield first + b"".join(map(look.__getitem__, s[1:]))
+        firsts = self._ids([s.pop(0) for s in split])
+        chunks = set().union(*split)
+        if len(self.young) > self.max_chunks:
+            self.young, self.old = {}, self.young
+        chunks.difference_update(self.young.keys())
+        new = []
+        for c in chunks:
+            known = self.old.get(c)
+            if known is None:
+                new.append(c)
             else:
-                known = self.known
-                yield first + b"".join([known[c] if c in known else coded[c] for c in s[1:]])
+                self.young[c] = known
+        self.young.update(self._encode(new))
+        look = self.young.__getitem__
+        for first, s in zip(firsts, split):
+            yield first + b"".join(map(look, s))
+        for c in new:
+            if len(c) > self.LONG:
+                del self.young[c]
 
 
 _encoders: dict[tuple[int, int], ChunkEncoder] = {}
