@@ -197,7 +197,11 @@ def disclosing_terms(
     pairs = near.groupBy("entity", "term").agg(
         F.count_distinct("context").alias("contexts"), F.count_distinct("doc_key").alias("together")
     )
-    pairs = materialise(pairs.filter(F.col("contexts") >= min_contexts))
+    pairs = pairs.filter(F.col("contexts") >= min_contexts)
+    # the documents with the term in any window are some of those with the term, so the share
+    # is at most this; it spares the corpus count the words that stand near all entities
+    anywhere = near.groupBy("term").agg(F.count_distinct("doc_key").alias("near_any"))
+    pairs = materialise(pairs.join(anywhere, "term").filter(F.col("together") >= min_share * F.col("near_any")))
     candidates = pairs.select("term").distinct()
     words = rows.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
     if candidates.count() <= _BROADCAST_ROWS:
