@@ -11,30 +11,51 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from campaign_analytics.llm import packing, simhash_vp
+from campaign_analytics.llm import mixing, packing, pii, quality_crf, simhash_vp
 from campaign_analytics.llm.common import table
 from campaign_analytics.llm.queries import PACKING_TOKENIZER
 from campaign_analytics.session import ensure_checkpoint_dir
 
 
+def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line field rejects go."""
+    return quality_crf.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays."""
     return simhash_vp.keep_one(docs)
 
 
+def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and what discloses it are replaced in the texts."""
+    return pii.sanitise(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the sources' budgets take them."""
+    return mixing.mixed_documents(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences: one row per piece of a document."""
     return packing.pack(docs, PACKING_TOKENIZER)
 
 
 STAGES = [
+    ("quality", keep_good_quality),
     ("near_duplicates", drop_near_duplicates),
+    ("personal_data", sanitise),
+    ("mixing", mix_sources),
     ("packing", pack),
 ]
 
-#: The classifier's labels, SimHash and token ids have no SQL form.
+#: The classifier, SimHash and token ids have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed corpus: what the last stage returns, after all others."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:

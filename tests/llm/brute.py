@@ -8,6 +8,25 @@ import zlib
 
 import xxhash
 
+SMALL = "/root/testdata/sf0.001"
+
+#: Null ids and texts, empty and very long texts, ties, repeated rows, and columns that clash
+#: with the names operators use.
+_LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(60_000))
+ODD = [
+    (1, "one two three four five six seven eight nine ten"),
+    (2, "one two three four five six seven eight nine ten"),
+    (2, "one two three four five six seven eight nine ten"),
+    (3, None),
+    (4, ""),
+    (5, " \t\n "),
+    (6, _LONG),
+    (7, _LONG + " end"),
+    (None, "a row without an id, one two three four five six seven eight"),
+    (None, None),
+    (8, "non breaking   spaces \U0001f600 é é <|endoftext|> <|startoftext|>  two"),
+]
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 

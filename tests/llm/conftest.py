@@ -7,7 +7,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-SMALL = "/root/testdata/sf0.001"
+from brute import ODD, SMALL  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -17,24 +17,6 @@ def documents(spark):
     return sorted((r[0], r[1]) for r in rows)
 
 
-#: Null ids and texts, empty and very long texts, ties, repeated rows, and columns that clash
-#: with the names operators use.
-_LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(60_000))
-ODD = [
-    (1, "one two three four five six seven eight nine ten"),
-    (2, "one two three four five six seven eight nine ten"),
-    (2, "one two three four five six seven eight nine ten"),
-    (3, None),
-    (4, ""),
-    (5, " \t\n "),
-    (6, _LONG),
-    (7, _LONG + " end"),
-    (None, "a row without an id, one two three four five six seven eight"),
-    (None, None),
-    (8, "non breaking   spaces \U0001f600 é é <|endoftext|> <|startoftext|>  two"),
-]
-
-
 @pytest.fixture(scope="session")
 def odd(spark):
     names = "doc_id long, text string, lang string, source string, n_chars long, score double, size long, fp long, "

@@ -3,7 +3,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from conftest import SMALL
+from brute import SMALL
 from pyspark.sql import functions as F
 
 from campaign_analytics.llm import cover_tree, queries

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import brute
 import pytest
-from conftest import SMALL
+from brute import SMALL
 from pyspark.sql import functions as F
 
 from campaign_analytics.llm import mixing, queries

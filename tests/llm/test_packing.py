@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 
 import brute
-from conftest import ODD, SMALL
+from brute import ODD, SMALL
 from tokenizers import Tokenizer
 
 from campaign_analytics.llm import packing, queries, tokens

@@ -4,7 +4,7 @@ import random
 import re
 
 import brute
-from conftest import ODD, SMALL
+from brute import ODD, SMALL
 
 from campaign_analytics.llm import pii, queries
 

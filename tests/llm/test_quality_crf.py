@@ -4,7 +4,7 @@ import itertools
 
 import numpy as np
 import pytest
-from conftest import ODD, SMALL
+from brute import ODD, SMALL
 
 from campaign_analytics.llm import quality_crf, queries, wordhash
 

@@ -6,7 +6,7 @@ from collections import Counter
 import brute
 import numpy as np
 import pytest
-from conftest import ODD, SMALL
+from brute import ODD, SMALL
 
 from campaign_analytics.llm import quality_rules, queries, wordhash
 

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import brute
 import numpy as np
-from conftest import ODD, SMALL
+from brute import ODD, SMALL
 
 from campaign_analytics.llm import queries, simhash_vp
 

@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 
 import brute
-from conftest import ODD, SMALL
+from brute import ODD, SMALL
 from pyspark.sql import functions as F
 
 from campaign_analytics.llm import queries, substring_dedup

@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from conftest import ODD, SMALL
+from brute import ODD, SMALL
 from tokenizers import Tokenizer
 
 from campaign_analytics.llm import queries, token_counts, tokens

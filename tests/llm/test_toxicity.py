@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
-from conftest import ODD, SMALL
+from brute import ODD, SMALL
 
 from campaign_analytics.llm import queries, toxicity
 
