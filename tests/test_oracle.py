@@ -11,9 +11,9 @@ import pytest
 from conftest import SF_CHECK, SF_SMALL
 from oracle_compare import compare, duckdb_connection
 
-import __spark_entry__ as entry_mod
+from campaign_analytics.plans import oracle, registry
 
-ALL = list(entry_mod.queries())
+ALL = list(registry.QUERIES)
 AT_CHECK_SCALE = [
     "abt",
     "group_kpis",
@@ -41,7 +41,7 @@ def duck_check():
 
 
 def test_every_query_is_registered_with_sql_or_is_kmeans():
-    sql = entry_mod.oracle_sql()
+    sql = oracle.all_sql()
     rows_only = sorted(set(ALL) - set(sql))
     assert rows_only == ["customer_clusters", "fitted_profile_group_summary", "fitted_profile_shares"]
     assert set(sql) <= set(ALL)
