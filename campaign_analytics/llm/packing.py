@@ -212,7 +212,7 @@ def _encode_documents(content: str, capacity: int, closing: int) -> Callable:
     end = closing.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.chunk_encoder(content)
+        encoder = tokens.encoder(content)
         for batch in batches:
             lengths: list[int] = []
             sums: list[list[int]] = []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -46,88 +47,76 @@ def safe_pieces(text: str, size: int) -> Iterator[str]:
     yield text[start:] if start else text
 
 
-# Where a plain split at spaces would not give pieces that tokenise alone as they do in the text:
-# a space before white space (runs of white space stay together) or before a special string.
-_UNSAFE = re.compile(r" [\s<]")
-_SPLIT = re.compile(r" (?=[^\s<])")
+def _byte_alphabet() -> dict[str, int]:
+    """The characters that stand for bytes in byte-level vocabularies."""
+    plain = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-class ChunkEncoder:
-    """Token ids of whole texts under a byte-level BPE file, each distinct chunk encoded once.
+@lru_cache(maxsize=4)
+def rank_table(content: str):
+    """The same vocabulary as a table of ranks, where it is one; else None.
 
-    A chunk is a space and what follows it up to the next safe space; the text's first chunk
-    has no space before it.  The ids of a text are those of its chunks in order.  Encoded
-    chunks are remembered in two generations of at most ``max_chunks``: when the young one
-    is full the old one is dropped, but for what was used since.  Long chunks are forgotten
-    after their run.
+    A byte-level BPE file whose merges make ids in their own order says what a rank table
+    says: the pair of the least id is merged first.  Encoding by ranks gives the same ids
+    several times faster.
+    """
+    import public_tokenizers
+    import tiktoken
+
+    file = json.loads(content)
+    model, splitter = file["model"], file.get("pre_tokenizer") or {}
+    plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    if file.get("normalizer") or any(splitter.get(k) != v for k, v in plain.items()) or model.get("type", "BPE") != "BPE":
+        return None
+    vocab, alphabet = model["vocab"], _byte_alphabet()
+    added = {t["content"] for t in file.get("added_tokens", [])}
+    merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+    first = len(vocab) - len(merged)
+    if [vocab.get(m) for m in merged] != list(range(first, len(vocab))):
+        return None
+    ranks = {bytes(alphabet[c] for c in token): i for token, i in vocab.items() if token not in added}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+class Encoder:
+    """Little-endian unsigned 32-bit ids of texts, as the tokenizers library gives them.
+
+    Texts go through the rank table if there is one and both libraries surely agree: Latin-1
+    text without the string of an added token, and without a run of white space or of other
+    characters so long that merging it pair by pair takes its time.  All others go through
+    the library itself.
     """
 
-    LONG = 64
-    TOGETHER = 500
-
-    def __init__(self, content: str, max_chunks: int = 400_000):
-        self.tokenizer = load(content)
-        self.max_chunks = max_chunks
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        # a line feed between a character and a space is a token of its own
-        self.line_feed = self._ids(["\n"])[0]
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
-
-    def _encode(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of a space and each chunk; many chunks are encoded as the lines of one text."""
-        plain = [c for c in chunks if "\n" not in c and "<" not in c and c and not c[-1].isspace()]
-        out: dict[str, bytes] = {}
-        groups = [plain[i : i + self.TOGETHER] for i in range(0, len(plain), self.TOGETHER)]
-        joined = ["\n".join([" " + c for c in group]) for group in groups]
-        mark = int.from_bytes(self.line_feed, "little") if len(self.line_feed) == 4 else -1
-        for group, raw in zip(groups, self._ids(joined)):
-            cuts = (np.flatnonzero(np.frombuffer(raw, "<u4") == mark) * 4).tolist()
-            if len(cuts) != len(group) - 1:  # a vocabulary that joins line feeds: one by one
-                out.update(zip(group, self._ids([" " + c for c in group])))
-                continue
-            at = 0
-            for c, cut in zip(group, [*cuts, len(raw)]):
-                out[c] = raw[at:cut]
-                at = cut + 4
-        rest = [c for c in chunks if c not in out]
-        out.update(zip(rest, self._ids([" " + c for c in rest])))
-        return out
+    LONGEST_RUN = 400
+
+    def __init__(self, content: str):
+        self.tokenizer, self.ranks = load(content), rank_table(content)
+        self.added = [t["content"] for t in json.loads(content).get("added_tokens", [])]
+
+    def _is_plain(self, text: str) -> bool:
+        if self.ranks is None or any(a in text for a in self.added):
+            return False
+        try:
+            data = np.frombuffer(text.encode("latin-1"), np.uint8)
+        except UnicodeEncodeError:
+            return False
+        space = data <= 32
+        edges = np.flatnonzero(space[1:] != space[:-1])
+        return int(np.diff(edges, prepend=-1, append=len(data)).max()) <= self.LONGEST_RUN
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [_SPLIT.split(t) if _UNSAFE.search(t) else t.split(" ") for t in texts]
-        firsts = self._ids([s.pop(0) for s in split])
-        chunks = set().union(*split)
-        if len(self.young) > self.max_chunks:
-            self.young, self.old = {}, self.young
-        chunks.difference_update(self.young.keys())
-        new = []
-        for c in chunks:
-            known = self.old.get(c)
-            if known is None:
-                new.append(c)
-            else:
-                self.young[c] = known
-        self.young.update(self._encode(new))
-        look = self.young.__getitem__
-        for first, s in zip(firsts, split):
-            yield first + b"".join(map(look, s))
-        for c in new:
-            if len(c) > self.LONG:
-                del self.young[c]
-
-
-_encoders: dict[tuple[int, int], ChunkEncoder] = {}
-
-
-def chunk_encoder(content: str, max_chunks: int = 400_000) -> ChunkEncoder:
+        plain = [self._is_plain(t) for t in texts]
+        others = iter(
+            self.tokenizer.encode_batch_fast([t for t, p in zip(texts, plain) if not p], add_special_tokens=False)
+        )
+        for text, is_plain in zip(texts, plain):
+            ids = self.ranks.encode_ordinary(text) if is_plain else next(others).ids
+            yield np.array(ids, "<u4").tobytes()
+
+
+@lru_cache(maxsize=2)
+def encoder(content: str) -> Encoder:
     """One encoder per Python worker and file, kept between tasks."""
-    key = (hash(content), max_chunks)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = ChunkEncoder(content, max_chunks)
-    return _encoders[key]
+    return Encoder(content)

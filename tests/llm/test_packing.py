@@ -39,15 +39,18 @@ def test_pieces_and_places(spark, documents):
     assert places(rows) <= -(-total // 2048) + 1
 
 
-def test_chunks_encode_as_the_whole_text():
+def test_ids_are_those_of_the_library():
     rng = random.Random(11)
-    parts = ["the", "don't", " ", "  ", "\n", "\n\n", "\t", "é", "<|endoftext|>", "<", "12", "...", " ", "　", "a<b", "\r\n"]
-    texts = ["".join(rng.choices(parts, k=rng.randrange(1, 30))) for _ in range(3000)]
-    encoder = tokens.ChunkEncoder(tokens.tokenizer_json(queries.PACKING_TOKENIZER), max_chunks=200)
-    for at in range(0, len(texts), 100):
-        some = texts[at : at + 100]
-        for text, ids in zip(some, encoder.encode(some)):
-            assert ids == b"".join(x.to_bytes(4, "little") for x in ids_of(text)), repr(text)
+    content = tokens.tokenizer_json(queries.PACKING_TOKENIZER)
+    assert tokens.rank_table(content) is not None
+    parts = ["the", "don't", " ", "  ", "\n", "\n\n", "\t", "é", "<|endoftext|>", "<", "12", "...", "\xa0", "\u3000", "\x85", "a<b"]
+    parts += ["\r\n", "\x1c", "²", "ª", "'LL", "'s", "ÿß", "\x00", "日本", "\u200b", "½x", "_", "Ünd", "x" * 500, " " * 450]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(1, 30))) for _ in range(4000)]
+    latin = [bytes(rng.choices(range(256), k=rng.randrange(40))).decode("latin-1") for _ in range(4000)]
+    encoder = tokens.Encoder(content)
+    assert sum(map(encoder._is_plain, latin)) > 3900
+    for text, ids in zip(texts + latin, encoder.encode(texts + latin)):
+        assert ids == b"".join(x.to_bytes(4, "little") for x in ids_of(text)), repr(text)
 
 
 def test_bin_completion_is_optimal_on_small_sets():
