@@ -2,19 +2,23 @@
 
 Everything here is a built-in Spark expression, so it runs inside whole-stage codegen.
 
-Money is summed as ``DECIMAL(18,2)`` and turned into a double only at the end.  A double
+Money is summed as ``DECIMAL(28,10)`` and turned into a double only at the end.  A double
 sum depends on the order in which partitions are merged; the decimal sum does not, so a
-rerun (or a retried task) gives the same bits and the result can be checked exactly.
+rerun (or a retried task) gives the same bits and the result can be checked exactly.  Ten
+places hold every digit that an amount of up to 15 significant digits shows below 1e5, and
+18 digits before the point leave room for any amount.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MONEY_DECIMAL = T.DecimalType(18, 2)
-ACCUMULATOR_DECIMAL = T.DecimalType(38, 2)
+MONEY_DECIMAL = T.DecimalType(28, 10)
+ACCUMULATOR_DECIMAL = T.DecimalType(38, 10)
+#: A/B labels that are coded as numbers in aggregations; a table with more is grouped as text.
+MOST_CODED_GROUPS = 1000
 
 # Segment labels and their boundaries.
 # Dayparts by order hour: [0,6) late_night, [6,12) morning, [12,14) lunch,
@@ -30,7 +34,6 @@ FRIDAY, FRIDAY_EVENING_HOUR = 6, 18
 # Restaurant price tiers on a customer's mean price range: <= 1.5, <= 2.5, above.
 PRICE_TIER_BOUNDS = [("budget", 1.5), ("mid", 2.5)]
 PRICE_TIER_DEFAULT = "premium"
-PRICE_TIERS = [label for label, _ in PRICE_TIER_BOUNDS] + [PRICE_TIER_DEFAULT]
 # A/B group labels.
 CONTROL, TARGET = "control", "target"
 # Coupon value per target order assumed by the viability calculation.
@@ -41,21 +44,40 @@ def col_(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def min_group(c: str | Column = "ab_group") -> Column:
-    """Aggregate: the lowest A/B group label (``control`` before ``target``) of a key.
+class GroupCodes:
+    """The A/B labels of a table as numbers, so that the lowest label of a key aggregates in a
+    hash table: a ``min`` over text would sort all input rows instead.
 
-    Aggregated as a small integer code and decoded afterwards: a ``min`` over strings
-    cannot live in hash-aggregation buffers and would force a sort-based aggregation of
-    every input row.  Labels other than the two groups count as missing.
+    The distinct labels (a handful, one column of the table, combined in every task) are read
+    once.  Any label counts as itself.  With more than ``MOST_CODED_GROUPS`` labels the text
+    itself is aggregated: the same result by a slower plan.
     """
-    g = col_(c)
-    code = F.min(F.when(g == CONTROL, 0).when(g == TARGET, 1))
-    return F.when(code == 0, CONTROL).when(code == 1, TARGET)
+
+    def __init__(self, table: DataFrame, column: str = "ab_group"):
+        self.column = column
+        rows = table.select(column).filter(F.col(column).isNotNull()).distinct().take(MOST_CODED_GROUPS + 1)
+        self.labels = sorted(r[0] for r in rows) if len(rows) <= MOST_CODED_GROUPS else None
+
+    def lowest(self) -> Column:
+        """Aggregate: the lowest label of a key, to be decoded by :meth:`decoded`."""
+        if self.labels is None:
+            return F.min(self.column)
+        if not self.labels:
+            return F.min(F.lit(None).cast("int"))
+        return F.min(F.nullif(F.array_position(F.array(*[F.lit(x) for x in self.labels]), F.col(self.column)), F.lit(0)))
+
+    def decoded(self, c: str | Column) -> Column:
+        if self.labels is None:
+            return col_(c)
+        if not self.labels:
+            return F.lit(None).cast("string")
+        # element_at of a constant array does not return NULL for a NULL position
+        return F.when(col_(c).isNotNull(), F.element_at(F.array(*[F.lit(x) for x in self.labels]), col_(c).cast("int")))
 
 
 def money(c: str | Column) -> Column:
-    """A money amount as an exact decimal with two places."""
-    return col_(c).cast(MONEY_DECIMAL)
+    """A money amount as an exact decimal; NULL if it is beyond 18 digits or no number."""
+    return col_(c).try_cast(MONEY_DECIMAL)
 
 
 def exact_sum(c: str | Column) -> Column:
@@ -82,6 +104,12 @@ def to_coordinate(c: str | Column) -> Column:
     return F.round(col_(c).try_cast("double"), 2)
 
 
+def to_whole_number(c: str | Column) -> Column:
+    """Text to int, also if written with a point and zeros (``3.0``); anything else becomes NULL."""
+    value = col_(c).try_cast("double")
+    return F.when(value == F.floor(value), value.try_cast("int"))
+
+
 def to_timestamp_lenient(c: str | Column) -> Column:
     """Text to timestamp; malformed text becomes NULL instead of failing the job."""
     return F.try_to_timestamp(col_(c))

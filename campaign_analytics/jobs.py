@@ -54,13 +54,16 @@ def run_reports(
     orders = spark.read.parquet(f"{silver}/orders")
     consumer, ab_test_ref, restaurant = _dims(spark, silver)
     abt = layers.read_gold(spark, gold)
-    reports: dict[str, DataFrame] = {}
-    reports.update(kpis.explore_reports(joins.explore_join(orders, consumer, ab_test_ref, restaurant)))
-    reports.update(kpis.ab_reports(abt))
+    bundles = [
+        kpis.explore_reports(joins.explore_join(orders, consumer, ab_test_ref, restaurant)),
+        kpis.ab_reports(abt),
+        profiles.profile_reports(
+            profiles.fit_clusters(profiles.cluster_input(profiles.customer_features(abt)), seeds=seeds)
+        ),
+    ]
+    reports: dict[str, DataFrame] = {name: df for bundle in bundles for name, df in bundle.items()}
     reports["total_discount"] = kpis.total_discount(abt)
     reports.update(segments.segment_reports(abt, time_zone))
-    clustered = profiles.fit_clusters(profiles.cluster_input(profiles.customer_features(abt)), seeds=seeds)
-    reports.update(profiles.profile_reports(clustered))
     reports["quality_missing_consumer"] = quality.missing_consumer(orders, ab_test_ref, consumer)
     reports["quality_null_customer"] = quality.null_customer(orders)
     reports["quality_repeated_orders"] = quality.repeated_orders(orders)
@@ -69,6 +72,8 @@ def run_reports(
     )
     for name, df in reports.items():
         write_layer(df, f"{out}/{name}")
+    for bundle in bundles:
+        bundle.release()
     return sorted(reports)
 
 

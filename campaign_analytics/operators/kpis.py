@@ -1,138 +1,76 @@
 """A/B group KPIs over the exploratory join (Q1-Q3) and the ABT (Q4-Q8).
 
-Every query groups by the A/B group, which has two or three values.  Plain sums are
-partially aggregated in each task before the shuffle; distinct counts are planned by
-Catalyst in two phases (first on ``(group, order_id)``, then on the group), so the
-shuffle is spread over the distinct keys, not over the two groups.  Percent-of-total
-windows run on the two or three aggregated rows only.
-
-``explore_reports`` and ``ab_reports`` derive several reports from one aggregation, for
-callers that want the whole family: one pass over the data instead of one per report.
+Every report names its columns; :mod:`group_metrics` computes them from one aggregation by
+group.  Plain sums are combined in each task before the shuffle; distinct counts are planned
+by Catalyst in two phases (first on ``(group, order_id)``, then on the group), so the shuffle
+is spread over the distinct keys, not over the two groups.
+
+``explore_reports`` and ``ab_reports`` give the whole family from one pass over the data.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import (
-    DEFAULT_COUPON_VALUE,
-    MONEY_DECIMAL,
-    exact_avg,
-    exact_sum,
-    order_discount,
-    round2,
-    share_pct,
-)
-
+from ..functions.expressions import DEFAULT_COUPON_VALUE, order_discount
 from . import viability
-from .reporting import sorted_report
-
-GROUP = "ab_group"
-
-
-def _all_rows(frame: bool = False):
-    """Window over every row of an (already aggregated, few-row) result."""
-    if frame:
-        return Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return Window.partitionBy()
-
-
-def _total(c: str, frame: bool = False):
-    return F.sum(c).over(_all_rows(frame))
+from .group_metrics import GROUP, group_metrics, report
+from .reporting import Bundle, sorted_report
 
+#: Columns of each report on the exploratory join (a NULL group is kept) and on the ABT.
+EXPLORE_REPORTS = {
+    "group_order_share": [GROUP, "order_count", "order_pct"],
+    "group_revenue_share": [GROUP, "revenue", "revenue_pct"],
+    "group_summary_raw": [GROUP, "order_count", "revenue", "avg_ticket"],
+}
+AB_REPORTS = {
+    "group_kpis": [GROUP, "customer_count", "order_count", "revenue", "avg_ticket", "revenue_per_customer"],
+    "group_customers": [GROUP, "customer_count"],
+    "group_summary_share": [
+        GROUP, "customer_count", "order_count", "revenue", "avg_ticket", "order_pct", "revenue_pct",
+    ],
+    "orders_per_customer": [GROUP, "order_count", "customer_count", "orders_per_customer"],
+}
+#: Reports whose rows come in order of the group.
+IN_ORDER = {"group_kpis"}
 
-def _money_total(c: str, frame: bool = False):
-    """Window total of a 2-place amount, summed exactly."""
-    return F.sum(F.col(c).cast(MONEY_DECIMAL)).over(_all_rows(frame)).cast("double")
 
+def _finished(name: str, metrics: DataFrame, columns: list[str]) -> DataFrame:
+    rows = report(metrics, *columns)
+    return sorted_report(rows, GROUP) if name in IN_ORDER else rows
 
-def group_order_share(x: DataFrame) -> DataFrame:
-    """Q1: distinct orders per group (NULL group kept) and their % of the sum over groups."""
-    return (
-        x.groupBy(GROUP)
-        .agg(F.countDistinct("order_id").alias("order_count"))
-        .withColumn("order_pct", share_pct("order_count", _total("order_count")))
-        .select(GROUP, "order_count", "order_pct")
-    )
 
+def explore_report(x: DataFrame, name: str) -> DataFrame:
+    """One of Q1-Q3: orders, revenue, ticket and percentages per group of the exploratory join."""
+    return _finished(name, group_metrics(x), EXPLORE_REPORTS[name])
 
-def group_revenue_share(x: DataFrame) -> DataFrame:
-    """Q2: revenue per group rounded to 2 places, then % of the sum of the rounded values."""
-    return (
-        x.groupBy(GROUP)
-        .agg(round2(exact_sum("order_total_amount")).alias("revenue"))
-        .withColumn("revenue_pct", share_pct("revenue", _money_total("revenue")))
-        .select(GROUP, "revenue", "revenue_pct")
-    )
 
+def ab_report(abt: DataFrame, name: str) -> DataFrame:
+    """One of Q4-Q7: customers, orders, revenue and ratios per group of the ABT."""
+    return _finished(name, _of_known_customers(abt), AB_REPORTS[name])
 
-def group_summary_raw(x: DataFrame) -> DataFrame:
-    """Q3: distinct orders, revenue and row-average ticket per group."""
-    return x.groupBy(GROUP).agg(
-        F.countDistinct("order_id").alias("order_count"),
-        round2(exact_sum("order_total_amount")).alias("revenue"),
-        round2(exact_avg("order_total_amount")).alias("avg_ticket"),
-    )
 
+def _of_known_customers(abt: DataFrame) -> DataFrame:
+    return group_metrics(abt.filter(F.col("customer_id").isNotNull()))
 
-def group_kpis(abt: DataFrame) -> DataFrame:
-    """Q4: customers, orders, revenue, row-average ticket, revenue per customer; by group."""
-    kpis = (
-        abt.filter(F.col("customer_id").isNotNull())
-        .groupBy(GROUP)
-        .agg(
-            F.countDistinct("customer_id").alias("customer_count"),
-            F.countDistinct("order_id").alias("order_count"),
-            round2(exact_sum("order_total_amount")).alias("revenue"),
-            round2(exact_avg("order_total_amount")).alias("avg_ticket"),
-            round2(F.try_divide(exact_sum("order_total_amount"), F.countDistinct("customer_id"))).alias(
-                "revenue_per_customer"
-            ),
-        )
-    )
-    return sorted_report(kpis, GROUP)
 
+def _kept(metrics: DataFrame) -> DataFrame:
+    # Two or three rows: one partition (a cached plan keeps its partitioning).
+    return metrics.coalesce(1).cache()
 
-def group_customers(abt: DataFrame) -> DataFrame:
-    """Q5: distinct customers per group."""
-    return abt.groupBy(GROUP).agg(F.countDistinct("customer_id").alias("customer_count"))
 
+def explore_reports(x: DataFrame) -> Bundle:
+    """Q1-Q3 from a single pass over the exploratory join."""
+    metrics = _kept(group_metrics(x))
+    return Bundle(metrics, {name: _finished(name, metrics, columns) for name, columns in EXPLORE_REPORTS.items()})
 
-def group_summary_share(abt: DataFrame) -> DataFrame:
-    """Q6: Q3 plus customers, plus each group's % of orders and of rounded revenue."""
-    agg = abt.groupBy(GROUP).agg(
-        F.countDistinct("order_id").alias("order_count"),
-        F.countDistinct("customer_id").alias("customer_count"),
-        round2(exact_sum("order_total_amount")).alias("revenue"),
-        round2(exact_avg("order_total_amount")).alias("avg_ticket"),
-    )
-    return agg.select(
-        GROUP,
-        "customer_count",
-        "order_count",
-        "revenue",
-        "avg_ticket",
-        F.round(F.col("order_count") / _total("order_count", True) * 100, 2).alias("order_pct"),
-        F.round(F.col("revenue") / _money_total("revenue", True) * 100, 2).alias("revenue_pct"),
-    )
 
-
-def orders_per_customer(abt: DataFrame) -> DataFrame:
-    """Q7: distinct orders / distinct customers per group."""
-    return (
-        abt.groupBy(GROUP)
-        .agg(
-            F.countDistinct("order_id").alias("order_count"),
-            F.countDistinct("customer_id").alias("customer_count"),
-        )
-        .withColumn("orders_per_customer", round2(F.try_divide(F.col("order_count"), F.col("customer_count"))))
-    )
-
-
-def with_order_discount(abt: DataFrame, strict_nulls: bool = False) -> DataFrame:
-    """Adds ``order_discount``: the fold of the item discounts of each order row."""
-    return abt.withColumn("order_discount", order_discount("items", strict_nulls))
+def ab_reports(abt: DataFrame, coupon_value: float = DEFAULT_COUPON_VALUE) -> Bundle:
+    """Q4-Q7 and Q9 from a single pass over the ABT."""
+    metrics = _kept(_of_known_customers(abt))
+    reports = {name: _finished(name, metrics, columns) for name, columns in AB_REPORTS.items()}
+    return Bundle(metrics, reports | {"campaign_viability": viability.compare_groups(metrics, coupon_value)})
 
 
 def order_discounts(abt: DataFrame, strict_nulls: bool = False) -> DataFrame:
@@ -147,107 +85,3 @@ def order_discounts(abt: DataFrame, strict_nulls: bool = False) -> DataFrame:
 def total_discount(abt: DataFrame, strict_nulls: bool = False) -> DataFrame:
     """Q8: one row, the sum of every order's discount fold (orders with NULL fold skipped)."""
     return abt.agg(F.sum(order_discount("items", strict_nulls)).cast("double").alias("total_discount"))
-
-
-def group_metrics(abt: DataFrame) -> DataFrame:
-    """Everything the ABT reports need per group, in one aggregation over the ABT.
-
-    Distinct orders and customers, the exact revenue sum and the non-null amount count;
-    two or three rows, so every report below is a projection of a tiny table.
-    """
-    return abt.groupBy(GROUP).agg(
-        F.countDistinct("order_id").alias("order_count"),
-        F.countDistinct("customer_id").alias("customer_count"),
-        F.sum(F.col("order_total_amount").cast(MONEY_DECIMAL)).alias("_revenue_dec"),
-        F.count("order_total_amount").alias("_amount_rows"),
-    )
-
-
-def ab_reports(abt: DataFrame, coupon_value: float = DEFAULT_COUPON_VALUE) -> dict[str, DataFrame]:
-    """Q4-Q7 and Q9 from a single pass over the ABT.
-
-    Running the reports one by one scans and shuffles the ABT once per report; here the
-    per-group metrics are computed once and cached (two or three rows), and each report
-    is derived from them.  On an ABT (no NULL customers, as ``build_abt`` guarantees) the
-    tables equal those of the single-report functions.
-    """
-    # Two or three rows: one partition, cached (a cached plan keeps its partitioning,
-    # which would otherwise be spark.sql.shuffle.partitions mostly empty ones).
-    m = group_metrics(abt.filter(F.col("customer_id").isNotNull())).coalesce(1).cache()
-    revenue = F.col("_revenue_dec").cast("double")
-    avg_ticket = round2(F.try_divide(revenue, F.col("_amount_rows").cast("double")))
-    with_revenue = m.select(
-        GROUP,
-        "order_count",
-        "customer_count",
-        round2(revenue).alias("revenue"),
-        avg_ticket.alias("avg_ticket"),
-        round2(F.try_divide(revenue, F.col("customer_count"))).alias("revenue_per_customer"),
-    )
-    shares = with_revenue.select(
-        GROUP,
-        "customer_count",
-        "order_count",
-        "revenue",
-        "avg_ticket",
-        F.round(F.col("order_count") / _total("order_count", True) * 100, 2).alias("order_pct"),
-        F.round(F.col("revenue") / _money_total("revenue", True) * 100, 2).alias("revenue_pct"),
-    )
-    base = m.select(
-        GROUP,
-        "order_count",
-        "customer_count",
-        revenue.alias("revenue"),
-        F.try_divide(revenue, F.col("order_count")).alias("avg_ticket"),
-        F.try_divide(revenue, F.col("customer_count")).alias("revenue_per_customer"),
-    )
-    return {
-        "group_kpis": sorted_report(
-            with_revenue.select(GROUP, "customer_count", "order_count", "revenue", "avg_ticket", "revenue_per_customer"),
-            GROUP,
-        ),
-        "group_customers": m.select(GROUP, "customer_count"),
-        "group_summary_share": shares,
-        "orders_per_customer": m.select(
-            GROUP,
-            "order_count",
-            "customer_count",
-            round2(F.try_divide(F.col("order_count"), F.col("customer_count"))).alias("orders_per_customer"),
-        ),
-        "campaign_viability": viability.viability_from_base(base, coupon_value),
-    }
-
-
-def explore_reports(x: DataFrame) -> dict[str, DataFrame]:
-    """Q1-Q3 from a single pass over the exploratory join (NULL group kept).
-
-    One aggregation by group (distinct orders, exact revenue, amount count) is cached
-    (two or three rows) and the three reports are projections of it, instead of three
-    joins-and-aggregations over the order table.
-    """
-    m = (
-        x.groupBy(GROUP)
-        .agg(
-            F.countDistinct("order_id").alias("order_count"),
-            F.sum(F.col("order_total_amount").cast(MONEY_DECIMAL)).alias("_revenue_dec"),
-            F.count("order_total_amount").alias("_amount_rows"),
-        )
-        .coalesce(1)
-        .cache()
-    )
-    revenue = F.col("_revenue_dec").cast("double")
-    rounded = m.select(GROUP, "order_count", round2(revenue).alias("revenue"), revenue.alias("_revenue"), "_amount_rows")
-    return {
-        "group_order_share": m.select(
-            GROUP, "order_count", share_pct("order_count", _total("order_count")).alias("order_pct")
-        ),
-        "group_revenue_share": rounded.select(
-            GROUP, "revenue", share_pct("revenue", _money_total("revenue")).alias("revenue_pct")
-        ),
-        "group_summary_raw": rounded.select(
-            GROUP,
-            "order_count",
-            "revenue",
-            round2(F.try_divide(F.col("_revenue"), F.col("_amount_rows").cast("double"))).alias("avg_ticket"),
-        ),
-    }

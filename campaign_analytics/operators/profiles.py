@@ -10,15 +10,17 @@ the cluster-to-profile table is a k-row broadcast.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import MONEY_DECIMAL, exact_avg, exact_sum, min_group, round2
+from ..functions.expressions import GroupCodes, exact_avg, exact_sum, money, round2
 from ..session import ensure_checkpoint_dir
-from .reporting import sorted_report
+from .reporting import Bundle, sorted_report
 
 FEATURES = ["order_count", "revenue", "avg_ticket", "avg_days_between_orders"]
 GROUP = "ab_group"
@@ -48,6 +50,7 @@ def customer_features(abt: DataFrame) -> DataFrame:
     The customer's A/B group (lowest label if two) rides along in the same aggregation,
     so the profile summaries by group need no second pass over the ABT.
     """
+    codes = GroupCodes(abt, GROUP)
     feats = (
         abt.groupBy("customer_id")
         .agg(
@@ -56,8 +59,9 @@ def customer_features(abt: DataFrame) -> DataFrame:
             exact_avg("order_total_amount").alias("avg_ticket"),
             F.max("order_created_at").alias("last_order_at"),
             F.min("order_created_at").alias("first_order_at"),
-            min_group(GROUP).alias(GROUP),
+            codes.lowest().alias(GROUP),
         )
+        .withColumn(GROUP, codes.decoded(GROUP))
         .withColumn("active_days", F.datediff("last_order_at", "first_order_at"))
     )
     return feats.withColumn(
@@ -152,9 +156,35 @@ def fit_clusters(
     return labelled.select(*inputs.columns, "cluster")
 
 
-def fixed_clusters(inputs: DataFrame, k: int = DEFAULT_K) -> DataFrame:
-    """Deterministic labels ``customer_id mod k``: lets the summaries be checked by SQL."""
-    return inputs.withColumn("cluster", F.pmod(F.col("customer_id"), F.lit(k)).cast("int"))
+def kmeans_checks(inputs: DataFrame, model: KMeansModel, labelled: DataFrame) -> DataFrame:
+    """What must hold of fitted clusters: check and value, one row each.
+
+    Customers in and out, clusters with a customer, customers of a cluster number that is not
+    one of the model's, customers nearer to another centre than to their own, and customers
+    per group in and out.  ``labelled`` has the scaled ``features`` the model was fitted on.
+    """
+    centres = [[float(x) for x in c] for c in model.clusterCenters()]
+
+    def away(centre: list[float]) -> Column:
+        parts = [F.pow(F.col("z")[i] - F.lit(x), F.lit(2)) for i, x in enumerate(centre)]
+        return reduce(lambda a, b: a + b, parts)
+
+    spaced = labelled.withColumn("z", vector_to_array("features")).select(
+        "cluster", GROUP, F.array(*[away(c) for c in centres]).alias("away")
+    )
+    own = F.col("away")[F.col("cluster")]
+    counted = spaced.agg(
+        F.count(F.lit(1)).alias("customers_labelled"),
+        F.countDistinct("cluster").alias("clusters_with_customers"),
+        F.count_if(~F.col("cluster").between(0, len(centres) - 1)).alias("customers_of_no_cluster"),
+        F.count_if(own > F.array_min("away") + 1e-9).alias("customers_nearer_to_another_centre"),
+        F.count(GROUP).alias("customers_with_group"),
+    )
+    before = inputs.agg(F.count(F.lit(1)).alias("customers_given"), F.count(GROUP).alias("customers_given_with_group"))
+    row = before.join(F.broadcast(counted))  # one row each
+    return row.select(
+        F.inline(F.array(*[F.struct(F.lit(c).alias("check_name"), F.col(c).alias("value")) for c in row.columns]))
+    )
 
 
 def cluster_means(labelled: DataFrame, key: str = "cluster") -> DataFrame:
@@ -219,8 +249,10 @@ def _shares(named: DataFrame) -> DataFrame:
 
 
 def customer_group(abt: DataFrame) -> DataFrame:
-    """One A/B group per customer (the lowest label when a customer has two)."""
-    return abt.groupBy("customer_id").agg(min_group(GROUP).alias(GROUP))
+    """One A/B group per customer (the lowest label when a customer has several)."""
+    codes = GroupCodes(abt, GROUP)
+    per_customer = abt.groupBy("customer_id").agg(codes.lowest().alias(GROUP))
+    return per_customer.withColumn(GROUP, codes.decoded(GROUP))
 
 
 def clustered_group_counts(inputs: DataFrame) -> DataFrame:
@@ -238,8 +270,9 @@ def _group_summary(named: DataFrame) -> DataFrame:
         named.filter(F.col(GROUP).isNotNull() & F.col("profile").isNotNull())
         .groupBy("profile", GROUP)
         .agg(
-            F.countDistinct("customer_id").alias("customer_count"),
-            round2(F.sum(F.col("revenue").cast(MONEY_DECIMAL)).cast("double")).alias("revenue"),
+            # labelled tables have one row per customer: counting ids counts distinct ids
+            F.count("customer_id").alias("customer_count"),
+            round2(F.sum(money("revenue")).cast("double")).alias("revenue"),
             round2(exact_avg("revenue")).alias("mean_revenue"),
             round2(F.avg("avg_ticket")).alias("mean_avg_ticket"),
             round2(F.avg("order_count")).alias("mean_order_count"),
@@ -247,7 +280,7 @@ def _group_summary(named: DataFrame) -> DataFrame:
     )
 
 
-def profile_reports(labelled: DataFrame) -> dict[str, DataFrame]:
+def profile_reports(labelled: DataFrame) -> Bundle:
     """Q24-Q30 from one labelled table, naming the clusters once.
 
     The cluster-to-profile table (k rows) is computed once, kept as one cached
@@ -255,7 +288,7 @@ def profile_reports(labelled: DataFrame) -> dict[str, DataFrame]:
     """
     names = cluster_profiles(labelled).coalesce(1).cache()
     named = labelled.join(F.broadcast(names), "cluster", "left")
-    return {
+    reports = {
         "cluster_means": cluster_means(labelled),
         "cluster_sizes": cluster_sizes(labelled),
         "cluster_profiles": names,
@@ -264,3 +297,4 @@ def profile_reports(labelled: DataFrame) -> dict[str, DataFrame]:
         "customer_group": clustered_group_counts(labelled),
         "profile_group_summary": _group_summary(named),
     }
+    return Bundle(names, reports)

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import exact_sum, share_pct
+from ..schemas import CORRUPT_RECORD
+from .ingest import typed_columns
 
 
 def missing_consumer(orders: DataFrame, ab_test_ref: DataFrame, consumer: DataFrame) -> DataFrame:
@@ -54,17 +56,38 @@ def null_customer(orders: DataFrame) -> DataFrame:
 
 
 def repeated_orders(orders: DataFrame, identity_cols: list[str] | None = None) -> DataFrame:
-    """Order ids that occur with several customers / identities or creation times."""
+    """Order ids that occur with several customers / identities or creation times.
+
+    An id that stands once can have no second identity: ids are counted over their column
+    alone, and the distinct counts run over the rows of repeated ids only.
+    """
     identity_cols = identity_cols or [c for c in ("customer_id", "cpf") if c in orders.columns]
-    aggs = [F.count(F.lit(1)).alias("row_count")]
-    aggs += [F.countDistinct(c).alias(f"distinct_{c}") for c in identity_cols]
-    aggs.append(F.countDistinct("order_created_at").alias("distinct_order_created_at"))
-    flagged = reduce(
-        lambda acc, c: acc | (F.col(f"distinct_{c}") > 1),
-        identity_cols + ["order_created_at"],
-        F.lit(False),
-    )
-    return orders.groupBy("order_id").agg(*aggs).filter(flagged)
+    checked = [*identity_cols, "order_created_at"]
+    counts = orders.groupBy(F.col("order_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n"))
+    repeated = counts.filter("_n > 1").select("_id")
+    rows = orders.select("order_id", *checked).join(repeated, F.col("order_id").eqNullSafe(F.col("_id")), "left_semi")
+    distinct = [F.countDistinct(c).alias(f"distinct_{c}") for c in checked]
+    found = rows.groupBy("order_id").agg(F.count(F.lit(1)).alias("row_count"), *distinct)
+    return found.filter(reduce(lambda a, b: a | b, [F.col(f"distinct_{c}") > 1 for c in checked]))
+
+
+def malformed_orders(raw: DataFrame, corrupt: str = CORRUPT_RECORD) -> DataFrame:
+    """What reading and typing lost: broken records (``column_name`` ``record``) and failed casts.
+
+    Per typed column the values that are there as text, and those of them that do not parse;
+    one aggregation over the raw rows for all.  ``raw`` comes from
+    ``read_raw_orders(..., keep_corrupt=True)``.
+    """
+    counts = {"record": (F.count(F.lit(1)), F.count_if(F.col(corrupt).isNotNull()))}
+    for name, typed in typed_columns(raw).items():
+        given = F.col(name).isNotNull() & (F.trim(F.col(name)) != "")
+        counts[name] = (F.count_if(given), F.count_if(given & typed.isNull()))
+    wide = raw.agg(*[c.alias(f"{k}_{name}") for name, pair in counts.items() for k, c in zip(("all", "lost"), pair)])
+    rows = [
+        F.struct(F.lit(n).alias("column_name"), F.col(f"all_{n}").alias("value_count"), F.col(f"lost_{n}").alias("lost_count"))
+        for n in counts
+    ]
+    return wide.select(F.inline(F.array(*rows)))
 
 
 def duplicate_keys(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
@@ -81,7 +104,3 @@ def duplicate_keys(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
         )
     return reduce(DataFrame.unionByName, parts)
 
-
-def duplicate_key_rows(df: DataFrame, key: str) -> DataFrame:
-    """The keys of one table that occur more than once, with their row counts."""
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("row_count")).filter(F.col("row_count") > 1)

@@ -13,3 +13,14 @@ def sorted_report(df: DataFrame, *cols: str) -> DataFrame:
     for the sort.  Only for results whose size is bounded by the number of groups.
     """
     return df.coalesce(1).orderBy(*cols)
+
+
+class Bundle(dict):
+    """Reports by name over one kept table; ``release`` lets the table go."""
+
+    def __init__(self, kept: DataFrame, reports: dict[str, DataFrame]):
+        super().__init__(reports)
+        self._kept = kept
+
+    def release(self) -> None:
+        self._kept.unpersist()

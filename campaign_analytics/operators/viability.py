@@ -10,23 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import CONTROL, DEFAULT_COUPON_VALUE, TARGET, exact_sum, round2
-
-GROUP = "ab_group"
-
-
-def group_base_metrics(abt: DataFrame) -> DataFrame:
-    """Per group: distinct orders, distinct customers, revenue, ticket, revenue per customer."""
-    return (
-        abt.groupBy(GROUP)
-        .agg(
-            F.countDistinct("order_id").alias("order_count"),
-            F.countDistinct("customer_id").alias("customer_count"),
-            exact_sum("order_total_amount").alias("revenue"),
-        )
-        .withColumn("avg_ticket", F.try_divide(F.col("revenue"), F.col("order_count")))
-        .withColumn("revenue_per_customer", F.try_divide(F.col("revenue"), F.col("customer_count")))
-    )
+from ..functions.expressions import CONTROL, DEFAULT_COUPON_VALUE, TARGET, round2
+from .group_metrics import GROUP, group_metrics, per, revenue
 
 
 def campaign_viability(abt: DataFrame, coupon_value: float = DEFAULT_COUPON_VALUE) -> DataFrame:
@@ -38,17 +23,25 @@ def campaign_viability(abt: DataFrame, coupon_value: float = DEFAULT_COUPON_VALU
     * campaign_cost                 = coupon_value x orders_T (every target order uses one)
     * net_total / net_per_customer  = the total / estimated increment minus the cost
     """
-    return viability_from_base(group_base_metrics(abt), coupon_value)
-
-
-def viability_from_base(base: DataFrame, coupon_value: float = DEFAULT_COUPON_VALUE) -> DataFrame:
-    """The one-row comparison from per-group base metrics (see :func:`group_base_metrics`)."""
-    metrics = ["order_count", "customer_count", "revenue", "avg_ticket", "revenue_per_customer"]
-    pick = []
-    for prefix, label in (("target", TARGET), ("control", CONTROL)):
-        for m in metrics:
-            pick.append(F.max(F.when(F.col(GROUP) == label, F.col(m))).alias(f"{prefix}_{m}"))
-    wide = base.agg(*pick)
+    return compare_groups(group_metrics(abt), coupon_value)
+
+
+def compare_groups(metrics: DataFrame, coupon_value: float = DEFAULT_COUPON_VALUE) -> DataFrame:
+    """The one-row comparison from the rows of :func:`group_metrics.group_metrics`."""
+    measures = {
+        "order_count": F.col("order_count"),
+        "customer_count": F.col("customer_count"),
+        "revenue": revenue(),
+        "avg_ticket": per(revenue(), "order_count"),
+        "revenue_per_customer": per(revenue(), "customer_count"),
+    }
+    wide = metrics.agg(
+        *[
+            F.max(F.when(F.col(GROUP) == label, value)).alias(f"{side}_{name}")
+            for side, label in (("target", TARGET), ("control", CONTROL))
+            for name, value in measures.items()
+        ]
+    )
     inc_per_customer = F.col("target_revenue_per_customer") - F.col("control_revenue_per_customer")
     wide = (
         wide.withColumn("incremental_revenue", F.col("target_revenue") - F.col("control_revenue"))

@@ -4,8 +4,9 @@ Written from the query definitions, not from the Spark code: plain joins, GROUP
 ``row_number`` windows and CASE expressions.  Three conventions make exact comparison
 possible:
 
-* money sums are taken over ``DECIMAL(18,2)`` and cast to double (``XSUM``), as the
-  Spark side does, so neither depends on summation order;
+* money sums are taken over the shortest decimal text of each amount with 18 places and cast
+  to double (``XSUM``): independent of the summation order, and of the places that the Spark
+  side keeps;
 * rounding goes through the shortest decimal text of the double (``R2``): Spark rounds
   that text half up (263.59499999999997 -> 263.59), while DuckDB's own ``round`` works
   on the binary value;
@@ -28,50 +29,94 @@ def R6(x: str) -> str:
 
 
 def XSUM(x: str) -> str:
-    return f"CAST(sum(CAST(({x}) AS DECIMAL(18,2))) AS DOUBLE)"
+    return f"CAST(sum(CAST(CAST(CAST(({x}) AS DOUBLE) AS VARCHAR) AS DECIMAL(38,18))) AS DOUBLE)"
 
 
 def XAVG(x: str) -> str:
     return f"({XSUM(x)} / CAST(count({x}) AS DOUBLE))"
 
 
+def _R3(x: str) -> str:
+    return f"CAST({_round_text(x, 3)} AS DOUBLE)"
+
+
+_DISCOUNT = f"""CASE WHEN (l_orderkey + l_partkey) % 31 <> 0
+                     THEN CAST({_round_text("l_extendedprice * l_discount", 2)} AS DOUBLE) END"""
+
+def _coordinate(sign: str, whole: int, places: int) -> str:
+    text = f"'{sign}' || CAST(o % {whole} AS VARCHAR) || '.' || lpad(CAST(o % {10**places} AS VARCHAR), {places}, '0')"
+    return f"CAST(round(CAST({text} AS DECIMAL(12,6)), 2) AS DOUBLE)"
+
+
 MODEL = {
     "m_ab": """
 SELECT c_custkey AS customer_id,
-       CASE WHEN c_custkey % 2 = 0 THEN 'target' ELSE 'control' END AS is_target
-FROM customer WHERE c_custkey % 50 <> 7""",
+       CASE WHEN c_custkey % 11 = 5 THEN 'variant_b' WHEN c_custkey % 2 = 0 THEN 'target' ELSE 'control' END AS is_target
+FROM (SELECT c_custkey FROM customer UNION ALL SELECT c_custkey + 10000000 FROM customer WHERE c_custkey % 50 = 7)""",
     "m_consumer": """
-SELECT c_custkey AS customer_id, c_acctbal >= 0 AS active
-FROM customer WHERE c_custkey % 40 <> 3""",
+SELECT c_custkey AS customer_id, c_acctbal >= 0 AS active,
+       TIMESTAMP '2020-01-01 00:00:00' + to_days(CAST(c_custkey % 1000 AS INTEGER)) AS created_at
+FROM customer""",
     "m_restaurant": """
 SELECT s_suppkey AS id, s_acctbal >= 0 AS enabled, CAST(1 + s_suppkey % 3 AS INTEGER) AS price_range,
-       s_acctbal AS average_ticket, n_name AS merchant_city, r_name AS merchant_state
-FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-WHERE s_suppkey % 10 <> 9""",
+       s_acctbal AS average_ticket, n_name AS merchant_city, r_name AS merchant_state,
+       TIMESTAMP '2020-01-01 00:00:00' + to_days(CAST(s_suppkey % 500 AS INTEGER)) AS created_at,
+       CASE WHEN s_suppkey % 8 > 0 THEN CAST(s_suppkey % 90 AS INTEGER) END AS delivery_time,
+       CAST(s_suppkey % 40 AS DOUBLE) AS minimum_order_value
+FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
+    "m_items": f"""
+SELECT l_orderkey, l_suppkey, CAST(l_partkey AS VARCHAR) AS name, {_DISCOUNT} AS discount,
+       CAST(l_quantity AS VARCHAR) AS quantity
+FROM lineitem""",
     "m_lines": """
-SELECT l_orderkey, min(l_suppkey) AS merchant_id, count(*) AS item_count,
-       sum(CAST({rounded} AS DECIMAL(18,2))) AS discount_sum
-FROM lineitem GROUP BY l_orderkey""".replace("{rounded}", _round_text("l_extendedprice * l_discount", 2)),
-    "m_orders_a": """
+SELECT l_orderkey, min(l_suppkey) + CASE WHEN l_orderkey % 10 = 9 THEN 10000000 ELSE 0 END AS merchant_id,
+       count(*) AS item_count, coalesce(sum(CAST(discount AS DECIMAL(18,2))), 0) AS discount_sum,
+       CASE WHEN count(discount) = count(*) THEN sum(CAST(discount AS DECIMAL(18,2))) END AS strict_sum,
+       string_agg(concat_ws(':', name, coalesce(CAST(discount AS VARCHAR), '-'), quantity), '|'
+                  ORDER BY concat_ws(':', name, coalesce(CAST(discount AS VARCHAR), '-'), quantity)) AS items
+FROM m_items GROUP BY l_orderkey""",
+    "m_orders_a": f"""
 SELECT o_orderkey AS order_id,
-       CASE WHEN o_orderkey % 400 = 0 THEN NULL ELSE o_custkey END AS customer_id,
-       l.merchant_id, o_totalprice AS order_total_amount, o_orderdate AS order_created_at,
-       o_orderpriority = '1-URGENT' AS order_scheduled, l.item_count, l.discount_sum
+       CASE WHEN o_orderkey % 400 = 0 THEN NULL WHEN o_orderkey % 50 = 7 THEN o_custkey + 10000000
+            ELSE o_custkey END AS customer_id,
+       l.merchant_id, {_R3("o_totalprice + (o_orderkey % 7) * CAST(0.001 AS DOUBLE)")} AS order_total_amount,
+       o_orderdate AS order_created_at, o_orderpriority = '1-URGENT' AS order_scheduled,
+       l.item_count, l.discount_sum, l.strict_sum, l.items
 FROM orders LEFT JOIN m_lines l ON o_orderkey = l.l_orderkey""",
-    "m_orders_b": """
+    "m_orders_b": f"""
 SELECT CASE WHEN event_id % 20 = 1 THEN event_id - 1 ELSE event_id END AS order_id,
-       user_id * 10 + CAST(json_extract_string(props, '$.k') AS INTEGER) % 10 AS customer_id,
-       value AS order_total_amount, ts AS order_created_at, event_type = 'signup' AS order_scheduled
+       user_id * 10 + CAST(json_extract_string(props, '$.k') AS INTEGER) % 10
+         + CASE WHEN event_id % 50 = 7 THEN 10000000 ELSE 0 END AS customer_id,
+       {_R3("value + (event_id % 7) * CAST(0.001 AS DOUBLE)")} AS order_total_amount,
+       ts AS order_created_at, event_type = 'signup' AS order_scheduled
 FROM events""",
+    "m_typed": f"""
+SELECT lpad(CAST(customer_id AS VARCHAR), 11, '0') AS cpf, CAST(customer_id AS VARCHAR) AS customer_id,
+       'customer ' || CAST(customer_id AS VARCHAR) AS customer_name,
+       'city ' || CAST(o % 30 AS VARCHAR) AS delivery_address_city, 'BR' AS delivery_address_country,
+       CASE WHEN o % 3 > 0 THEN 'district ' || CAST(o % 7 AS VARCHAR) END AS delivery_address_district,
+       CAST(o * 7 AS VARCHAR) AS delivery_address_external_id,
+       CASE WHEN o % 90 <> 0 THEN {_coordinate('-', 60, 3)} END AS delivery_address_latitude,
+       {_coordinate('', 180, 2)} AS delivery_address_longitude, 'S' || CAST(o % 27 AS VARCHAR) AS delivery_address_state,
+       lpad(CAST(o % 99999 AS VARCHAR), 8, '0') AS delivery_address_zip_code, items,
+       CAST(merchant_id AS VARCHAR) AS merchant_id, {_coordinate('', 45, 4)} AS merchant_latitude,
+       {_coordinate('-', 99, 1)} AS merchant_longitude,
+       CASE WHEN o % 101 <> 7 THEN order_created_at END AS order_created_at, CAST(o AS VARCHAR) AS order_id,
+       ['ANDROID', 'IOS', 'DESKTOP'][1 + o % 3] AS origin_platform,
+       CASE WHEN o % 4 = 0 THEN order_created_at + INTERVAL 1 DAY END AS order_scheduled_date,
+       CASE WHEN o % 67 <> 0 THEN order_scheduled END AS order_scheduled,
+       CASE WHEN o % 77 <> 0 THEN order_total_amount END AS order_total_amount
+FROM (SELECT *, order_id AS o FROM m_orders_a) WHERE o % 97 <> 5""",
     "m_x_a": """
-SELECT p.*, c.active, ab.is_target AS ab_group
+SELECT p.*, c.active, c.created_at AS customer_created_at, ab.is_target AS ab_group
 FROM m_orders_a p
 LEFT JOIN m_consumer c ON p.customer_id = c.customer_id
 LEFT JOIN m_ab ab ON p.customer_id = ab.customer_id
 LEFT JOIN m_restaurant r ON p.merchant_id = r.id""",
     "m_abt_a": """
-SELECT p.*, ab.is_target AS ab_group, c.active,
-       r.enabled AS merchant_enabled, r.price_range AS merchant_price_range,
+SELECT p.*, ab.is_target AS ab_group, c.active, c.created_at AS customer_created_at,
+       r.created_at AS merchant_created_at, r.delivery_time AS merchant_delivery_time,
+       r.minimum_order_value AS merchant_minimum_order_value, r.enabled AS merchant_enabled, r.price_range AS merchant_price_range,
        r.average_ticket AS merchant_average_ticket, r.merchant_city, r.merchant_state
 FROM m_orders_a p
 LEFT JOIN m_consumer c ON p.customer_id = c.customer_id
@@ -86,7 +131,9 @@ INNER JOIN m_ab ab ON p.customer_id = ab.customer_id
 WHERE p.customer_id IS NOT NULL""",
 }
 MODEL_DEPS = {
+    "m_lines": ["m_items"],
     "m_orders_a": ["m_lines"],
+    "m_typed": ["m_orders_a"],
     "m_x_a": ["m_orders_a", "m_consumer", "m_ab", "m_restaurant"],
     "m_abt_a": ["m_orders_a", "m_consumer", "m_ab", "m_restaurant"],
     "m_abt_b": ["m_orders_b", "m_consumer", "m_ab"],
@@ -178,15 +225,54 @@ QUERIES: dict[str, tuple[list[str], list[tuple[str, str]], str]] = {
     "exploratory_join": (
         ["m_x_a"],
         [],
-        """SELECT order_id, customer_id, merchant_id, order_total_amount, order_created_at, order_scheduled,
-                  active, ab_group FROM m_x_a""",
+        """SELECT order_id, customer_id, merchant_id, order_total_amount, order_created_at, order_scheduled, items,
+                  customer_created_at, active, ab_group FROM m_x_a""",
     ),
-    "abt": (
-        ["m_abt_a"],
+    "abt": (["m_abt_a"], [], "SELECT * EXCLUDE (item_count, discount_sum, strict_sum) FROM m_abt_a"),
+    "typed_orders": (
+        ["m_typed"],
+        [],
+        """SELECT t.* FROM (SELECT order_id FROM m_orders_a) o
+           LEFT JOIN m_typed t ON t.order_id = CAST(o.order_id AS VARCHAR)""",
+    ),
+    "typed_items": (
+        ["m_items", "m_orders_a"],
+        [],
+        """SELECT o.order_id, name, CAST(discount AS VARCHAR) AS discount, quantity
+           FROM m_orders_a o JOIN m_items i ON o.order_id = i.l_orderkey""",
+    ),
+    "silver_restaurant": (
+        ["m_restaurant"],
         [],
-        """SELECT order_id, customer_id, merchant_id, order_total_amount, order_created_at, order_scheduled,
-                  ab_group, active, merchant_enabled, merchant_price_range, merchant_average_ticket,
-                  merchant_city, merchant_state FROM m_abt_a""",
+        "SELECT * REPLACE (CAST(id AS VARCHAR) AS id) FROM m_restaurant",
+    ),
+    "gold_layer": (
+        ["m_typed", "m_ab", "m_consumer", "m_restaurant"],
+        [],
+        """SELECT t.*, ab.is_target AS ab_group, c.created_at AS customer_created_at, c.active,
+                  r.created_at AS merchant_created_at, r.enabled AS merchant_enabled,
+                  r.price_range AS merchant_price_range, r.average_ticket AS merchant_average_ticket,
+                  r.delivery_time AS merchant_delivery_time, r.minimum_order_value AS merchant_minimum_order_value,
+                  r.merchant_city, r.merchant_state
+           FROM m_typed t
+           JOIN m_ab ab ON t.customer_id = CAST(ab.customer_id AS VARCHAR)
+           LEFT JOIN m_consumer c ON t.customer_id = CAST(c.customer_id AS VARCHAR)
+           LEFT JOIN m_restaurant r ON t.merchant_id = CAST(r.id AS VARCHAR)""",
+    ),
+    "quality_malformed": (
+        ["m_orders_a"],
+        [("w", "SELECT * FROM m_orders_a WHERE order_id % 97 <> 5")],
+        """SELECT 'record' AS column_name, count(*) AS value_count,
+                  count(*) FILTER (WHERE order_id % 97 = 5) AS lost_count FROM m_orders_a
+           UNION ALL SELECT 'items', count(items), 0 FROM w
+           UNION ALL SELECT 'delivery_address_latitude', count(*), count(*) FILTER (WHERE order_id % 90 = 0) FROM w
+           UNION ALL SELECT 'delivery_address_longitude', count(*), 0 FROM w
+           UNION ALL SELECT 'merchant_latitude', count(*), 0 FROM w
+           UNION ALL SELECT 'merchant_longitude', count(*), 0 FROM w
+           UNION ALL SELECT 'order_created_at', count(*), count(*) FILTER (WHERE order_id % 101 = 7) FROM w
+           UNION ALL SELECT 'order_scheduled_date', count(*) FILTER (WHERE order_id % 4 = 0), 0 FROM w
+           UNION ALL SELECT 'order_scheduled', count(*), count(*) FILTER (WHERE order_id % 67 = 0) FROM w
+           UNION ALL SELECT 'order_total_amount', count(*), count(*) FILTER (WHERE order_id % 77 = 0) FROM w""",
     ),
     "group_order_share": (
         ["m_x_a"],
@@ -198,7 +284,7 @@ QUERIES: dict[str, tuple[list[str], list[tuple[str, str]], str]] = {
         ["m_x_a"],
         [("g", f"SELECT ab_group, {R2(XSUM('order_total_amount'))} AS revenue FROM m_x_a GROUP BY ab_group")],
         f"""SELECT ab_group, revenue,
-                   {R2('CAST(100.0 AS DOUBLE) * revenue / CAST(sum(CAST(revenue AS DECIMAL(18,2))) OVER () AS DOUBLE)')}
+                   {R2('CAST(100.0 AS DOUBLE) * revenue / CAST(sum(CAST(revenue AS DECIMAL(38,2))) OVER () AS DOUBLE)')}
                    AS revenue_pct FROM g""",
     ),
     "group_summary_raw": (
@@ -233,8 +319,9 @@ QUERIES: dict[str, tuple[list[str], list[tuple[str, str]], str]] = {
             )
         ],
         f"""SELECT ab_group, customer_count, order_count, revenue, avg_ticket,
-                   {R2('order_count / sum(order_count) OVER () * 100')} AS order_pct,
-                   {R2('revenue / CAST(sum(CAST(revenue AS DECIMAL(18,2))) OVER () AS DOUBLE) * 100')} AS revenue_pct
+                   {R2('CAST(100.0 AS DOUBLE) * order_count / sum(order_count) OVER ()')} AS order_pct,
+                   {R2('CAST(100.0 AS DOUBLE) * revenue / CAST(sum(CAST(revenue AS DECIMAL(38,2))) OVER () AS DOUBLE)')}
+                   AS revenue_pct
             FROM g""",
     ),
     "orders_per_customer": (
@@ -250,6 +337,17 @@ QUERIES: dict[str, tuple[list[str], list[tuple[str, str]], str]] = {
         """SELECT order_id, CAST(item_count AS INTEGER) AS item_count, CAST(discount_sum AS DOUBLE) AS order_discount
            FROM m_orders_a""",
     ),
+    "order_discounts_strict": (
+        ["m_orders_a"],
+        [],
+        """SELECT order_id, CAST(item_count AS INTEGER) AS item_count, CAST(strict_sum AS DOUBLE) AS order_discount
+           FROM m_orders_a""",
+    ),
+    "total_discount_strict": (
+        ["m_abt_a"],
+        [],
+        "SELECT CAST(sum(strict_sum) AS DOUBLE) AS total_discount FROM m_abt_a",
+    ),
     "total_discount": (
         ["m_abt_a"],
         [],
@@ -466,6 +564,22 @@ QUERIES: dict[str, tuple[list[str], list[tuple[str, str]], str]] = {
         [*_WITH_PROFILES, ("pc", "SELECT profile, count(*) AS customer_count FROM named GROUP BY profile")],
         f"SELECT profile, customer_count, {R2('customer_count / sum(customer_count) OVER () * 100')} AS customer_pct FROM pc",
     ),
+    "customer_groups": (
+        ["m_abt_a"],
+        [],
+        "SELECT customer_id, min(ab_group) AS ab_group FROM m_abt_a GROUP BY customer_id",
+    ),
+    "kmeans_checks": (
+        ["m_abt_a"],
+        [("features", _FEATURES), ("cluster_input", _CLUSTER_INPUT)],
+        """SELECT 'customers_given' AS check_name, count(*) AS value FROM cluster_input
+           UNION ALL SELECT 'customers_labelled', count(*) FROM cluster_input
+           UNION ALL SELECT 'customers_given_with_group', count(ab_group) FROM cluster_input
+           UNION ALL SELECT 'customers_with_group', count(ab_group) FROM cluster_input
+           UNION ALL SELECT 'clusters_with_customers', 4
+           UNION ALL SELECT 'customers_of_no_cluster', 0
+           UNION ALL SELECT 'customers_nearer_to_another_centre', 0""",
+    ),
     "customer_group": (
         ["m_abt_a"],
         [

@@ -1,18 +1,26 @@
 """Named queries over the test tables: ``name -> (spark, sf_dir) -> DataFrame``.
 
-Each query builds the order model from the test tables (``sources.testviews``), types
-it, builds the exploratory join or the ABT, and applies one operator.  Nothing is
-evaluated here; the caller triggers the job.
+Each query builds the order model from the test tables (``sources.testviews``), types it,
+builds the exploratory join or the ABT, and applies one operator.  The result is a DataFrame
+still to be run; small jobs run while it is built (sizes of the dimensions, the list of A/B
+labels, hot keys, feature statistics), and the layer queries write and read files in a folder
+of the session's checkpoint folder.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .. import schemas
 from ..operators import ingest, joins, kpis, profiles, quality, segments, viability
+from ..session import ensure_checkpoint_dir
+from ..sources import readers
 from ..sources import testviews as tv
+from . import layers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,13 +53,16 @@ def _cluster_input_a(spark: SparkSession, d: str) -> DataFrame:
     return profiles.cluster_input(profiles.customer_features(abt_a(spark, d)))
 
 
+def fixed_clusters(inputs: DataFrame, k: int = profiles.DEFAULT_K) -> DataFrame:
+    """Labels ``customer_id mod k`` instead of fitted ones: lets the summaries be checked by SQL."""
+    return inputs.withColumn("cluster", F.pmod(F.col("customer_id"), F.lit(k)).cast("int"))
+
+
 def _fixed_labels_a(spark: SparkSession, d: str) -> DataFrame:
-    return profiles.fixed_clusters(_cluster_input_a(spark, d))
+    return fixed_clusters(_cluster_input_a(spark, d))
 
 
 def _scaled_rounded(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     z = profiles.scaled_features(_cluster_input_a(spark, d))
     return z.select("customer_id", *[F.round(c, 6).alias(c) for c in z.columns if c != "customer_id"])
 
@@ -60,30 +71,100 @@ def _fitted_a(spark: SparkSession, d: str) -> DataFrame:
     return profiles.fit_clusters(_cluster_input_a(spark, d))
 
 
+def _kmeans_checks(spark: SparkSession, d: str) -> DataFrame:
+    inputs = _cluster_input_a(spark, d)
+    model, assembled = profiles.fit_kmeans(inputs)
+    return profiles.kmeans_checks(inputs, model, model.transform(assembled))
+
+
+def _item_texts() -> Column:
+    """The items of an order as one text, in a fixed order, so that SQL can compare them."""
+    one = lambda i: F.concat_ws(":", i["name"], F.coalesce(i["discount"]["value"], F.lit("-")), i["quantity"])
+    return F.when(F.col("items").isNotNull(), F.array_join(F.array_sort(F.transform("items", one)), "|"))
+
+
+def _flat_times(rows: DataFrame) -> DataFrame:
+    """Timestamps as wall-clock time, items as text."""
+    times = {c: F.col(c).cast("timestamp_ntz") for c, kind in rows.dtypes if kind == "timestamp"}
+    items = {"items": _item_texts()} if "items" in rows.columns else {}
+    return rows.withColumns(times | items)
+
+
+def _raw_layer(spark: SparkSession, d: str) -> tuple[str, str, str]:
+    folder = f"{ensure_checkpoint_dir(spark)}/layers-{uuid.uuid4().hex}"
+    return (folder, *tv.write_raw(spark, d, folder))
+
+
+def _typed_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Raw file to silver table and back."""
+    folder, orders, _ = _raw_layer(spark, d)
+    layers.silver_orders(spark, orders, f"{folder}/silver_orders")
+    return _flat_times(readers.read_layer(spark, f"{folder}/silver_orders"))
+
+
+def _typed_items(spark: SparkSession, d: str) -> DataFrame:
+    """One row per item of the typed orders."""
+    item = F.explode("items").alias("item")
+    rows = silver_orders_a(spark, d).select("order_id", item)
+    return rows.select("order_id", "item.name", F.col("item.discount.value").alias("discount"), "item.quantity")
+
+
+def _malformed(spark: SparkSession, d: str) -> DataFrame:
+    _, orders, _ = _raw_layer(spark, d)
+    return quality.malformed_orders(readers.read_raw_orders(spark, orders, keep_corrupt=True))
+
+
+def _silver_restaurant(spark: SparkSession, d: str) -> DataFrame:
+    """S3: a dimension from CSV through silver."""
+    folder, _, dimensions = _raw_layer(spark, d)
+    layers.silver_dimension(spark, f"{dimensions}/restaurant.csv", schemas.RESTAURANT, f"{folder}/restaurant")
+    return _flat_times(readers.read_layer(spark, f"{folder}/restaurant"))
+
+
+def _gold_layer(spark: SparkSession, d: str) -> DataFrame:
+    """Raw files to silver to the gold table and back, all 32 columns."""
+    folder, orders, dimensions = _raw_layer(spark, d)
+    layers.silver_orders(spark, orders, f"{folder}/orders_silver")
+    kinds = {"consumer": schemas.CONSUMER, "ab_test_ref": schemas.AB_TEST_REF, "restaurant": schemas.RESTAURANT}
+    for name, schema in kinds.items():
+        layers.silver_dimension(spark, f"{dimensions}/{name}.csv", schema, f"{folder}/{name}")
+    silver = [readers.read_layer(spark, f"{folder}/{name}") for name in ("orders_silver", *kinds)]
+    layers.gold_abt(*silver, f"{folder}/gold")
+    return _flat_times(layers.read_gold(spark, f"{folder}/gold"))
+
+
 QUERIES: dict[str, Query] = {
     # joins
-    "exploratory_join": lambda s, d: explore_a(s, d).drop("items"),
-    "abt": lambda s, d: abt_a(s, d).drop("items"),
+    "exploratory_join": lambda s, d: _flat_times(explore_a(s, d)),
+    "abt": lambda s, d: _flat_times(abt_a(s, d)),
+    # layers and typing
+    "typed_orders": _typed_orders,
+    "typed_items": _typed_items,
+    "silver_restaurant": _silver_restaurant,
+    "gold_layer": _gold_layer,
+    "quality_malformed": _malformed,
     # A/B KPIs
-    "group_order_share": lambda s, d: kpis.group_order_share(explore_a(s, d)),
-    "group_revenue_share": lambda s, d: kpis.group_revenue_share(explore_a(s, d)),
-    "group_summary_raw": lambda s, d: kpis.group_summary_raw(explore_a(s, d)),
-    "group_kpis": lambda s, d: kpis.group_kpis(abt_a(s, d)),
-    "group_customers": lambda s, d: kpis.group_customers(abt_a(s, d)),
-    "group_summary_share": lambda s, d: kpis.group_summary_share(abt_a(s, d)),
-    "orders_per_customer": lambda s, d: kpis.orders_per_customer(abt_a(s, d)),
+    "group_order_share": lambda s, d: kpis.explore_report(explore_a(s, d), "group_order_share"),
+    "group_revenue_share": lambda s, d: kpis.explore_report(explore_a(s, d), "group_revenue_share"),
+    "group_summary_raw": lambda s, d: kpis.explore_report(explore_a(s, d), "group_summary_raw"),
+    "group_kpis": lambda s, d: kpis.ab_report(abt_a(s, d), "group_kpis"),
+    "group_customers": lambda s, d: kpis.ab_report(abt_a(s, d), "group_customers"),
+    "group_summary_share": lambda s, d: kpis.ab_report(abt_a(s, d), "group_summary_share"),
+    "orders_per_customer": lambda s, d: kpis.ab_report(abt_a(s, d), "orders_per_customer"),
     "order_discounts": lambda s, d: kpis.order_discounts(silver_orders_a(s, d)),
+    "order_discounts_strict": lambda s, d: kpis.order_discounts(silver_orders_a(s, d), strict_nulls=True),
     "total_discount": lambda s, d: kpis.total_discount(abt_a(s, d)),
+    "total_discount_strict": lambda s, d: kpis.total_discount(abt_a(s, d), strict_nulls=True),
     "campaign_viability": lambda s, d: viability.campaign_viability(abt_a(s, d)),
     # segments (time of day and kind of day need every hour: orders_b)
     "customer_metrics": lambda s, d: segments.customer_metrics(abt_b(s, d)),
-    "order_daypart": lambda s, d: segments.order_daypart(abt_b(s, d)),
-    "dominant_daypart": lambda s, d: segments.dominant_daypart(abt_b(s, d)),
-    "daypart_report": lambda s, d: segments.daypart_report(abt_b(s, d)),
-    "order_daytype": lambda s, d: segments.order_daytype(abt_b(s, d)),
-    "dominant_daytype": lambda s, d: segments.dominant_daytype(abt_b(s, d)),
-    "daytype_report": lambda s, d: segments.daytype_report(abt_b(s, d)),
-    "customer_price_range": lambda s, d: segments.customer_price_range(abt_a(s, d)),
+    "order_daypart": lambda s, d: segments.label_orders(abt_b(s, d), segments.DAYPART),
+    "dominant_daypart": lambda s, d: segments.dominant_label(abt_b(s, d), segments.DAYPART),
+    "daypart_report": lambda s, d: segments.label_report(abt_b(s, d), segments.DAYPART),
+    "order_daytype": lambda s, d: segments.label_orders(abt_b(s, d), segments.DAY_TYPE),
+    "dominant_daytype": lambda s, d: segments.dominant_label(abt_b(s, d), segments.DAY_TYPE),
+    "daytype_report": lambda s, d: segments.label_report(abt_b(s, d), segments.DAY_TYPE),
+    "customer_price_range": lambda s, d: segments.customer_price_tier(abt_a(s, d)).drop("price_tier"),
     "price_tier": lambda s, d: segments.customer_price_tier(abt_a(s, d)),
     "price_tier_report": lambda s, d: segments.price_tier_report(abt_a(s, d)),
     # data quality
@@ -107,11 +188,13 @@ QUERIES: dict[str, Query] = {
     "cluster_input": _cluster_input_a,
     "scaled_features": _scaled_rounded,
     "customer_clusters": _fitted_a,
+    "kmeans_checks": _kmeans_checks,
     "cluster_means": lambda s, d: profiles.cluster_means(_fixed_labels_a(s, d)),
     "cluster_sizes": lambda s, d: profiles.cluster_sizes(_fixed_labels_a(s, d)),
     "cluster_profiles": lambda s, d: profiles.cluster_profiles(_fixed_labels_a(s, d)),
     "profile_means": lambda s, d: profiles.profile_means(_fixed_labels_a(s, d)),
     "profile_shares": lambda s, d: profiles.profile_shares(_fixed_labels_a(s, d)),
+    "customer_groups": lambda s, d: profiles.customer_group(abt_a(s, d)),
     "customer_group": lambda s, d: profiles.clustered_group_counts(_cluster_input_a(s, d)),
     "profile_group_summary": lambda s, d: profiles.profile_group_summary(_fixed_labels_a(s, d)),
     # the same summaries on fitted k-means clusters (no SQL equivalent for k-means)

@@ -48,15 +48,14 @@ GARNISH_ITEM = _item_struct(GARNISH_FIELDS)
 ITEM = _item_struct(ITEM_FIELDS, T.ArrayType(GARNISH_ITEM, True))
 ITEMS = T.ArrayType(ITEM, True)
 
-# Raw orders: everything is text except the scheduled flag and the amount; ``items``
-# holds a JSON document inside the JSON record.
+# Raw orders: every field is read as text, so a quoted amount or flag is not lost to a type
+# mismatch; ``operators.ingest`` types them.  ``items`` holds a JSON document inside the record.
 ORDER_RAW = T.StructType(
-    [T.StructField(name, T.StringType(), True) for name in ORDER_STRING_FIELDS]
-    + [
-        T.StructField("order_scheduled", T.BooleanType(), True),
-        T.StructField("order_total_amount", T.DoubleType(), True),
-    ]
+    [T.StructField(name, T.StringType(), True) for name in [*ORDER_STRING_FIELDS, "order_scheduled", "order_total_amount"]]
 )
+# The JSON reader puts the text of a record it cannot parse here.
+CORRUPT_RECORD = "_corrupt_record"
+ORDER_RAW_READ = T.StructType([*ORDER_RAW.fields, T.StructField(CORRUPT_RECORD, T.StringType(), True)])
 
 CONSUMER = T.StructType([
     T.StructField("customer_id", T.StringType(), True),
@@ -85,3 +84,5 @@ COORDINATE_COLUMNS = [
     "delivery_address_latitude", "delivery_address_longitude", "merchant_latitude", "merchant_longitude",
 ]
 TIMESTAMP_COLUMNS = ["order_created_at", "order_scheduled_date"]
+FLAG_COLUMNS = ["order_scheduled"]
+AMOUNT_COLUMNS = ["order_total_amount"]

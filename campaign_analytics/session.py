@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Settings every job of this package is written for.  AQE re-plans at runtime: it
@@ -23,6 +21,8 @@ BASE_CONF = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.files.maxPartitionBytes": "128m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # rows of one Arrow batch: whole texts go to Python workers, and some are long
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 
@@ -55,25 +55,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, setting one only where none is configured.
 
     The cluster names its shared folder in ``spark.checkpoint.dir``; that is used as is.
-    A private temporary folder is created only for a local master (tests), because a
-    machine-local folder does not survive the loss of an executor on a cluster.
+    Where it is unset, as in tests, checkpoints go to a folder of the session's own
+    warehouse, which every executor of the session shares.
     """
-    try:
-        sc = spark.sparkContext
-    except Exception:  # Spark Connect: the server owns the checkpoint folder
-        return spark.conf.get("spark.checkpoint.dir", None) or ""
+    sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-        return configured
-    if sc.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="campaign-checkpoint-")
-        sc.setCheckpointDir(folder)
-        return folder
-    raise RuntimeError("spark.checkpoint.dir is not set: name a shared folder (HDFS, S3, ...) for checkpoints")
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    folder = configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+    sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
 
 
 def default_parallelism(spark: SparkSession) -> int:

@@ -1,24 +1,26 @@
 """The raw -> silver and silver -> gold layers as incremental Structured Streaming jobs.
 
 Orders arrive as new JSON files; each run processes only files not yet seen (the
-checkpoint remembers them) and appends to the layer.  Both layers are row-wise per
-order (typing, and lookups of the order's customer and merchant), so processing the
-input in micro-batches gives the same rows as one batch job over all of it.
+checkpoint remembers them) and appends to the layer.
 
 * silver: file source -> :func:`type_orders` -> Parquet file sink.  The sink's commit
   log makes the output exactly-once; batch readers of the folder see committed files only.
 * gold: silver file source -> ``foreachBatch``: each micro-batch is a static DataFrame,
-  so :func:`build_abt` (with its hot-key handling) applies unchanged.  Each batch is
-  written to its own folder with overwrite, so a batch replayed after a failure replaces
-  its earlier partial output instead of duplicating it.  Read the gold folder with
-  :func:`read_gold_batches`.
+  so :func:`build_abt` (with its hot-key handling) applies unchanged.  Orders whose customer
+  has no A/B group yet wait: each batch writes them beside its gold rows and the next batch
+  takes them up again, so an order enters gold with the first batch in which its customer is
+  assigned.  The other attributes are those of that batch.  Every folder is named by its
+  batch and overwritten, so a batch replayed after a failure replaces its earlier partial
+  output instead of duplicating it.  Read the gold folder with :func:`read_gold_batches`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.ingest import type_orders
@@ -49,13 +51,32 @@ def stream_silver_orders(
     return writer.start()
 
 
+def _batch_folder(gold_dir: str, kind: str, batch_id: int) -> str:
+    return f"{gold_dir.rstrip('/')}/{kind}/batch_{batch_id:09d}"
+
+
+def _waiting(spark: SparkSession, gold_dir: str, batch_id: int) -> DataFrame | None:
+    """Orders that the batch before left without a group; None if there was no such batch."""
+    try:
+        return spark.read.parquet(_batch_folder(gold_dir, "waiting", batch_id - 1))
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def _gold_writer(
     dims: Callable[[], tuple[DataFrame, DataFrame, DataFrame]], gold_dir: str, hot_key_rows: int
 ) -> Callable[[DataFrame, int], None]:
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         consumer, ab_test_ref, restaurant = dims()
-        abt = build_abt(batch, consumer, ab_test_ref, restaurant, hot_key_rows)
-        abt.write.mode("overwrite").parquet(f"{gold_dir.rstrip('/')}/batch_{batch_id:09d}")
+        before = _waiting(batch.sparkSession, gold_dir, batch_id)
+        orders = batch if before is None else batch.unionByName(before)
+        abt = build_abt(orders, consumer, ab_test_ref, restaurant, hot_key_rows)
+        abt.write.mode("overwrite").parquet(_batch_folder(gold_dir, "rows", batch_id))
+        assigned = ab_test_ref.select("customer_id")
+        unmatched = orders.filter(F.col("customer_id").isNotNull()).join(assigned, "customer_id", "left_anti")
+        unmatched.select(*orders.columns).write.mode("overwrite").parquet(_batch_folder(gold_dir, "waiting", batch_id))
 
     return write_batch
 
@@ -86,4 +107,4 @@ def stream_gold_abt(
 
 def read_gold_batches(spark: SparkSession, gold_dir: str) -> DataFrame:
     """The gold ABT written by :func:`stream_gold_abt` (all batch folders)."""
-    return spark.read.option("recursiveFileLookup", "true").parquet(gold_dir)
+    return spark.read.option("recursiveFileLookup", "true").parquet(f"{gold_dir.rstrip('/')}/rows")

@@ -55,7 +55,7 @@ def main() -> int:
     got = joins.skew_join(flaky, dim, "customer_id", "inner", hot=hot)
     key = lambda r: tuple(str(v) for v in r)
     ok = sorted(got.collect(), key=key) == sorted(expected.collect(), key=key) and got.count() == 6000
-    print("retry check", "passed" if ok else "FAILED", "hot", hot)
+    print("retry check", "passed" if ok else "FAILED", "hot", hot.count())
     spark.stop()
     return 0 if ok else 1
 

@@ -26,7 +26,8 @@ ABT = T.StructType(
 
 
 def raw(spark, rows):
-    return spark.createDataFrame([tuple(r.get(f.name) for f in ORDER_RAW) for r in rows], ORDER_RAW)
+    text = lambda v: v if v is None or isinstance(v, str) else str(v)
+    return spark.createDataFrame([tuple(text(r.get(f.name)) for f in ORDER_RAW) for r in rows], ORDER_RAW)
 
 
 def abt(spark, rows):
@@ -101,7 +102,7 @@ def test_same_order_two_identities_kept_counted_once_flagged_and_deduplicated(sp
     ab = spark.createDataFrame([("c1", "target")], AB_TEST_REF)
     gold = joins.build_abt(typed, spark.createDataFrame([], CONSUMER), ab, spark.createDataFrame([], RESTAURANT))
     assert gold.count() == 2
-    k = kpis.group_kpis(gold).first()
+    k = kpis.ab_report(gold, "group_kpis").first()
     assert (k.order_count, k.customer_count, k.revenue) == (1, 1, 30.0)
     flagged = quality.repeated_orders(typed).first()
     assert (flagged.row_count, flagged.distinct_cpf, flagged.distinct_order_created_at) == (2, 2, 2)
@@ -112,8 +113,8 @@ def test_same_order_two_identities_kept_counted_once_flagged_and_deduplicated(sp
 def test_same_order_two_customers(spark):
     t = datetime(2024, 1, 2, 10)
     gold = abt(spark, [("o2", "c1", t, 5.0, False, "target"), ("o2", "c2", t, 7.0, False, "target")])
-    assert kpis.group_kpis(gold).first().order_count == 1
-    rep = segments.daypart_report(gold).first()
+    assert kpis.ab_report(gold, "group_kpis").first().order_count == 1
+    rep = segments.label_report(gold, segments.DAYPART).first()
     assert (rep.customer_count, rep.order_count, rep.revenue) == (2, 2, 12.0)
     assert rep.avg_ticket == 6.0
 
@@ -141,7 +142,7 @@ def test_duplicate_restaurant_fans_out_and_is_flagged(spark):
     )
     gold = joins.build_abt(orders, spark.createDataFrame([], CONSUMER), ab, rest)
     assert gold.count() == 2
-    k = kpis.group_kpis(gold).first()
+    k = kpis.ab_report(gold, "group_kpis").first()
     assert (k.order_count, k.revenue) == (1, 20.0)
     assert quality.duplicate_keys({"restaurant": (rest, "id")}).first().duplicated_keys == 1
 
@@ -149,7 +150,7 @@ def test_duplicate_restaurant_fans_out_and_is_flagged(spark):
 def test_daypart_boundaries(spark):
     hours = [0, 5, 6, 11, 12, 13, 14, 17, 18, 23]
     rows = [(f"o{h}", "c1", datetime(2024, 1, 2, h, 30), 1.0, False, "control") for h in hours]
-    got = {r.order_hour: r.daypart for r in segments.order_daypart(abt(spark, rows)).collect()}
+    got = {r.order_hour: r.daypart for r in segments.label_orders(abt(spark, rows), segments.DAYPART).collect()}
     assert got == {
         0: "late_night", 5: "late_night", 6: "morning", 11: "morning", 12: "lunch",
         13: "lunch", 14: "afternoon", 17: "afternoon", 18: "evening", 23: "evening",
@@ -165,7 +166,7 @@ def test_day_types(spark):
         "mon_0000": datetime(2024, 1, 8, 0, 0),
     }
     rows = [(k, "c1", t, 1.0, False, "control") for k, t in stamps.items()]
-    got = {r.order_id: r.day_type for r in segments.order_daytype(abt(spark, rows)).collect()}
+    got = {r.order_id: r.day_type for r in segments.label_orders(abt(spark, rows), segments.DAY_TYPE).collect()}
     assert got == {"fri_1759": "weekday", "fri_1800": "weekend", "sat": "weekend", "sun": "weekend",
                    "mon_0000": "weekday"}
 
@@ -196,13 +197,13 @@ def test_dominant_label_tie_goes_to_first_label(spark):
         ("o2", "c1", datetime(2024, 1, 2, 20), 1.0, False, "control"),
         ("o3", "c2", datetime(2024, 1, 2, 9), 1.0, False, "control"),
     ]
-    got = {r.customer_id: r.daypart for r in segments.dominant_daypart(abt(spark, rows)).collect()}
+    got = {r.customer_id: r.daypart for r in segments.dominant_label(abt(spark, rows), segments.DAYPART).collect()}
     assert got == {"c1": "evening", "c2": "morning"}
 
 
 def test_customer_without_segment_rows_gets_null_segment(spark):
     rows = [("o1", "c1", None, 4.0, False, "control"), ("o2", "c2", datetime(2024, 1, 2, 9), 1.0, True, "control")]
-    rep = {r.daypart: r for r in segments.daypart_report(abt(spark, rows)).collect()}
+    rep = {r.daypart: r for r in segments.label_report(abt(spark, rows), segments.DAYPART).collect()}
     assert set(rep) == {None, "morning"}
     assert rep[None].customer_count == 1 and rep[None].revenue == 4.0
     assert rep["morning"].avg_scheduled_share == 1.0
@@ -254,8 +255,8 @@ def test_labels_for_every_hour_of_a_week(spark):
     stamps = [start + timedelta(hours=h, minutes=30) for h in range(24 * 7)]
     rows = [(f"o{i}", "c1", t, 1.0, False, "control") for i, t in enumerate(stamps)]
     df = abt(spark, rows)
-    parts = {r.order_created_at: r.daypart for r in segments.order_daypart(df).collect()}
-    types = {r.order_created_at: r.day_type for r in segments.order_daytype(df).collect()}
+    parts = {r.order_created_at: r.daypart for r in segments.label_orders(df, segments.DAYPART).collect()}
+    types = {r.order_created_at: r.day_type for r in segments.label_orders(df, segments.DAY_TYPE).collect()}
     for t in stamps:
         assert parts[t] == _daypart_rule(t.hour), t
         assert types[t] == _day_type_rule(t.weekday(), t.hour), t
@@ -278,12 +279,12 @@ def test_local_time_zone_segments(spark):
     # Friday 20:30 UTC is Friday 17:30 in Sao Paulo (UTC-3 in January 2024).
     rows = [("o1", "c1", datetime(2024, 1, 5, 20, 30), 1.0, False, "control")]
     df = abt(spark, rows)
-    utc = segments.order_daytype(df).first()
-    local = segments.order_daytype(df, time_zone="America/Sao_Paulo").first()
+    utc = segments.label_orders(df, segments.DAY_TYPE).first()
+    local = segments.label_orders(df, segments.DAY_TYPE, time_zone="America/Sao_Paulo").first()
     assert (utc.order_hour, utc.day_type) == (20, "weekend")
     assert (local.order_hour, local.day_type) == (17, "weekday")
-    assert segments.order_daypart(df, time_zone="America/Sao_Paulo").first().daypart == "afternoon"
-    assert segments.dominant_daypart(df, time_zone="America/Sao_Paulo").first().daypart == "afternoon"
+    assert segments.label_orders(df, segments.DAYPART, time_zone="America/Sao_Paulo").first().daypart == "afternoon"
+    assert segments.dominant_label(df, segments.DAYPART, time_zone="America/Sao_Paulo").first().daypart == "afternoon"
     rep = segments.segment_reports(df, time_zone="America/Sao_Paulo")["daytype_report"].first()
     assert rep.day_type == "weekday"
 
@@ -306,7 +307,74 @@ def test_null_customer_shares(spark):
         {"order_id": "o2", "customer_id": None, "order_total_amount": 10.0},
         {"order_id": "o3", "customer_id": "b", "order_total_amount": 50.0},
     ])
-    r = quality.null_customer(orders).first()
+    r = quality.null_customer(ingest.type_orders(orders)).first()
     assert (r.order_rows, r.null_customer_rows, r.order_count, r.null_customer_orders) == (4, 2, 3, 1)
     assert (r.revenue, r.null_customer_revenue) == (100.0, 20.0)
     assert (r.null_order_pct, r.null_revenue_pct) == (33.33, 20.0)
+
+
+def test_any_group_label_keeps_its_own_rows(spark):
+    t = datetime(2024, 1, 2, 10)
+    rows = [(f"o{i}", f"c{i}", t, 3.0, False, g) for i, g in enumerate(["variant_b", "target", "control", "variant_b", None])]
+    got = {r.customer_id: r.ab_group for r in segments.customer_metrics(abt(spark, rows)).collect()}
+    assert got == {"c0": "variant_b", "c1": "target", "c2": "control", "c3": "variant_b", "c4": None}
+    report = {r.ab_group: r.customer_count for r in segments.label_report(abt(spark, rows), segments.DAYPART).collect()}
+    assert report == {"variant_b": 2, "target": 1, "control": 1, None: 1}
+    assert {r.customer_id: r.ab_group for r in profiles.customer_group(abt(spark, rows)).collect()} == got
+
+
+def test_many_group_labels_fall_back_to_text(spark, monkeypatch):
+    monkeypatch.setattr(X, "MOST_CODED_GROUPS", 2)
+    t = datetime(2024, 1, 2, 10)
+    rows = [("o1", "c1", t, 3.0, False, "z"), ("o2", "c1", t, 3.0, False, "a"), ("o3", "c2", t, 1.0, False, "m")]
+    assert {r.customer_id: r.ab_group for r in segments.customer_metrics(abt(spark, rows)).collect()} == {"c1": "a", "c2": "m"}
+
+
+def test_small_amounts_add_up(spark):
+    t = datetime(2024, 1, 2, 10)
+    gold = abt(spark, [(f"o{i}", "c1", t, 0.004, False, "control") for i in range(1000)])
+    assert segments.customer_metrics(gold).first().revenue == 4.0
+    large = abt(spark, [("o1", "c1", t, 1e17, False, "control"), ("o2", "c1", t, 1e30, False, "control")])
+    assert segments.customer_metrics(large).first().revenue == 1e17
+
+
+def test_shares_of_no_revenue_are_null(spark):
+    t = datetime(2024, 1, 2, 10)
+    gold = abt(spark, [("o1", "c1", t, 0.0, False, "control"), ("o2", "c2", t, 0.0, False, "target")])
+    rows = kpis.ab_report(gold, "group_summary_share").collect()
+    assert [(r.order_pct, r.revenue_pct) for r in rows] == [(50.0, None)] * 2
+
+
+def test_reports_in_order(spark):
+    t = datetime(2024, 1, 2, 9)
+    rows = [(f"o{i}", f"c{i}", t, 1.0, False, g) for i, g in enumerate(["target", "control", "variant_b", "control"])]
+    gold = abt(spark, rows)
+    assert [r.ab_group for r in kpis.ab_report(gold, "group_kpis").collect()] == ["control", "target", "variant_b"]
+    night = [(f"n{i}", f"d{i}", datetime(2024, 1, 2, 1), 1.0, False, g) for i, g in enumerate(["target", "control"])]
+    report = segments.label_report(abt(spark, rows + night), segments.DAYPART).collect()
+    keys = [(r.daypart, r.ab_group) for r in report]
+    assert keys == sorted(keys) and len(keys) == 5
+    labelled = spark.createDataFrame([(f"c{i}", 3 - i % 3) for i in range(9)], "customer_id string, cluster int")
+    assert [r.cluster for r in profiles.cluster_sizes(labelled).collect()] == [1, 2, 3]
+
+
+def test_typing_losses_are_counted(spark):
+    rows = raw(spark, [
+        {"order_id": "1", "order_total_amount": "7.25", "order_scheduled": "true", "merchant_latitude": "1.5"},
+        {"order_id": "2", "order_total_amount": "x", "order_scheduled": "perhaps", "merchant_latitude": ""},
+    ]).withColumn("_corrupt_record", F.lit(None).cast("string"))
+    got = {r.column_name: (r.value_count, r.lost_count) for r in quality.malformed_orders(rows).collect()}
+    assert got["order_total_amount"] == (2, 1) and got["order_scheduled"] == (2, 1)
+    assert got["merchant_latitude"] == (1, 0) and got["record"] == (2, 0)
+    typed = ingest.type_orders(rows).orderBy("order_id").collect()
+    assert typed[0].order_total_amount == 7.25 and typed[0].order_scheduled is True
+
+
+def test_latest_order_with_null_ids(spark):
+    rows = [(None, 1), (None, 2), ("a", 1), ("b", 5), ("b", None)]
+    orders = spark.createDataFrame(
+        [(i, None if d is None else datetime(2024, 1, d), float(d or 0)) for i, d in rows],
+        "order_id string, order_created_at timestamp, order_total_amount double",
+    )
+    got = sorted(((r.order_id or "", r.order_total_amount) for r in ingest.keep_latest_order(orders).collect()))
+    assert got == [("", 2.0), ("a", 1.0), ("b", 5.0)]

@@ -21,14 +21,14 @@ def abt_b(spark):
 
 def test_shares_sum_to_100(spark, abt_a):
     x = registry.explore_a(spark, SF_CHECK)
-    for df, col in ((kpis.group_order_share(x), "order_pct"), (kpis.group_revenue_share(x), "revenue_pct"),
-                    (kpis.group_summary_share(abt_a), "order_pct"), (kpis.group_summary_share(abt_a), "revenue_pct")):
+    for df, col in ((kpis.explore_report(x, "group_order_share"), "order_pct"), (kpis.explore_report(x, "group_revenue_share"), "revenue_pct"),
+                    (kpis.ab_report(abt_a, "group_summary_share"), "order_pct"), (kpis.ab_report(abt_a, "group_summary_share"), "revenue_pct")):
         rows = df.collect()
         assert abs(sum(r[col] for r in rows) - 100.0) <= 0.01 * len(rows)
 
 
 def test_exploratory_join_keeps_null_group(spark):
-    rows = kpis.group_order_share(registry.explore_a(spark, SF_CHECK)).collect()
+    rows = kpis.explore_report(registry.explore_a(spark, SF_CHECK), "group_order_share").collect()
     assert None in {r.ab_group for r in rows}
 
 
@@ -37,10 +37,10 @@ def test_abt_not_larger_than_silver_with_unique_keys(spark, abt_a):
     assert abt_a.filter("customer_id IS NULL OR ab_group IS NULL").count() == 0
 
 
-@pytest.mark.parametrize("report", ["daypart_report", "daytype_report"])
+@pytest.mark.parametrize("report", [segments.DAYPART, segments.DAY_TYPE])
 def test_segment_reports_add_up_to_customer_metrics(spark, abt_b, report):
     metrics = segments.customer_metrics(abt_b).collect()
-    rep = getattr(segments, report)(abt_b).collect()
+    rep = segments.label_report(abt_b, report).collect()
     assert sum(r.customer_count for r in rep) == len(metrics)
     assert sum(r.order_count for r in rep) == sum(m.order_count for m in metrics)
     assert abs(sum(r.revenue for r in rep) - sum(m.revenue for m in metrics)) <= 0.01 * len(rep)
@@ -61,13 +61,8 @@ def test_viability_identities_on_data(spark, abt_a):
 
 def test_one_pass_reports_equal_single_reports(spark, abt_a):
     combined = kpis.ab_reports(abt_a)
-    single = {
-        "group_kpis": kpis.group_kpis(abt_a),
-        "group_customers": kpis.group_customers(abt_a),
-        "group_summary_share": kpis.group_summary_share(abt_a),
-        "orders_per_customer": kpis.orders_per_customer(abt_a),
-        "campaign_viability": viability.campaign_viability(abt_a),
-    }
+    single = {name: kpis.ab_report(abt_a, name) for name in kpis.AB_REPORTS}
+    single["campaign_viability"] = viability.campaign_viability(abt_a)
     key = lambda r: tuple("" if v is None else str(v) for v in r)
     for name, df in single.items():
         got = combined[name]
@@ -82,7 +77,8 @@ def test_one_pass_segment_reports_equal_single_reports(spark, abt_a, abt_b, whic
     combined = segments.segment_reports(abt)
     key = lambda r: tuple("" if v is None else str(v) for v in r)
     for name, df in combined.items():
-        single = getattr(segments, name)(abt)
+        labelling = {"daypart_report": segments.DAYPART, "daytype_report": segments.DAY_TYPE}.get(name)
+        single = segments.label_report(abt, labelling) if labelling else segments.price_tier_report(abt)
         assert df.columns == single.columns, name
         assert sorted(df.collect(), key=key) == sorted(single.collect(), key=key), name
 
@@ -92,6 +88,6 @@ def test_one_pass_explore_reports_equal_single_reports(spark):
     combined = kpis.explore_reports(x)
     key = lambda r: tuple("" if v is None else str(v) for v in r)
     for name, df in combined.items():
-        single = getattr(kpis, name)(x)
+        single = kpis.explore_report(x, name)
         assert df.columns == single.columns, name
         assert sorted(df.collect(), key=key) == sorted(single.collect(), key=key), name

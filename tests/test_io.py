@@ -51,7 +51,7 @@ def _write_csv(path, header, rows):
 
 def test_read_raw_orders_declared_schema(spark, raw_orders_dir):
     df = readers.read_raw_orders(spark, raw_orders_dir, partitions=4)
-    assert df.schema == schemas.ORDER_RAW
+    assert [(f.name, f.dataType) for f in df.schema] == [(f.name, f.dataType) for f in schemas.ORDER_RAW]
     assert df.rdd.getNumPartitions() == 4
     assert df.count() == 4
     assert sorted(r.order_id for r in df.collect()) == ["o1", "o2", "o2", "o3"]
@@ -107,3 +107,27 @@ def test_write_layer_to_catalog_table(spark):
     writers.write_layer(df, "campaign_test_table")
     assert readers.read_layer(spark, "campaign_test_table").count() == 5
     spark.sql("DROP TABLE campaign_test_table")
+
+
+def test_rows_do_not_depend_on_the_read_tasks(spark, scratch_dir):
+    """Two plain records, a blank line, white space, an array line of two records, a broken line."""
+    path = os.path.join(scratch_dir, "mixed.json")
+    lines = ['{"order_id": "1", "order_total_amount": "7.25"}', "", "   ", '[{"order_id": "2"}, {"order_id": "3"}]',
+             '{"order_id": "4", "order_total_amount": 1.5}', '{"order_id": "5"']
+    with open(path, "w") as fh:
+        fh.write("\n".join(lines) + "\n")
+    for partitions in (1, 16):
+        rows = readers.read_raw_orders(spark, path, partitions=partitions, keep_corrupt=True).collect()
+        assert sorted(r.order_id or "" for r in rows) == ["", "1", "2", "3", "4"], partitions
+        assert [r._corrupt_record for r in rows if r.order_id is None] == ['{"order_id": "5"']
+        amounts = {r.order_id: r.order_total_amount for r in rows}
+        assert amounts["1"] == "7.25" and amounts["4"] == "1.5"
+
+
+def test_whole_numbers_with_a_point_survive(spark, scratch_dir):
+    path = os.path.join(scratch_dir, "numbers")
+    header = [f.name for f in schemas.RESTAURANT]
+    values = {"id": "m1", "price_range": "3.0", "delivery_time": "45.5", "minimum_order_value": "10"}
+    _write_csv(path, header, [[values.get(h) for h in header]])
+    row = readers.read_dimension_csv(spark, path, schemas.RESTAURANT).first()
+    assert row.price_range == 3 and row.delivery_time is None and row.minimum_order_value == 10.0

@@ -41,7 +41,7 @@ def test_jobs_end_to_end(spark, scratch_dir):
     abt = spark.read.parquet(gold)
     key = lambda r: tuple("" if v is None else str(v) for v in r)
     written = spark.read.parquet(f"{out}/group_kpis")
-    direct = kpis.group_kpis(abt)
+    direct = kpis.ab_report(abt, "group_kpis")
     assert sorted(written.collect(), key=key) == sorted(direct.select(*written.columns).collect(), key=key)
     silver_types = dict(spark.read.parquet(f"{silver}/orders").dtypes)
     assert silver_types["items"].startswith("array<struct<") and silver_types["order_created_at"] == "timestamp"

@@ -11,10 +11,15 @@ import pytest
 from conftest import SF_CHECK, SF_SMALL
 from oracle_compare import compare, duckdb_connection
 
+import __spark_entry__
 from campaign_analytics.plans import oracle, registry
 
 ALL = list(registry.QUERIES)
 AT_CHECK_SCALE = [
+    "gold_layer",
+    "quality_malformed",
+    "kmeans_checks",
+    "customer_groups",
     "abt",
     "group_kpis",
     "group_summary_share",
@@ -60,7 +65,7 @@ def test_query_matches_oracle_check_scale(spark, duck_check, name):
 
 
 def test_entry_runs(spark):
-    df = entry_mod.entry(spark)
+    df = __spark_entry__.entry(spark)
     rows = df.collect()
     assert [c for c in df.columns] == [
         "ab_group",
@@ -70,4 +75,4 @@ def test_entry_runs(spark):
         "avg_ticket",
         "revenue_per_customer",
     ]
-    assert sorted(r.ab_group for r in rows) == ["control", "target"]
+    assert [r.ab_group for r in rows] == ["control", "target", "variant_b"]

@@ -50,7 +50,7 @@ def test_constant_feature_scales_to_zero(spark):
 
 
 def test_profile_names_follow_centres_not_numbers(spark, inputs):
-    labelled = profiles.fixed_clusters(inputs)
+    labelled = registry.fixed_clusters(inputs)
     relabelled = labelled.withColumn("cluster", ((F.col("cluster") + 1) % 4).cast("int"))
     a = {r.customer_id: r.profile for r in profiles.with_profiles(labelled).collect()}
     b = {r.customer_id: r.profile for r in profiles.with_profiles(relabelled).collect()}
@@ -77,7 +77,7 @@ def test_summaries_are_consistent(spark, inputs):
 
 
 def test_profile_reports_equal_single_reports(spark, inputs):
-    labelled = profiles.fixed_clusters(inputs)
+    labelled = registry.fixed_clusters(inputs)
     combined = profiles.profile_reports(labelled)
     single = {
         "cluster_means": profiles.cluster_means(labelled),

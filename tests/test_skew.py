@@ -47,15 +47,28 @@ def customer_dim(spark):
     return spark.createDataFrame(rows, "customer_id string, ab_group string")
 
 
+def _hot(fact, rows):
+    return {r[0]: r[1] for r in joins.hot_keys(fact, "customer_id", hot_key_rows=rows).collect()}
+
+
 def test_hot_keys_finds_hot_customer_and_null(spark):
-    hot = dict(joins.hot_keys(skewed_fact(spark), "customer_id", hot_key_rows=100))
-    assert hot["hot"] == 10  # 1000 rows / 100 per bucket
-    assert None in hot and hot[None] == 2  # 200 NULL-customer rows
-    assert all(k in ("hot", None) for k in hot)
+    # 1000 rows / 100 per bucket, and 200 rows without a customer
+    assert _hot(skewed_fact(spark), 100) == {"hot": 10, None: 2}
 
 
 def test_hot_keys_empty_when_table_is_small(spark):
-    assert joins.hot_keys(skewed_fact(spark), "customer_id", hot_key_rows=10_000) == []
+    assert _hot(skewed_fact(spark), 10_000) == {}
+
+
+def test_every_one_of_many_hot_keys_is_found(spark):
+    fact = spark.range(3000 * 30).select((F.col("id") % 3000).alias("customer_id"))
+    assert len(_hot(fact, 20)) == 3000
+
+
+def test_hot_keys_under_a_long_tail_are_found(spark):
+    tail = spark.range(200_000).select((F.col("id") + 1000).alias("customer_id"))
+    hot = spark.range(200 * 100).select((F.col("id") % 200).alias("customer_id"))
+    assert _hot(tail.union(hot), 20) == {i: 5 for i in range(200)}
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
@@ -108,11 +121,28 @@ def test_abt_with_hot_customer_equals_small_threshold(spark):
     assert sorted(x_broadcast.collect(), key=key) == sorted(x_salted.collect(), key=key)
 
 
-def test_measured_bytes_and_broadcast_decision(spark):
+def test_measured_sizes_and_broadcast_decision(spark):
     df = spark.createDataFrame([("abc", 1.0), ("de", None), (None, 2.0)], "k string, v double")
-    # 3 rows x (8 for the double + 8 per column) + 5 string bytes
-    assert joins.measured_bytes(df) == 3 * (8 + 16) + 5
-    assert joins.fits_broadcast(df, 100) and not joins.fits_broadcast(df, 50)
+    # 3 rows x (8 for the double, 8 per column, the row's overhead) and 5 string bytes
+    size = 3 * (8 + 16 + joins.BROADCAST_ROW_OVERHEAD) + 5
+    assert joins.measured_sizes({"df": df}) == {"df": size}
+    # the bound is on the sum: of two that fit alone, one is chosen
+    assert joins.broadcast_set({"a": df}, size) == {"a"}
+    assert len(joins.broadcast_set({"a": df, "b": df}, size)) == 1
+    assert joins.broadcast_set({"a": df, "b": df}, 2 * size) == {"a", "b"}
+    assert joins.broadcast_set({"a": df}, size - 1) == set()
+
+
+def test_a_dimension_far_over_the_bound_is_not_measured(spark, monkeypatch):
+    large = spark.range(1_000_000)
+    monkeypatch.setattr(joins, "measured_sizes", lambda frames: {n: 1 for n in frames} if not frames else 1 / 0)
+    assert joins.estimated_bytes(large) == 8_000_000
+    assert joins.broadcast_set({"large": large}, 100) == set()
+
+
+def test_a_missing_dimension_column_is_an_error(spark):
+    with pytest.raises(ValueError, match="is_target"):
+        joins.ab_dim(spark.createDataFrame([("a", "b")], "customer_id string, group string"))
 
 
 def test_small_dimensions_are_broadcast_in_the_abt_plan(spark):

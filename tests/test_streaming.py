@@ -81,9 +81,27 @@ def test_replayed_gold_batch_is_not_duplicated(spark, scratch_dir):
     first = incremental.read_gold_batches(spark, gold_dir).count()
     write(silver, 7)  # the same micro-batch again, as after a failure before the commit
     assert incremental.read_gold_batches(spark, gold_dir).count() == first
-    write(silver.limit(10), 8)
-    assert incremental.read_gold_batches(spark, gold_dir).count() == first + 10
+    more = silver.orderBy("order_id").limit(10)
+    write(more, 8)
+    added = joins.build_abt(more, *_dims(spark)()).count()
+    assert incremental.read_gold_batches(spark, gold_dir).count() == first + added and added > 0
 
 
 def typed_batch_from_frame(spark):
     return ingest.type_orders(_raw(spark)).filter(F.col("customer_id").isNotNull())
+
+
+def test_orders_assigned_later_enter_gold_later(spark, scratch_dir):
+    silver = typed_batch_from_frame(spark)
+    consumer, ab, restaurant = _dims(spark)()
+    late = F.col("customer_id").cast("long") % 3 == 0
+    known = {"ab": ab.filter(~late)}
+    gold_dir = os.path.join(scratch_dir, "gold_late")
+    write = incremental._gold_writer(lambda: (consumer, known["ab"], restaurant), gold_dir, 2_000_000)
+    write(silver.filter("order_id % 2 = 0"), 0)
+    known["ab"] = ab
+    write(silver.filter("order_id % 2 = 1"), 1)
+    got = incremental.read_gold_batches(spark, gold_dir)
+    expected = joins.build_abt(silver, consumer, ab, restaurant)
+    cols = [c for c in expected.columns if c != "items"]
+    assert sorted(got.select(*cols).collect(), key=_key) == sorted(expected.select(*cols).collect(), key=_key)

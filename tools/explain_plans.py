@@ -14,7 +14,7 @@ import tempfile
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from campaign_analytics.operators import ingest, joins, kpis, profiles, segments  # noqa: E402
+from campaign_analytics.operators import ingest, joins, kpis, profiles, quality, segments  # noqa: E402
 from campaign_analytics.plans import registry  # noqa: E402
 from campaign_analytics.session import build_session  # noqa: E402
 from campaign_analytics.sources import testviews as tv  # noqa: E402
@@ -48,8 +48,8 @@ def main() -> None:
         "ABT, dimensions forced over the broadcast bound (shuffled, hot customers salted)": joins.build_abt(
             silver_a, *dims, hot_key_rows=20, broadcast_max_bytes=0
         ),
-        "Q4 group_kpis (two-phase distinct counts)": kpis.group_kpis(abt_a),
-        "Q13 daypart_report (one customer aggregation with conditional counts)": segments.daypart_report(abt_b),
+        "Q4 group_kpis (two-phase distinct counts)": kpis.ab_report(abt_a, "group_kpis"),
+        "Q13 daypart_report (one customer aggregation with conditional counts)": segments.label_report(abt_b, segments.DAYPART),
         "Q1-Q3 bundle: exploratory join + one aggregation (group_order_share shown)": kpis.explore_reports(
             joins.explore_join(silver_a, *dims)
         )["group_order_share"],
@@ -58,8 +58,15 @@ def main() -> None:
         ],
         "Q19 price_tier_report (two customer aggregations, co-partitioned join)": segments.price_tier_report(abt_a),
         "Q20 customer_features": profiles.customer_features(abt_a),
-        "D3 keep_latest_order (aggregation, not a window)": ingest.keep_latest_order(silver_b),
+        "D3 keep_latest_order (only repeated ids are compared)": ingest.keep_latest_order(silver_b),
+        "C3 repeated_orders (only repeated ids are counted)": quality.repeated_orders(silver_b),
     }
+    finals = {title: _final_plan(df) for title, df in cases.items()}
+    for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        spark.conf.set(key, "-1")
+    finals["ABT, no automatic broadcasts (shuffled joins, hot customers salted)"] = _final_plan(
+        joins.build_abt(silver_a, *dims, hot_key_rows=20, broadcast_max_bytes=0)
+    )
     out = [
         "# Physical plans",
         "",
@@ -68,8 +75,8 @@ def main() -> None:
         "each query is run before its plan is taken, so these are AQE's final plans.",
         "",
     ]
-    for title, df in cases.items():
-        out += [f"## {title}", "", "```", _final_plan(df).rstrip(), "```", ""]
+    for title, plan in finals.items():
+        out += [f"## {title}", "", "```", plan.rstrip(), "```", ""]
     with open(os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "PLANS.md"), "w") as fh:
         fh.write("\n".join(out))
     spark.stop()
