@@ -284,7 +284,7 @@ def top_k(
     few = rows.withColumn("place", rank).filter(F.col("place") <= k + 1).drop("place").distinct()
     data = materialise(few)
     n = data.count()
-    drawn = data.filter(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(max(n, 1))) < sample).select("v").toArrow()
+    drawn = data.filter(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(max(n, 1))) < sample).select("v").limit(2 * sample).toArrow()
     pivots = choose_pivots(matrix(drawn.column("v")), min(most_pivots, -(-n // (shard_rows // 4)) + 1))
     celled = materialise(data.mapInArrow(_cells(pivots), "vec_id long, v array<long>, cell long, away double, norm double"))
     radii, most, parts = np.zeros(len(pivots)), np.zeros(len(pivots)), np.zeros(len(pivots), np.int64)

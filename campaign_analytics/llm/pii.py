@@ -210,13 +210,12 @@ def disclosing_terms(
     else:  # count first: only one row for each term and task is shuffled
         counted = words.groupBy("term").agg(F.count(F.lit(1)).alias("documents")).join(candidates, "term", "left_semi")
     named = spans.select("entity", "doc_key").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("named"))
-    everything = named.agg(F.sum("named").alias("all_named"))
+    all_named = named.agg(F.sum("named")).first()[0] or 0  # one number
     share = F.least(F.col("together") / F.col("documents"), F.lit(1.0))
-    bits = F.log2(share * F.col("all_named") / F.col("named"))
+    bits = F.log2(share * F.lit(all_named) / F.col("named"))
     strength = (
         pairs.join(counted, "term")
         .join(named, "entity")
-        .join(F.broadcast(everything))  # one row
         .select("term", share.alias("share"), bits.alias("bits"))
         .filter((F.col("share") >= min_share) & (F.col("bits") >= min_bits))
     )

@@ -25,7 +25,7 @@ from .common import as_utf8, id_and_text, importable_on_workers, materialise
 SHINGLE_WORDS = 3
 MAX_BITS = 2
 SEED = 42
-SAMPLE = 8192
+SAMPLE = 65_536
 SHARD_ROWS = 8192
 BLOCK_ROWS = 512
 _BITS_AT_ONCE = 1 << 16
@@ -197,8 +197,8 @@ def _search(reach: int) -> Callable:
 def spanning_edges(fps: DataFrame, reach: int, sample: int = SAMPLE, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Edges (a, b) over distinct fingerprints ``fp`` whose components are those of all links."""
     n = fps.count()
-    drawn = fps.filter(F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(max(n, 1))) < sample).select("fp")
-    points = np.sort(np.array([r[0] for r in drawn.collect()], np.int64)).view(np.uint64)
+    drawn = fps.filter(F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(max(n, 1))) < sample).select("fp").limit(2 * sample)
+    points = np.sort(drawn.toArrow().column("fp").to_numpy().astype(np.int64)).view(np.uint64)
     tree = shard_tree(points, n / max(len(points), 1), reach, shard_rows)
     shards = fps.select("fp").mapInArrow(_route(tree, reach), "shard long, fp long")
     return shards.groupBy("shard").applyInArrow(_search(reach), "a long, b long")

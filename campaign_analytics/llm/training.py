@@ -17,7 +17,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows_per_class
     """text, label (0 or 1) of at most ``rows_per_class`` labelled documents of each class.
 
     Which ones is decided by a hash of the id, so reruns agree.  Rows held out, and rows with
-    a null id, text or label, are never taken; a document with both labels has none.
+    a null id, text or label, are never taken; a document with both labels has none, and of
+    rows with one id the first text in order is taken.
     """
     known = labels.select(F.col("doc_id").alias("labelled_id"), F.col(label).cast("int").alias("label"))
     known = known.filter(F.col("labelled_id").isNotNull() & F.col("label").isin(0, 1))
@@ -30,4 +31,6 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows_per_class
     ]
     # 2 * rows_per_class rows of two numbers: small whatever the tables
     chosen = F.broadcast(drawn[0].union(drawn[1]))
-    return docs.filter("text is not null").join(chosen, F.col("doc_id") == F.col("labelled_id")).select("text", "label")
+    found = docs.filter("text is not null").join(chosen, F.col("doc_id") == F.col("labelled_id"))
+    # one text for each id, however often the table repeats it
+    return found.groupBy("labelled_id").agg(F.min("text").alias("text"), F.min("label").alias("label")).select("text", "label")

@@ -88,3 +88,26 @@ def test_run_returns_the_last_stage(spark, stages):
 def test_stages_take_an_empty_table(spark, stages):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, stages["documents"].limit(0), SMALL).count() == 0, name
+
+
+def test_stages_take_odd_rows(spark, odd, tmp_path):
+    """Nulls, empty and long texts, repeated rows, and columns whose names the operators use."""
+    labels = spark.createDataFrame([(1, 1, 0), (6, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        if name == "quality":
+            kept = stage(spark, odd, str(tmp_path))
+            assert kept.columns == odd.columns and kept.count() <= odd.count()
+            continue
+        found = stage(spark, odd, str(tmp_path))
+        assert found.columns == odd.columns, name
+        found.collect()
+    assert corpus_pipeline.STAGES[-1][1](spark, odd, str(tmp_path)).count() >= odd.count()
+
+
+def test_ids_that_repeat_do_not_grow_the_training_sample(spark):
+    from campaign_analytics.llm.training import training_rows
+
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c")] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    assert sorted(tuple(r) for r in training_rows(docs, labels, "quality", 5).collect()) == [("a", 1), ("c", 0)]
