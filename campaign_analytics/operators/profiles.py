@@ -180,8 +180,10 @@ def kmeans_checks(inputs: DataFrame, model: KMeansModel, labelled: DataFrame) ->
         F.count_if(own > F.array_min("away") + 1e-9).alias("customers_nearer_to_another_centre"),
         F.count(GROUP).alias("customers_with_group"),
     )
-    before = inputs.agg(F.count(F.lit(1)).alias("customers_given"), F.count(GROUP).alias("customers_given_with_group"))
-    row = before.join(F.broadcast(counted))  # one row each
+    given = inputs.agg(F.count(F.lit(1)), F.count(GROUP)).first()  # two numbers
+    row = counted.withColumns(
+        {"customers_given": F.lit(given[0]), "customers_given_with_group": F.lit(given[1])}
+    )
     return row.select(
         F.inline(F.array(*[F.struct(F.lit(c).alias("check_name"), F.col(c).alias("value")) for c in row.columns]))
     )
