@@ -52,6 +52,16 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(F.col(id_col).alias("doc_id"), as_utf8(text_col).alias("text"), *[F.col(c) for c in more])
 
 
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """``names``, each lengthened until no column of ``docs`` has it."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[tuple[int, list[str | None]]]:
     """Cut an Arrow batch into runs of rows of about ``max_bytes`` of text (one row at least).
 

@@ -99,7 +99,9 @@ def exact_products(q: np.ndarray, r: np.ndarray) -> np.ndarray:
 class Search:
     """The k best rows of ``data`` for each row of ``queries``, ties to smaller ids."""
 
-    def __init__(self, queries: np.ndarray, own_ids: np.ndarray, kth: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int):
+    def __init__(
+        self, queries: np.ndarray, own_ids: np.ndarray, kth: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int
+    ):
         self.queries, self.own_ids, self.data, self.ids, self.k = queries, own_ids, data, ids, k
         self.scores = np.full((len(queries), k), _LOW, np.int64)
         self.found = np.full((len(queries), k), _FAR, np.int64)
@@ -284,9 +286,12 @@ def top_k(
     few = rows.withColumn("place", rank).filter(F.col("place") <= k + 1).drop("place").distinct()
     data = materialise(few)
     n = data.count()
-    drawn = data.filter(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(max(n, 1))) < sample).select("v").limit(2 * sample).toArrow()
+    in_sample = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(max(n, 1))) < sample
+    drawn = data.filter(in_sample).select("v").limit(2 * sample).toArrow()
     pivots = choose_pivots(matrix(drawn.column("v")), min(most_pivots, -(-n // (shard_rows // 4)) + 1))
-    celled = materialise(data.mapInArrow(_cells(pivots), "vec_id long, v array<long>, cell long, away double, norm double"))
+    celled = materialise(
+        data.mapInArrow(_cells(pivots), "vec_id long, v array<long>, cell long, away double, norm double")
+    )
     radii, most, parts = np.zeros(len(pivots)), np.zeros(len(pivots)), np.zeros(len(pivots), np.int64)
     for r in celled.groupBy("cell").agg(F.count(F.lit(1)), F.max("away"), F.max("norm")).collect():
         parts[r[0]], radii[r[0]], most[r[0]] = -(-r[1] // shard_rows), r[2], r[3]

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, materialise
+from .common import WORD_PATTERN, free_names, materialise
 
 # Fixed values of the contract: weights of the sources in code point order, the share of all
 # sizes that the mix takes, and the most a source may be repeated.
@@ -24,7 +24,6 @@ ROWS_PER_RANGE = 8192
 #: A source's plan is one row of a few hundred bytes; more sources than this are joined by shuffle.
 _BROADCAST_SOURCES = 50_000
 _AFTER_WORD = r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"
-_SOURCE, _ORDER, _TAKE = "__mix_source", "__mix_order", "__mix_take"
 
 
 def word_count(text: Column) -> Column:
@@ -171,7 +170,8 @@ def mixed_documents(
     order = F.struct("mix_key", "size", "content")
     beyond = rows.filter(F.col("before") + F.col("size") > F.col("rest"))
     cuts = beyond.groupBy("source").agg(F.min(order).alias("cut"))
-    at = rows.join(cuts.withColumnRenamed("source", "of_source"), F.col("source").eqNullSafe(F.col("of_source")), "left")
+    same = F.col("source").eqNullSafe(F.col("of_source"))
+    at = rows.join(cuts.withColumnRenamed("source", "of_source"), same, "left")
     is_cut = order == F.col("cut")
     plan = at.groupBy("source").agg(
         F.first("epochs").alias("mix_epochs"),
@@ -180,32 +180,36 @@ def mixed_documents(
         F.min(F.when(is_cut, F.col("before"))).alias("before"),
         F.count(F.when(is_cut, 1)).alias("sharing"),
     )
+    own = ("mix_source", "mix_epochs", "mix_cut", "mix_part", "mix_of_source", "mix_order", "mix_take")
+    c_source, c_epochs, c_cut, c_part, c_of, c_order, c_take = free_names(docs, *own)
     plan = materialise(
         plan.select(
-            F.col("source").alias("mix_source"),
-            "mix_epochs",
-            "mix_cut",
-            F.floor((F.col("rest") - F.col("before")) / F.col("sharing")).cast("long").alias("mix_part"),
+            F.col("source").alias(c_source),
+            F.col("mix_epochs").alias(c_epochs),
+            F.col("mix_cut").alias(c_cut),
+            F.floor((F.col("rest") - F.col("before")) / F.col("sharing")).cast("long").alias(c_part),
         )
     )
     if plan.count() <= _BROADCAST_SOURCES:
         plan = F.broadcast(plan)
     source, key, text = _ordered(docs, seed, id_col, text_col, source_col)
     size = word_count(text)
-    read = docs.withColumns({_SOURCE: source, _ORDER: F.struct(key.alias("mix_key"), size.alias("size"), F.xxhash64(text).alias("content"))})
-    joined = read.join(plan, F.col(_SOURCE).eqNullSafe(F.col("mix_source")))
-    whole = F.col("mix_epochs") + F.when(F.col("mix_cut").isNull() | (F.col(_ORDER) < F.col("mix_cut")), 1).otherwise(0)
-    part = F.when(F.col(_ORDER) == F.col("mix_cut"), F.col("mix_part")).otherwise(0)
+    place = F.struct(key.alias("mix_key"), size.alias("size"), F.xxhash64(text).alias("content"))
+    read = docs.withColumns({c_of: source, c_order: place})
+    joined = read.join(plan, F.col(c_of).eqNullSafe(F.col(c_source)))
+    before_cut = F.col(c_cut).isNull() | (F.col(c_order) < F.col(c_cut))
+    whole = F.col(c_epochs) + F.when(before_cut, 1).otherwise(0)
+    part = F.when(F.col(c_order) == F.col(c_cut), F.col(c_part)).otherwise(0)
     takes = F.concat(
         F.array_repeat(F.lit(-1).cast("long"), whole.cast("int")),
         F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<long>")),
     )
-    taken = joined.filter(F.col(_ORDER)["size"] > 0).withColumn(_TAKE, F.explode(takes))
+    taken = joined.filter(F.col(c_order)["size"] > 0).withColumn(c_take, F.explode(takes))
     # pieces of white space and a word: the first n joined are the text up to its nth word
     pieces = F.split(F.col(text_col).cast("string"), _AFTER_WORD)
-    head = F.array_join(F.slice(pieces, 1, F.col(_TAKE).cast("int")), "")
-    taken = taken.withColumn(text_col, F.when(F.col(_TAKE) < 0, F.col(text_col)).otherwise(head))
+    head = F.array_join(F.slice(pieces, 1, F.col(c_take).cast("int")), "")
+    taken = taken.withColumn(text_col, F.when(F.col(c_take) < 0, F.col(text_col)).otherwise(head))
     if "n_chars" in docs.columns:
         chars = F.length(F.col(text_col)).cast(docs.schema["n_chars"].dataType)
-        taken = taken.withColumn("n_chars", F.when(F.col(_TAKE) < 0, F.col("n_chars")).otherwise(chars))
+        taken = taken.withColumn("n_chars", F.when(F.col(c_take) < 0, F.col("n_chars")).otherwise(chars))
     return taken.select(*docs.columns)

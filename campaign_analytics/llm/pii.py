@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_utf8, materialise
+from .common import as_utf8, free_names, materialise
 
 # Fixed values of the contract: kinds in order, patterns, digits allowed.  The patterns match
 # the same spans as the plain ones and stay linear: a run of characters is not tried again
@@ -27,7 +27,12 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: What a text with a match of the kind must hold; most texts are passed over by this alone.
-_HOLDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
+_HOLDS = {
+    "email": r"@",
+    "ip": r"[0-9]\.[0-9]",
+    "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]",
+    "phone": r"\+[0-9]",
+}
 CARD_DIGITS = (12, 19)
 PHONE_DIGITS = (9, 15)
 
@@ -228,7 +233,8 @@ def _documents_with_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
         F.xxhash64("doc_id", "text").alias("doc_key"), F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")
     )
     held = words.join(_limited(terms), "term").select("doc_key", "term", "share").distinct()
-    return materialise(held.groupBy("doc_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("found")))
+    found = F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("found")
+    return materialise(held.groupBy("doc_key").agg(found))
 
 
 def _term_of(piece: Column) -> Column:
@@ -242,13 +248,14 @@ def _term_spans(text: Column, found: Column) -> Column:
         ends = _prefix_sums(F.transform(pieces, lambda p: F.length(p).cast("long")))
         placed = F.zip_with(pieces, ends, lambda p, e: F.struct(p.alias("piece"), (e - F.length(p)).alias("at")))
         hits = F.filter(placed, lambda s: F.map_contains_key(found, _term_of(s["piece"])))
-        return F.transform(
-            hits,
-            lambda s: F.struct(
-                (s["at"] + F.length(s["piece"]) - F.length(F.regexp_replace(s["piece"], r"^[^\p{L}\p{N}]+", ""))).alias("start"),
-                (s["at"] + F.length(F.regexp_replace(s["piece"], r"[^\p{L}\p{N}]+$", ""))).alias("end"),
-            ),
-        )
+
+        def edges(hit: Column) -> Column:
+            piece, at = hit["piece"], hit["at"]
+            from_first = F.length(F.regexp_replace(piece, r"^[^\p{L}\p{N}]+", ""))
+            to_last = F.length(F.regexp_replace(piece, r"[^\p{L}\p{N}]+$", ""))
+            return F.struct((at + F.length(piece) - from_first).alias("start"), (at + to_last).alias("end"))
+
+        return F.transform(hits, edges)
 
     return _let(F.split(text, _BEFORE_WORD), spans)
 
@@ -263,10 +270,11 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = materialise(base_spans(rows))
     terms = disclosing_terms(rows, base, **thresholds)
     names = F.array(*[F.lit(k) for k in KINDS])
-    named = F.transform(
-        "spans",
-        lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("place"), names[s["kind"]].alias("kind"), s["end"].alias("end")),
-    )
+
+    def span(s: Column, place: Column, kind: Column) -> Column:
+        return F.struct(s["start"].alias("start"), place.alias("place"), kind.alias("kind"), s["end"].alias("end"))
+
+    named = F.transform("spans", lambda s: span(s, s["kind"], names[s["kind"]]))
     out = base.select("doc_key", "doc_id", named.alias("spans"))
     none = F.array().cast("array<struct<start:bigint,place:int,kind:string,end:bigint>>")
     if terms.isEmpty():
@@ -274,8 +282,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = _documents_with_terms(rows, terms)
     texts = rows.withColumn("doc_key", F.xxhash64("doc_id", "text")).join(_limited(held), "doc_key")
     own = F.transform(
-        _term_spans(F.col("text"), F.col("found")),
-        lambda s: F.struct(s["start"].alias("start"), F.lit(len(KINDS)).alias("place"), F.lit(TERM).alias("kind"), s["end"].alias("end")),
+        _term_spans(F.col("text"), F.col("found")), lambda s: span(s, F.lit(len(KINDS)), F.lit(TERM))
     )
     term_spans = materialise(texts.select("doc_key", own.alias("term_spans")).dropDuplicates(["doc_key"]))
     joined = out.join(_limited(term_spans), "doc_key", "left")
@@ -338,7 +345,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     terms = disclosing_terms(rows, base, **thresholds)
     out = docs.withColumn(text_col, as_utf8(text_col))
     if not terms.isEmpty():
-        key, found = "__pii_key", "__pii_found"
+        key, found = free_names(docs, "pii_key", "pii_found")
         held = _documents_with_terms(rows, terms).withColumnsRenamed({"doc_key": key, "found": found})
         out = out.withColumn(key, F.xxhash64(id_col, text_col)).join(_limited(held), key, "left")
         cleaned = _without_terms(F.col(text_col), F.col(found))

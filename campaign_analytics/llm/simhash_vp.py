@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_utf8, id_and_text, importable_on_workers, materialise
+from .common import as_utf8, free_names, id_and_text, importable_on_workers, materialise
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -274,9 +274,7 @@ def keep_one(
     one.  Null ids come after all others.  Empty table: no rows.
     """
     importable_on_workers(docs.sparkSession)
-    mark = "row_mark"
-    while mark in docs.columns:
-        mark += "_"
+    (mark,) = free_names(docs, "row_mark")
     by_hand = [F.to_json(f.name) if isinstance(f.dataType, T.MapType) else F.col(f.name) for f in docs.schema.fields]
     marked = docs.withColumn(mark, F.xxhash64(*by_hand))
     read = marked.select(F.col(id_col).alias("doc_id"), as_utf8(text_col).alias("text"), F.col(mark).alias("mark"))
@@ -286,7 +284,8 @@ def keep_one(
     best = copies.join(named, "fp").groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark", "copies")).alias("best")
     )
-    winners = materialise(best.select(F.col("best.doc_id").alias("best_id"), F.col("best.mark").alias("best_mark"), F.col("best.copies").alias("copies")))
+    renamed = {"doc_id": "best_id", "mark": "best_mark", "copies": "copies"}
+    winners = materialise(best.select(*[F.col(f"best.{old}").alias(new) for old, new in renamed.items()]))
     same = marked[id_col].eqNullSafe(winners["best_id"]) & (marked[mark] == winners["best_mark"])
     kept = marked.join(winners.select("best_id", "best_mark"), same, "left_semi")
     if not winners.filter("copies > 1").isEmpty():

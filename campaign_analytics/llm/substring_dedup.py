@@ -64,7 +64,9 @@ def _wide(part: bytes) -> np.ndarray:
     return np.frombuffer(part[1:], "<u" + part[:1].decode()).astype(np.uint64)
 
 
-def _pack_entries(hashes: np.ndarray, ids: np.ndarray, marks: np.ndarray, docs: np.ndarray, starts: np.ndarray) -> bytes:
+def _pack_entries(
+    hashes: np.ndarray, ids: np.ndarray, marks: np.ndarray, docs: np.ndarray, starts: np.ndarray
+) -> bytes:
     """Entries sorted by document and start.  ``ids`` and ``marks`` are per document, ascending."""
     present, count = np.unique(docs, return_counts=True)
     own = ids[present]
@@ -73,7 +75,8 @@ def _pack_entries(hashes: np.ndarray, ids: np.ndarray, marks: np.ndarray, docs:
     first = np.concatenate(([0], np.cumsum(count)[:-1]))
     gaps[first] = starts[first]
     own_marks = marks[present] if marks.any() else np.empty(0, np.int64)
-    return _blob([hashes.tobytes(), own[:1].tobytes(), _narrow(steps), own_marks.tobytes(), _narrow(count), _narrow(gaps)])
+    numbers = [own[:1].tobytes(), _narrow(steps), own_marks.tobytes(), _narrow(count), _narrow(gaps)]
+    return _blob([hashes.tobytes(), *numbers])
 
 
 def _unpack_entries(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -247,10 +250,11 @@ def _press(groups: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            small = [None if t is None else press.compress(t.encode()) for t in (x.as_py() for x in batch.column("text"))]
+            texts = (x.as_py() for x in batch.column("text"))
+            small = [None if t is None else press.compress(t.encode()) for t in texts]
             group = _group_of(batch.column("doc_key").to_numpy(zero_copy_only=False).astype(np.int64), groups)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(group), *[batch.column(c) for c in ("doc_id", "doc_key", "mark")], pa.array(small, pa.binary())],
+                [pa.array(group), *map(batch.column, ("doc_id", "doc_key", "mark")), pa.array(small, pa.binary())],
                 names=["doc_group", "doc_id", "doc_key", "mark", "pressed"],
             )
 
@@ -342,15 +346,14 @@ def remove_repeats(
             ]
         ),
     )
+    interval = T.StructType([T.StructField("from", T.LongType()), T.StructField("to", T.LongType())])
     out = T.StructType(
         [
             T.StructField("doc_id", id_type),
             T.StructField("n_words", T.LongType()),
             T.StructField("n_removed", T.LongType()),
             T.StructField("kept_text", T.StringType()),
-            T.StructField(
-                "removed", T.ArrayType(T.StructType([T.StructField("from", T.LongType()), T.StructField("to", T.LongType())]))
-            ),
+            T.StructField("removed", T.ArrayType(interval)),
         ]
     )
     return pressed.groupBy("doc_group").cogroup(repeats.groupBy("doc_group")).applyInArrow(_cut(window), out)

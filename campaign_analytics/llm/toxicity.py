@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text, importable_on_workers
+from .tokens import safe_pieces
 from .training import is_held_out, training_rows
 
 #: Labelled documents the lexicon and the weights are fitted on, of each label; terms at most.
@@ -298,22 +299,40 @@ _REPORT = frozenset(REPORT)
 
 
 def hit_features(automaton: Automaton, texts: list[str]) -> np.ndarray:
-    """The features of each text; texts are read together, parted by a control character."""
-    joined = "\x1e".join(texts)
-    words = Words(joined)
-    lower = words.codes
-    breaks = np.flatnonzero(lower == 0x1E)
-    kinds = automaton.read(words)
-    hits = np.flatnonzero(kinds)
-    owner = np.searchsorted(breaks, words.starts[hits])
+    """The features of each text.
+
+    Short texts are read together, parted by a control character; long ones in pieces that
+    end at a space, whose hits add up.
+    """
     out = np.zeros((len(texts), FEATURES))
     out[:, 0] = 1
-    for i, own, kind in zip(hits.tolist(), owner.tolist(), kinds[hits].tolist()):
-        out[own, 4 if _is_reported(words, lower, i) else kind] += 1
+    run: list[str] = []
+    owners: list[int] = []
+    held = 0
+    for i, text in enumerate(texts):
+        for piece in safe_pieces(text.replace("\x1e", " "), RUN_CHARS):
+            run.append(piece)
+            owners.append(i)
+            held += len(piece)
+            if held >= RUN_CHARS:
+                _add_hits(automaton, run, owners, out)
+                run, owners, held = [], [], 0
+    if run:
+        _add_hits(automaton, run, owners, out)
     out[:, 1:] = np.log1p(np.minimum(out[:, 1:], 20))
     return out
 
 
+def _add_hits(automaton: Automaton, run: list[str], owners: list[int], out: np.ndarray) -> None:
+    words = Words("\x1e".join(run))
+    breaks = np.flatnonzero(words.codes == 0x1E)
+    kinds = automaton.read(words)
+    hits = np.flatnonzero(kinds)
+    piece = np.searchsorted(breaks, words.starts[hits])
+    for i, own, kind in zip(hits.tolist(), piece.tolist(), kinds[hits].tolist()):
+        out[owners[own], 4 if _is_reported(words, words.codes, i) else kind] += 1
+
+
 #: What the weights are before any label is seen, and how firmly: hits count, near ones a
 #: little less, reported ones hardly.
 PRIOR = np.array([-4.0, 6.0, 5.0, 4.0, 1.0])
@@ -376,14 +395,7 @@ def fit_model(
 def scorer(model) -> Callable:
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        out, run, held, values = [], [], 0, texts.tolist()
-        for i, text in enumerate(values):
-            run.append((text or "").replace("\x1e", " "))
-            held += len(run[-1])
-            if held >= RUN_CHARS or i + 1 == len(values):
-                out.append(model.value.scores(run))
-                run, held = [], 0
-        return pd.Series(np.concatenate(out) if out else [], dtype="float64")
+        return pd.Series(model.value.scores([t or "" for t in texts]), dtype="float64")
 
     return score
 

@@ -33,4 +33,5 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows_per_class
     chosen = F.broadcast(drawn[0].union(drawn[1]))
     found = docs.filter("text is not null").join(chosen, F.col("doc_id") == F.col("labelled_id"))
     # one text for each id, however often the table repeats it
-    return found.groupBy("labelled_id").agg(F.min("text").alias("text"), F.min("label").alias("label")).select("text", "label")
+    texts = found.groupBy("labelled_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
+    return texts.select("text", "label")

@@ -124,8 +124,9 @@ class Run:
 
     def count(self, mask: np.ndarray) -> np.ndarray:
         """True bytes of ``mask`` per text."""
-        sums = np.concatenate(([0], np.cumsum(mask, dtype=np.int64)))
-        return sums[self.edges[1:]] - sums[self.edges[:-1]]
+        if len(self.edges) < 2:
+            return np.empty(0, np.int64)
+        return np.add.reduceat(mask, self.edges[:-1], dtype=np.int64)
 
     def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts, ends (before the line feed) and text numbers of all lines."""

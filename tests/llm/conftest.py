@@ -20,9 +20,10 @@ def documents(spark):
 @pytest.fixture(scope="session")
 def odd(spark):
     names = "doc_id long, text string, lang string, source string, n_chars long, score double, size long, fp long, "
-    names += "piece int, target double, component_id long, fingerprint string, n_words long, mark long, root long"
+    names += "piece int, target double, component_id long, fingerprint string, n_words long, mark long, root long, "
+    names += "row_mark string, pii_key int, pii_found int, mix_order int, mix_part int, mix_source int, mix_cut int"
     rows = [
-        (i, t, None if k % 3 else "en", None if k % 4 == 0 else f"s{k % 2}", None, *[None] * 10)
+        (i, t, None if k % 3 else "en", None if k % 4 == 0 else f"s{k % 2}", None, *[None] * 17)
         for k, (i, t) in enumerate(ODD)
     ]
     return spark.createDataFrame(rows, names)

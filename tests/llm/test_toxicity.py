@@ -52,6 +52,14 @@ def test_quotation_is_told_from_abuse():
     assert abuse > 0.5 > quoted and reported < 0.5 and clean < 0.5
 
 
+def test_long_texts_and_separators():
+    model = toxicity.ToxicityModel({"idiot": False})
+    filler = "some plain words here " * 60_000
+    texts = [filler + "idiot " + filler + "idiot", filler, "an\x1eidiot\x1e", "", "idiot " * 30]
+    counts = np.round(np.expm1(toxicity.hit_features(model.automaton, texts)[:, 1])).astype(int).tolist()
+    assert counts == [2, 0, 1, 0, 20]
+
+
 def test_lexicon_is_learned():
     rng = random.Random(9)
     word = lambda: "".join(rng.choices("abcdefgh", k=7))
