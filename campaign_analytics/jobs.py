@@ -68,7 +68,11 @@ def run_reports(
     reports["quality_null_customer"] = quality.null_customer(orders)
     reports["quality_repeated_orders"] = quality.repeated_orders(orders)
     reports["quality_duplicate_keys"] = quality.duplicate_keys(
-        {"consumer": (consumer, "customer_id"), "ab_test_ref": (ab_test_ref, "customer_id"), "restaurant": (restaurant, "id")}
+        {
+            "consumer": (consumer, "customer_id"),
+            "ab_test_ref": (ab_test_ref, "customer_id"),
+            "restaurant": (restaurant, "id"),
+        }
     )
     for name, df in reports.items():
         write_layer(df, f"{out}/{name}")

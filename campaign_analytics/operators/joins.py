@@ -140,8 +140,9 @@ def broadcast_set(frames: dict[str, DataFrame], max_bytes: int = BROADCAST_MAX_B
     without an estimate is.
     """
     estimates = {n: estimated_bytes(df) for n, df in frames.items()}
-    hopeless = {n for n, size in estimates.items() if size is not None and _FAR_ABOVE * max_bytes < size < _UNKNOWN_BYTES}
-    sizes = measured_sizes({n: df for n, df in frames.items() if n not in hopeless}) if len(hopeless) < len(frames) else {}
+    known = {n: size for n, size in estimates.items() if size is not None and size < _UNKNOWN_BYTES}
+    measured = {n: df for n, df in frames.items() if known.get(n, 0) <= _FAR_ABOVE * max_bytes}
+    sizes = measured_sizes(measured) if measured else {}
     chosen, total = set(), 0
     for name in sorted(sizes, key=sizes.get):
         total += sizes[name]
@@ -236,7 +237,8 @@ def explore_join(
     cons, ab = consumer_dim(consumer), ab_dim(ab_test_ref)
     has_merchant = "merchant_id" in orders.columns
     rest = restaurant_dim(restaurant).select("merchant_id")
-    small = broadcast_set({"consumer": cons, "ab": ab} | ({"restaurant": rest} if has_merchant else {}), broadcast_max_bytes)
+    dims = {"consumer": cons, "ab": ab} | ({"restaurant": rest} if has_merchant else {})
+    small = broadcast_set(dims, broadcast_max_bytes)
     customers_small = {"consumer", "ab"} <= small
     if customers_small:
         joined = orders.join(F.broadcast(cons), "customer_id", "left").join(F.broadcast(ab), "customer_id", "left")
@@ -271,7 +273,8 @@ def build_abt(
     fact = orders.filter(F.col("customer_id").isNotNull())
     has_merchant = "merchant_id" in orders.columns
     rest = restaurant_dim(restaurant)
-    small = broadcast_set({"consumer": cons, "ab": ab} | ({"restaurant": rest} if has_merchant else {}), broadcast_max_bytes)
+    dims = {"consumer": cons, "ab": ab} | ({"restaurant": rest} if has_merchant else {})
+    small = broadcast_set(dims, broadcast_max_bytes)
     customers_small = {"consumer", "ab"} <= small
     if customers_small:
         joined = fact.join(F.broadcast(ab), "customer_id", "inner").join(F.broadcast(cons), "customer_id", "left")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import exact_sum, share_pct
@@ -83,10 +83,12 @@ def malformed_orders(raw: DataFrame, corrupt: str = CORRUPT_RECORD) -> DataFrame
         given = F.col(name).isNotNull() & (F.trim(F.col(name)) != "")
         counts[name] = (F.count_if(given), F.count_if(given & typed.isNull()))
     wide = raw.agg(*[c.alias(f"{k}_{name}") for name, pair in counts.items() for k, c in zip(("all", "lost"), pair)])
-    rows = [
-        F.struct(F.lit(n).alias("column_name"), F.col(f"all_{n}").alias("value_count"), F.col(f"lost_{n}").alias("lost_count"))
-        for n in counts
-    ]
+
+    def row(name: str) -> Column:
+        parts = {"column_name": F.lit(name), "value_count": F.col(f"all_{name}"), "lost_count": F.col(f"lost_{name}")}
+        return F.struct(*[c.alias(k) for k, c in parts.items()])
+
+    rows = [row(name) for name in counts]
     return wide.select(F.inline(F.array(*rows)))
 
 

@@ -98,7 +98,10 @@ def orders_a_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     return o.join(_items(spark, sf_dir), key == F.col("l_orderkey"), "left").select(
         key.alias("order_id"),
-        F.when(key % 400 == 0, F.lit(None)).when(key % 50 == 7, customer + UNKNOWN).otherwise(customer).alias("customer_id"),
+        F.when(key % 400 == 0, F.lit(None))
+        .when(key % 50 == 7, customer + UNKNOWN)
+        .otherwise(customer)
+        .alias("customer_id"),
         F.col("merchant_id"),
         F.round(F.col("o_totalprice") + (key % 7) * F.lit(0.001), 3).alias("order_total_amount"),
         F.col("o_orderdate").alias("order_created_at"),
@@ -133,7 +136,9 @@ def order_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "delivery_address_country": F.lit("BR"),
         "delivery_address_district": F.when(id_ % 3 > 0, F.concat(F.lit("district "), id_ % 7)),
         "delivery_address_external_id": text(id_ * 7),
-        "delivery_address_latitude": F.when(id_ % 90 == 0, "n/a").otherwise(F.concat(F.lit("-"), id_ % 60, F.lit("."), digits(id_, 3))),
+        "delivery_address_latitude": F.when(id_ % 90 == 0, "n/a").otherwise(
+            F.concat(F.lit("-"), id_ % 60, F.lit("."), digits(id_, 3))
+        ),
         "delivery_address_longitude": F.concat(id_ % 180, F.lit("."), digits(id_, 2)),
         "delivery_address_state": F.concat(F.lit("S"), id_ % 27),
         "delivery_address_zip_code": F.lpad(text(id_ % 99999), 8, "0"),
@@ -143,7 +148,7 @@ def order_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "merchant_longitude": F.concat(F.lit("-"), id_ % 99, F.lit("."), digits(id_, 1)),
         "order_created_at": F.when(id_ % 101 == 7, "yesterday").otherwise(time(F.col("order_created_at"))),
         "order_id": text(id_),
-        "origin_platform": F.element_at(F.array(F.lit("ANDROID"), F.lit("IOS"), F.lit("DESKTOP")), (id_ % 3 + 1).cast("int")),
+        "origin_platform": F.array(F.lit("ANDROID"), F.lit("IOS"), F.lit("DESKTOP"))[(id_ % 3).cast("int")],
         "order_scheduled_date": F.when(id_ % 4 == 0, time(F.col("order_created_at") + F.make_dt_interval(F.lit(1)))),
         "order_scheduled": F.when(id_ % 67 == 0, "maybe").otherwise(text(F.col("order_scheduled"))),
         "order_total_amount": F.when(id_ % 77 == 0, "abc").otherwise(text(F.col("order_total_amount"))),
