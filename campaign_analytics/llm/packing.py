@@ -23,7 +23,7 @@ from . import tokens
 from .common import id_and_text, text_slices
 
 CAPACITY = 2048
-DOCS_PER_GROUP = 2048
+DOCS_PER_GROUP = 8192
 SEARCH_NODES_PER_BIN = 2
 BRANCHES = 4
 RUN_BYTES = 2 << 20
