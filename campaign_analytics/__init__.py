@@ -9,8 +9,9 @@ Layers:
   viability, segments, customer profiles and data-quality checks.
 * ``plans``     – the named queries and their independent SQL oracles.
 * ``streaming`` – the ingest and ABT layers as incremental Structured Streaming jobs.
+* ``llm``       – operators of a training-data pipeline; nothing else imports them.
 
-No operator collects rows to the driver; every result is a lazy DataFrame.
+No operator collects rows to the driver.  Results are DataFrames still to be run; where a
+bounded statistic decides the plan (sizes of dimensions, A/B labels, hot keys, models), a
+job for it runs while the DataFrame is built.
 """
-
-__all__ = ["session"]
