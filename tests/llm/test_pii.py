@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import math
 import random
 import re
 
 import brute
+import regex
 from brute import ODD, SMALL
 
 from campaign_analytics.llm import pii, queries
@@ -112,3 +114,54 @@ def test_odd_rows(odd, empty):
     assert pii.span_report(empty).collect() == []
     assert pii.sanitise(odd).columns == odd.columns and pii.sanitise(odd).count() == len(ODD)
     assert pii.sanitise(empty).count() == 0
+
+
+BETWEEN = regex.compile(r"[^\p{L}\p{N}]*[\x20\x09-\x0D][^\p{L}\p{N}]*")
+
+
+def disclosing(docs, min_contexts, min_share, min_bits):
+    """{term: (share, bits)} of texts whose only entities are email addresses."""
+    windows, together, named = {}, {}, {}
+    for doc, (_, text) in enumerate(docs):
+        found = list(re.finditer(PLAIN["email"], text))
+        for i, m in enumerate(found):
+            before = text[found[i - 1].end() if i else 0 : m.start()][-48:]
+            after = text[m.end() : found[i + 1].start() if i + 1 < len(found) else None][:48]
+            entity = m[0].lower()
+            named.setdefault(entity, set()).add(doc)
+            for t in set(BETWEEN.split(before.lower())[1:] + BETWEEN.split(after.lower())[:-1]):
+                if len(t) >= 3 and regex.search(r"\p{L}", t):
+                    windows.setdefault((entity, t), set()).add((before, after))
+                    together.setdefault((entity, t), set()).add(doc)
+    every = sum(map(len, named.values()))
+    out = {}
+    for (entity, t), contexts in windows.items():
+        if len(contexts) >= min_contexts:
+            having = sum(t in BETWEEN.split(text.lower()) for _, text in docs)
+            share = min(1.0, len(together[entity, t]) / having)
+            bits = math.log2(share * every / len(named[entity]))
+            if share >= min_share and bits >= min_bits:
+                out[t] = (max(share, out.get(t, (0, 0))[0]), max(bits, out.get(t, (0, 0))[1]))
+    return out
+
+
+def test_disclosing_terms_against_brute_force(spark):
+    rng = random.Random(12)
+    vocabulary = [f"{a}{b}{c}" for a in "bdk" for b in "aeiou" for c in ("rn", "st", "lm")]
+    entities = [f"{w}@mail{i}.example" for i, w in enumerate(vocabulary[:12])]
+    docs = []
+    for i in range(150):
+        words = rng.choices(vocabulary, k=rng.randrange(3, 30))
+        for _ in range(rng.randrange(3)):
+            e = rng.randrange(len(entities))
+            at = rng.randrange(len(words))
+            words[at:at] = [vocabulary[-1 - e].title() + ",", entities[e].title() if rng.random() < 0.2 else entities[e]]
+        docs.append((i, rng.choice([" ", "  ", "\n", " - "]).join(words)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    limits = {"min_contexts": 2, "min_share": 0.2, "min_bits": 1.0}
+    terms = pii.disclosing_terms(frame, pii.base_spans(frame), **limits).collect()
+    wanted = disclosing(docs, **limits)
+    assert len(wanted) > 3
+    assert {r["term"]: (round(r["share"], 9), round(r["bits"], 9)) for r in terms} == {
+        t: (round(a, 9), round(b, 9)) for t, (a, b) in wanted.items()
+    }
