@@ -22,12 +22,12 @@ LIMIT = 2048
 
 
 def _counter(content: str, limit: int, batch_bytes: int, piece_chars: int) -> Callable:
-    def lengths(encoder, pieces: list[str], owners: list[int], totals: list[int]) -> None:
-        for owner, found in zip(owners, encoder.encode_batch_fast(pieces, add_special_tokens=False)):
-            totals[owner] += len(found)
+    def lengths(counter: tokens.TokenCounter, pieces: list[str], owners: list[int], totals: list[int]) -> None:
+        for owner, n in zip(owners, counter.count(pieces)):
+            totals[owner] += n
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.load(content)
+        counter = tokens.counter(content)
         for batch in batches:
             texts = batch.column("text")
             totals, sizes = [0] * len(texts), [0] * len(texts)
@@ -42,10 +42,10 @@ def _counter(content: str, limit: int, batch_bytes: int, piece_chars: int) -> Ca
                     owners.append(row)
                     held += len(piece)
                     if held >= batch_bytes:
-                        lengths(encoder, pieces, owners, totals)
+                        lengths(counter, pieces, owners, totals)
                         pieces, owners, held = [], [], 0
             if pieces:
-                lengths(encoder, pieces, owners, totals)
+                lengths(counter, pieces, owners, totals)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
