@@ -1,37 +1,47 @@
 """Operator 9: quality rules with a perplexity band per language.
 
-A modified Kneser-Ney model of ``ORDER`` consecutive characters is counted in Spark over all
-documents and stored in sorted hash arrays.  The hash of an n-gram packs a 6-bit class of
-each byte, so there are at most 64**ORDER of them, whatever the corpus: 2**24 entries of 8
-bytes are the proven bound of the broadcast model and of what the driver gathers to build it.
+A modified Kneser-Ney model of ``GRAM`` consecutive code points is counted over all documents.
+Its n-grams are rows of hash-partitioned tables that grow with the input: a run of documents
+sends each of its different n-grams once, counts, continuation counts and probabilities come
+from aggregations and joins, and each run gets back the probabilities of its own n-grams alone.
+Nothing of the model passes through the driver but four counts per order.
 Each document gets its log-perplexity; the median and median deviation per language set a
-lower and an upper bound, outside of which documents are rejected.  Counting rules come first.
+lower and an upper bound, narrower for longer texts, outside of which documents are rejected.
+Counting rules come first.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import wordhash
 from .common import as_utf8, importable_on_workers, materialise, text_slices
 
+#: Code points of an n-gram of the model.
+GRAM = 5
+#: Bytes of text whose different n-grams are sent together, and code points hashed at once.
+MODEL_RUN_BYTES = 32 << 20
+_PIECE = 1 << 20
+# Of ``KneserNey``, the model of byte classes in arrays that the tests hold against a plain one.
 ORDER = 4
 CLASS_BITS = 6
 CLASSES = 1 << CLASS_BITS
 MIN_WORDS = 50
 MOST_REPEATED_PERCENT = 50
 REPEAT_WINDOW = 3
-LOWER_DEVIATIONS = 9.0
-UPPER_DEVIATIONS = 9.0
-#: The least median deviation a band is built on, and the grid of log-perplexities, in nats a byte.
+LOWER_DEVIATIONS = 8.0
+UPPER_DEVIATIONS = 3.5
+#: The least median deviation a band is built on, and the grid of log-perplexities, in nats a code point.
 LEAST_DEVIATION = 0.01
 GRID = 1e-4
+_AWAY_STEP = 10
 RUN_BYTES = 2 << 20
 _BROADCAST_LANGUAGES = 50_000
 
@@ -75,22 +85,6 @@ def ngram_hashes(data: np.ndarray, order: int = ORDER) -> np.ndarray:
     return out
 
 
-def _count_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """N-gram hashes of a task's texts with their counts; 2**24 counters at most."""
-    counts = np.zeros(CLASSES**ORDER, np.int64)
-    for batch in batches:
-        for _, texts in text_slices(batch, "text", RUN_BYTES):
-            for text in texts:
-                if text and len(text) > RUN_BYTES:
-                    counts += np.bincount(ngram_hashes(classes(text.encode())), minlength=len(counts))
-            some = [ngram_hashes(classes(t.encode())) for t in texts if t and len(t) <= RUN_BYTES]
-            if some:
-                hashes, n = np.unique(np.concatenate(some), return_counts=True)
-                counts[hashes] += n
-    used = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], names=["hash", "n"])
-
-
 class KneserNey:
     """Interpolated modified Kneser-Ney over n-gram hashes, in sorted arrays per order.
 
@@ -171,31 +165,249 @@ def base_counts(run: wordhash.Run) -> dict[str, np.ndarray]:
 _MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def _measure(model) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = model.value
-        for batch in batches:
-            found: dict[str, list[np.ndarray]] = {m: [] for m in [*_MEASURES, "cross"]}
-            for _, texts in text_slices(batch, "text", RUN_BYTES):
-                raw = [(t or "").encode() for t in texts]
-                for name, values in base_counts(wordhash.Run(raw)).items():
-                    found[name].append(values)
-                grams = [ngram_hashes(classes(r)) for r in raw]
-                edges = np.concatenate(([0], np.cumsum([len(g) for g in grams])))
-                sums = np.concatenate(([0], np.cumsum(scorer.log_probabilities(np.concatenate(grams)), dtype=np.float64)))
-                n = np.diff(edges)
-                found["cross"].append((sums[edges[:-1]] - sums[edges[1:]]) / np.maximum(n, 1))
-            values = [np.concatenate(v) if v else np.empty(0) for v in found.values()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *[batch.column(c) for c in ("doc_id", "lang")],
-                    *[pa.array(v.astype(np.int64)) for v in values[:-1]],
-                    pa.array(np.round(values[-1] / GRID).astype(np.int64)),
-                ],
-                names=["doc_id", "lang", *_MEASURES, "cross"],
-            )
-
-    return run
+def _plain(texts: list[bytes]) -> bytes:
+    """Texts as lines, each run of white space as one space, and one at both ends."""
+    return b"\n".join([b" " + b" ".join(t.split()) + b" " for t in texts])
+
+
+def _codes(plain: bytes) -> np.ndarray:
+    return np.frombuffer(plain.decode().encode("utf-32-le"), np.uint32)
+
+
+def _gram_pieces(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First place, hashes, and which of them lie within one text, of some code points at a time."""
+    for a in range(0, len(codes) - GRAM + 1, _PIECE):
+        piece = codes[a : a + _PIECE + GRAM - 1]
+        n = len(piece) - GRAM + 1
+        h = np.zeros(n, np.uint64)
+        inside = np.ones(n, bool)
+        line = piece == 10
+        for k in range(GRAM):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + piece[k : n + k]
+            inside &= ~line[k : n + k]
+        yield a, wordhash.mix(h), inside
+
+
+_ENTRY = ["gram", "n", "texts"]
+
+
+class GramIndex:
+    """Numbers of hashes: most by a table of their first bits, the others by search."""
+
+    BITS = 21
+
+    def __init__(self, hashes: np.ndarray | None = None):
+        self.hashes = np.empty(0, np.uint64)
+        self._slots = np.zeros(1 << self.BITS, np.int32)
+        if hashes is not None:
+            self.add(hashes)
+
+    def add(self, hashes: np.ndarray) -> None:
+        """Further hashes, none held so far, get the next numbers."""
+        first = len(self.hashes)
+        self.hashes = np.concatenate((self.hashes, hashes))
+        self._slots[self._slot(hashes)] = np.arange(first, len(self.hashes), dtype=np.int32)
+        self._order = np.argsort(self.hashes)
+        self._sorted = self.hashes[self._order]
+
+    def _slot(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 if there is none."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1, np.int64)
+        out = self._slots[self._slot(hashes)].astype(np.int64)
+        rest = np.flatnonzero(self.hashes[out] != hashes)
+        at = np.minimum(np.searchsorted(self._sorted, hashes[rest]), len(self.hashes) - 1)
+        out[rest] = np.where(self._sorted[at] == hashes[rest], self._order[at], -1)
+        return out
+
+
+class _Grams:
+    """The different n-grams of a run of texts, their counts, and which stand in several texts."""
+
+    def __init__(self) -> None:
+        self.index, self.counts, self.grams = GramIndex(), np.empty(0, np.int64), []
+        self.first, self.several, self.n_texts = np.empty(0, np.int64), np.empty(0, bool), 0
+
+    def add(self, plain: bytes) -> None:
+        codes = _codes(plain)
+        owners = self.n_texts + np.cumsum(codes == 10)
+        self.n_texts = int(owners[-1]) + 1
+        for a, hashes, inside in _gram_pieces(codes):
+            places = np.flatnonzero(inside)
+            found, owner = self.index.find(hashes[places]), owners[a + places]
+            unknown = np.flatnonzero(found < 0)
+            if len(unknown):
+                new, first, number = np.unique(hashes[places[unknown]], return_index=True, return_inverse=True)
+                found[unknown] = len(self.counts) + number
+                at = a + places[unknown[first]]
+                text = codes[at[:, None] + np.arange(GRAM)].tobytes().decode("utf-32-le")
+                self.grams += [text[i : i + GRAM] for i in range(0, len(text), GRAM)]
+                self.index.add(new)
+                self.counts = np.concatenate((self.counts, np.zeros(len(new), np.int64)))
+                self.first = np.concatenate((self.first, owner[unknown[first]]))
+                self.several = np.concatenate((self.several, np.zeros(len(new), bool)))
+            self.counts += np.bincount(found, minlength=len(self.counts))
+            self.several[found[owner != self.first[found]]] = True
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per run of texts: its number, documents with their counts, packed texts, n-grams."""
+    number = TaskContext.get().partitionId() << 32
+    codec = pa.Codec("zstd", 6)
+    parts: list[pa.StructArray] = []
+    packed: list[bytes] = []
+    grams, held = _Grams(), 0
+
+    def row() -> pa.RecordBatch:
+        docs = pa.concat_arrays(parts)
+        entries = pa.RecordBatch.from_arrays(
+            [pa.array(grams.grams, pa.string()), pa.array(grams.counts), pa.array(1 + grams.several.astype(np.int64))],
+            names=_ENTRY,
+        )
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, entries.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(entries)
+        lists = pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs)
+        table = pa.array([sink.getvalue().to_pybytes()], pa.binary())
+        values = [pa.array([number]), lists, pa.array([packed], pa.list_(pa.binary())), table]
+        return pa.RecordBatch.from_arrays(values, names=["run", "docs", "packed", "grams"])
+
+    for batch in batches:
+        for start, texts in text_slices(batch, "text", RUN_BYTES):
+            raw = [(t or "").encode() for t in texts]
+            counts = base_counts(wordhash.Run(raw))
+            own = [batch.column(c).slice(start, len(texts)) for c in ("doc_id", "lang")]
+            values = [pa.array(counts[m].astype(np.int64)) for m in _MEASURES]
+            parts.append(pa.StructArray.from_arrays([*own, *values], names=["doc_id", "lang", *_MEASURES]))
+            plain = _plain(raw)
+            grams.add(plain)
+            packed.append(len(plain).to_bytes(8, "little") + codec.compress(plain, asbytes=True))
+            held += len(plain)
+            if held >= MODEL_RUN_BYTES:
+                yield row()
+                number, parts, packed, grams, held = number + 1, [], [], _Grams(), 0
+    if parts:
+        yield row()
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The n-grams of runs, unpacked: a row each."""
+    for batch in batches:
+        for run, packed in zip(*[batch.column(c).to_pylist() for c in ("run", "grams")]):
+            for found in pa.ipc.open_stream(packed):
+                owner = pa.array(np.full(len(found), run, np.int64))
+                yield pa.RecordBatch.from_arrays([owner, *found.columns], names=["run", *_ENTRY])
+
+
+def _tail(gram: Column, order: int) -> Column:
+    return F.substring(gram, 2, order - 1)
+
+
+def _count_classes(n: Column) -> tuple[Column, Column, Column]:
+    return n == 1, n == 2, n > 2
+
+
+def kneser_ney(counted: DataFrame) -> DataFrame:
+    """gram, logp: modified Kneser-Ney over all rows of (gram, n, texts), each gram of ``GRAM`` code points.
+
+    ``logp`` is the log-probability of the last code point after the others.  Lower orders
+    count how many different code points stand before; the lowest backs off to one share for
+    each code point that occurs.  An n-gram that only one text has (``texts`` is 1) is no
+    evidence for that text: its probability is the one that the others give.
+    """
+    levels = [counted.select("gram", "n", "texts")]
+    for k in range(GRAM, 1, -1):
+        shorter = levels[-1].groupBy(_tail(F.col("gram"), k).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+        shorter = shorter.withColumn("texts", F.lit(2))
+        levels.append(materialise(shorter))
+    below = None
+    for k, level in enumerate(reversed(levels), 1):
+        figures = [F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]
+        numbers = level.agg(*figures, F.sum("n").alias("total"), F.count(F.lit(1)).alias("types")).first()
+        ones, twos, threes, fours = (max(numbers[f"n{i}"], 1) for i in (1, 2, 3, 4))
+        y = ones / (ones + 2 * twos)
+        discounts = [1 - 2 * y * twos / ones, 2 - 3 * y * threes / twos, 3 - 4 * y * fours / threes]
+        off = [float(np.clip(d, 0.05, most)) for d, most in zip(discounts, (0.95, 1.9, 2.85))]
+        own = F.when(F.col("n") == 1, off[0]).when(F.col("n") == 2, off[1]).otherwise(off[2])
+        if k == 1:
+            many = numbers["types"] - numbers["n1"] - numbers["n2"]
+            total = max(numbers["total"] or 0, 1)
+            share = (off[0] * numbers["n1"] + off[1] * numbers["n2"] + off[2] * many) / total
+            below = level.select("gram", ((F.col("n") - own) / total + share / max(numbers["types"], 1)).alias("p"))
+            continue
+        along = Window.partitionBy(F.substring("gram", 1, k - 1))
+        # whole numbers are summed, so that the order of rows does not matter
+        sums = level.select(
+            "gram",
+            "n",
+            (F.col("texts") == 1).alias("own"),
+            F.sum("n").over(along).alias("total"),
+            *[F.count_if(x).over(along).alias(f"n{i}") for i, x in enumerate(_count_classes(F.col("n")), 1)],
+        )
+        joined = sums.join(below.withColumnRenamed("gram", "tail"), _tail(F.col("gram"), k) == F.col("tail"))
+        mass = sum(d * F.col(f"n{i}") for i, d in enumerate(off, 1))
+        seen = ((F.col("n") - own) + mass * F.col("p")) / F.col("total")
+        alone = F.col("total") == F.col("n")
+        unseen = F.when(alone, F.col("p")).otherwise((mass - own) / (F.col("total") - F.col("n")) * F.col("p"))
+        below = joined.select("gram", F.when(F.col("own"), unseen).otherwise(seen).alias("p"))
+    return below.select("gram", F.log("p").alias("logp"))
+
+
+def _score_run(key: tuple[pa.Scalar, ...], rows: pa.Table, table: pa.Table) -> pa.Table:
+    """The documents of a run with the mean negative log-probability of their n-grams, on the grid."""
+    text = "".join(table.column("gram").to_pylist())
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    hashes = [h[-a % GRAM :: GRAM] for a, h, _ in _gram_pieces(codes)]
+    index = GramIndex(np.concatenate(hashes) if hashes else None)
+    logp = np.append(table.column("logp").to_numpy().astype(np.float64), 0.0)
+    cross: list[np.ndarray] = []
+    for blob in rows.column("packed").to_pylist()[0]:
+        size = int.from_bytes(blob[:8], "little")
+        codes = _codes(pa.Codec("zstd").decompress(blob[8:], size, asbytes=True))
+        owners = np.cumsum(codes == 10)
+        sums, n = np.zeros(owners[-1] + 1), np.zeros(owners[-1] + 1, np.int64)
+        for a, h, inside in _gram_pieces(codes):
+            places = np.flatnonzero(inside)
+            owner = owners[a + places]
+            found = index.find(h[places])
+            if len(found) and found.min() < 0:
+                raise ValueError("an n-gram of the run has no probability")
+            sums += np.bincount(owner, weights=logp[found], minlength=len(sums))
+            n += np.bincount(owner, minlength=len(n))
+        cross.append(np.round(-sums / np.maximum(n, 1) / GRID).astype(np.int64))
+    values = pa.array(np.concatenate(cross))
+    lists = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+    return pa.table([rows.column("docs"), lists], names=["docs", "cross"])
+
+
+def measure(rows: DataFrame) -> DataFrame:
+    """doc_id, lang, the counts and cross of every row of (doc_id, lang, text)."""
+    doc = T.StructType(
+        [*rows.select("doc_id", "lang").schema.fields, *[T.StructField(m, T.LongType()) for m in _MEASURES]]
+    )
+    run_fields = [T.StructField("run", T.LongType()), T.StructField("docs", T.ArrayType(doc))]
+    more = [T.StructField("packed", T.ArrayType(T.BinaryType())), T.StructField("grams", T.BinaryType())]
+    runs = materialise(rows.mapInArrow(_runs, T.StructType([*run_fields, *more])))
+    entries = runs.select("run", "grams").mapInArrow(_entries, "run long, gram string, n long, texts long")
+    sums = [F.sum(c).alias(c) for c in ("n", "texts")]
+    types = materialise(entries.groupBy("gram").agg(*sums, F.collect_list("run").alias("runs")))
+    tables = types.select("gram", "runs").join(kneser_ney(types), "gram").select(
+        F.explode("runs").alias("run"), "gram", F.col("logp").cast("float")
+    )
+    scored = (
+        runs.select("run", "docs", "packed")
+        .groupBy("run")
+        .cogroup(tables.groupBy("run"))
+        .applyInArrow(
+            _score_run,
+            T.StructType([T.StructField("docs", T.ArrayType(doc)), T.StructField("cross", T.ArrayType(T.LongType()))]),
+        )
+    )
+    each = scored.select(F.explode(F.arrays_zip("docs", "cross")).alias("r"))
+    return materialise(each.select("r.docs.*", "r.cross"))
 
 
 def _grid_median(rows: DataFrame, value: str, name: str) -> DataFrame:
@@ -208,21 +420,27 @@ def _grid_median(rows: DataFrame, value: str, name: str) -> DataFrame:
     return summed.filter(2 * F.col("up_to") >= F.col("all")).groupBy("lang").agg(F.min(value).alias(name))
 
 
-def bands(measured: DataFrame, lower: float, upper: float) -> DataFrame:
-    """Per language: ``from_cross`` and ``to_cross``, on the grid of log-perplexities."""
+def bands(measured: DataFrame) -> DataFrame:
+    """Per language: ``middle`` on the grid of log-perplexities, and ``wide``, the unit of ``_away``."""
     medians = materialise(_grid_median(measured, "cross", "middle").withColumnRenamed("lang", "of_lang"))
-    away = _join_language(measured, medians).withColumn("away", F.abs(F.col("cross") - F.col("middle")))
+    away = _join_language(measured, medians).withColumn("away", F.abs(F.round(_away() / _AWAY_STEP)).cast("long"))
     spread = _grid_median(away, "away", "spread")
-    wide = F.greatest(F.col("spread"), F.lit(round(LEAST_DEVIATION / GRID)))
+    least = F.lit(round(LEAST_DEVIATION / GRID))
     return materialise(
         medians.join(spread, F.col("lang").eqNullSafe(F.col("of_lang"))).select(
-            "of_lang",
-            (F.col("middle") - lower * wide).alias("from_cross"),
-            (F.col("middle") + upper * wide).alias("to_cross"),
+            "of_lang", "middle", F.greatest(F.col("spread") * _AWAY_STEP, least).alias("wide")
         )
     )
 
 
+def _away() -> Column:
+    """How far a document is from its language's median, as much as one of ``MIN_WORDS`` words would be.
+
+    A mean over n words varies as 1 / sqrt(n); so the band is narrow for long texts.
+    """
+    return (F.col("cross") - F.col("middle")) * F.sqrt(F.col("n_words") / MIN_WORDS)
+
+
 def _join_language(rows: DataFrame, per_language: DataFrame) -> DataFrame:
     """One row per language joins all rows; sent to all tasks only if the list of languages is short."""
     if per_language.count() <= _BROADCAST_LANGUAGES:
@@ -242,7 +460,7 @@ def judge(
 
     A document fails the counting rules with fewer than 50 words or more than half of its
     words in repeated windows; it is kept if it does not, and its log-perplexity (nats a
-    byte) lies in its language's band.  Bands come from the documents that pass the counting
+    code point) lies in its language's band.  Bands come from the documents that pass the counting
     rules.  Null and empty texts have no words and fail.  A null language is a language.
     Null or repeated ids: a row each.  Empty table: no rows.  Other columns are not read.
     """
@@ -251,21 +469,11 @@ def judge(
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), as_utf8(text_col).alias("text")
     )
-    counted = rows.select("text").mapInArrow(_count_ngrams, "hash int, n long")
-    totals = counted.groupBy("hash").agg(F.sum("n").alias("n")).toArrow()
-    hashes, counts = totals.column("hash").to_numpy(), totals.column("n").to_numpy()
-    order = np.argsort(hashes)
-    if not len(hashes):  # no word in any text: any model will do
-        hashes, counts, order = np.zeros(1, np.int64), np.ones(1, np.int64), np.zeros(1, np.int64)
-    model = spark.sparkContext.broadcast(KneserNey(hashes[order], counts[order]))
-    fields = [T.StructField(m, T.LongType()) for m in [*_MEASURES, "cross"]]
-    measured = materialise(
-        rows.mapInArrow(_measure(model), T.StructType([*rows.select("doc_id", "lang").schema.fields, *fields]))
-    )
+    measured = measure(rows)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     measured = measured.withColumn("base_failed", failed)
-    found = bands(measured.filter(~F.col("base_failed")), lower, upper)
-    inside = F.col("cross").between(F.col("from_cross"), F.col("to_cross"))
+    found = bands(measured.filter(~F.col("base_failed")))
+    inside = _away().between(-lower * F.col("wide"), upper * F.col("wide"))
     return _join_language(measured, found).select(
         "doc_id",
         *_MEASURES,

@@ -93,3 +93,54 @@ def test_word_hashes_follow_the_bytes():
     for w, h in zip(words, run.words.tolist()):
         assert by.setdefault(w, h) == h
     assert len(set(by.values())) == len(by)
+
+
+def plain_code_points(texts):
+    """gram -> log-probability by dictionaries; a gram of one text only is scored without that text."""
+    k = quality_rules.GRAM
+    texts = [" " + " ".join(brute.words(t)) + " " for t in texts]
+    owners, grams = {}, Counter()
+    for i, t in enumerate(texts):
+        for g in (t[j : j + k] for j in range(len(t) - k + 1)):
+            grams[g] += 1
+            owners.setdefault(g, set()).add(i)
+    levels = [grams]
+    for _ in range(k - 1):
+        levels.append(Counter(g[1:] for g in levels[-1]))
+    levels.reverse()
+
+    def probability(g):
+        n = levels[len(g) - 1]
+        of = [max(sum(c == i for c in n.values()), 1) for i in (1, 2, 3, 4)]
+        y = of[0] / (of[0] + 2 * of[1])
+        off = [1 - 2 * y * of[1] / of[0], 2 - 3 * y * of[2] / of[1], 3 - 4 * y * of[3] / of[2]]
+        off = [0] + [min(max(d, 0.05), m) for d, m in zip(off, (0.95, 1.9, 2.85))]
+        below = probability(g[1:]) if len(g) > 1 else 1 / len(n)
+        own = {x: c for x, c in n.items() if x[:-1] == g[:-1]}
+        if len(g) == k and len(owners[g]) == 1:
+            own = {x: c for x, c in own.items() if x != g}
+            if not own:
+                return below
+        total, c = sum(own.values()), own.get(g, 0)
+        return (c - off[min(c, 3)] + sum(off[min(x, 3)] for x in own.values()) * below) / total
+
+    return texts, lambda g: math.log(probability(g))
+
+
+def test_model_of_code_points_in_tables(spark):
+    texts = ["in 1984 the cat sat, the cat", "in 1985 the hat: the cat é日本語日本", "the cat 日本語", "(the) cat? 1984 日本語日本", ""]
+    frame = spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)], "doc_id long, lang string, text string")
+    found = {r["doc_id"]: r["cross"] for r in quality_rules.measure(frame.repartition(3)).collect()}
+    plain, logp = plain_code_points(texts)
+    for i, t in enumerate(plain):
+        own = [-logp(t[j : j + 5]) for j in range(len(t) - 4)]
+        assert found[i] == pytest.approx(sum(own) / max(len(own), 1) / quality_rules.GRID, abs=1)
+
+
+def test_digits_and_other_scripts_are_told_apart(spark):
+    line = "order 1984 was 東京都庁 and then shipped to the old house by the river "
+    rows = [(i, "en", line * 2) for i in range(6)]
+    rows += [(6, "en", line * 2), (7, "en", line.replace("1984", "7263") * 2), (8, "en", line.replace("東京都庁", "北海道札") * 2)]
+    frame = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    found = {r["doc_id"]: r["cross"] for r in quality_rules.measure(frame).collect()}
+    assert found[7] > 1.2 * found[6] and found[8] > 1.2 * found[6]
