@@ -10,6 +10,8 @@ apart costs at most part of one sequence per group.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -24,22 +26,29 @@ from .common import id_and_text, text_slices
 
 CAPACITY = 2048
 DOCS_PER_GROUP = 8192
-SEARCH_NODES_PER_BIN = 2
-BRANCHES = 4
+SEARCH_NODES_PER_BIN = 8
+MORE_SEARCH_NODES = 1000
+#: Pairs that are tried before all other fillings.
+_FIRST_PAIRS = 4
 RUN_BYTES = 2 << 20
 
 
+_NO_MORE = object()
+
+
 class BinCompletion:
     """Fewest bins for a multiset of sizes, by bin completion.
 
-    Each step takes the largest size left and enumerates undominated fillings of the rest of
-    its bin: one size, pairs and triples that waste less than the best single size.  Fillings
-    are tried from the least waste on.  A branch is cut when its waste exceeds what a solution
+    Each step takes the largest size left and enumerates the fillings of the rest of its bin to
+    which no further size can be added; undominated ones are among them.  A few pairs, a triple
+    and the best single size come first, from the least waste on, then all others, one at a
+    time as the search asks for them.  A branch is cut when its waste exceeds what a solution
     of one bin less than the incumbent may waste.  Best-fit decreasing gives the first
-    incumbent; the search ends at the lower bound or after ``nodes`` fillings.
+    incumbent; the search ends at the lower bound or after ``nodes`` fillings and dead ends.
     """
 
-    def __init__(self, capacity: int, branches: int = BRANCHES):
+    def __init__(self, capacity: int, branches: int | None = None):
+        """``branches``: the most fillings of one bin that are tried; all if not given."""
         self.capacity = capacity
         self.branches = branches
 
@@ -80,8 +89,53 @@ class BinCompletion:
             both &= ~(1 << a)
         return None
 
-    def fillings(self, counts: dict[int, int], present: int, mirrored: int, room: int) -> list[tuple[int, ...]]:
-        """Undominated fillings of ``room``, the least waste first; ``()`` if nothing fits."""
+    def fillings(
+        self, counts: dict[int, int], present: int, mirrored: int, room: int
+    ) -> Iterator[tuple[int, ...] | None]:
+        """Fillings of ``room`` that nothing can be added to; ``()`` if nothing fits, None for a dead end.
+
+        ``counts`` must be as at the start whenever the next one is asked for.
+        """
+        first = self._first_fillings(counts, present, mirrored, room)
+        yield from first
+        if first == [()] or sum(first[0]) == room == first[0][0]:
+            return
+        known = set(first)
+        below = present & ((1 << (room + 1)) - 1)
+        sizes = []
+        while below:
+            a = below.bit_length() - 1
+            sizes.append(a)
+            below &= ~(1 << a)
+        for filling in self._maximal(sizes, [counts[a] for a in sizes], room):
+            if filling not in known:
+                yield filling
+
+    @staticmethod
+    def _maximal(sizes: list[int], numbers: list[int], room: int) -> Iterator[tuple[int, ...] | None]:
+        """All fillings of ``room`` by sizes, largest first, to which none can be added; None for a dead end."""
+        rest = [0] * (len(sizes) + 1)
+        for j in range(len(sizes) - 1, -1, -1):
+            rest[j] = rest[j + 1] + sizes[j] * numbers[j]
+        chosen: list[int] = []
+
+        def further(i: int, room: int, left_out: int) -> Iterator[tuple[int, ...] | None]:
+            for j in range(bisect.bisect_left(sizes, -room, i, key=lambda x: -x), len(sizes)):
+                if room - rest[j] >= left_out:  # all that is left cannot keep a size left out from fitting
+                    yield None
+                    return
+                size = sizes[j]
+                for k in range(min(numbers[j], room // size), 0, -1):
+                    chosen.extend([size] * k)
+                    yield from further(j + 1, room - k * size, left_out if k == numbers[j] else min(left_out, size))
+                    del chosen[-k:]
+                left_out = min(left_out, size)
+            yield tuple(chosen) if room < left_out else None
+
+        return further(0, room, room + 1)
+
+    def _first_fillings(self, counts: dict[int, int], present: int, mirrored: int, room: int) -> list[tuple[int, ...]]:
+        """Some good fillings of ``room``, the least waste first; ``[()]`` if nothing fits."""
         below = present & ((1 << (room + 1)) - 1)
         if not below:
             return [()]
@@ -96,7 +150,7 @@ class BinCompletion:
             pair = self._pair(below, mirrored, counts, total)
             if pair:
                 found.append(pair)
-                if len(found) >= self.branches:
+                if len(found) >= _FIRST_PAIRS:
                     break
         if not found or sum(found[0]) < room:
             rest, tried = below, 0
@@ -120,9 +174,9 @@ class BinCompletion:
         found.append((single,))
         full = []
         for f in found:
-            full.append(self._topped(counts, below, room, f))
+            full.append(tuple(sorted(self._topped(counts, below, room, f), reverse=True)))
         full.sort(key=sum, reverse=True)
-        return full[: self.branches]
+        return list(dict.fromkeys(full))
 
     @staticmethod
     def _topped(counts: dict[int, int], below: int, room: int, filling: tuple[int, ...]) -> tuple[int, ...]:
@@ -142,7 +196,7 @@ class BinCompletion:
         return tuple(out)
 
     def pack(self, sizes: list[int], nodes: int | None = None) -> list[list[int]]:
-        """Bins of sizes.  ``nodes`` bounds the fillings tried (default: 2 per bin, 1000 at least)."""
+        """Bins of sizes.  ``nodes`` bounds the fillings tried (default: 8 per bin and 1000)."""
         counts: dict[int, int] = {}
         for s in sizes:
             counts[s] = counts.get(s, 0) + 1
@@ -151,7 +205,7 @@ class BinCompletion:
         incumbent = self.best_fit(counts)
         if len(incumbent) <= bound:
             return incumbent
-        budget = nodes if nodes is not None else max(SEARCH_NODES_PER_BIN * len(incumbent), 1000)
+        budget = nodes if nodes is not None else SEARCH_NODES_PER_BIN * len(incumbent) + MORE_SEARCH_NODES
         present = mirrored = 0
         for s in counts:
             present |= 1 << s
@@ -172,12 +226,13 @@ class BinCompletion:
 
         chosen: list[list[int]] = []
         waste = 0
-        stack: list[tuple[int, Iterator[tuple[int, ...]]]] = []
+        stack: list[tuple[int, Iterator[tuple[int, ...] | None]]] = []
 
         def open_bin() -> None:
             largest = present.bit_length() - 1
             take(largest)
-            stack.append((largest, iter(self.fillings(counts, present, mirrored, self.capacity - largest))))
+            options = self.fillings(counts, present, mirrored, self.capacity - largest)
+            stack.append((largest, itertools.islice(options, self.branches)))
 
         open_bin()
         while stack:
@@ -188,13 +243,17 @@ class BinCompletion:
                 for s in last[1:]:
                     give(s)
             allowed = (len(incumbent) - 1) * self.capacity - total
-            filling = next(options, None) if budget > 0 else None
+            filling = next(options, _NO_MORE) if budget > 0 and waste <= allowed else _NO_MORE
             budget -= 1
-            lost = self.capacity - largest - sum(filling) if filling is not None else 0
-            if filling is None or waste + lost > allowed:
+            if filling is _NO_MORE:
                 stack.pop()
                 give(largest)
                 continue
+            if filling is None:
+                continue
+            lost = self.capacity - largest - sum(filling)
+            if waste + lost > allowed:  # another may waste less
+                continue
             for s in filling:
                 take(s)
             chosen.append([largest, *filling])

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import random
 
 import brute
@@ -84,3 +85,34 @@ def test_odd_rows(odd, empty):
         expected.setdefault(i, []).extend(brute.pack_pieces(ids_of, [(i, t)], 2048)[i])
     assert {i: sorted(x) for i, x in found.items()} == {i: sorted(x) for i, x in expected.items()}
     assert packing.pack(empty, queries.PACKING_TOKENIZER).collect() == []
+
+
+def test_production_defaults_are_optimal_on_small_sets():
+    rng = random.Random(21)
+    for k in range(300):
+        capacity = rng.randrange(20, 2049)
+        largest = capacity // rng.choice([1, 2, 3])
+        sizes = [rng.randrange(1, largest + 1) for _ in range(rng.randrange(1, 11))]
+        bins = packing.BinCompletion(capacity).pack(sizes)
+        assert sorted(s for b in bins for s in b) == sorted(sizes)
+        assert len(bins) == brute.fewest_bins(sizes, capacity), (capacity, sizes)
+
+
+def test_all_fillings_that_nothing_can_be_added_to():
+    rng = random.Random(22)
+    for _ in range(200):
+        sizes = [rng.randrange(1, 30) for _ in range(rng.randrange(1, 10))]
+        counts = {s: sizes.count(s) for s in sizes}
+        room = rng.randrange(1, 60)
+        completion = packing.BinCompletion(60)
+        present = sum(1 << s for s in counts)
+        mirrored = sum(1 << (60 - s) for s in counts)
+        found = [tuple(sorted(f)) for f in completion.fillings(counts, present, mirrored, room) if f is not None]
+        subsets = {tuple(sorted(c)) for n in range(len(sizes) + 1) for c in itertools.combinations(sizes, n)}
+        wanted = set()
+        for c in subsets:
+            left = room - sum(c)
+            if left >= 0 and not any(c.count(s) < counts[s] and s <= left for s in counts):
+                wanted.add(c)
+        assert set(found) == wanted if room not in counts else (room,) in found
+        assert len(found) == len(set(found))
