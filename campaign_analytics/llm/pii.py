@@ -10,6 +10,8 @@ base spans by their kind, generalises terms, and removes the strongest.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,10 +41,11 @@ PHONE_DIGITS = (9, 15)
 TERM = "term"
 #: Characters on each side of an occurrence whose whole words are its window.
 WINDOW_CHARS = 48
-MIN_CONTEXTS = 3
+MIN_CONTEXTS = 2
 MIN_SHARE = 0.5
 REMOVE_SHARE = 0.9
-MIN_BITS = 4.0
+#: The expected number of pairs of term and entity in a corpus that chance alone makes disclosing.
+MOST_BY_CHANCE = 1.0
 MIN_TERM_CHARS = 3
 #: Terms, and documents with a term, up to which a list of them is sent to all tasks.
 _BROADCAST_ROWS = 100_000
@@ -180,13 +183,15 @@ def disclosing_terms(
     base: DataFrame,
     min_contexts: int = MIN_CONTEXTS,
     min_share: float = MIN_SHARE,
-    min_bits: float = MIN_BITS,
+    min_bits: float | None = None,
 ) -> DataFrame:
     """term, share, bits: terms of (doc_id, text) ``rows`` that disclose an entity of ``base``.
 
     ``share`` is the part of all documents with the term that have it in a window of the
     entity, ``bits`` what the term adds to knowing which entity a document names.  A pair
-    counts only with ``min_contexts`` different windows, so copies of one text are one.
+    counts only with ``min_contexts`` different windows, so copies of one text are one, and
+    only if chance does not explain it: by Chernoff's bound on the documents with the term that
+    name the entity, times the number of pairs.  With ``min_bits``, bits decide instead.
     """
     spans = base.select("doc_key", F.explode("spans").alias("s")).select(
         "doc_key", "s.entity", "s.before", "s.after", F.xxhash64("s.before", "s.after").alias("context")
@@ -202,6 +207,8 @@ def disclosing_terms(
     pairs = near.groupBy("entity", "term").agg(
         F.count_distinct("context").alias("contexts"), F.count_distinct("doc_key").alias("together")
     )
+    pairs = materialise(pairs)
+    tried = pairs.count()
     pairs = pairs.filter(F.col("contexts") >= min_contexts)
     # the documents with the term in any window are some of those with the term, so the share
     # is at most this; it spares the corpus count the words that stand near all entities
@@ -218,11 +225,21 @@ def disclosing_terms(
     all_named = named.agg(F.sum("named")).first()[0] or 0  # one number
     share = F.least(F.col("together") / F.col("documents"), F.lit(1.0))
     bits = F.log2(share * F.lit(all_named) / F.col("named"))
+    if min_bits is None:
+        rate = F.col("named") / F.lit(max(rows.count(), 1))  # of all documents, those that name the entity
+
+        def part(p: Column, q: Column) -> Column:
+            return F.when(p > 0, p * F.log(p / q)).otherwise(0.0)
+
+        far = F.when(rate >= 1, 0.0).otherwise(part(share, rate) + part(1 - share, 1 - rate))
+        strong = (share > rate) & (F.col("documents") * far >= math.log(max(tried, 1) / MOST_BY_CHANCE))
+    else:
+        strong = bits >= min_bits
     strength = (
         pairs.join(counted, "term")
         .join(named, "entity")
+        .filter((share >= min_share) & strong)
         .select("term", share.alias("share"), bits.alias("bits"))
-        .filter((F.col("share") >= min_share) & (F.col("bits") >= min_bits))
     )
     return materialise(strength.groupBy("term").agg(F.max("share").alias("share"), F.max("bits").alias("bits")))
 

@@ -165,3 +165,25 @@ def test_disclosing_terms_against_brute_force(spark):
     assert {r["term"]: (round(r["share"], 9), round(r["bits"], 9)) for r in terms} == {
         t: (round(a, 9), round(b, 9)) for t, (a, b) in wanted.items()
     }
+
+
+def test_frequent_entities_are_disclosed_with_production_defaults(spark):
+    frame = _disclosing(spark)
+    rows = {r["doc_id"]: r["spans"] for r in pii.span_report(frame).collect()}
+    text = {r[0]: r[1] for r in frame.collect()}
+    for i in (0, 40):
+        at = text[i].index("Zebulon")
+        assert f"term:{at}:{at + 7}" in rows[i]
+    assert not any("term" in rows[i] for i in range(41, 60))
+    cleaned = {r[0]: r[1] for r in pii.sanitise(frame).collect()}
+    assert "Zebulon" not in cleaned[0] and "Zebulon" not in cleaned[40] and cleaned[41] == text[41]
+
+
+def test_two_windows_suffice_for_a_rare_term(spark):
+    rng = random.Random(5)
+    line = lambda n: " ".join("".join(rng.choices("abcdefghijkl", k=6)) for _ in range(n))
+    texts = [(i, f"{line(9)} other{i}@b.example {line(9)}") for i in range(400)]
+    texts += [(i, f"{line(9)} write Quillon zeb@mail.example.com today {line(9)}") for i in (400, 401)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    terms = {r["term"] for r in pii.disclosing_terms(frame, pii.base_spans(frame)).collect()}
+    assert "quillon" in terms and not any(len(t) == 6 for t in terms)
