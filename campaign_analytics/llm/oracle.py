@@ -69,3 +69,28 @@ SELECT doc_id, size, source_size, target,
        CAST(epochs * size + greatest(0, least(size, budget - epochs * source_size - words_before)) AS BIGINT) AS taken
 FROM cut
 """
+
+FILL_MIDDLE = """
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+         sha256(concat('1:', coalesce(CAST(doc_id AS VARCHAR), ''))) AS k
+  FROM documents
+), drawn AS (
+  SELECT *, [CAST('0x' || substr(k, 8 * i + 1, 8) AS BIGINT) FOR i IN [0, 1, 2, 3]] AS h FROM docs
+), cut AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+         CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90
+              THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn
+), parts AS (
+  SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1, n - b) AS suffix FROM cut
+)
+SELECT doc_id, n, form,
+       CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t
+                        WHEN 'psm' THEN concat('<P>', prefix, '<S>', suffix, '<M>', middle)
+                        ELSE concat('<S>', suffix, '<P>', prefix, '<M>', middle) END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM parts
+"""

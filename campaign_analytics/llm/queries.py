@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import (
     cover_tree,
+    fill_middle,
     mixing,
     oracle,
     packing,
@@ -69,6 +70,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), COUNTING_TOKENIZER)
 
 
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    output, text = F.col("output"), fill_middle.restored(F.col("output"), F.col("form"))
+    digests = [F.sha2(output, 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256")]
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cover_tree": op1_cover_tree,
     "op2_quality_crf": op2_quality_crf,
@@ -80,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
+    "op13_fill_middle": op13_fill_middle,
 }
 
 #: The other operators learn models, or hash, encode and pack in ways SQL does not have; the
@@ -88,4 +97,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_cover_tree": oracle.TOP_K,
     "op5_substring_dedup": oracle.SUBSTRING_DEDUP,
     "op8_mixing": oracle.MIXING,
+    "op13_fill_middle": oracle.FILL_MIDDLE,
 }
