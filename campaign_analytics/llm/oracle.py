@@ -94,3 +94,41 @@ SELECT doc_id, n, form,
        sha256(t) AS restored_sha256
 FROM parts
 """
+
+
+def centroid_clustering(k: int = 8, rounds: int = 10) -> str:
+    """Every round in full: all distances, floor of the mean, then the last assignment."""
+    distance = "list_sum(list_transform(r.v, lambda x, i: (x - c.v[i]) * (x - c.v[i])))"
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""near{i} AS MATERIALIZED (
+  SELECT r.vec_id, any_value(r.v) AS v, min([CAST({distance} AS BIGINT), c.number]) AS best
+  FROM kept r CROSS JOIN centre{i} c GROUP BY r.vec_id
+)""")
+        if i < rounds:
+            steps.append(f"""mean{i} AS (
+  SELECT number, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY place) AS v
+  FROM (
+    SELECT best[2] AS number, place, sum(v[place]) AS s, count(*) AS n
+    FROM near{i}, (SELECT unnest(range(1, 65)) AS place) GROUP BY 1, 2
+  ) GROUP BY number
+), centre{i + 1} AS MATERIALIZED (
+  SELECT number, coalesce(m.v, c.v) AS v FROM centre{i} c LEFT JOIN mean{i} m USING (number)
+)""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), centre0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS number, v
+  FROM kept QUALIFY number < {k}
+), {", ".join(steps)},
+digests AS (
+  SELECT number, sha256(array_to_string(v, ',')) AS centroid_sha256 FROM centre{rounds}
+)
+SELECT vec_id, CAST(best[2] AS INTEGER) AS cluster, best[1] AS distance,
+       CAST(sum(best[1]) OVER (PARTITION BY best[2]) AS BIGINT) AS cluster_inertia,
+       CAST(sum(best[1]) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM near{rounds} JOIN digests ON best[2] = number
+"""

@@ -15,6 +15,7 @@ from . import (
     oracle,
     packing,
     pii,
+    ptolemaic,
     quality_crf,
     quality_rules,
     simhash_vp,
@@ -70,6 +71,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), COUNTING_TOKENIZER)
 
 
+def op11_ptolemaic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ptolemaic.cluster(table(spark, sf_dir, "embeddings"))
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256")
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest)
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
     output, text = F.col("output"), fill_middle.restored(F.col("output"), F.col("form"))
@@ -88,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
+    "op11_ptolemaic": op11_ptolemaic,
     "op13_fill_middle": op13_fill_middle,
 }
 
@@ -97,5 +105,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_cover_tree": oracle.TOP_K,
     "op5_substring_dedup": oracle.SUBSTRING_DEDUP,
     "op8_mixing": oracle.MIXING,
+    "op11_ptolemaic": oracle.centroid_clustering(),
     "op13_fill_middle": oracle.FILL_MIDDLE,
 }
