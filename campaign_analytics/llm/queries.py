@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import (
     cover_tree,
     fill_middle,
+    hidden_markov,
     mixing,
     oracle,
     packing,
@@ -77,6 +78,10 @@ def op11_ptolemaic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest)
 
 
+def op12_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hidden_markov.score(table(spark, sf_dir, "documents"))
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
     output, text = F.col("output"), fill_middle.restored(F.col("output"), F.col("form"))
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
     "op11_ptolemaic": op11_ptolemaic,
+    "op12_hidden_markov": op12_hidden_markov,
     "op13_fill_middle": op13_fill_middle,
 }
 
