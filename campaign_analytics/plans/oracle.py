@@ -221,6 +221,76 @@ _WITH_PROFILES = [
     ("named", "SELECT l.*, p.profile FROM labelled l LEFT JOIN profiles p USING (cluster)"),
 ]
 
+_PROFILE_COUNTS = ("pc", "SELECT profile, count(*) AS customer_count FROM named GROUP BY profile")
+_PROFILE_SHARES = f"""
+SELECT profile, customer_count, {R2('customer_count / sum(customer_count) OVER () * 100')} AS customer_pct FROM pc"""
+_GROUPS = ("cg", "SELECT customer_id, min(ab_group) AS ab_group FROM m_abt_a GROUP BY customer_id")
+_GROUP_SUMMARY = f"""
+SELECT profile, cg.ab_group, count(DISTINCT customer_id) AS customer_count,
+       {R2(XSUM('revenue'))} AS revenue, {R2(XAVG('revenue'))} AS mean_revenue,
+       {R2('avg(avg_ticket)')} AS mean_avg_ticket, {R2('avg(order_count)')} AS mean_order_count
+FROM (SELECT * EXCLUDE (ab_group) FROM named) n LEFT JOIN cg USING (customer_id)
+WHERE cg.ab_group IS NOT NULL AND profile IS NOT NULL
+GROUP BY profile, cg.ab_group"""
+_POINT_FEATURES = ["order_count", "revenue", "avg_ticket", "avg_days_between_orders"]
+
+
+def _away(p: str, c: str) -> str:
+    return "(" + " + ".join(f"({p}[{i}] - {c}[{i}]) * ({p}[{i}] - {c}[{i}])" for i in range(1, 5)) + ")"
+
+
+def _exact_kmeans(k: int = 4, most_steps: int = 300, grid: int = 10_000) -> list[tuple[str, str]]:
+    """CTEs up to ``fitted``: the clustered customers with their label, by Lloyd's steps in whole numbers."""
+
+    def whole(f: str) -> str:
+        z = f"CASE WHEN stddev_pop({f}) OVER () = 0 THEN 0.0 ELSE ({f} - avg({f}) OVER ()) / stddev_pop({f}) OVER () END"
+        return f"CAST(floor(({z}) * {grid} + 0.5) AS BIGINT)"
+
+    origin = "[" + ", ".join(["0"] * 4) + "]"
+    ctes = [
+        ("features", _FEATURES),
+        ("cluster_input", _CLUSTER_INPUT),
+        ("pts AS MATERIALIZED", f"SELECT *, [{', '.join(whole(f) for f in _POINT_FEATURES)}] AS p FROM cluster_input"),
+        ("seeds1", f"SELECT [p] AS c FROM (SELECT p FROM pts ORDER BY {_away('p', origin)}, customer_id LIMIT 1)"),
+    ]
+    for i in range(2, k + 1):
+        nearest = f"list_min(list_transform(c, lambda x: {_away('p', 'x')}))"
+        ctes.append((
+            f"seeds{i}",
+            f"""SELECT list_append(c, p) AS c FROM (
+                  SELECT c, p FROM pts, seeds{i - 1} ORDER BY {nearest} DESC, customer_id LIMIT 1)""",
+        ))
+    mean = "[" + ", ".join(
+        f"CAST((sum(p[{i}]) - ((sum(p[{i}]) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT)" for i in range(1, 5)
+    ) + "]"
+    shift = " + ".join(_away(f"moved[{j}]", f"c[{j}]") for j in range(1, k + 1))
+    moved = "[" + ", ".join(f"coalesce(any_value(m) FILTER (j = {j}), any_value(c)[{j}])" for j in range(1, k + 1)) + "]"
+    away = f"list_transform(c, lambda x: {_away('p', 'x')})"
+    ctes.append((
+        "steps(n, c, shift) AS",
+        f"""SELECT 0, c, CAST(1000000000 AS BIGINT) FROM seeds{k}
+            UNION ALL
+            SELECT n + 1, moved, CAST({shift} AS BIGINT) FROM (
+              SELECT n, any_value(c) AS c, {moved} AS moved FROM (
+                SELECT n, any_value(c) AS c, j, {mean} AS m FROM (
+                  SELECT n, c, p, list_position({away}, list_min({away})) AS j
+                  FROM steps, pts WHERE n < {most_steps} AND shift > {grid * grid // 10_000}
+                ) GROUP BY n, j
+              ) GROUP BY n)""",
+    ))
+    ctes.append(("centres", "SELECT c FROM steps ORDER BY n DESC LIMIT 1"))
+    ctes.append((
+        "fitted AS MATERIALIZED",
+        f"""SELECT pts.*, CAST(list_position({away}, list_min({away})) - 1 AS INTEGER) AS cluster,
+                   list_min({away}) AS away FROM pts, centres""",
+    ))
+    return ctes
+
+
+_FITTED = [*_exact_kmeans(), ("labelled", "SELECT * EXCLUDE (p, away) FROM fitted")]
+_FITTED_PROFILES = [*_FITTED, *_WITH_PROFILES[-2:]]
+
+
 QUERIES: dict[str, tuple[list[str], list[tuple[str, str]], str]] = {
     "exploratory_join": (
         ["m_x_a"],
@@ -561,9 +631,22 @@ QUERIES: dict[str, tuple[list[str], list[tuple[str, str]], str]] = {
     "profile_means": (["m_abt_a"], _WITH_PROFILES, _means("profile", "named")),
     "profile_shares": (
         ["m_abt_a"],
-        [*_WITH_PROFILES, ("pc", "SELECT profile, count(*) AS customer_count FROM named GROUP BY profile")],
-        f"SELECT profile, customer_count, {R2('customer_count / sum(customer_count) OVER () * 100')} AS customer_pct FROM pc",
+        [*_WITH_PROFILES, _PROFILE_COUNTS],
+        _PROFILE_SHARES,
     ),
+    "customer_clusters": (["m_abt_a"], _FITTED, "SELECT * FROM labelled"),
+    "cluster_centres": (
+        ["m_abt_a"],
+        _FITTED,
+        """SELECT CAST(number AS INTEGER) AS cluster, count(away) AS customer_count, any_value(x)[1] AS centre_order_count,
+                  any_value(x)[2] AS centre_revenue, any_value(x)[3] AS centre_avg_ticket,
+                  any_value(x)[4] AS centre_avg_days_between_orders, CAST(coalesce(sum(away), 0) AS BIGINT) AS inertia
+           FROM (SELECT unnest(c) AS x, unnest(range(len(c))) AS number FROM centres)
+           LEFT JOIN fitted ON cluster = number GROUP BY number""",
+    ),
+    "fitted_cluster_means": (["m_abt_a"], _FITTED, _means("cluster", "labelled")),
+    "fitted_cluster_profiles": (["m_abt_a"], [*_FITTED, ("profiles", _PROFILES)], "SELECT * FROM profiles"),
+    "fitted_profile_shares": (["m_abt_a"], [*_FITTED_PROFILES, _PROFILE_COUNTS], _PROFILE_SHARES),
     "customer_groups": (
         ["m_abt_a"],
         [],
@@ -590,19 +673,8 @@ QUERIES: dict[str, tuple[list[str], list[tuple[str, str]], str]] = {
         """SELECT cg.ab_group, count(*) AS customer_count
            FROM cluster_input c JOIN cg USING (customer_id) WHERE cg.ab_group IS NOT NULL GROUP BY cg.ab_group""",
     ),
-    "profile_group_summary": (
-        ["m_abt_a"],
-        [
-            *_WITH_PROFILES,
-            ("cg", "SELECT customer_id, min(ab_group) AS ab_group FROM m_abt_a GROUP BY customer_id"),
-        ],
-        f"""SELECT profile, cg.ab_group, count(DISTINCT customer_id) AS customer_count,
-                   {R2(XSUM('revenue'))} AS revenue, {R2(XAVG('revenue'))} AS mean_revenue,
-                   {R2('avg(avg_ticket)')} AS mean_avg_ticket, {R2('avg(order_count)')} AS mean_order_count
-            FROM (SELECT * EXCLUDE (ab_group) FROM named) n LEFT JOIN cg USING (customer_id)
-            WHERE cg.ab_group IS NOT NULL AND profile IS NOT NULL
-            GROUP BY profile, cg.ab_group""",
-    ),
+    "profile_group_summary": (["m_abt_a"], [*_WITH_PROFILES, _GROUPS], _GROUP_SUMMARY),
+    "fitted_profile_group_summary": (["m_abt_a"], [*_FITTED_PROFILES, _GROUPS], _GROUP_SUMMARY),
 }
 
 
@@ -623,8 +695,10 @@ def _model_closure(names: list[str]) -> list[str]:
 def sql(name: str) -> str:
     models, local, final = QUERIES[name]
     ctes = [(m, MODEL[m]) for m in _model_closure(models)] + list(local)
-    with_clause = ",\n".join(f"{n} AS ({body}\n)" for n, body in ctes)
-    return f"WITH {with_clause}\n{final}" if ctes else final
+    with_clause = ",\n".join(f"{n if ' AS' in n else n + ' AS'} ({body}\n)" for n, body in ctes)
+    # a CTE that names its columns is one that reads itself
+    start = "WITH RECURSIVE" if any("(" in n for n, _ in ctes) else "WITH"
+    return f"{start} {with_clause}\n{final}" if ctes else final
 
 
 def all_sql() -> dict[str, str]:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..operators import ingest, joins, kpis, profiles, quality, segments, viability
+from ..operators import exact_kmeans, ingest, joins, kpis, profiles, quality, segments, viability
 from ..session import ensure_checkpoint_dir
 from ..sources import readers
 from ..sources import testviews as tv
@@ -68,7 +68,7 @@ def _scaled_rounded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _fitted_a(spark: SparkSession, d: str) -> DataFrame:
-    return profiles.fit_clusters(_cluster_input_a(spark, d))
+    return exact_kmeans.fit_clusters(_cluster_input_a(spark, d))
 
 
 def _kmeans_checks(spark: SparkSession, d: str) -> DataFrame:
@@ -181,13 +181,14 @@ QUERIES: dict[str, Query] = {
         }
     ),
     "latest_order": lambda s, d: ingest.keep_latest_order(silver_orders_b(s, d)),
-    # customer profiles.  The cluster summaries run on deterministic labels
-    # (customer_id mod 4, every clustered customer kept) so that SQL can check them; the
-    # fitted_* entries and customer_clusters run the same operators on k-means labels.
+    # customer profiles.  The cluster summaries run on the labels customer_id mod 4 (every
+    # clustered customer kept); the fitted_* entries and customer_clusters run on the labels of
+    # the exact k-means; kmeans_checks on a fit of Spark ML's.
     "customer_features": lambda s, d: profiles.customer_features(abt_a(s, d)),
     "cluster_input": _cluster_input_a,
     "scaled_features": _scaled_rounded,
     "customer_clusters": _fitted_a,
+    "cluster_centres": lambda s, d: exact_kmeans.cluster_centres(_cluster_input_a(s, d)),
     "kmeans_checks": _kmeans_checks,
     "cluster_means": lambda s, d: profiles.cluster_means(_fixed_labels_a(s, d)),
     "cluster_sizes": lambda s, d: profiles.cluster_sizes(_fixed_labels_a(s, d)),
@@ -197,7 +198,9 @@ QUERIES: dict[str, Query] = {
     "customer_groups": lambda s, d: profiles.customer_group(abt_a(s, d)),
     "customer_group": lambda s, d: profiles.clustered_group_counts(_cluster_input_a(s, d)),
     "profile_group_summary": lambda s, d: profiles.profile_group_summary(_fixed_labels_a(s, d)),
-    # the same summaries on fitted k-means clusters (no SQL equivalent for k-means)
+    # the summaries on fitted clusters
+    "fitted_cluster_means": lambda s, d: profiles.cluster_means(_fitted_a(s, d)),
+    "fitted_cluster_profiles": lambda s, d: profiles.cluster_profiles(_fitted_a(s, d)),
     "fitted_profile_shares": lambda s, d: profiles.profile_shares(_fitted_a(s, d)),
     "fitted_profile_group_summary": lambda s, d: profiles.profile_group_summary(_fitted_a(s, d)),
 }
