@@ -86,8 +86,11 @@ def exact_sum(c: str | Column) -> Column:
 
 
 def exact_avg(c: str | Column) -> Column:
-    """Row average of money amounts: exact sum divided by the non-null count."""
-    return F.try_divide(exact_sum(c), F.count(col_(c)).cast("double"))
+    """Row average of money amounts: the exact sum divided by the number of amounts in it.
+
+    Amounts that :func:`money` cannot hold count neither above nor below.
+    """
+    return F.try_divide(exact_sum(c), F.count(money(c)).cast("double"))
 
 
 def round2(c: str | Column) -> Column:

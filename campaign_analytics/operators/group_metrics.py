@@ -19,7 +19,7 @@ def group_metrics(orders: DataFrame) -> DataFrame:
     measures = {
         "order_count": F.countDistinct("order_id"),
         "exact_revenue": F.sum(money("order_total_amount")),
-        "amount_rows": F.count("order_total_amount"),
+        "amount_rows": F.count(money("order_total_amount")),
     }
     if "customer_id" in orders.columns:
         measures["customer_count"] = F.countDistinct("customer_id")

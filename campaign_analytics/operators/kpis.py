@@ -48,7 +48,12 @@ def explore_report(x: DataFrame, name: str) -> DataFrame:
 
 def ab_report(abt: DataFrame, name: str) -> DataFrame:
     """One of Q4-Q7: customers, orders, revenue and ratios per group of the ABT."""
-    return _finished(name, _of_known_customers(abt), AB_REPORTS[name])
+    return report_of(_of_known_customers(abt), name)
+
+
+def report_of(metrics: DataFrame, name: str) -> DataFrame:
+    """One of Q4-Q7 from the rows of ``group_metrics.group_metrics``, wherever they come from."""
+    return _finished(name, metrics, AB_REPORTS[name])
 
 
 def _of_known_customers(abt: DataFrame) -> DataFrame:

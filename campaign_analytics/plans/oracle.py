@@ -177,6 +177,14 @@ SELECT {segment}, ab_group,
 FROM seg GROUP BY {segment}, ab_group"""
 
 
+def _top(column: str) -> str:
+    return f"""
+SELECT customer_id, {column}, n AS order_rows FROM (
+  SELECT customer_id, {column}, count(*) AS n, row_number() OVER (PARTITION BY customer_id ORDER BY count(*) DESC, {column}) AS place
+  FROM m_abt_a WHERE customer_id IS NOT NULL AND {column} IS NOT NULL GROUP BY customer_id, {column}
+) WHERE place = 1"""
+
+
 _FEATURES = f"""
 SELECT customer_id, order_count, revenue, avg_ticket, last_order_at, first_order_at, ab_group, active_days,
        CASE WHEN order_count > 1 THEN active_days / (order_count - 1) END AS avg_days_between_orders
@@ -675,6 +683,69 @@ QUERIES: dict[str, tuple[list[str], list[tuple[str, str]], str]] = {
     ),
     "profile_group_summary": (["m_abt_a"], [*_WITH_PROFILES, _GROUPS], _GROUP_SUMMARY),
     "fitted_profile_group_summary": (["m_abt_a"], [*_FITTED_PROFILES, _GROUPS], _GROUP_SUMMARY),
+    "undeclared_fields": (
+        ["m_orders_a"],
+        [("w", "SELECT order_id AS o FROM m_orders_a WHERE order_id % 97 <> 5")],
+        """SELECT 'app_version' AS field_name, count(*) AS value_count, 'STRING' AS value_type FROM w WHERE o % 3 = 0
+           UNION ALL SELECT 'loyalty', count(*), 'OBJECT<tier: BIGINT>' FROM w WHERE o % 10 = 4
+           UNION ALL SELECT 'courier_id', count(*), 'BIGINT' FROM w WHERE o % 5 = 2""",
+    ),
+    "undeclared_item_fields": (
+        [],
+        [("i", "SELECT l_partkey AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey")],
+        """SELECT 'line' AS field_name, count(*) AS value_count, 'BIGINT' AS value_type FROM i WHERE p % 5 = 0
+           UNION ALL SELECT 'tags', count(*), 'ARRAY<STRING>' FROM i WHERE p % 9 = 0""",
+    ),
+    "item_states": (
+        ["m_orders_a"],
+        [],
+        """SELECT CASE WHEN item_count IS NULL THEN 'absent' ELSE 'items' END AS items_state, count(*) AS order_rows,
+                  CAST(coalesce(sum(item_count), 0) AS BIGINT) AS item_count
+           FROM m_orders_a GROUP BY 1""",
+    ),
+    "sql_abt_period": (
+        ["m_abt_a"],
+        [],
+        """SELECT * EXCLUDE (item_count, discount_sum, strict_sum) FROM m_abt_a
+           WHERE order_created_at >= TIMESTAMP '1996-01-01' AND order_created_at < TIMESTAMP '1996-04-01'""",
+    ),
+    "gold_month_rewrite": (
+        ["m_abt_a"],
+        [("g", "SELECT *, coalesce(strftime(order_created_at, '%Y-%m'), 'none') AS order_month FROM m_abt_a")],
+        f"""SELECT order_month, count(*) AS row_count, order_month = '1995-03' AS rewritten,
+                   {R2(XSUM("CASE WHEN order_month = '1995-03' THEN 2 * order_total_amount ELSE order_total_amount END"))}
+                   AS revenue
+            FROM g GROUP BY order_month""",
+    ),
+    "top_merchant": (["m_abt_a"], [], _top("merchant_id")),
+    "top_city": (["m_abt_a"], [], _top("merchant_city")),
+}
+
+_QUARTER = "(SELECT * FROM m_abt_a WHERE strftime(order_created_at, '%Y-%m') IN ('1996-01', '1996-02', '1996-03'))"
+#: Queries that reach a result another way: the same SQL.
+QUERIES |= {
+    "sql_exploratory_join": QUERIES["exploratory_join"],
+    "sql_abt": QUERIES["abt"],
+    "catalog_gold": QUERIES["gold_layer"],
+    "typed_items_variant": QUERIES["typed_items"],
+    "bitmap_group_kpis": QUERIES["group_kpis"],
+    "bitmap_group_customers": QUERIES["group_customers"],
+    "bitmap_group_summary_share": QUERIES["group_summary_share"],
+    "bitmap_orders_per_customer": QUERIES["orders_per_customer"],
+    "bitmap_campaign_viability": QUERIES["campaign_viability"],
+    "bitmap_quarter_kpis": (["m_abt_a"], [], QUERIES["group_kpis"][2].replace("m_abt_a", _QUARTER)),
+    "quality_observed": (
+        *QUERIES["quality_malformed"][:2],
+        QUERIES["quality_malformed"][2]
+        + """ UNION ALL SELECT 'customer_id', count(*), count(*) FILTER (WHERE customer_id IS NULL OR order_id % 97 = 5)
+             FROM m_orders_a""",
+    ),
+    "streamed_latest_order": (
+        ["m_orders_b"],
+        [("latest", QUERIES["latest_order"][2])],
+        """SELECT CAST(order_id AS VARCHAR) AS order_id, CAST(customer_id AS VARCHAR) AS customer_id, order_total_amount,
+                  order_created_at, order_scheduled FROM latest""",
+    ),
 }
 
 

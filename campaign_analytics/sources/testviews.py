@@ -71,7 +71,8 @@ def restaurant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per order: its merchant, and its items as JSON text, some without a discount.
+    """Per order: its merchant, and its items as JSON text, some without a discount, some with
+    fields that the item schema lacks.
 
     Grouping line items per order is bounded by the number of lines an order has
     (at most seven in TPC-H), so the per-order list is small.
@@ -84,6 +85,8 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("BRL").alias("currency"),
         ).alias("discount"),
         F.col("l_quantity").cast("string").alias("quantity"),
+        F.when(F.col("l_partkey") % 5 == 0, F.col("l_linenumber")).alias("line"),
+        F.when(F.col("l_partkey") % 9 == 0, F.array(F.col("l_returnflag"), F.col("l_linestatus"))).alias("tags"),
     )
     merchant = F.min("l_suppkey")
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
@@ -123,7 +126,8 @@ def orders_b_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every order's complete raw record as one line of JSON text; some lines and values are broken."""
+    """Every order's complete raw record as one line of JSON text, some with fields that the schema
+    lacks; some lines and values are broken."""
     id_ = F.col("order_id")
     text = lambda c: c.cast("string")
     digits = lambda c, n: F.lpad((c % (10**n)).cast("string"), n, "0")
@@ -153,7 +157,13 @@ def order_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "order_scheduled": F.when(id_ % 67 == 0, "maybe").otherwise(text(F.col("order_scheduled"))),
         "order_total_amount": F.when(id_ % 77 == 0, "abc").otherwise(text(F.col("order_total_amount"))),
     }
-    record = F.to_json(F.struct(*[fields[f.name].alias(f.name) for f in ORDER_RAW]))
+    more = {
+        "app_version": F.when(id_ % 3 == 0, F.concat(F.lit("9."), id_ % 12)),
+        "loyalty": F.when(id_ % 10 == 4, F.struct((id_ % 4).alias("tier"))),
+        "courier_id": F.when(id_ % 5 == 2, id_ % 1000),
+    }
+    named = [fields[f.name].alias(f.name) for f in ORDER_RAW] + [value.alias(name) for name, value in more.items()]
+    record = F.to_json(F.struct(*named))
     line = F.when(id_ % 97 == 5, F.left(record, F.lit(40))).otherwise(record)
     return orders_a_raw(spark, sf_dir).select(line.alias("value"))
 

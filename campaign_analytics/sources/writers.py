@@ -12,6 +12,7 @@ def write_layer(
     sort_within: list[str] | None = None,
     max_records_per_file: int | None = None,
     partition_by: list[str] | None = None,
+    only_these_partitions: bool = False,
 ) -> None:
     """Write a layer as Parquet, to a path or (no ``/`` in ``location``) a catalog table.
 
@@ -20,7 +21,8 @@ def write_layer(
     later filters skip row groups and compresses repeated values better (measured on the
     gold table: ~13 % more write time, a much smaller output).  The write goes through
     Spark's commit protocol, so a lost executor's partial files are discarded and its
-    tasks rerun.
+    tasks rerun.  ``only_these_partitions`` overwrites the folders of ``partition_by`` that
+    the rows fall into and leaves the others.
     """
     if sort_within:
         df = df.sortWithinPartitions(*sort_within)
@@ -29,6 +31,8 @@ def write_layer(
         writer = writer.option("maxRecordsPerFile", max_records_per_file)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    if only_these_partitions:
+        writer = writer.option("partitionOverwriteMode", "dynamic")
     if "/" in location or ":" in location:
         writer.save(location)
     else:
