@@ -21,6 +21,8 @@ from .profiles import DEFAULT_K, FEATURES, MAX_ITER, SHIFT_TOLERANCE, scaled_fea
 #: Grid steps of one standard deviation.  A z-score is at most the square root of the number of
 #: customers, so squared distances fit 64 bits up to 10**10 customers.
 GRID = 10_000
+#: Points that may be seeds; a seeding step sums the distances that each of them would leave.
+CANDIDATES = 12
 
 
 def _point(feature: str) -> str:
@@ -52,18 +54,21 @@ def _nearest(centres: list[list[int]]) -> tuple[Column, Column]:
     return number, least
 
 
-def seed_centres(points: DataFrame, k: int, id_col: str = "customer_id") -> list[list[int]]:
-    """The point nearest to the mean, then k - 1 times the point farthest from its nearest seed.
+def seed_centres(points: DataFrame, k: int, id_col: str = "customer_id", candidates: int = CANDIDATES) -> list[list[int]]:
+    """k times the candidate that leaves the least sum of squared distances from the nearest seed.
 
-    Ties go to the lowest id.  With fewer than k different points the last ones repeat.
+    Candidates are the points whose ids have the smallest md5, at most ``candidates`` of them, so
+    an outlier is hardly one; every point counts in the sums.  Ties go to the smaller md5.  With
+    fewer than k different points the last seeds repeat.
     """
+    key = F.md5(F.col(id_col).cast("string").cast("binary"))
+    drawn = [[r[c] for c in POINT] for r in points.orderBy(key, id_col).limit(candidates).collect()]
     seeds: list[list[int]] = []
-    for _ in range(k):
-        away = _nearest(seeds)[1] * -1 if seeds else squared_distance([0] * len(POINT))
-        row = points.agg(F.min(F.struct(away.alias("away"), F.col(id_col), *POINT)).alias("best")).first()
-        if row["best"] is None:
-            return []
-        seeds.append([row["best"][c] for c in POINT])
+    for _ in range(k if drawn else 0):
+        away = [squared_distance(c) for c in drawn]
+        left = [F.least(_nearest(seeds)[1], d) for d in away] if seeds else away
+        sums = points.agg(*[F.sum(d.cast("decimal(20,0)")) for d in left]).first()
+        seeds.append(drawn[min(range(len(drawn)), key=lambda i: (sums[i], i))])
     return seeds
 
 

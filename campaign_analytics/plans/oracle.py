@@ -247,26 +247,31 @@ def _away(p: str, c: str) -> str:
     return "(" + " + ".join(f"({p}[{i}] - {c}[{i}]) * ({p}[{i}] - {c}[{i}])" for i in range(1, 5)) + ")"
 
 
-def _exact_kmeans(k: int = 4, most_steps: int = 300, grid: int = 10_000) -> list[tuple[str, str]]:
+def _exact_kmeans(k: int = 4, most_steps: int = 300, grid: int = 10_000, candidates: int = 12) -> list[tuple[str, str]]:
     """CTEs up to ``fitted``: the clustered customers with their label, by Lloyd's steps in whole numbers."""
 
     def whole(f: str) -> str:
         z = f"CASE WHEN stddev_pop({f}) OVER () = 0 THEN 0.0 ELSE ({f} - avg({f}) OVER ()) / stddev_pop({f}) OVER () END"
         return f"CAST(floor(({z}) * {grid} + 0.5) AS BIGINT)"
 
-    origin = "[" + ", ".join(["0"] * 4) + "]"
     ctes = [
         ("features", _FEATURES),
         ("cluster_input", _CLUSTER_INPUT),
         ("pts AS MATERIALIZED", f"SELECT *, [{', '.join(whole(f) for f in _POINT_FEATURES)}] AS p FROM cluster_input"),
-        ("seeds1", f"SELECT [p] AS c FROM (SELECT p FROM pts ORDER BY {_away('p', origin)}, customer_id LIMIT 1)"),
+        (
+            "drawn",
+            f"""SELECT p AS x, row_number() OVER (ORDER BY md5(CAST(customer_id AS VARCHAR)), customer_id) AS place
+                FROM pts QUALIFY place <= {candidates}""",
+        ),
+        ("seeds0", "SELECT CAST([] AS BIGINT[][]) AS c"),
     ]
-    for i in range(2, k + 1):
-        nearest = f"list_min(list_transform(c, lambda x: {_away('p', 'x')}))"
+    nearest = f"list_min(list_transform(c, lambda y: {_away('p', 'y')}))"
+    for i in range(1, k + 1):
+        # the least of a number and the NULL of no seed is the number
         ctes.append((
             f"seeds{i}",
-            f"""SELECT list_append(c, p) AS c FROM (
-                  SELECT c, p FROM pts, seeds{i - 1} ORDER BY {nearest} DESC, customer_id LIMIT 1)""",
+            f"""SELECT list_append(any_value(c), any_value(x)) AS c FROM seeds{i - 1}, pts, drawn
+                GROUP BY place ORDER BY sum(least({nearest}, {_away('p', 'x')})), place LIMIT 1""",
         ))
     mean = "[" + ", ".join(
         f"CAST((sum(p[{i}]) - ((sum(p[{i}]) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT)" for i in range(1, 5)

@@ -21,6 +21,8 @@ BASE_CONF = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.files.maxPartitionBytes": "128m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # checkpoints go when the tables that read them do
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # rows of one Arrow batch: whole texts go to Python workers, and some are long
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
@@ -55,14 +57,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, setting one only where none is configured.
 
     The cluster names its shared folder in ``spark.checkpoint.dir``; that is used as is.
-    Where it is unset, as in tests, checkpoints go to a folder of the session's own
-    warehouse, which every executor of the session shares.
+    Where it is unset in a local session, as in tests, checkpoints go to a folder of the
+    session's own warehouse; on a cluster that folder may be one machine's own, so there an
+    unset checkpoint folder is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     folder = configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
     sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
