@@ -69,10 +69,10 @@ def line_features(run: wordhash.Run) -> tuple[np.ndarray, np.ndarray, np.ndarray
         sums = np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))
         return (sums[last] - sums[first]) / words
 
+    line_of_word = np.searchsorted(ends, run.starts)
     same = np.zeros(len(run.words), bool)
-    same[1:] = run.words[1:] == run.words[:-1]
+    same[1:] = (run.words[1:] == run.words[:-1]) & (line_of_word[1:] == line_of_word[:-1])
     own.append(per_word(same))
-    line_of_word = np.searchsorted(ends, run.starts)
     own.append(per_word(wordhash.equal_within(run.words, line_of_word)[0]))
     owner = run.doc_of_word()
     windows = wordhash.hash_windows(run.words, 3, _WINDOW)
@@ -140,6 +140,17 @@ def marginals(good: np.ndarray, steps: np.ndarray, positions: list[np.ndarray])
     return 1 / (1 + np.exp(np.clip(total[:, 0] - total[:, 1], -500, 500))), norm, expected
 
 
+def line_scores(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The products of the lines' features with the weights, added up feature by feature.
+
+    A matrix product would round by the number of lines, and so by what else is in a batch.
+    """
+    out = np.zeros(len(x))
+    for feature, weight in zip(x.T, weights):
+        out += feature * weight
+    return out
+
+
 class LineField:
     """Weights of the line features and of the transitions."""
 
@@ -148,7 +159,7 @@ class LineField:
 
     def score(self, x: np.ndarray, size: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
         """Length-weighted mean of the lines' marginals per text; 0 for a text without words."""
-        good, _, _ = marginals(x @ self.weights, self.steps, _by_position(doc))
+        good, _, _ = marginals(line_scores(x, self.weights), self.steps, _by_position(doc))
         total = np.bincount(doc, weights=size, minlength=n)
         return np.bincount(doc, weights=size * good, minlength=n) / np.maximum(total, 1)
 
@@ -263,6 +274,11 @@ def keep_good(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """The rows of ``docs`` whose score reaches the threshold, all columns."""
+    """The rows of ``docs`` whose score reaches the threshold, all columns.
+
+    Null and empty texts score 0 and go, with any threshold above 0.  Null ids, repeated rows
+    and extra columns of any name are kept as they are; each row is judged by its own text.
+    Without labels every text with a word scores a half.  Empty table: no rows.
+    """
     field = fit_field(docs, labels, rows_per_class, id_col=id_col, text_col=text_col)
     return docs.filter(scorer(field)(as_utf8(text_col)) >= threshold).select(*docs.columns)
