@@ -41,6 +41,16 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(frame: DataFrame, path: str) -> DataFrame:
+    """A table of few rows with large values, in a shared folder, and read again by column.
+
+    Only a few values are held before they are written; they are compressed already.
+    """
+    writer = frame.write.option("parquet.page.size.row.check.min", 1).option("parquet.block.size.row.check.min", 1)
+    writer.option("compression", "none").parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def as_utf8(text: DataFrame | str = "text"):
     """The text column as a string; any other type is cast, null stays null."""
     return F.col(text).cast("string")
@@ -72,7 +82,7 @@ def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[
     for i in range(len(values)):
         value = values[i].as_py()
         run.append(value)
-        size += len(value) if value else 0
+        size += len(value.encode()) if value else 0
         if size >= max_bytes:
             yield start, run
             start, size, run = i + 1, 0, []

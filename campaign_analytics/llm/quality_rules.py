@@ -1,18 +1,16 @@
 """Operator 9: quality rules with a perplexity band per language.
 
-A modified Kneser-Ney model of ``GRAM`` consecutive code points is counted over all documents.
-Its n-grams are rows of hash-partitioned tables that grow with the input: a run of documents
-sends each of its different n-grams once, counts, continuation counts and probabilities come
-from aggregations and joins, and each run gets back the probabilities of its own n-grams alone.
-Nothing of the model passes through the driver but four counts per order.
-Each document gets its log-perplexity; the median and median deviation per language set a
-lower and an upper bound, narrower for longer texts, outside of which documents are rejected.
-Counting rules come first.
+A modified Kneser-Ney model of five code points is counted over all documents and kept in sorted
+hash arrays over buckets (:mod:`ngram_tables`); a run of documents sends each of its different
+n-grams once and gets back their probabilities.  Each document gets its log-perplexity; the
+median and median deviation per language set a lower and an upper bound, narrower for longer
+texts, outside of which documents are rejected.  Counting rules come first.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,18 +19,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import wordhash
-from .common import as_utf8, importable_on_workers, materialise, text_slices
+from ..session import ensure_checkpoint_dir
+from . import ngram_tables, wordhash
+from .common import as_utf8, importable_on_workers, materialise, text_slices, written
 
-#: Code points of an n-gram of the model.
-GRAM = 5
-#: Bytes of text whose different n-grams are sent together, and code points hashed at once.
+#: Bytes of text whose different n-grams are sent together.
 MODEL_RUN_BYTES = 32 << 20
-_PIECE = 1 << 20
-# Of ``KneserNey``, the model of byte classes in arrays that the tests hold against a plain one.
-ORDER = 4
-CLASS_BITS = 6
-CLASSES = 1 << CLASS_BITS
 MIN_WORDS = 50
 MOST_REPEATED_PERCENT = 50
 REPEAT_WINDOW = 3
@@ -53,89 +45,6 @@ _SYMBOL[list(SYMBOLS)] = True
 _repeat_powers = wordhash.Powers(0xC2B2AE3D27D4EB4F, 1 << 20)
 
 
-def _byte_classes() -> np.ndarray:
-    """A class below 64 for each byte: white space 0, letters one each, digits one, other kinds few."""
-    out = np.full(256, 63, np.uint32)
-    out[list(b" \t\n\r\x0b\x0c")] = 0
-    out[97:123] = np.arange(1, 27)
-    out[65:91] = np.arange(27, 53)
-    out[48:58] = 53
-    out[list(b".;:!?'\"()-")] = 54
-    out[ord(",")] = 55
-    out[list(b"#*$%&<>@/_=+")] = 56
-    out[128:] = 57 + np.arange(128) % 6
-    return out
-
-
-_CLASS = _byte_classes()
-
-
-def classes(raw: bytes) -> np.ndarray:
-    """Byte classes of a text with each run of white space as one space, and one at both ends."""
-    return _CLASS[np.frombuffer(b" " + b" ".join(raw.split()) + b" ", np.uint8)]
-
-
-def ngram_hashes(data: np.ndarray, order: int = ORDER) -> np.ndarray:
-    n = len(data) - order + 1
-    if n <= 0:
-        return np.empty(0, np.uint32)
-    out = data[:n].copy()
-    for k in range(1, order):
-        out = (out << np.uint32(CLASS_BITS)) | data[k : n + k]
-    return out
-
-
-class KneserNey:
-    """Interpolated modified Kneser-Ney over n-gram hashes, in sorted arrays per order.
-
-    ``hashes[k]`` are the hashes of n-grams of k + 1 characters that occur, ``logp[k]`` their
-    log-probabilities; ``contexts[k]`` and ``backoff[k]`` the log-weights with which the next
-    lower order counts after a context of k characters.
-    """
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
-        levels = [(hashes.astype(np.int64), counts.astype(np.int64))]
-        for k in range(ORDER - 1, 0, -1):  # lower orders: how many different characters stand before
-            tail = levels[-1][0] & (CLASSES**k - 1)
-            levels.append(np.unique(tail, return_counts=True))
-        self.hashes, self.logp, self.contexts, self.backoff = [], [], [], []
-        lower_p = np.full(1, 1.0 / CLASSES)
-        lower_h = np.zeros(1, np.int64)
-        for k, (h, n) in enumerate(reversed(levels)):
-            ones, twos, threes, fours = (max(int((n == i).sum()), 1) for i in (1, 2, 3, 4))
-            y = ones / (ones + 2 * twos)
-            d = np.array([0.0, 1 - 2 * y * twos / ones, 2 - 3 * y * threes / twos, 3 - 4 * y * fours / threes])
-            off = np.clip(d, 0.05, [1, 0.95, 1.9, 2.85])[np.minimum(n, 3)]
-            context, of = np.unique(h >> CLASS_BITS, return_inverse=True)
-            total = np.bincount(of, weights=n, minlength=len(context))
-            share = np.bincount(of, weights=off, minlength=len(context)) / total
-            below = lower_p[0] if k == 0 else lower_p[np.searchsorted(lower_h, h & (CLASSES**k - 1))]
-            p = (n - off) / total[of] + share[of] * below
-            lower_p, lower_h = p, h
-            self.hashes.append(h.astype(np.uint32))
-            self.logp.append(np.log(p).astype(np.float32))
-            self.contexts.append(context.astype(np.uint32))
-            self.backoff.append(np.log(share).astype(np.float32))
-
-    def log_probabilities(self, grams: np.ndarray) -> np.ndarray:
-        """The log-probability of the last character of each n-gram after the others."""
-        out = np.zeros(len(grams), np.float32)
-        rest = np.arange(len(grams))
-        for k in range(ORDER - 1, -1, -1):
-            own = grams[rest] & np.uint32(CLASSES ** (k + 1) - 1)
-            at = np.minimum(np.searchsorted(self.hashes[k], own), len(self.hashes[k]) - 1)
-            found = self.hashes[k][at] == own
-            out[rest[found]] += self.logp[k][at[found]]
-            rest, own = rest[~found], own[~found] >> np.uint32(CLASS_BITS)
-            if not len(rest):
-                break
-            at = np.minimum(np.searchsorted(self.contexts[k], own), len(self.contexts[k]) - 1)
-            known = self.contexts[k][at] == own
-            out[rest[known]] += self.backoff[k][at[known]]
-        out[rest] -= np.float32(np.log(CLASSES))
-        return out
-
-
 def base_counts(run: wordhash.Run) -> dict[str, np.ndarray]:
     """The counting rules' figures of each text."""
     data = run.data
@@ -174,106 +83,21 @@ def _codes(plain: bytes) -> np.ndarray:
     return np.frombuffer(plain.decode().encode("utf-32-le"), np.uint32)
 
 
-def _gram_pieces(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """First place, hashes, and which of them lie within one text, of some code points at a time."""
-    for a in range(0, len(codes) - GRAM + 1, _PIECE):
-        piece = codes[a : a + _PIECE + GRAM - 1]
-        n = len(piece) - GRAM + 1
-        h = np.zeros(n, np.uint64)
-        inside = np.ones(n, bool)
-        line = piece == 10
-        for k in range(GRAM):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + piece[k : n + k]
-            inside &= ~line[k : n + k]
-        yield a, wordhash.mix(h), inside
-
-
-_ENTRY = ["gram", "n", "texts"]
-
-
-class GramIndex:
-    """Numbers of hashes: most by a table of their first bits, the others by search."""
-
-    BITS = 21
-
-    def __init__(self, hashes: np.ndarray | None = None):
-        self.hashes = np.empty(0, np.uint64)
-        self._slots = np.zeros(1 << self.BITS, np.int32)
-        if hashes is not None:
-            self.add(hashes)
-
-    def add(self, hashes: np.ndarray) -> None:
-        """Further hashes, none held so far, get the next numbers."""
-        first = len(self.hashes)
-        self.hashes = np.concatenate((self.hashes, hashes))
-        self._slots[self._slot(hashes)] = np.arange(first, len(self.hashes), dtype=np.int32)
-        self._order = np.argsort(self.hashes)
-        self._sorted = self.hashes[self._order]
-
-    def _slot(self, hashes: np.ndarray) -> np.ndarray:
-        return (hashes >> np.uint64(64 - self.BITS)).astype(np.int64)
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """The number of each hash, -1 if there is none."""
-        if not len(self.hashes):
-            return np.full(len(hashes), -1, np.int64)
-        out = self._slots[self._slot(hashes)].astype(np.int64)
-        rest = np.flatnonzero(self.hashes[out] != hashes)
-        at = np.minimum(np.searchsorted(self._sorted, hashes[rest]), len(self.hashes) - 1)
-        out[rest] = np.where(self._sorted[at] == hashes[rest], self._order[at], -1)
-        return out
-
-
-class _Grams:
-    """The different n-grams of a run of texts, their counts, and which stand in several texts."""
-
-    def __init__(self) -> None:
-        self.index, self.counts, self.grams = GramIndex(), np.empty(0, np.int64), []
-        self.first, self.several, self.n_texts = np.empty(0, np.int64), np.empty(0, bool), 0
-
-    def add(self, plain: bytes) -> None:
-        codes = _codes(plain)
-        owners = self.n_texts + np.cumsum(codes == 10)
-        self.n_texts = int(owners[-1]) + 1
-        for a, hashes, inside in _gram_pieces(codes):
-            places = np.flatnonzero(inside)
-            found, owner = self.index.find(hashes[places]), owners[a + places]
-            unknown = np.flatnonzero(found < 0)
-            if len(unknown):
-                new, first, number = np.unique(hashes[places[unknown]], return_index=True, return_inverse=True)
-                found[unknown] = len(self.counts) + number
-                at = a + places[unknown[first]]
-                text = codes[at[:, None] + np.arange(GRAM)].tobytes().decode("utf-32-le")
-                self.grams += [text[i : i + GRAM] for i in range(0, len(text), GRAM)]
-                self.index.add(new)
-                self.counts = np.concatenate((self.counts, np.zeros(len(new), np.int64)))
-                self.first = np.concatenate((self.first, owner[unknown[first]]))
-                self.several = np.concatenate((self.several, np.zeros(len(new), bool)))
-            self.counts += np.bincount(found, minlength=len(self.counts))
-            self.several[found[owner != self.first[found]]] = True
-
-
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per run of texts: its number, documents with their counts, packed texts, n-grams."""
     number = TaskContext.get().partitionId() << 32
-    codec = pa.Codec("zstd", 6)
+    codec = pa.Codec("zstd", 9)
     parts: list[pa.StructArray] = []
     packed: list[bytes] = []
-    grams, held = _Grams(), 0
+    grams, held = ngram_tables.Grams(), 0
 
     def row() -> pa.RecordBatch:
         docs = pa.concat_arrays(parts)
-        entries = pa.RecordBatch.from_arrays(
-            [pa.array(grams.grams, pa.string()), pa.array(grams.counts), pa.array(1 + grams.several.astype(np.int64))],
-            names=_ENTRY,
-        )
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, entries.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            out.write_batch(entries)
         lists = pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs)
-        table = pa.array([sink.getvalue().to_pybytes()], pa.binary())
-        values = [pa.array([number]), lists, pa.array([packed], pa.list_(pa.binary())), table]
-        return pa.RecordBatch.from_arrays(values, names=["run", "docs", "packed", "grams"])
+        keys, counts = grams.packed()
+        values = [pa.array([number]), lists, pa.array([packed], pa.list_(pa.binary()))]
+        values += [pa.array([keys]), pa.array([counts]), pa.array([len(grams.counts)])]
+        return pa.RecordBatch.from_arrays(values, names=["run", "docs", "packed", "grams", "counts", "n_grams"])
 
     for batch in batches:
         for start, texts in text_slices(batch, "text", RUN_BYTES):
@@ -283,104 +107,43 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values = [pa.array(counts[m].astype(np.int64)) for m in _MEASURES]
             parts.append(pa.StructArray.from_arrays([*own, *values], names=["doc_id", "lang", *_MEASURES]))
             plain = _plain(raw)
-            grams.add(plain)
+            grams.add(_codes(plain))
             packed.append(len(plain).to_bytes(8, "little") + codec.compress(plain, asbytes=True))
             held += len(plain)
             if held >= MODEL_RUN_BYTES:
                 yield row()
-                number, parts, packed, grams, held = number + 1, [], [], _Grams(), 0
+                number, parts, packed, grams, held = number + 1, [], [], ngram_tables.Grams(), 0
     if parts:
         yield row()
 
 
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The n-grams of runs, unpacked: a row each."""
-    for batch in batches:
-        for run, packed in zip(*[batch.column(c).to_pylist() for c in ("run", "grams")]):
-            for found in pa.ipc.open_stream(packed):
-                owner = pa.array(np.full(len(found), run, np.int64))
-                yield pa.RecordBatch.from_arrays([owner, *found.columns], names=["run", *_ENTRY])
-
-
-def _tail(gram: Column, order: int) -> Column:
-    return F.substring(gram, 2, order - 1)
-
-
-def _count_classes(n: Column) -> tuple[Column, Column, Column]:
-    return n == 1, n == 2, n > 2
-
-
-def kneser_ney(counted: DataFrame) -> DataFrame:
-    """gram, logp: modified Kneser-Ney over all rows of (gram, n, texts), each gram of ``GRAM`` code points.
-
-    ``logp`` is the log-probability of the last code point after the others.  Lower orders
-    count how many different code points stand before; the lowest backs off to one share for
-    each code point that occurs.  An n-gram that only one text has (``texts`` is 1) is no
-    evidence for that text: its probability is the one that the others give.
-    """
-    levels = [counted.select("gram", "n", "texts")]
-    for k in range(GRAM, 1, -1):
-        shorter = levels[-1].groupBy(_tail(F.col("gram"), k).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
-        shorter = shorter.withColumn("texts", F.lit(2))
-        levels.append(materialise(shorter))
-    below = None
-    for k, level in enumerate(reversed(levels), 1):
-        figures = [F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]
-        numbers = level.agg(*figures, F.sum("n").alias("total"), F.count(F.lit(1)).alias("types")).first()
-        ones, twos, threes, fours = (max(numbers[f"n{i}"], 1) for i in (1, 2, 3, 4))
-        y = ones / (ones + 2 * twos)
-        discounts = [1 - 2 * y * twos / ones, 2 - 3 * y * threes / twos, 3 - 4 * y * fours / threes]
-        off = [float(np.clip(d, 0.05, most)) for d, most in zip(discounts, (0.95, 1.9, 2.85))]
-        own = F.when(F.col("n") == 1, off[0]).when(F.col("n") == 2, off[1]).otherwise(off[2])
-        if k == 1:
-            many = numbers["types"] - numbers["n1"] - numbers["n2"]
-            total = max(numbers["total"] or 0, 1)
-            share = (off[0] * numbers["n1"] + off[1] * numbers["n2"] + off[2] * many) / total
-            below = level.select("gram", ((F.col("n") - own) / total + share / max(numbers["types"], 1)).alias("p"))
-            continue
-        along = Window.partitionBy(F.substring("gram", 1, k - 1))
-        # whole numbers are summed, so that the order of rows does not matter
-        sums = level.select(
-            "gram",
-            "n",
-            (F.col("texts") == 1).alias("own"),
-            F.sum("n").over(along).alias("total"),
-            *[F.count_if(x).over(along).alias(f"n{i}") for i, x in enumerate(_count_classes(F.col("n")), 1)],
-        )
-        joined = sums.join(below.withColumnRenamed("gram", "tail"), _tail(F.col("gram"), k) == F.col("tail"))
-        mass = sum(d * F.col(f"n{i}") for i, d in enumerate(off, 1))
-        seen = ((F.col("n") - own) + mass * F.col("p")) / F.col("total")
-        alone = F.col("total") == F.col("n")
-        unseen = F.when(alone, F.col("p")).otherwise((mass - own) / (F.col("total") - F.col("n")) * F.col("p"))
-        below = joined.select("gram", F.when(F.col("own"), unseen).otherwise(seen).alias("p"))
-    return below.select("gram", F.log("p").alias("logp"))
-
-
-def _score_run(key: tuple[pa.Scalar, ...], rows: pa.Table, table: pa.Table) -> pa.Table:
+def _score_run(bits: int) -> Callable:
     """The documents of a run with the mean negative log-probability of their n-grams, on the grid."""
-    text = "".join(table.column("gram").to_pylist())
-    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    hashes = [h[-a % GRAM :: GRAM] for a, h, _ in _gram_pieces(codes)]
-    index = GramIndex(np.concatenate(hashes) if hashes else None)
-    logp = np.append(table.column("logp").to_numpy().astype(np.float64), 0.0)
-    cross: list[np.ndarray] = []
-    for blob in rows.column("packed").to_pylist()[0]:
-        size = int.from_bytes(blob[:8], "little")
-        codes = _codes(pa.Codec("zstd").decompress(blob[8:], size, asbytes=True))
-        owners = np.cumsum(codes == 10)
-        sums, n = np.zeros(owners[-1] + 1), np.zeros(owners[-1] + 1, np.int64)
-        for a, h, inside in _gram_pieces(codes):
-            places = np.flatnonzero(inside)
-            owner = owners[a + places]
-            found = index.find(h[places])
-            if len(found) and found.min() < 0:
-                raise ValueError("an n-gram of the run has no probability")
-            sums += np.bincount(owner, weights=logp[found], minlength=len(sums))
-            n += np.bincount(owner, minlength=len(n))
-        cross.append(np.round(-sums / np.maximum(n, 1) / GRID).astype(np.int64))
-    values = pa.array(np.concatenate(cross))
-    lists = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-    return pa.table([rows.column("docs"), lists], names=["docs", "cross"])
+
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        keys = ngram_tables.unpack_keys(rows.column("grams")[0].as_py())
+        order, _, _ = ngram_tables.by_bucket(keys, bits)
+        logp = np.zeros(len(order) + 1)
+        logp[order] = ngram_tables.joined(answers, "<f4")
+        index = ngram_tables.GramIndex(ngram_tables.gram_hashes(keys))
+        cross: list[np.ndarray] = []
+        for blob in rows.column("packed").to_pylist()[0]:
+            size = int.from_bytes(blob[:8], "little")
+            codes = _codes(pa.Codec("zstd").decompress(blob[8:], size, asbytes=True))
+            owners = np.cumsum(codes == 10)
+            sums, n = np.zeros(owners[-1] + 1), np.zeros(owners[-1] + 1, np.int64)
+            for places, hashes, _ in ngram_tables.gram_pieces(codes):
+                owner, found = owners[places], index.find(hashes)
+                if len(found) and found.min() < 0:
+                    raise ValueError("an n-gram of the run has no probability")
+                sums += np.bincount(owner, weights=logp[found], minlength=len(sums))
+                n += np.bincount(owner, minlength=len(n))
+            cross.append(np.round(-sums / np.maximum(n, 1) / GRID).astype(np.int64))
+        values = pa.array(np.concatenate(cross))
+        lists = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        return pa.table([rows.column("docs"), lists], names=["docs", "cross"])
+
+    return run
 
 
 def measure(rows: DataFrame) -> DataFrame:
@@ -388,21 +151,22 @@ def measure(rows: DataFrame) -> DataFrame:
     doc = T.StructType(
         [*rows.select("doc_id", "lang").schema.fields, *[T.StructField(m, T.LongType()) for m in _MEASURES]]
     )
-    run_fields = [T.StructField("run", T.LongType()), T.StructField("docs", T.ArrayType(doc))]
-    more = [T.StructField("packed", T.ArrayType(T.BinaryType())), T.StructField("grams", T.BinaryType())]
-    runs = materialise(rows.mapInArrow(_runs, T.StructType([*run_fields, *more])))
-    entries = runs.select("run", "grams").mapInArrow(_entries, "run long, gram string, n long, texts long")
-    sums = [F.sum(c).alias(c) for c in ("n", "texts")]
-    types = materialise(entries.groupBy("gram").agg(*sums, F.collect_list("run").alias("runs")))
-    tables = types.select("gram", "runs").join(kneser_ney(types), "gram").select(
-        F.explode("runs").alias("run"), "gram", F.col("logp").cast("float")
-    )
+    fields = [T.StructField("run", T.LongType()), T.StructField("docs", T.ArrayType(doc))]
+    fields += [T.StructField("packed", T.ArrayType(T.BinaryType())), T.StructField("grams", T.BinaryType())]
+    fields += [T.StructField("counts", T.BinaryType()), T.StructField("n_grams", T.LongType())]
+    folder = f"{ensure_checkpoint_dir(rows.sparkSession)}/quality-rules-{uuid.uuid4().hex}"
+
+    def kept(frame: DataFrame, name: str) -> DataFrame:
+        return written(frame, f"{folder}/{name}")
+
+    runs = kept(rows.mapInArrow(_runs, T.StructType(fields)), "runs")
+    answers, bits = ngram_tables.log_probabilities(runs, kept)
     scored = (
-        runs.select("run", "docs", "packed")
+        runs.select("run", "docs", "packed", "grams")
         .groupBy("run")
-        .cogroup(tables.groupBy("run"))
+        .cogroup(answers.groupBy("sender"))
         .applyInArrow(
-            _score_run,
+            _score_run(bits),
             T.StructType([T.StructField("docs", T.ArrayType(doc)), T.StructField("cross", T.ArrayType(T.LongType()))]),
         )
     )
@@ -410,14 +174,32 @@ def measure(rows: DataFrame) -> DataFrame:
     return materialise(each.select("r.docs.*", "r.cross"))
 
 
+#: Values of a histogram that are added up before the running sum.
+_CELL = 64
+
+
 def _grid_median(rows: DataFrame, value: str, name: str) -> DataFrame:
-    """The median of a whole-number column per language, from its histogram; exact and repeatable."""
-    along = Window.partitionBy("lang").orderBy(value)
+    """The median of a whole-number column per language, from its histogram; exact and repeatable.
+
+    The running sum over a language goes by cells of ``_CELL`` values, and then by the values of
+    the one cell that holds the median, so no language brings all its values to one task.
+    """
     counted = rows.groupBy("lang", value).agg(F.count(F.lit(1)).alias("n"))
-    summed = counted.select(
-        "lang", value, F.sum("n").over(along).alias("up_to"), F.sum("n").over(Window.partitionBy("lang")).alias("all")
+    counted = counted.withColumn("cell", F.floor(F.col(value) / _CELL))
+    along = Window.partitionBy("lang").orderBy("cell")
+    cells = counted.groupBy("lang", "cell").agg(F.sum("n").alias("n")).select(
+        "lang", "cell", F.sum("n").over(along).alias("up_to"), F.sum("n").over(Window.partitionBy("lang")).alias("all"), "n"
+    )
+    first = cells.filter(2 * F.col("up_to") >= F.col("all")).groupBy("lang").agg(
+        F.min(F.struct("cell", (F.col("up_to") - F.col("n")).alias("before"), "all")).alias("m")
+    )
+    first = first.select(F.col("lang").alias("cell_lang"), "m.*").withColumnRenamed("cell", "median_cell")
+    same = F.col("lang").eqNullSafe(F.col("cell_lang")) & (F.col("cell") == F.col("median_cell"))
+    inside = counted.join(first, same).select(
+        "lang", value, "before", "all", F.sum("n").over(Window.partitionBy("lang").orderBy(value)).alias("up_to")
     )
-    return summed.filter(2 * F.col("up_to") >= F.col("all")).groupBy("lang").agg(F.min(value).alias(name))
+    reached = inside.filter(2 * (F.col("before") + F.col("up_to")) >= F.col("all"))
+    return reached.groupBy("lang").agg(F.min(value).alias(name))
 
 
 def bands(measured: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def _counter(content: str, limit: int, batch_bytes: int, piece_chars: int) -> Ca
                 for piece in tokens.safe_pieces(text, piece_chars):
                     pieces.append(piece)
                     owners.append(row)
-                    held += len(piece)
+                    held += len(piece.encode())
                     if held >= batch_bytes:
                         lengths(counter, pieces, owners, totals)
                         pieces, owners, held = [], [], 0

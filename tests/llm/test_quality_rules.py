@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from brute import ODD, SMALL
 
-from campaign_analytics.llm import quality_rules, queries, wordhash
+from campaign_analytics.llm import ngram_tables, quality_rules, queries, wordhash
 
 
 def counts(text):
@@ -27,43 +27,28 @@ def test_counts_match(spark, documents):
     assert found == {i: counts(t) for i, t in documents}
 
 
-def plain_kneser_ney(sequences, order):
-    """Log-probabilities of an interpolated modified Kneser-Ney model, by dictionaries."""
-    grams = Counter(tuple(s[i : i + order]) for s in sequences for i in range(len(s) - order + 1))
-    levels = [grams]
-    for _ in range(order - 1):
-        levels.append(Counter(g[1:] for g in levels[-1]))
-    levels.reverse()
-
-    def probability(g):
-        n = levels[len(g) - 1]
-        of = [max(sum(c == k for c in n.values()), 1) for k in (1, 2, 3, 4)]
-        y = of[0] / (of[0] + 2 * of[1])
-        off = [0, 1 - 2 * y * of[1] / of[0], 2 - 3 * y * of[2] / of[1], 3 - 4 * y * of[3] / of[2]]
-        off = [0] + [min(max(d, 0.05), m) for d, m in zip(off[1:], (0.95, 1.9, 2.85))]
-        below = probability(g[1:]) if len(g) > 1 else 1 / quality_rules.CLASSES
-        own = {x: c for x, c in n.items() if x[:-1] == g[:-1]}
-        if not own:
-            return below
-        total = sum(own.values())
-        share = sum(off[min(c, 3)] for c in own.values()) / total
-        c = n.get(g, 0)
-        return max(c - off[min(c, 3)], 0) / total + share * below
+def test_packed_arrays_come_back():
+    rng = np.random.Generator(np.random.PCG64(6))
+    for n in (0, 1, 2, 5000):
+        points = rng.integers(1, 0x110000 if n < 3000 else 40, (5, n)).astype(np.uint64)
+        high, low = points[0] << 21 | points[1], points[2] << 42 | points[3] << 21 | points[4]
+        order = np.lexsort((low, high))
+        keys = high[order], low[order]
+        for a, b in zip(keys, ngram_tables.unpack_keys(ngram_tables.pack_keys(keys))):
+            assert (a == b).all()
+        numbers = rng.integers(-(2**60), 2**60, n)
+        assert (ngram_tables.unpack(ngram_tables.pack(numbers)) == numbers).all()
 
-    return lambda g: math.log(probability(g))
 
+def test_parts_of_grams():
+    def key(text):
+        codes = [0] * (5 - len(text)) + [ord(c) for c in text]
+        parts = codes[0] << 21 | codes[1], codes[2] << 42 | codes[3] << 21 | codes[4]
+        return np.array(parts[:1], np.uint64), np.array(parts[1:], np.uint64)
 
-def test_sorted_arrays_hold_a_kneser_ney_model():
-    texts = ["the cat sat on the mat", "a cat and a hat", "that rat"]
-    data = [quality_rules.classes(t.encode()) for t in texts]
-    hashes, n = np.unique(np.concatenate([quality_rules.ngram_hashes(d) for d in data]), return_counts=True)
-    model = quality_rules.KneserNey(hashes, n)
-    plain = plain_kneser_ney([d.tolist() for d in data], quality_rules.ORDER)
-    for text in (*texts, "a new Hat, 12 zebras"):
-        d = quality_rules.classes(text.encode())
-        found = model.log_probabilities(quality_rules.ngram_hashes(d))
-        wanted = [plain(tuple(d[i : i + 4].tolist())) for i in range(len(d) - 3)]
-        assert found == pytest.approx(wanted, rel=1e-4)
+    for text in ("abcde", "a\U0010ffffc\U0010fffee", "bcde", "cde", "de", "e"):
+        assert ngram_tables.without_first(key(text), len(text)) == key(text[1:])
+        assert ngram_tables.without_last(key(text)) == key(text[:-1])
 
 
 def test_clean_documents_stay_and_noise_goes(spark):
@@ -97,7 +82,7 @@ def test_word_hashes_follow_the_bytes():
 
 def plain_code_points(texts):
     """gram -> log-probability by dictionaries; a gram of one text only is scored without that text."""
-    k = quality_rules.GRAM
+    k = ngram_tables.GRAM
     texts = [" " + " ".join(brute.words(t)) + " " for t in texts]
     owners, grams = {}, Counter()
     for i, t in enumerate(texts):
@@ -127,7 +112,9 @@ def plain_code_points(texts):
     return texts, lambda g: math.log(probability(g))
 
 
-def test_model_of_code_points_in_tables(spark):
+@pytest.mark.parametrize("bucket_grams", [2, 1 << 19])
+def test_model_of_code_points_in_tables(spark, monkeypatch, bucket_grams):
+    monkeypatch.setattr(ngram_tables, "BUCKET_GRAMS", bucket_grams)
     texts = ["in 1984 the cat sat, the cat", "in 1985 the hat: the cat é日本語日本", "the cat 日本語", "(the) cat? 1984 日本語日本", ""]
     frame = spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)], "doc_id long, lang string, text string")
     found = {r["doc_id"]: r["cross"] for r in quality_rules.measure(frame.repartition(3)).collect()}
@@ -137,6 +124,17 @@ def test_model_of_code_points_in_tables(spark):
         assert found[i] == pytest.approx(sum(own) / max(len(own), 1) / quality_rules.GRID, abs=1)
 
 
+def test_medians(spark):
+    rng = np.random.Generator(np.random.PCG64(2))
+    given = [(lang, int(v)) for lang, size in (("a", 501), ("b", 2), (None, 70)) for v in rng.integers(-300, 5000, size)]
+    found = quality_rules._grid_median(spark.createDataFrame(given, "lang string, cross long"), "cross", "middle").collect()
+    wanted = {}
+    for lang in ("a", "b", None):
+        own = sorted(v for x, v in given if x == lang)
+        wanted[lang] = own[(len(own) - 1) // 2]
+    assert {r["lang"]: r["middle"] for r in found} == wanted
+
+
 def test_digits_and_other_scripts_are_told_apart(spark):
     line = "order 1984 was 東京都庁 and then shipped to the old house by the river "
     rows = [(i, "en", line * 2) for i in range(6)]
