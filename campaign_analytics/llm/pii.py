@@ -2,10 +2,10 @@
 
 Base spans of four kinds come from patterns and checks.  Then the corpus tells which terms
 disclose a protected entity (one email address, one number): around every occurrence the
-words of a window are paired with the entity; a term's strength is the share of all its
-occurrences in the corpus that lie in windows of that entity, and the bits it adds to knowing
-which entity is meant.  Terms beyond the thresholds become spans too.  Sanitising replaces
-base spans by their kind, generalises terms, and removes the strongest.
+words of a window are paired with the entity; a term's strength is the share of all documents
+with it that have it in windows of that entity, if chance does not explain so many.  Terms beyond
+the threshold become spans too.  Sanitising cuts the text at these spans: base spans are replaced
+by their kind, terms are generalised, and the strongest are removed.
 """
 
 from __future__ import annotations
@@ -49,10 +49,16 @@ MOST_BY_CHANCE = 1.0
 MIN_TERM_CHARS = 3
 #: Terms, and documents with a term, up to which a list of them is sent to all tasks.
 _BROADCAST_ROWS = 100_000
+#: Candidate terms up to which each text is reduced to the candidates in it before it is exploded.
+_LISTED_TERMS = 10_000
 _BLOCK = 512
+#: Code points of the parts that a text is cut in, so that no cut reads a whole long text.
+_PART = 4096
 #: What parts a text's terms: white space with all that is no letter or digit around it.
 _BETWEEN = r"[^\p{L}\p{N}]*[\x20\x09-\x0D][^\p{L}\p{N}]*"
 _EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
+#: The same edges of a long text, without trying each character of a run.
+_LONG_EDGES = r"^[^\p{L}\p{N}]++|(?<=[\p{L}\p{N}])[^\p{L}\p{N}]++$"
 _BEFORE_WORD = r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"
 
 
@@ -61,24 +67,29 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _running(values: Column) -> Column:
-    """0 and the sums of the first 1, 2, ... numbers of an array of few."""
-    zero = F.array(F.lit(0).cast("long"))
-    return F.aggregate(values, zero, lambda sums, x: F.array_append(sums, F.element_at(sums, -1) + x))
+def _running(values: Column, first: Column, step) -> Column:
+    """``first`` and what ``step`` makes of it with the first 1, 2, ... numbers of an array of few."""
+    return F.aggregate(values, F.array(first), lambda found, x: F.array_append(found, step(F.element_at(found, -1), x)))
 
 
-def _prefix_sums(values: Column) -> Column:
-    """Sums of the first 1, 2, ... numbers of an array, by blocks, so that none is copied often."""
+def _prefixes(values: Column, step) -> Column:
+    """What ``step`` (a sum or a maximum of numbers from 0) makes of the first 1, 2, ... numbers of
+    an array, by blocks, so that none is copied often."""
+    zero = F.lit(0).cast("long")
 
     def by_blocks(v: Column) -> Column:
         starts = F.sequence(F.lit(0), F.size(v) - 1, F.lit(_BLOCK))
-        return F.transform(starts, lambda a: F.slice(_running(F.slice(v, a + 1, _BLOCK)), 2, _BLOCK))
+        return F.transform(starts, lambda a: F.slice(_running(F.slice(v, a + 1, _BLOCK), zero, step), 2, _BLOCK))
+
+    def joined(blocks: Column) -> Column:
+        before = _running(F.transform(blocks, lambda b: F.element_at(b, -1)), zero, step)
+        return _let(before, lambda o: F.flatten(F.transform(blocks, lambda b, i: F.transform(b, lambda x: step(x, o[i])))))
 
-    def joined(sums: Column) -> Column:
-        offsets = _running(F.transform(sums, lambda b: F.element_at(b, -1)))
-        return _let(offsets, lambda o: F.flatten(F.transform(sums, lambda b, i: F.transform(b, lambda x: x + o[i]))))
+    return _let(values, lambda v: F.when(F.size(v) == 0, v).otherwise(_let(by_blocks(v), joined)))
 
-    return _let(values, lambda v: _let(by_blocks(v), joined))
+
+def _prefix_sums(values: Column) -> Column:
+    return _prefixes(values, lambda a, b: a + b)
 
 
 def _digits(value: Column) -> Column:
@@ -117,7 +128,8 @@ def _entity(kind: str, value: Column) -> Column:
     return F.lower(value) if kind == "email" else value if kind == "ip" else _digits(value)
 
 
-_SPANS = "array<struct<start:bigint,kind:int,end:bigint,entity:bigint,before:string,after:string>>"
+_SPANS = "array<struct<start:bigint,kind:int,end:bigint,entity:bigint,before:string,after:string,whole_before:boolean,"
+_SPANS += "whole_after:boolean>>"
 
 
 def _matches(kind: str, text: Column) -> Column:
@@ -147,6 +159,8 @@ def kind_spans(kind: str, text: Column) -> Column:
                 F.when(is_valid(kind, s["value"]), F.xxhash64(F.lit(kind), _entity(kind, s["value"]))).alias("entity"),
                 F.right(gaps[i], F.lit(WINDOW_CHARS)).alias("before"),
                 F.left(gaps[i + 1], F.lit(WINDOW_CHARS)).alias("after"),
+                (F.length(gaps[i]) <= WINDOW_CHARS).alias("whole_before"),
+                (F.length(gaps[i + 1]) <= WINDOW_CHARS).alias("whole_after"),
             ),
         )
         return F.filter(all_spans, lambda s: s["entity"].isNotNull())
@@ -166,7 +180,19 @@ def base_spans(rows: DataFrame) -> DataFrame:
 
 
 def _terms(text: Column) -> Column:
-    return F.split(F.lower(text), _BETWEEN)
+    return F.split(F.regexp_replace(F.lower(text), _LONG_EDGES, ""), _BETWEEN)
+
+
+def _window_terms(span: str) -> Column:
+    """The terms around a span; the outer word of a side is left out where the window may cut it."""
+    before, after = _terms(F.col(f"{span}.before")), _terms(F.col(f"{span}.after"))
+    cut_before = F.slice(before, 2, F.greatest(F.size(before) - 1, F.lit(0)))
+    cut_after = F.slice(after, 1, F.greatest(F.size(after) - 1, F.lit(0)))
+    inner = F.concat(
+        F.when(F.col(f"{span}.whole_before"), before).otherwise(cut_before),
+        F.when(F.col(f"{span}.whole_after"), after).otherwise(cut_after),
+    )
+    return F.array_distinct(inner)
 
 
 def _is_term(word: Column) -> Column:
@@ -178,31 +204,35 @@ def _limited(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= _BROADCAST_ROWS else table
 
 
+def _words_among(rows: DataFrame, candidates: DataFrame, *kept: Column) -> DataFrame:
+    """``kept`` and ``term``: each row's different words that are among the candidate terms.
+
+    A list of few candidates is sent along, and a text gives only its candidates; with more,
+    all words of a text are joined to them.
+    """
+    listed = [r["term"] for r in candidates.limit(_LISTED_TERMS + 1).collect()]
+    words = _terms(F.col("text"))
+    if len(listed) <= _LISTED_TERMS:
+        wanted = F.array(*[F.lit(t) for t in sorted(listed)]).cast("array<string>")
+        return rows.select(*kept, F.explode(F.array_intersect(words, wanted)).alias("term"))
+    each = rows.select(*kept, F.explode(F.array_distinct(words)).alias("term"))
+    return each.join(_limited(candidates), "term", "left_semi")
+
+
 def disclosing_terms(
-    rows: DataFrame,
-    base: DataFrame,
-    min_contexts: int = MIN_CONTEXTS,
-    min_share: float = MIN_SHARE,
-    min_bits: float | None = None,
+    rows: DataFrame, base: DataFrame, min_contexts: int = MIN_CONTEXTS, min_share: float = MIN_SHARE
 ) -> DataFrame:
-    """term, share, bits: terms of (doc_id, text) ``rows`` that disclose an entity of ``base``.
+    """term, share: terms of (doc_id, text) ``rows`` that disclose an entity of ``base``.
 
     ``share`` is the part of all documents with the term that have it in a window of the
-    entity, ``bits`` what the term adds to knowing which entity a document names.  A pair
-    counts only with ``min_contexts`` different windows, so copies of one text are one, and
-    only if chance does not explain it: by Chernoff's bound on the documents with the term that
-    name the entity, times the number of pairs.  With ``min_bits``, bits decide instead.
+    entity.  A pair counts only with ``min_contexts`` different windows, so copies of one text are
+    one, and only if chance does not explain it: by Chernoff's bound on the documents with the
+    term that name the entity, times the number of pairs.
     """
-    spans = base.select("doc_key", F.explode("spans").alias("s")).select(
-        "doc_key", "s.entity", "s.before", "s.after", F.xxhash64("s.before", "s.after").alias("context")
-    )
-    before, after = _terms(F.col("before")), _terms(F.col("after"))
-    # the outer word of each side may be cut
-    inner = F.concat(
-        F.slice(before, 2, F.greatest(F.size(before) - 1, F.lit(0))),
-        F.slice(after, 1, F.greatest(F.size(after) - 1, F.lit(0))),
+    spans = base.select("doc_key", F.explode("spans").alias("s"))
+    near = spans.select(
+        "doc_key", "s.entity", F.xxhash64("s.before", "s.after").alias("context"), F.explode(_window_terms("s")).alias("term")
     )
-    near = spans.select("doc_key", "entity", "context", F.explode(F.array_distinct(inner)).alias("term"))
     near = near.filter(_is_term(F.col("term"))).distinct()
     pairs = near.groupBy("entity", "term").agg(
         F.count_distinct("context").alias("contexts"), F.count_distinct("doc_key").alias("together")
@@ -215,41 +245,27 @@ def disclosing_terms(
     anywhere = near.groupBy("term").agg(F.count_distinct("doc_key").alias("near_any"))
     pairs = materialise(pairs.join(anywhere, "term").filter(F.col("together") >= min_share * F.col("near_any")))
     candidates = pairs.select("term").distinct()
-    words = rows.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
-    if candidates.count() <= _BROADCAST_ROWS:
-        counted = words.join(F.broadcast(candidates), "term", "left_semi").groupBy("term")
-        counted = counted.agg(F.count(F.lit(1)).alias("documents"))
-    else:  # count first: only one row for each term and task is shuffled
-        counted = words.groupBy("term").agg(F.count(F.lit(1)).alias("documents")).join(candidates, "term", "left_semi")
-    named = spans.select("entity", "doc_key").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("named"))
-    all_named = named.agg(F.sum("named")).first()[0] or 0  # one number
+    if candidates.isEmpty():
+        return materialise(candidates.withColumn("share", F.lit(0.0)))
+    # one row for each term and task is shuffled
+    counted = _words_among(rows, candidates).groupBy("term").agg(F.count(F.lit(1)).alias("documents"))
+    named = spans.select("s.entity", "doc_key").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("named"))
     share = F.least(F.col("together") / F.col("documents"), F.lit(1.0))
-    bits = F.log2(share * F.lit(all_named) / F.col("named"))
-    if min_bits is None:
-        rate = F.col("named") / F.lit(max(rows.count(), 1))  # of all documents, those that name the entity
+    rate = F.col("named") / F.lit(max(rows.count(), 1))  # of all documents, those that name the entity
 
-        def part(p: Column, q: Column) -> Column:
-            return F.when(p > 0, p * F.log(p / q)).otherwise(0.0)
+    def part(p: Column, q: Column) -> Column:
+        return F.when(p > 0, p * F.log(p / q)).otherwise(0.0)
 
-        far = F.when(rate >= 1, 0.0).otherwise(part(share, rate) + part(1 - share, 1 - rate))
-        strong = (share > rate) & (F.col("documents") * far >= math.log(max(tried, 1) / MOST_BY_CHANCE))
-    else:
-        strong = bits >= min_bits
-    strength = (
-        pairs.join(counted, "term")
-        .join(named, "entity")
-        .filter((share >= min_share) & strong)
-        .select("term", share.alias("share"), bits.alias("bits"))
-    )
-    return materialise(strength.groupBy("term").agg(F.max("share").alias("share"), F.max("bits").alias("bits")))
+    far = F.when(rate >= 1, 0.0).otherwise(part(share, rate) + part(1 - share, 1 - rate))
+    strong = (share > rate) & (F.col("documents") * far >= math.log(max(tried, 1) / MOST_BY_CHANCE))
+    strength = pairs.join(counted, "term").join(named, "entity").filter((share >= min_share) & strong)
+    return materialise(strength.groupBy("term").agg(F.max(share).alias("share")))
 
 
 def _documents_with_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """doc_key, found (the disclosing terms of the document and their shares) of those that have some."""
-    words = rows.select(
-        F.xxhash64("doc_id", "text").alias("doc_key"), F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")
-    )
-    held = words.join(_limited(terms), "term").select("doc_key", "term", "share").distinct()
+    words = _words_among(rows, terms.select("term"), F.xxhash64("doc_id", "text").alias("doc_key"))
+    held = words.distinct().join(_limited(terms), "term")
     found = F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("found")
     return materialise(held.groupBy("doc_key").agg(found))
 
@@ -259,7 +275,7 @@ def _term_of(piece: Column) -> Column:
 
 
 def _term_spans(text: Column, found: Column) -> Column:
-    """Spans of the words of ``text`` that are terms in the map ``found``."""
+    """Spans of the words of ``text`` that are terms in the map ``found``, and their shares."""
 
     def spans(pieces: Column) -> Column:
         ends = _prefix_sums(F.transform(pieces, lambda p: F.length(p).cast("long")))
@@ -270,7 +286,8 @@ def _term_spans(text: Column, found: Column) -> Column:
             piece, at = hit["piece"], hit["at"]
             from_first = F.length(F.regexp_replace(piece, r"^[^\p{L}\p{N}]+", ""))
             to_last = F.length(F.regexp_replace(piece, r"[^\p{L}\p{N}]+$", ""))
-            return F.struct((at + F.length(piece) - from_first).alias("start"), (at + to_last).alias("end"))
+            start, end = (at + F.length(piece) - from_first).alias("start"), (at + to_last).alias("end")
+            return F.struct(start, end, found[_term_of(piece)].alias("share"))
 
         return F.transform(hits, edges)
 
@@ -324,51 +341,97 @@ def span_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def _without(kind: str, text: Column) -> Column:
-    """``text`` with the valid matches of a kind as [KIND]."""
+def _cut(text: Column, spans: Column) -> Column:
+    """``text`` with its spans (start, end, label; in order) replaced by their labels.
+
+    Spans that overlap are one cut, with the label of the first.
+    """
+
+    def with_reach(s: Column) -> Column:
+        ends = _prefixes(F.transform(s, lambda x: x["end"]), F.greatest)
+        return _let(
+            ends,
+            lambda e: F.transform(
+                s,
+                lambda x, i: F.struct(
+                    F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(e, i - 1)).alias("open"),
+                    x["start"].alias("start"),
+                    e[i].alias("reach"),
+                    x["label"].alias("label"),
+                ),
+            ),
+        )
 
-    def replaced(found: Column) -> Column:
-        parts = F.zip_with(
-            found["gaps"],
-            found["matches"],
-            lambda g, m: F.concat(
-                g, F.when(m.isNull(), "").when(is_valid(kind, m), F.lit(f"[{kind.upper()}]")).otherwise(m)
+    def inside(block: Column, at: Column, a: Column, b: Column) -> Column:
+        """What of the text from a to b is in the block, which starts at ``at``."""
+        first = F.greatest(a - at, F.lit(0).cast("long"))
+        return F.substring(block, (first + 1).cast("int"), F.greatest(b - at - first, F.lit(0).cast("long")).cast("int"))
+
+    def block_of(block: Column, at: Column, cuts: Column) -> Column:
+        end = at + F.length(block)
+        own = F.filter(cuts, lambda c: (c["start"] >= c["open"]) & (c["open"] < end) & (c["start"] >= at))
+        pieces = F.transform(
+            own,
+            lambda c: F.concat(
+                inside(block, at, c["open"], c["start"]),
+                F.when(c["start"].between(at, end - 1), c["label"]).otherwise(""),
             ),
         )
-        return F.array_join(parts, "")
+        rest = inside(block, at, F.element_at(cuts, -1)["reach"], end)
+        return F.concat(F.array_join(pieces, ""), rest)
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PART}}}"), F.lit(0))
+    done = _let(
+        with_reach(spans),
+        lambda cuts: F.array_join(
+            F.transform(blocks, lambda block, i: block_of(block, i.cast("long") * _PART, cuts)), ""
+        ),
+    )
+    return F.when(F.size(spans) > 0, done).otherwise(text)
+
+
+_LABELLED = "array<struct<start:bigint,kind:int,end:bigint,label:string>>"
 
-    return _let(text, lambda t: _let(_matches(kind, t), lambda f: F.when(f.isNotNull(), replaced(f)).otherwise(t)))
 
+def _labelled(text: Column, term_spans: Column | None) -> Column:
+    """All spans of a text in order, each with what is put in its place."""
+    labels = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
-def _without_terms(text: Column, found: Column) -> Column:
-    def word(piece: Column) -> Column:
-        term = _term_of(piece)
-        space = F.regexp_extract(piece, r"[\x20\x09-\x0D]*$", 0)
-        strong = found[term] >= REMOVE_SHARE
-        return F.when(
-            F.map_contains_key(found, term), F.when(strong, F.lit("")).otherwise(F.concat(F.lit("[TERM]"), space))
-        ).otherwise(piece)
+    def base(s: Column) -> Column:
+        return F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), labels[s["kind"]].alias("label"))
 
-    return F.array_join(F.transform(F.split(text, _BEFORE_WORD), word), "")
+    def term(s: Column) -> Column:
+        label = F.when(s["share"] >= REMOVE_SHARE, "").otherwise("[TERM]")
+        return F.struct(s["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), s["end"].alias("end"), label.alias("label"))
+
+    parts = [F.transform(kind_spans(k, text), base).cast(_LABELLED) for k in KINDS]
+    if term_spans is not None:
+        parts.append(F.transform(term_spans, term).cast(_LABELLED))
+    return F.array_sort(F.concat(*parts))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
     """``docs`` with base spans as [EMAIL], [IP], [CARD], [PHONE], and disclosing terms removed or as [TERM].
 
-    All rows and columns stay; ``n_chars``, if there, follows the text.  Null texts stay null.
+    What is replaced are the spans that :func:`find_spans` gives of the text as it came in;
+    overlapping ones are one cut.  All rows and columns stay, whatever their names; ``n_chars``,
+    if there, follows the text.  Null and empty texts stay as they are.  Null and repeated ids, and
+    repeated rows, are cut row by row.  Empty table: no rows.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), as_utf8(text_col).alias("text"))
     base = materialise(base_spans(rows))
     terms = disclosing_terms(rows, base, **thresholds)
     out = docs.withColumn(text_col, as_utf8(text_col))
-    if not terms.isEmpty():
+    text = F.col(text_col)
+    plain = _let(_labelled(text, None), lambda s: _cut(text, s))
+    if terms.isEmpty():
+        out = out.withColumn(text_col, plain)
+    else:
         key, found = free_names(docs, "pii_key", "pii_found")
         held = _documents_with_terms(rows, terms).withColumnsRenamed({"doc_key": key, "found": found})
         out = out.withColumn(key, F.xxhash64(id_col, text_col)).join(_limited(held), key, "left")
-        cleaned = _without_terms(F.col(text_col), F.col(found))
-        out = out.withColumn(text_col, F.when(F.col(found).isNotNull(), cleaned).otherwise(F.col(text_col)))
-    for kind in KINDS:
-        out = out.withColumn(text_col, _without(kind, F.col(text_col)))
+        both = _let(_labelled(text, _term_spans(text, F.col(found))), lambda s: _cut(text, s))
+        out = out.withColumn(text_col, F.when(F.col(found).isNotNull(), both).otherwise(plain))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
