@@ -23,6 +23,10 @@ from .common import importable_on_workers, materialise
 SCALE = 1024
 K = 10
 SHARD_ROWS = 8192
+#: Queries that one task searches a shard for at a time.
+QUERY_ROWS = 8192
+#: Shards with more queries, up to which their list is sent to all tasks.
+_BROADCAST_SHARDS = 100_000
 SAMPLE = 8192
 MOST_PIVOTS = 1024
 LEAF = 48
@@ -260,6 +264,31 @@ def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: int
     return rows.select("vec_id", F.transform("x", lambda x: F.floor(x * scale)).alias("v"))
 
 
+_RESULTS = "query_key long, query_id long, vec_id long, score long"
+
+
+def _search(queries: DataFrame, sharded: DataFrame, k: int, query_rows: int) -> DataFrame:
+    """The k best of each query's shards.  ``queries`` has query_key, vec_id, v, kth, shard.
+
+    A shard with more than ``query_rows`` queries is searched by several tasks, each for a
+    part of them, so neither side of a task grows with the table.
+    """
+    queries = materialise(queries)
+    sizes = queries.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > query_rows)
+    busy = materialise(sizes.select(F.col("shard").alias("busy_shard"), F.ceil(F.col("n") / query_rows).alias("blocks")))
+    n = busy.count()
+    if not n:
+        return queries.groupBy("shard").cogroup(sharded.groupBy("shard")).applyInArrow(_search_shard(k), _RESULTS)
+    busy = F.broadcast(busy) if n <= _BROADCAST_SHARDS else busy
+    blocks = F.coalesce("blocks", F.lit(1))
+    left = queries.join(busy, F.col("shard") == F.col("busy_shard"), "left")
+    left = left.withColumn("block", F.pmod(F.xxhash64("query_key"), blocks)).select(*queries.columns, "block")
+    right = sharded.join(busy, F.col("shard") == F.col("busy_shard"), "left")
+    right = right.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    right = right.select(*sharded.columns, "block")
+    return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(_search_shard(k), _RESULTS)
+
+
 def top_k(
     vectors: DataFrame,
     is_query: Column,
@@ -269,6 +298,7 @@ def top_k(
     shard_rows: int = SHARD_ROWS,
     sample: int = SAMPLE,
     most_pivots: int = MOST_PIVOTS,
+    query_rows: int = QUERY_ROWS,
 ) -> DataFrame:
     """Each query's k highest integer inner products: query_id, rank, vec_id, score.
 
@@ -305,19 +335,16 @@ def top_k(
             _cells(pivots), "vec_id long, v array<long>, query_key long, cell long, away double, norm double"
         )
     )
-    results = "query_key long, query_id long, vec_id long, score long"
     at_home = queries.select(
         "query_key", "vec_id", "v", F.lit(_LOW).alias("kth"), (F.col("cell") * _SALTS).alias("shard")
     )
-    first = materialise(
-        at_home.groupBy("shard").cogroup(sharded.groupBy("shard")).applyInArrow(_search_shard(k), results)
-    )
+    first = materialise(_search(at_home, sharded, k, query_rows))
     worst = first.groupBy("query_key").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("kth"))
     bounded = queries.join(worst, "query_key", "left").withColumn("kth", F.coalesce("kth", F.lit(_LOW)))
     routed = bounded.select("query_key", "vec_id", "v", "cell", "kth").mapInArrow(
         _route(pivots, radii, most, parts), "query_key long, vec_id long, v array<long>, kth long, shard long"
     )
-    others = routed.groupBy("shard").cogroup(sharded.groupBy("shard")).applyInArrow(_search_shard(k), results)
+    others = _search(routed, sharded, k, query_rows)
     order = Window.partitionBy("query_key").orderBy(F.col("score").desc(), "vec_id")
     best = first.union(others).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens
-from .common import id_and_text, text_slices
+from .common import id_and_text, materialise, text_slices
 
 CAPACITY = 2048
 DOCS_PER_GROUP = 8192
@@ -30,6 +30,8 @@ SEARCH_NODES_PER_BIN = 8
 MORE_SEARCH_NODES = 1000
 #: Pairs that are tried before all other fillings.
 _FIRST_PAIRS = 4
+#: Sizes of a filling, the largest, among which exchanges of two or three are looked for.
+_EXCHANGED = 6
 RUN_BYTES = 2 << 20
 
 
@@ -39,12 +41,15 @@ _NO_MORE = object()
 class BinCompletion:
     """Fewest bins for a multiset of sizes, by bin completion.
 
-    Each step takes the largest size left and enumerates the fillings of the rest of its bin to
-    which no further size can be added; undominated ones are among them.  A few pairs, a triple
-    and the best single size come first, from the least waste on, then all others, one at a
-    time as the search asks for them.  A branch is cut when its waste exceeds what a solution
-    of one bin less than the incumbent may waste.  Best-fit decreasing gives the first
-    incumbent; the search ends at the lower bound or after ``nodes`` fillings and dead ends.
+    Each step takes the largest size left and enumerates the undominated fillings of the rest of
+    its bin: a few pairs, a triple and the best single size first, from the least waste on, then
+    all others to which no size can be added, one at a time as the search asks for them.  A
+    filling is dominated, and left out, if some of its sizes together fit into the place of one
+    size that is left, and that one into theirs and the free space: whatever is packed with the
+    filling can be packed with the exchange.  A branch is cut when its waste exceeds what a
+    solution of one bin less than the incumbent may waste.  Best-fit decreasing gives the
+    first incumbent; the search ends at the lower bound (:meth:`lower_bound`) or after
+    ``nodes`` fillings and dead ends.
     """
 
     def __init__(self, capacity: int, branches: int | None = None):
@@ -97,7 +102,8 @@ class BinCompletion:
         ``counts`` must be as at the start whenever the next one is asked for.
         """
         first = self._first_fillings(counts, present, mirrored, room)
-        yield from first
+        for filling in first:
+            yield None if self._is_dominated(counts, present, room, filling) else filling
         if first == [()] or sum(first[0]) == room == first[0][0]:
             return
         known = set(first)
@@ -108,8 +114,55 @@ class BinCompletion:
             sizes.append(a)
             below &= ~(1 << a)
         for filling in self._maximal(sizes, [counts[a] for a in sizes], room):
-            if filling not in known:
-                yield filling
+            if filling is None or filling not in known:
+                dominated = filling is not None and self._is_dominated(counts, present, room, filling)
+                yield None if dominated else filling
+
+    @staticmethod
+    def _is_dominated(counts: dict[int, int], present: int, room: int, filling: tuple[int, ...]) -> bool:
+        """Whether one, two or three of the filling's sizes can be exchanged for a size that is left.
+
+        The size is at least their sum, and more than a single one; it fits with the rest.
+        """
+        free = room - sum(filling)
+        if not filling or free < 0:
+            return False
+        held: dict[int, int] = {}
+        for s in filling:
+            held[s] = held.get(s, 0) + 1
+        left = present
+        for s, n in held.items():
+            if counts[s] <= n:
+                left &= ~(1 << s)
+        if free:
+            for s in held:
+                if left >> (s + 1) & ((1 << free) - 1):
+                    return True
+        few = filling[:_EXCHANGED]
+        for n in (2, 3):
+            for some in itertools.combinations(few, n):
+                if left >> sum(some) & ((1 << (free + 1)) - 1):
+                    return True
+        return False
+
+    def lower_bound(self, counts: dict[int, int]) -> int:
+        """No packing has fewer bins: the total size, and Martello and Toth's second bound.
+
+        For each threshold t of at most half a bin, sizes above ``capacity - t`` and others above
+        a half fill bins of their own; sizes from t on must fit into what these leave, or need more.
+        """
+        sizes = sorted(counts)
+        total = sum(s * n for s, n in counts.items())
+        best = -(-total // self.capacity)
+        halves = [s for s in sizes if 2 * s > self.capacity]
+        over = sum(counts[s] for s in halves)
+        best = max(best, over)
+        for t in (s for s in sizes if 2 * s <= self.capacity):
+            middle = [s for s in halves if s <= self.capacity - t]
+            space = sum((self.capacity - s) * counts[s] for s in middle)
+            small = sum(s * counts[s] for s in sizes if t <= s and 2 * s <= self.capacity)
+            best = max(best, over + max(0, -(-(small - space) // self.capacity)))
+        return best
 
     @staticmethod
     def _maximal(sizes: list[int], numbers: list[int], room: int) -> Iterator[tuple[int, ...] | None]:
@@ -201,8 +254,10 @@ class BinCompletion:
         for s in sizes:
             counts[s] = counts.get(s, 0) + 1
         total = sum(sizes)
-        bound = max(-(-total // self.capacity), sum(n for s, n in counts.items() if 2 * s > self.capacity))
         incumbent = self.best_fit(counts)
+        if len(incumbent) <= -(-total // self.capacity):
+            return incumbent
+        bound = self.lower_bound(counts)
         if len(incumbent) <= bound:
             return incumbent
         budget = nodes if nodes is not None else SEARCH_NODES_PER_BIN * len(incumbent) + MORE_SEARCH_NODES
@@ -271,7 +326,7 @@ def _encode_documents(content: str, capacity: int, closing: int) -> Callable:
     end = closing.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.encoder(content)
+        encoder, seen = tokens.encoder(content), 0
         for batch in batches:
             lengths: list[int] = []
             sums: list[list[int]] = []
@@ -284,9 +339,16 @@ def _encode_documents(content: str, capacity: int, closing: int) -> Callable:
                     cuts = [0, *range(first, n + 1, capacity)]
                     sums.append([zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(cuts, cuts[1:])])
                     lengths.append(n)
+            number = np.arange(seen, seen + len(lengths))
+            seen += len(lengths)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(lengths, pa.int64()), pa.array(sums, pa.list_(pa.int64()))],
-                names=["doc_id", "n_ids", "crcs"],
+                [
+                    batch.column("doc_id"),
+                    pa.array(lengths, pa.int64()),
+                    pa.array(sums, pa.list_(pa.int64())),
+                    pa.array(number, pa.int64()),
+                ],
+                names=["doc_id", "n_ids", "crcs", "number"],
             )
 
     return run
@@ -335,6 +397,9 @@ def pack(
     A document is its ids and then ``closing``.  Null and empty texts have the closing id
     alone.  Null or repeated ids: each row is a document of its own.  Empty table: no rows.
     Other columns are not read.  Sequence numbers are unique over all groups.
+
+    Lengths and checksums are kept before they are dealt; equal rows go to different groups by
+    their number within their task.
     """
     rows = id_and_text(docs, id_col, text_col)
     id_type = rows.schema["doc_id"].dataType
@@ -345,11 +410,13 @@ def pack(
                 T.StructField("doc_id", id_type),
                 T.StructField("n_ids", T.LongType()),
                 T.StructField("crcs", T.ArrayType(T.LongType())),
+                T.StructField("number", T.LongType()),
             ]
         ),
     )
-    groups = max(1, -(-docs.count() // docs_per_group))
-    dealt = coded.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "n_ids", "crcs"), F.lit(groups)))
+    coded = materialise(coded)
+    groups = max(1, -(-coded.count() // docs_per_group))
+    dealt = coded.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "n_ids", "crcs", "number"), F.lit(groups)))
     packed = dealt.groupBy("pack_group").applyInArrow(
         _pack_group(capacity),
         T.StructType(

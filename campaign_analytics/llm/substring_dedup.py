@@ -91,15 +91,17 @@ def _unpack_entries(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return np.frombuffer(hashes, np.uint64), np.repeat(ids, count), np.repeat(own_marks, count), starts
 
 
-def _group_of(ids: np.ndarray, groups: int) -> np.ndarray:
-    return (wordhash.mix(ids.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(groups)).astype(np.int64)
+def _group_of(ids: np.ndarray, marks: np.ndarray, groups: int) -> np.ndarray:
+    """The group of a document, by id and mark: the documents of one id, or of none, go to many groups."""
+    mixed = wordhash.mix(ids.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)) + marks.view(np.uint64)
+    return (wordhash.mix(mixed) % np.uint64(groups)).astype(np.int64)
 
 
 def _repeat_rows(ids: np.ndarray, marks: np.ndarray, starts: np.ndarray, groups: int) -> Iterator[tuple[int, bytes]]:
     """(document group, packed starts) of repeated windows."""
     if not len(ids):
         return
-    group = _group_of(ids, groups)
+    group = _group_of(ids, marks, groups)
     order = np.lexsort((starts, marks, ids, group))
     ids, marks, starts, group = ids[order], marks[order], starts[order], group[order]
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
@@ -244,6 +246,32 @@ def intervals(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
     return [(int(starts[a]), int(starts[b - 1]) + window) for a, b in zip(edges, edges[1:])]
 
 
+_PRESSED = ["doc_id", "doc_key", "mark", "pressed"]
+#: Copies of a row made by one task at a time.
+_COPIES = 1 << 14
+
+
+def _one_of_each(pressed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that are equal in id and text as one row, and how many there are of each that has copies.
+
+    Copies are combined in every task before the exchange, so they never meet in one group.
+    """
+    group = ["doc_group", "doc_key", "mark"]
+    firsts = [F.first(c).alias(c) for c in ("doc_id", "pressed")]
+    single = pressed.groupBy(*group).agg(*firsts).select("doc_group", *_PRESSED)
+    counts = pressed.groupBy("doc_key", "mark").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    return single, counts.withColumnsRenamed({"doc_key": "copied_key", "mark": "copied_mark"})
+
+
+def _with_copies(found: DataFrame, counts: DataFrame) -> DataFrame:
+    """The rows of ``found`` as often as their document stands in the table."""
+    same = (F.col("doc_key") == F.col("copied_key")) & (F.col("mark") == F.col("copied_mark"))
+    blocks = F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1)) - 1, F.lit(_COPIES).cast("long"))
+    parts = found.join(counts, same, "left").withColumn("copy", F.explode(blocks)).repartition("doc_key", "copy")
+    own = F.least(F.coalesce("copies", F.lit(1)) - F.col("copy"), F.lit(_COPIES))
+    return parts.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), own)))
+
+
 def _press(groups: int) -> Callable:
     """Texts compressed for the exchange, with their document group."""
 
@@ -252,10 +280,11 @@ def _press(groups: int) -> Callable:
         for batch in batches:
             texts = (x.as_py() for x in batch.column("text"))
             small = [None if t is None else press.compress(t.encode()) for t in texts]
-            group = _group_of(batch.column("doc_key").to_numpy(zero_copy_only=False).astype(np.int64), groups)
+            ids, marks = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_key", "mark"))
+            group = _group_of(ids, marks, groups)
+            kept = map(batch.column, ("doc_id", "doc_key", "mark"))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(group), *map(batch.column, ("doc_id", "doc_key", "mark")), pa.array(small, pa.binary())],
-                names=["doc_group", "doc_id", "doc_key", "mark", "pressed"],
+                [pa.array(group), *kept, pa.array(small, pa.binary())], names=["doc_group", *_PRESSED]
             )
 
     return run
@@ -292,13 +321,13 @@ def _cut(window: int) -> Callable:
             spans.append([{"from": a, "to": b} for a, b in cover])
         return pa.table(
             [
-                docs.column("doc_id"),
+                *[docs.column(c) for c in ("doc_id", "doc_key", "mark")],
                 pa.array(n_words, pa.int64()),
                 pa.array(n_removed, pa.int64()),
                 pa.array(kept_text, pa.string()),
                 pa.array(spans, pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))),
             ],
-            names=["doc_id", "n_words", "n_removed", "kept_text", "removed"],
+            names=["doc_id", "doc_key", "mark", "n_words", "n_removed", "kept_text", "removed"],
         )
 
     return run
@@ -324,8 +353,8 @@ def remove_repeats(
     id_type = rows.schema["doc_id"].dataType
     if not isinstance(id_type, T.IntegralType):
         raise TypeError("remove_repeats orders documents by an integer id")
-    repeated_ids = rows.groupBy("doc_id").count().filter("count > 1")
-    mark = F.lit(0).cast("long") if repeated_ids.isEmpty() else F.xxhash64("text")
+    copies = not rows.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    mark = F.xxhash64("text") if copies else F.lit(0).cast("long")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // (_BYTES_PER_WORD * windows_per_bucket)))
     groups = max(1, -(-total // BYTES_PER_DOC_GROUP))
@@ -350,10 +379,18 @@ def remove_repeats(
     out = T.StructType(
         [
             T.StructField("doc_id", id_type),
+            T.StructField("doc_key", T.LongType()),
+            T.StructField("mark", T.LongType()),
             T.StructField("n_words", T.LongType()),
             T.StructField("n_removed", T.LongType()),
             T.StructField("kept_text", T.StringType()),
             T.StructField("removed", T.ArrayType(interval)),
         ]
     )
-    return pressed.groupBy("doc_group").cogroup(repeats.groupBy("doc_group")).applyInArrow(_cut(window), out)
+    counts = None
+    if copies:
+        pressed, counts = _one_of_each(pressed)
+    found = pressed.groupBy("doc_group").cogroup(repeats.groupBy("doc_group")).applyInArrow(_cut(window), out)
+    if counts is not None:
+        found = _with_copies(found, counts)
+    return found.select("doc_id", "n_words", "n_removed", "kept_text", "removed")

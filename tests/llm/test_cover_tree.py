@@ -40,6 +40,8 @@ def test_many_shards_and_ties(spark):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
     found = cover_tree.top_k(frame, F.col("vec_id") % 20 == 0, shard_rows=60, most_pivots=9, sample=200)
     assert by_rank(found) == brute(rows, every=20)
+    parted = cover_tree.top_k(frame, F.col("vec_id") % 20 == 0, shard_rows=60, most_pivots=9, sample=200, query_rows=3)
+    assert by_rank(parted) == by_rank(found)
 
 
 def test_pruning_leaves_pairs_out():

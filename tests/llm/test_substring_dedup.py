@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import brute
+import numpy as np
 from brute import ODD, SMALL
 from pyspark.sql import functions as F
 
@@ -60,3 +62,20 @@ def test_hot_passage_over_many_partitions(spark):
     frame = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit(passage + " "), F.col("id")).alias("text"))
     found = substring_dedup.remove_repeats(frame.repartition(16), windows_per_bucket=500)
     assert sorted(r[0] for r in found.select("n_removed").collect()) == [0] + [40] * 2999
+
+
+def test_rows_of_one_id_go_to_many_groups(spark, monkeypatch):
+    """A third of all rows under a null id, and a third one row again and again: no group holds them."""
+    line = lambda i: " ".join(f"w{i * 31 + j}" for j in range(40))
+    rows = [(None, line(i)) for i in range(300)] + [(5, line(1000))] * 300 + [(10 + i, line(5000 + i)) for i in range(300)]
+    rows += [(2000, line(3)), (2001, line(1000))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(substring_dedup, "BYTES_PER_DOC_GROUP", 4000)
+    monkeypatch.setattr(substring_dedup, "_COPIES", 7)
+    found = substring_dedup.remove_repeats(frame, window=20)
+    kept = Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in found.collect())
+    assert kept[None, 40, 0] == 300 and kept[5, 40, 0] == 300
+    assert kept[2000, 40, 40] == 1 and kept[2001, 40, 40] == 1 and sum(kept.values()) == len(rows)
+    ids = np.full(3000, substring_dedup._NONE)
+    groups = substring_dedup._group_of(ids, np.arange(3000), 30)
+    assert np.bincount(groups).max() < 160
