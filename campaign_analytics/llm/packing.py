@@ -28,6 +28,8 @@ CAPACITY = 2048
 DOCS_PER_GROUP = 8192
 SEARCH_NODES_PER_BIN = 8
 MORE_SEARCH_NODES = 1000
+#: Thresholds tried by ``BinCompletion.in_pairs``.
+PAIR_THRESHOLDS = 12
 #: Pairs that are tried before all other fillings.
 _FIRST_PAIRS = 4
 #: Sizes of a filling, the largest, among which exchanges of two or three are looked for.
@@ -48,7 +50,7 @@ class BinCompletion:
     size that is left, and that one into theirs and the free space: whatever is packed with the
     filling can be packed with the exchange.  A branch is cut when its waste exceeds what a
     solution of one bin less than the incumbent may waste.  Best-fit decreasing gives the
-    first incumbent; the search ends at the lower bound (:meth:`lower_bound`) or after
+    first incumbent, and where it is far from the bound :meth:`in_pairs`; the search ends at the lower bound (:meth:`lower_bound`) or after
     ``nodes`` fillings and dead ends.
     """
 
@@ -80,6 +82,49 @@ class BinCompletion:
                     spaces |= 1 << left
         return bins
 
+    def least_waste(self, counts: dict[int, int]) -> list[list[int]]:
+        """Each bin the largest size left and its filling of least waste, without going back."""
+        counts = dict(counts)
+        present = sum(1 << s for s, n in counts.items() if n)
+        mirrored = sum(1 << (self.capacity - s) for s, n in counts.items() if n)
+        bins = []
+
+        def take(s: int) -> None:
+            nonlocal present, mirrored
+            counts[s] -= 1
+            if not counts[s]:
+                present &= ~(1 << s)
+                mirrored &= ~(1 << (self.capacity - s))
+
+        while present:
+            largest = present.bit_length() - 1
+            take(largest)
+            filling = self._first_fillings(counts, present, mirrored, self.capacity - largest)[0]
+            for s in filling:
+                take(s)
+            bins.append([largest, *filling])
+        return bins
+
+    def in_pairs(self, counts: dict[int, int]) -> list[list[int]]:
+        """The best of some packings that put the sizes between a threshold and a half into pairs.
+
+        Where many sizes are just below a half, a pair of them wastes little, and small sizes
+        spent on exact fillings of large ones are missed later.  Thresholds go in steps from a third.
+        """
+        low, high = self.capacity // 3, self.capacity // 2
+        best: list[list[int]] = []
+        for threshold in range(low, high, max(1, (high - low) // PAIR_THRESHOLDS)):
+            middle = [s for s in sorted(counts, reverse=True) if threshold < s <= high for _ in range(counts[s])]
+            pairs = [middle[i : i + 2] for i in range(0, len(middle) - 1, 2)]
+            rest = dict(counts)
+            for s in itertools.chain.from_iterable(pairs):
+                rest[s] -= 1
+            rest = {s: n for s, n in rest.items() if n}
+            found = pairs + min(self.best_fit(rest), self.least_waste(rest), key=len)
+            if not best or len(found) < len(best):
+                best = found
+        return best
+
     def _pair(self, present: int, mirrored: int, counts: dict[int, int], total: int) -> tuple[int, int] | None:
         """The pair of sizes summing to ``total`` with the largest larger size."""
         shift = self.capacity - total
@@ -260,6 +305,10 @@ class BinCompletion:
         bound = self.lower_bound(counts)
         if len(incumbent) <= bound:
             return incumbent
+        if len(incumbent) > bound + 1:  # the search below seldom saves more than one
+            incumbent = min(incumbent, self.in_pairs(counts), key=len)
+            if len(incumbent) <= bound:
+                return incumbent
         budget = nodes if nodes is not None else SEARCH_NODES_PER_BIN * len(incumbent) + MORE_SEARCH_NODES
         present = mirrored = 0
         for s in counts:

@@ -140,6 +140,18 @@ def test_all_undominated_fillings():
     assert left_out > 300
 
 
+def test_sizes_below_a_half_are_paired():
+    rng = random.Random(1)
+    sizes = [rng.randint(410, 1024) for _ in range(3000)]
+    completion = packing.BinCompletion(2048)
+    counts = Counter(sizes)
+    bins = completion.pack(sizes)
+    assert sorted(s for b in bins for s in b) == sorted(sizes) and all(sum(b) <= 2048 for b in bins)
+    assert len(bins) < 0.97 * len(completion.best_fit(counts))
+    for found in (completion.least_waste(counts), completion.in_pairs(counts)):
+        assert sorted(s for b in found for s in b) == sorted(sizes) and all(sum(b) <= 2048 for b in found)
+
+
 def test_lower_bounds_hold():
     rng = random.Random(31)
     above = 0
