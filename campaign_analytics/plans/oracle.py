@@ -731,6 +731,7 @@ _QUARTER = "(SELECT * FROM m_abt_a WHERE strftime(order_created_at, '%Y-%m') IN
 QUERIES |= {
     "sql_exploratory_join": QUERIES["exploratory_join"],
     "sql_abt": QUERIES["abt"],
+    "abt_shuffled": QUERIES["abt"],
     "catalog_gold": QUERIES["gold_layer"],
     "typed_items_variant": QUERIES["typed_items"],
     "bitmap_group_kpis": QUERIES["group_kpis"],

@@ -148,6 +148,12 @@ def _gold_layer(spark: SparkSession, d: str) -> DataFrame:
     return _flat_times(layers.read_gold(spark, f"{folder}/gold"))
 
 
+def _abt_shuffled(spark: SparkSession, d: str) -> DataFrame:
+    """J2 as for customer tables too large to broadcast: filtered, shuffled, hot keys salted."""
+    abt = joins.build_abt(silver_orders_a(spark, d), *_dims(spark, d), hot_key_rows=20, broadcast_max_bytes=0)
+    return _flat_times(abt)
+
+
 def _views(spark: SparkSession, d: str) -> dict[str, str]:
     return sql_layers.register_views(dict(zip(sql_layers.TABLES, (silver_orders_a(spark, d), *_dims(spark, d)))))
 
@@ -278,6 +284,7 @@ QUERIES: dict[str, Query] = {
     # joins
     "exploratory_join": lambda s, d: _flat_times(explore_a(s, d)),
     "abt": lambda s, d: _flat_times(abt_a(s, d)),
+    "abt_shuffled": _abt_shuffled,
     # layers and typing
     "typed_orders": _typed_orders,
     "typed_items": _typed_items,

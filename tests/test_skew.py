@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from campaign_analytics.operators import joins
+from campaign_analytics.plans import registry
+from conftest import SF_SMALL
 
 
 @pytest.fixture()
@@ -190,3 +192,27 @@ def test_hot_customer_with_a_third_of_real_orders_is_spread(spark, shuffled_join
     assert salted.count() == plain.count() == total
     assert largest_task(plain) >= total / 3
     assert largest_task(salted) < total / 5
+
+
+def test_filter_of_join_keys_keeps_every_partner(spark):
+    keys = spark.range(0, 3000, 3).select((F.col("id") * 7).cast("string").alias("customer_id"))
+    keys = keys.union(spark.createDataFrame([(None,)], "customer_id string"))
+    fact = spark.range(20_000).select(F.col("id").cast("string").alias("customer_id"), F.col("id").alias("_words"))
+    kept = joins.reduced_fact(fact, keys, "customer_id")
+    partners = fact.join(keys, "customer_id", "left_semi")
+    assert kept.columns == fact.columns
+    assert partners.join(kept, ["customer_id", "_words"], "left_anti").isEmpty() and partners.count() == 953
+    assert kept.count() < partners.count() + 0.05 * fact.count()
+    assert joins.reduced_fact(fact, keys, "customer_id", max_bytes=100) is fact
+    assert joins.reduced_fact(fact, keys.limit(0), "customer_id").count() == 0
+    assert joins.reduced_fact(fact.limit(0), keys, "customer_id").count() == 0
+
+
+def test_filter_does_not_change_the_abt(spark):
+    orders = registry.silver_orders_a(spark, SF_SMALL)
+    dims = registry._dims(spark, SF_SMALL)
+    with_, without = (
+        joins.build_abt(orders, *dims, hot_key_rows=50, broadcast_max_bytes=0, filter_max_bytes=b) for b in (1 << 30, 0)
+    )
+    cols = [c for c in without.columns if c != "items"]
+    assert with_.select(cols).exceptAll(without.select(cols)).isEmpty() and with_.count() == without.count()
