@@ -49,3 +49,21 @@ def test_jobs_end_to_end(spark, scratch_dir):
     assert spark.read.parquet(f"{out}/quality_null_customer").first().order_rows == tv.orders_a_raw(
         spark, SF_SMALL
     ).count()
+
+
+def test_jobs_by_month_and_with_counts(spark, scratch_dir):
+    _write_raw(spark, scratch_dir)
+    silver, gold, by_month, lost = (os.path.join(scratch_dir, n) for n in ("silver", "gold", "by_month", "lost"))
+    raw = f"{scratch_dir}/raw"
+    jobs.run_silver(spark, f"{raw}/orders", f"{raw}/dims", silver, quality_out=lost)
+    jobs.run_gold(spark, silver, gold)
+    jobs.run_gold(spark, silver, by_month, by_month=True)
+    jobs.run_gold(spark, silver, by_month, months=["1995-01", "1995-02"])
+    whole, parts = spark.read.parquet(gold), spark.read.parquet(by_month)
+    cols = [c for c in whole.columns if c != "items"]
+    assert whole.select(cols).exceptAll(parts.select(cols)).isEmpty() and whole.count() == parts.count()
+    counted = {r.column_name: r.value_count for r in spark.read.parquet(lost).collect()}
+    assert counted["record"] == tv.orders_a_raw(spark, SF_SMALL).count()
+    again, lost_again = f"{scratch_dir}/again", f"{scratch_dir}/lost_again"
+    jobs.run_silver(spark, f"{raw}/orders", f"{raw}/dims", again, keep_latest=True, quality_out=lost_again)
+    assert {r.column_name: r.value_count for r in spark.read.parquet(lost_again).collect()}.items() <= counted.items()

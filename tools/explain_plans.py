@@ -14,8 +14,8 @@ import tempfile
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from campaign_analytics.operators import ingest, joins, kpis, profiles, quality, segments  # noqa: E402
-from campaign_analytics.plans import registry  # noqa: E402
+from campaign_analytics.operators import distinct_bitmaps, ingest, joins, kpis, profiles, quality, segments  # noqa: E402
+from campaign_analytics.plans import layers, registry, sql_layers  # noqa: E402
 from campaign_analytics.session import build_session  # noqa: E402
 from campaign_analytics.sources import testviews as tv  # noqa: E402
 
@@ -43,11 +43,19 @@ def main() -> None:
     )
     abt_a = written("gold_a", joins.build_abt(silver_a, *dims))
     abt_b = written("gold_b", joins.build_abt(silver_b, *dims))
+    tenth = written("ab_tenth", dims[1].filter("customer_id % 10 = 3"))
+
+    def few_groups(filtered: bool):
+        most = joins.FILTER_MAX_BYTES if filtered else 0
+        return joins.build_abt(silver_a, dims[0], tenth, dims[2], broadcast_max_bytes=0, filter_max_bytes=most)
+
     cases = {
         "ABT, dimensions proven small (broadcast, fact not shuffled)": joins.build_abt(silver_a, *dims),
         "ABT, dimensions forced over the broadcast bound (shuffled, hot customers salted)": joins.build_abt(
             silver_a, *dims, hot_key_rows=20, broadcast_max_bytes=0
         ),
+        "ABT, customers with a group a tenth of all: filter of their ids before the shuffled join": few_groups(True),
+        "The same without the filter": few_groups(False),
         "Q4 group_kpis (two-phase distinct counts)": kpis.ab_report(abt_a, "group_kpis"),
         "Q13 daypart_report (one customer aggregation with conditional counts)": segments.label_report(abt_b, segments.DAYPART),
         "Q1-Q3 bundle: exploratory join + one aggregation (group_order_share shown)": kpis.explore_reports(
@@ -58,6 +66,13 @@ def main() -> None:
         ],
         "Q19 price_tier_report (two customer aggregations, co-partitioned join)": segments.price_tier_report(abt_a),
         "Q20 customer_features": profiles.customer_features(abt_a),
+        "J2 from SQL text over views": sql_layers.build_abt(
+            spark, sql_layers.register_views(dict(zip(sql_layers.TABLES, (silver_a, *dims))))
+        ),
+        "W3 dominant_value of an open list of labels": segments.dominant_value(abt_a, "merchant_city"),
+        "A1/A12 distinct counts from stored bitmaps": kpis.report_of(
+            distinct_bitmaps.merged_metrics(written("bitmaps", distinct_bitmaps.bitmaps(abt_a, layers.month_of()))), "group_kpis"
+        ),
         "D3 keep_latest_order (only repeated ids are compared)": ingest.keep_latest_order(silver_b),
         "C3 repeated_orders (only repeated ids are counted)": quality.repeated_orders(silver_b),
     }
