@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def sorted_report(df: DataFrame, *cols: str) -> DataFrame:
@@ -24,3 +25,14 @@ class Bundle(dict):
 
     def release(self) -> None:
         self._kept.unpersist()
+
+
+def with_positions(report: DataFrame) -> DataFrame:
+    """A sorted report with each row's ``position`` in it, from 1: its order as a value.
+
+    The ids follow the rows as they come out, partition by partition; the window runs over
+    the rows of a small report.
+    """
+    placed = report.withColumn("_as_it_comes", F.monotonically_increasing_id())
+    position = F.row_number().over(Window.orderBy("_as_it_comes")).alias("position")
+    return placed.select(position, *report.columns)

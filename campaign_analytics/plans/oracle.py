@@ -726,9 +726,21 @@ QUERIES: dict[str, tuple[list[str], list[tuple[str, str]], str]] = {
     "top_city": (["m_abt_a"], [], _top("merchant_city")),
 }
 
+
+
+def _ordered(name: str, order: str) -> tuple[list[str], list[tuple[str, str]], str]:
+    """The query of ``name`` with each row's number in the given order."""
+    models, local, final = QUERIES[name]
+    rows = [*local, ("ordered_rows", final)]
+    return models, rows, f"SELECT CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS position, * FROM ordered_rows"
+
+
 _QUARTER = "(SELECT * FROM m_abt_a WHERE strftime(order_created_at, '%Y-%m') IN ('1996-01', '1996-02', '1996-03'))"
 #: Queries that reach a result another way: the same SQL.
 QUERIES |= {
+    "ordered_group_kpis": _ordered("group_kpis", "ab_group"),
+    "ordered_daypart_report": _ordered("daypart_report", "daypart NULLS FIRST, ab_group NULLS FIRST"),
+    "ordered_cluster_sizes": _ordered("cluster_sizes", "cluster"),
     "sql_exploratory_join": QUERIES["exploratory_join"],
     "sql_abt": QUERIES["abt"],
     "abt_shuffled": QUERIES["abt"],

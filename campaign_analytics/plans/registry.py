@@ -30,6 +30,7 @@ from ..operators import (
     segments,
     viability,
 )
+from ..operators.reporting import with_positions
 from ..session import ensure_checkpoint_dir
 from ..sources import readers
 from ..sources import testviews as tv
@@ -94,7 +95,10 @@ def _kmeans_checks(spark: SparkSession, d: str) -> DataFrame:
 
 def _item_texts() -> Column:
     """The items of an order as one text, in a fixed order, so that SQL can compare them."""
-    one = lambda i: F.concat_ws(":", i["name"], F.coalesce(i["discount"]["value"], F.lit("-")), i["quantity"])
+
+    def one(item: Column) -> Column:
+        return F.concat_ws(":", item["name"], F.coalesce(item["discount"]["value"], F.lit("-")), item["quantity"])
+
     return F.when(F.col("items").isNotNull(), F.array_join(F.array_sort(F.transform("items", one)), "|"))
 
 
@@ -309,6 +313,10 @@ QUERIES: dict[str, Query] = {
     "group_customers": lambda s, d: kpis.ab_report(abt_a(s, d), "group_customers"),
     "group_summary_share": lambda s, d: kpis.ab_report(abt_a(s, d), "group_summary_share"),
     "orders_per_customer": lambda s, d: kpis.ab_report(abt_a(s, d), "orders_per_customer"),
+    # O1, O2: the order of the sorted reports as a column
+    "ordered_group_kpis": lambda s, d: with_positions(kpis.ab_report(abt_a(s, d), "group_kpis")),
+    "ordered_daypart_report": lambda s, d: with_positions(segments.label_report(abt_b(s, d), segments.DAYPART)),
+    "ordered_cluster_sizes": lambda s, d: with_positions(profiles.cluster_sizes(_fixed_labels_a(s, d))),
     "bitmap_group_kpis": _bitmap_report("group_kpis"),
     "bitmap_group_customers": _bitmap_report("group_customers"),
     "bitmap_group_summary_share": _bitmap_report("group_summary_share"),

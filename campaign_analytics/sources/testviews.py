@@ -125,13 +125,22 @@ def orders_b_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def text(c: Column) -> Column:
+    return c.cast("string")
+
+
+def time(c: Column) -> Column:
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+
+
 def order_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order's complete raw record as one line of JSON text, some with fields that the schema
     lacks; some lines and values are broken."""
     id_ = F.col("order_id")
-    text = lambda c: c.cast("string")
-    digits = lambda c, n: F.lpad((c % (10**n)).cast("string"), n, "0")
-    time = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+
+    def digits(c: Column, n: int) -> Column:
+        return F.lpad((c % (10**n)).cast("string"), n, "0")
+
     fields = {
         "cpf": F.lpad(text(F.col("customer_id")), 11, "0"),
         "customer_id": text(F.col("customer_id")),
@@ -170,7 +179,6 @@ def order_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dimension_texts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The dimension tables as text, whole numbers with a point, as an export with gaps writes them."""
-    time = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
     tables = {"consumer": consumer, "ab_test_ref": ab_test_ref, "restaurant": restaurant}
     out = {}
     for (name, make), schema in zip(tables.items(), (CONSUMER, AB_TEST_REF, RESTAURANT)):
@@ -181,7 +189,7 @@ def dimension_texts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             "int": lambda c: c.cast("double").cast("string"),
         }
         out[name] = rows.select(
-            *[texts.get(kinds[f.name], lambda c: c.cast("string"))(F.col(f.name)).alias(f.name) for f in schema]
+            *[texts.get(kinds[f.name], text)(F.col(f.name)).alias(f.name) for f in schema]
         )
     return out
 

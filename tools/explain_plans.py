@@ -8,6 +8,8 @@ join strategies and partition counts Spark actually used at that scale.
 
 from __future__ import annotations
 
+import glob
+import json
 import os
 import sys
 import tempfile
@@ -27,10 +29,33 @@ def _final_plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def _shuffled_bytes(log_dir: str) -> dict[str, int]:
+    """Bytes that the tasks of each job group wrote to shuffles, from the event log."""
+    group_of_stage, out = {}, {}
+    for path in sorted(glob.glob(f"{log_dir}/**/*", recursive=True)):
+        if not os.path.isfile(path):
+            continue
+        with open(path, encoding="utf-8") as lines:
+            for line in lines:
+                if not line.startswith('{"Event":"SparkListener'):
+                    continue
+                event = json.loads(line)
+                if event["Event"] == "SparkListenerJobStart":
+                    group = (event.get("Properties") or {}).get("spark.jobGroup.id")
+                    group_of_stage.update(dict.fromkeys(event["Stage IDs"], group))
+                elif event["Event"] == "SparkListenerTaskEnd" and event.get("Task Metrics"):
+                    group = group_of_stage.get(event["Stage ID"])
+                    wrote = event["Task Metrics"]["Shuffle Write Metrics"]["Shuffle Bytes Written"]
+                    out[group] = out.get(group, 0) + wrote
+    return out
+
+
 def main() -> None:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     scratch = tempfile.mkdtemp(prefix="plans-")
-    spark = build_session("local[8]", 8, extra={"spark.checkpoint.dir": f"{scratch}/checkpoints"})
+    os.makedirs(f"{scratch}/events")
+    log = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": f"file://{scratch}/events", "spark.eventLog.compress": "false"}
+    spark = build_session("local[8]", 8, extra={"spark.checkpoint.dir": f"{scratch}/checkpoints"} | log)
 
     def written(name, df):
         df.write.mode("overwrite").parquet(f"{scratch}/{name}")
@@ -76,7 +101,11 @@ def main() -> None:
         "D3 keep_latest_order (only repeated ids are compared)": ingest.keep_latest_order(silver_b),
         "C3 repeated_orders (only repeated ids are counted)": quality.repeated_orders(silver_b),
     }
-    finals = {title: _final_plan(df) for title, df in cases.items()}
+    finals = {}
+    for title, df in cases.items():
+        spark.sparkContext.setJobGroup(title, title)
+        finals[title] = _final_plan(df)
+    spark.sparkContext.setJobGroup("others", "others")
     for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
         spark.conf.set(key, "-1")
     finals["ABT, no automatic broadcasts (shuffled joins, hot customers salted)"] = _final_plan(
@@ -90,11 +119,13 @@ def main() -> None:
         "each query is run before its plan is taken, so these are AQE's final plans.",
         "",
     ]
+    spark.stop()
+    moved = _shuffled_bytes(f"{scratch}/events")
     for title, plan in finals.items():
-        out += [f"## {title}", "", "```", plan.rstrip(), "```", ""]
+        figure = [f"Written to shuffles when run: {moved[title] / 1e6:.2f} MB.", ""] if title in moved else []
+        out += [f"## {title}", "", *figure, "```", plan.rstrip(), "```", ""]
     with open(os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "PLANS.md"), "w") as fh:
         fh.write("\n".join(out))
-    spark.stop()
 
 
 if __name__ == "__main__":
