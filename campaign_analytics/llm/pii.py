@@ -57,8 +57,6 @@ _PART = 4096
 #: What parts a text's terms: white space with all that is no letter or digit around it.
 _BETWEEN = r"[^\p{L}\p{N}]*[\x20\x09-\x0D][^\p{L}\p{N}]*"
 _EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
-#: The same edges of a long text, without trying each character of a run.
-_LONG_EDGES = r"^[^\p{L}\p{N}]++|(?<=[\p{L}\p{N}])[^\p{L}\p{N}]++$"
 _BEFORE_WORD = r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"
 
 
@@ -180,7 +178,17 @@ def base_spans(rows: DataFrame) -> DataFrame:
 
 
 def _terms(text: Column) -> Column:
-    return F.split(F.regexp_replace(F.lower(text), _LONG_EDGES, ""), _BETWEEN)
+    """The terms of a text in order; what is no letter or digit is taken off the first and the last one too."""
+
+    def stripped(words: Column, start: int | Column) -> Column:
+        return F.transform(F.slice(words, start, 1), lambda w: F.regexp_replace(w, _EDGES, ""))
+
+    def parts(words: Column) -> Column:
+        inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+        last = F.when(F.size(words) > 1, stripped(words, F.size(words))).otherwise(F.array().cast("array<string>"))
+        return F.concat(stripped(words, 1), inner, last)
+
+    return _let(F.split(F.lower(text), _BETWEEN), parts)
 
 
 def _window_terms(span: str) -> Column:
