@@ -5,9 +5,10 @@ hashes.  The expectation step of Baum-Welch works inside a run and sends, for ea
 words, the training count and how it is shared out among the states, packed by hash bucket.
 A bucket adds up its words over all runs and answers every run with the totals of that run's
 words alone.  So the model is spread over buckets and grows with the input; through the driver
-pass only the matrix of moves and a few sums per state.  The first expectation step uses a
-model of a bounded sample of documents, the others that of the corpus.  Then every text is
-scored by the scaled forward recursion.
+pass only the matrix of moves and a few sums per state.  The first expectation step starts from
+shares that are drawn from the words' hashes, so that nothing is learnt from a part of the
+documents; the others use the model of the corpus.  Then every text is scored by the scaled
+forward recursion.
 """
 
 from __future__ import annotations
@@ -32,12 +33,9 @@ STATES = 8
 ROUNDS = 2
 #: The fold that does not train: crc32 of the id as text modulo the first number equals the second.
 FOLD = (7, 2)
-#: Documents of the sample that the first model is fitted on, the characters such a document may
-#: have, and the steps of that fit.
-SAMPLE_DOCUMENTS = 800
-SAMPLE_CHARS = 8000
-SAMPLE_STEPS = 12
-_STAY = 0.6
+#: The model that the first expectation step starts from: the probability of a state to follow itself,
+#: and how far above 0 the even draws from 0 to 1 are that are a word's shares in the states.
+START_STAY, START_SHARE = 0.99, 4.0
 #: The share of a word's probability that is the same in all states.
 SAME_IN_ALL = 0.05
 RUN_BYTES = 32 << 20
@@ -96,44 +94,19 @@ class Sums:
         return out
 
 
-# --- the sample's model ------------------------------------------------------------------
+# --- the first model ---------------------------------------------------------------------
 
 
-@dataclass
-class Seed:
-    """The model of the sample: its words' hashes in order, their counts and parts, sums and chain."""
-
-    words: np.ndarray
-    counts: np.ndarray
-    parts: np.ndarray
-    sums: Sums
-    chain: hmm.Chain
-
-    @classmethod
-    def fit(cls, texts: list[str], states: int = STATES, steps: int = SAMPLE_STEPS) -> Seed:
-        hashes, lengths = _hashed(texts)
-        words, tokens, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-        chain = hmm.Chain.sticky(states, _STAY)
-        if not texts:
-            none = np.zeros(states, np.int64)
-            return cls(words, counts, np.zeros((0, states - 1), np.uint8), Sums(0, 0, none, none), chain)
-        # uneven shares from the words' hashes, so that the states can part
-        mixed = wordhash.mix(words[:, None] + np.arange(1, states + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        parts = _parted(0.5 + (mixed >> np.uint64(40)).astype(np.float64) / (1 << 24))
-        sums = _sums(counts, parts)
-        for _ in range(steps):
-            found, _ = hmm.expected_counts(tokens, lengths, sums.emissions(counts, parts), chain)
-            parts, chain = _parted(found.words), hmm.Chain.from_counts(found.start, found.moves)
-            sums = _sums(counts, parts)
-        return cls(words, counts, parts, sums, chain)
+def _start_emissions(words: np.ndarray, states: int) -> np.ndarray:
+    """Uneven shares of the states in each word, from its hash, so that the states can part.
 
-    def emissions(self, words: np.ndarray) -> np.ndarray:
-        """Emission probabilities of words by their hashes."""
-        at = np.minimum(np.searchsorted(self.words, words), max(len(self.words) - 1, 0))
-        if not len(self.words):
-            return self.sums.emissions(np.zeros(len(words), np.int64), np.zeros((len(words), self.parts.shape[1])))
-        found = self.words[at] == words
-        return self.sums.emissions(np.where(found, self.counts[at], 0), self.parts[at])
+    They are the same wherever the word stands, and stand for its probabilities: a factor that is
+    the same in all states changes no expected count.
+    """
+    salts = np.arange(1, states + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    drawn = (wordhash.mix(words[:, None] + salts) >> np.uint64(40)).astype(np.float64) / (1 << 24)
+    shares = START_SHARE + drawn
+    return shares / shares.sum(axis=1, keepdims=True)
 
 
 def _sums(counts: np.ndarray, parts: np.ndarray) -> Sums:
@@ -203,8 +176,8 @@ _TABLE = "run long, docs array<struct<doc_id:{0},held_out:boolean,n_tokens:long>
 _TABLE += "n_words long, counts binary, parts binary, moves array<long>"
 
 
-def _runs(seed, run_bytes: int) -> Callable:
-    """A row per run of texts, with what the expectation step under the sample's model gives."""
+def _runs(states: int, run_bytes: int) -> Callable:
+    """A row per run of texts, with what the first expectation step gives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -223,7 +196,7 @@ def _runs(seed, run_bytes: int) -> Callable:
             rows = pa.Table.from_batches(docs).combine_chunks()
             out = np.concatenate([c.to_numpy(zero_copy_only=False) for c in rows.column("held_out").chunks]).astype(bool)
             trained = _Trained.of(tokens, lengths, out)
-            counts, parts, moves = trained.step(seed.value.emissions(words), seed.value.chain)
+            counts, parts, moves = trained.step(_start_emissions(words, states), hmm.Chain.sticky(states, START_STAY))
             fields = [rows.column(c).combine_chunks() for c in ("doc_id", "held_out")]
             fields = [f.chunk(0) if isinstance(f, pa.ChunkedArray) else f for f in fields]
             each = pa.StructArray.from_arrays([*fields, pa.array(lengths)], names=["doc_id", "held_out", "n_tokens"])
@@ -379,14 +352,6 @@ def _score(states: int, sums: Sums, chain: hmm.Chain) -> Callable:
 # --- the operator ------------------------------------------------------------------------
 
 
-def _sample(rows: DataFrame, documents: int, most_chars: int) -> list[str]:
-    """Texts of about ``documents`` training rows, drawn by a hash of the id; twice as many at most."""
-    training = rows.filter(~F.col("held_out") & (F.length("text") <= most_chars))
-    n = max(training.count(), 1)
-    drawn = training.filter(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < documents).select("text").limit(2 * documents)
-    return sorted(r[0] for r in drawn.toLocalIterator())
-
-
 def held_out_fold(doc_id: Column, fold: tuple[int, int] = FOLD) -> Column:
     """Whether a document is in the fold that does not train; null ids train."""
     crc = F.crc32(doc_id.cast("string").cast("binary"))
@@ -412,19 +377,20 @@ def train(
     fold: tuple[int, int] = FOLD,
     id_col: str = "doc_id",
     text_col: str = "text",
-    sample_documents: int = SAMPLE_DOCUMENTS,
+    sample_documents: int | None = None,
     run_bytes: int = RUN_BYTES,
     bucket_words: int = BUCKET_WORDS,
 ) -> Model:
-    """Baum-Welch over all documents outside the fold; see :func:`score` for the rows it takes."""
+    """Baum-Welch over all documents outside the fold; see :func:`score` for the rows it takes.
+
+    ``sample_documents`` is taken for callers that still give it and does nothing: there is no sample.
+    """
     spark: SparkSession = docs.sparkSession
     importable_on_workers(spark)
     rows = id_and_text(docs, id_col, text_col).withColumn("held_out", held_out_fold(F.col("doc_id"), fold))
-    # the sample is bounded, and with it the model that is sent
-    seed = spark.sparkContext.broadcast(Seed.fit(_sample(rows, sample_documents, SAMPLE_CHARS), states))
     folder = f"{ensure_checkpoint_dir(spark)}/hidden-markov-{uuid.uuid4().hex}"
     schema = _TABLE.format(rows.schema["doc_id"].dataType.simpleString())
-    runs = written(rows.mapInArrow(_runs(seed, run_bytes), schema), f"{folder}/runs")
+    runs = written(rows.mapInArrow(_runs(states, run_bytes), schema), f"{folder}/runs")
     words = runs.agg(F.sum("n_words")).first()[0] or 0
     bits = max(0, int(words // bucket_words).bit_length())
     own = runs.select("run", "words", "counts", "parts", "moves")
@@ -446,7 +412,7 @@ def score(
     fold: tuple[int, int] = FOLD,
     id_col: str = "doc_id",
     text_col: str = "text",
-    sample_documents: int = SAMPLE_DOCUMENTS,
+    sample_documents: int | None = None,
     run_bytes: int = RUN_BYTES,
     bucket_words: int = BUCKET_WORDS,
 ) -> DataFrame:
@@ -457,7 +423,8 @@ def score(
     tokens with one added to each count.  Documents in ``fold`` do not train.  Null and empty
     texts are their end alone.  Null ids train; repeated rows train, and have a row each.  A word
     is known by a 64-bit hash.  Without training rows every token is unknown and has probability
-    1 in the model.  Empty table: no rows.  Other columns are not read.
+    1 in the model.  Empty table: no rows.  Other columns are not read.  ``sample_documents``: see
+    :func:`train`.
     """
     model = train(docs, states, rounds, fold, id_col, text_col, sample_documents, run_bytes, bucket_words)
     given = model.answers.select("run", "bucket", "counts", "parts").groupBy("run")

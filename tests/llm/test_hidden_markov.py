@@ -166,3 +166,24 @@ def test_odd_rows(spark, odd, empty):
     assert rows and all((r["n_known"], r["train_tokens"], r["score"]) == (0, 0, 0.0) for r in rows)
     alone = hidden_markov.score(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect()
     same_base([tuple(r) for r in alone], [(1, None)])
+
+
+def test_all_training_documents_make_the_model(spark, documents):
+    """Scores are those of Baum-Welch over every training text from hashed shares; no sample has a part."""
+    docs = [(i, t) for i, t in documents if not is_out(i)][:40] + [(i, t) for i, t in documents if is_out(i)][:5]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    found = {r["doc_id"]: r["score"] for r in hidden_markov.score(frame).collect()}
+    hashes, lengths = hidden_markov._hashed([t for _, t in docs])
+    kinds, tokens = np.unique(hashes, return_inverse=True)
+    trained = hidden_markov._Trained.of(tokens, lengths, np.array([is_out(i) for i, _ in docs]))
+    emissions = hidden_markov._start_emissions(kinds, hidden_markov.STATES)
+    chain = hmm.Chain.sticky(hidden_markov.STATES, hidden_markov.START_STAY)
+    for _ in range(hidden_markov.ROUNDS):
+        counts, parts, moves = trained.step(emissions, chain)
+        moves, start = np.split(moves / hidden_markov._MOVE, [hidden_markov.STATES**2])
+        chain = hmm.Chain.from_counts(start, moves.reshape(hidden_markov.STATES, -1))
+        emissions = hidden_markov._sums(counts, parts).emissions(counts, parts)
+    again = hmm.log_likelihoods(tokens, lengths, emissions, chain) / math.log(10)
+    np.testing.assert_allclose([found[i] for i, _ in docs], again, rtol=1e-9)
+    other = {r["doc_id"]: r["score"] for r in hidden_markov.score(frame, sample_documents=1).collect()}
+    assert other == found
