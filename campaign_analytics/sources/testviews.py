@@ -75,22 +75,33 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields that the item schema lacks.
 
     Grouping line items per order is bounded by the number of lines an order has
-    (at most seven in TPC-H), so the per-order list is small.
+    (at most seven in TPC-H), so the per-order list is small.  The lines are shuffled by order
+    as they are, without what the items leave out, and become items after that: lists made
+    before the shuffle would sort every line first and move wider rows.
     """
-    discount = F.round(F.col("l_extendedprice") * F.col("l_discount"), 2).cast("string")
+    key, part = F.col("l_orderkey"), F.col("l_partkey")
+    discount = F.round(F.col("l_extendedprice") * F.col("l_discount"), 2)
+    tagged = part % 9 == 0
+    lines = table(spark, sf_dir, "lineitem").select(
+        key,
+        F.col("l_suppkey"),
+        part,
+        F.when((key + part) % 31 != 0, discount).alias("discount"),
+        F.col("l_quantity"),
+        F.when(part % 5 == 0, F.col("l_linenumber")).alias("line"),
+        F.when(tagged, F.col("l_returnflag")).alias("returnflag"),
+        F.when(tagged, F.col("l_linestatus")).alias("linestatus"),
+    )
     item = F.struct(
-        F.col("l_partkey").cast("string").alias("name"),
-        F.struct(
-            F.when((F.col("l_orderkey") + F.col("l_partkey")) % 31 != 0, discount).alias("value"),
-            F.lit("BRL").alias("currency"),
-        ).alias("discount"),
+        part.cast("string").alias("name"),
+        F.struct(F.col("discount").cast("string").alias("value"), F.lit("BRL").alias("currency")).alias("discount"),
         F.col("l_quantity").cast("string").alias("quantity"),
-        F.when(F.col("l_partkey") % 5 == 0, F.col("l_linenumber")).alias("line"),
-        F.when(F.col("l_partkey") % 9 == 0, F.array(F.col("l_returnflag"), F.col("l_linestatus"))).alias("tags"),
+        F.col("line"),
+        F.when(tagged, F.array("returnflag", "linestatus")).alias("tags"),
     )
     merchant = F.min("l_suppkey")
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
-        F.when(F.col("l_orderkey") % 10 == 9, merchant + UNKNOWN).otherwise(merchant).alias("merchant_id"),
+    return lines.repartition("l_orderkey").groupBy("l_orderkey").agg(
+        F.when(key % 10 == 9, merchant + UNKNOWN).otherwise(merchant).alias("merchant_id"),
         F.to_json(F.collect_list(item)).alias("items"),
     )
 
